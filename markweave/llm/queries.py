@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markweave.llm import mixing, sharding
+from markweave.llm import mixing, packing, sharding, simhash
 from markweave.llm.common import read_table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
@@ -42,8 +46,14 @@ def _op3_sql() -> str:
     FROM ranked r JOIN quota USING (class) JOIN plan p ON p.class = r.class AND p.k = (r // {block}) % q"""
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
     "op3_source_mixing": op3_source_mixing,
+    "op5_best_fit_packing": op5_best_fit_packing,
 }
 ORACLE_SQL = {"op3_source_mixing": _op3_sql()}

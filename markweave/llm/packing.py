@@ -93,8 +93,10 @@ def pack(piece_rows: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS
         for b in batches:
             if not b.num_rows:
                 continue
-            placed = [fit.place(n) for n in b.column(at).to_pylist()]
-            where = np.array(placed, np.int64)
+            sizes = b.column(at).to_numpy()
+            order = np.argsort(-sizes, kind="stable")  # of the rows at hand, the long ones first
+            where = np.empty((len(sizes), 2), np.int64)
+            where[order] = [fit.place(n) for n in sizes[order].tolist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(where[:, 0] + first), pa.array(where[:, 1])], [*b.schema.names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in piece_rows.schema) + ", sequence_id long, offset long"

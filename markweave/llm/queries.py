@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markweave.llm import mixing, packing, quality, sharding, simhash
+from markweave.llm import mixing, packing, quality, secrets, sharding, simhash
 from markweave.llm.common import read_table
 
 
@@ -83,14 +83,44 @@ _OP7_SQL = f"""
     SELECT *, NOT base_failed AND n_words - n_removed_words >= {quality.LEFT_SHARE}::DOUBLE * n_words AS kept FROM f"""
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(read_table(spark, sf_dir, "documents"))
+
+
+def _op6_sql() -> str:
+    def found(i: int, r: secrets.Rule) -> str:
+        rx = r.regex.replace("'", "''")
+        return f"""SELECT doc_id, r, {i} AS n, list_transform(range(1, len(m) + 1), lambda i: struct_pack(
+              s := (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT,
+              z := length(m[i]), ok := length(g[i]) >= {r.least})) AS spans
+            FROM (SELECT doc_id, r, regexp_split_to_array(t, '{rx}') AS p, regexp_extract_all(t, '{rx}', 0) AS m,
+                         regexp_extract_all(t, '{rx}', {r.group}) AS g FROM d)"""
+
+    kinds = "[" + ", ".join(f"'{r.kind}'" for r in secrets.RULES) + "]"
+    base = ", ".join(str(i) for i, r in enumerate(secrets.RULES) if r.base)
+    text = f"{kinds}[n + 1] || ':' || s || ':' || (s + z)"
+    return f"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+    f AS ({' UNION ALL '.join(found(i, r) for i, r in enumerate(secrets.RULES))}),
+    x AS (SELECT r, n, u.s AS s, u.z AS z FROM (SELECT r, n, unnest(spans) AS u FROM f) WHERE u.ok),
+    a AS (SELECT r, {', '.join(f"count(*) FILTER (n = {i}) AS n_{k.kind}" for i, k in enumerate(secrets.RULES) if k.base)},
+            string_agg({text}, ',' ORDER BY s, n) AS spans,
+            string_agg({text}, ',' ORDER BY s, n) FILTER (n IN ({base})) AS base FROM x GROUP BY r)
+    SELECT doc_id, {', '.join(f"coalesce(n_{k.kind}, 0)::BIGINT AS n_{k.kind}" for k in secrets.RULES if k.base)},
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN a USING (r)"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
     "op3_source_mixing": op3_source_mixing,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
 }
 ORACLE_SQL = {
     "op3_source_mixing": _op3_sql(),
+    "op6_secret_scan": _op6_sql(),
     "op7_quality_rules": _OP7_SQL,
 }

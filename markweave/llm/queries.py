@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markweave.llm import mixing, packing, quality, secrets, sharding, simhash
+from markweave.llm import line_dedup, mixing, packing, quality, secrets, sharding, simhash
 from markweave.llm.common import read_table
 
 
@@ -111,16 +111,33 @@ def _op6_sql() -> str:
     FROM d LEFT JOIN a USING (r)"""
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(read_table(spark, sf_dir, "documents"))
+
+
+_OP4_SQL = r"""
+    WITH l AS (SELECT doc_id, i, x, translate(regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+               FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x,
+                            unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)),
+    s AS (SELECT k, min(doc_id) AS first_doc FROM l WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1)
+    SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (lost)::BIGINT AS n_dropped,
+           sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+    FROM (SELECT l.*, s.k IS NOT NULL AND doc_id <> first_doc AS lost FROM l LEFT JOIN s USING (k)) GROUP BY doc_id"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
     "op3_source_mixing": op3_source_mixing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
 }
 ORACLE_SQL = {
     "op3_source_mixing": _op3_sql(),
+    "op4_line_dedup": _OP4_SQL,
     "op6_secret_scan": _op6_sql(),
     "op7_quality_rules": _OP7_SQL,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markweave.llm import line_dedup, mixing, packing, quality, secrets, sharding, simhash
+from markweave.llm import embedding_dedup, line_dedup, mixing, packing, quality, secrets, sharding, simhash
 from markweave.llm.common import read_table
 
 
@@ -126,6 +126,23 @@ _OP4_SQL = r"""
     FROM (SELECT l.*, s.k IS NOT NULL AND doc_id <> first_doc AS lost FROM l LEFT JOIN s USING (k)) GROUP BY doc_id"""
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+_OP8_SQL = f"""
+    WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.v, b.v) >= {embedding_dedup.COSINE}),
+    r(v, w) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.v, l.b FROM r JOIN l ON r.w = l.a),
+    c AS (SELECT v, min(w) AS component_id FROM r GROUP BY v)
+    SELECT v AS vec_id, (SELECT count(*) FROM l WHERE l.a = c.v)::BIGINT AS n_links, component_id,
+           v = component_id AS kept FROM c"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
@@ -134,10 +151,12 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
 }
 ORACLE_SQL = {
     "op3_source_mixing": _op3_sql(),
     "op4_line_dedup": _OP4_SQL,
     "op6_secret_scan": _op6_sql(),
     "op7_quality_rules": _OP7_SQL,
+    "op8_embedding_near_dedup": _OP8_SQL,
 }

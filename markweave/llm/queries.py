@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markweave.llm import embedding_dedup, line_dedup, mixing, packing, quality, secrets, sharding, simhash
+from markweave.llm import embedding_dedup, line_dedup, mixing, packing, quality, secrets, sharding, simhash, suffix_dedup
 from markweave.llm.common import read_table
 
 
@@ -143,6 +143,26 @@ _OP8_SQL = f"""
            v = component_id AS kept FROM c"""
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(read_table(spark, sf_dir, "documents"))
+
+
+_OP10_SQL = f"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    w AS (SELECT r, i, md5(substr(x, 2 * i + 1, {2 * suffix_dedup.LENGTH})) AS m FROM
+          (SELECT r, x, unnest(range(0, len(x) // 2 - {suffix_dedup.LENGTH - 1})) AS i FROM d WHERE len(x) >= {2 * suffix_dedup.LENGTH})),
+    hit AS (SELECT r, i FROM w QUALIFY count(*) OVER (PARTITION BY m) > 1),
+    isle AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM
+             (SELECT r, i, (i - coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -9999) > {suffix_dedup.LENGTH})::INT AS fresh FROM hit)),
+    span AS (SELECT r, min(i) AS s, max(i) + {suffix_dedup.LENGTH} AS e FROM isle GROUP BY r, g),
+    kept AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS p FROM span),
+    sums AS (SELECT r, count(*) AS n, sum(e - s) AS b, max(e) AS last FROM span GROUP BY r),
+    head AS (SELECT r, string_agg(substr(x, 2 * p + 1, 2 * (s - p)), '' ORDER BY s) AS h FROM kept JOIN d USING (r) GROUP BY r)
+    SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(b, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+           sha256(unhex(coalesce(h || substr(x, 2 * last + 1), x))) AS kept_sha256
+    FROM d LEFT JOIN sums USING (r) LEFT JOIN head USING (r)"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
@@ -152,6 +172,7 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL = {
     "op3_source_mixing": _op3_sql(),
@@ -159,4 +180,5 @@ ORACLE_SQL = {
     "op6_secret_scan": _op6_sql(),
     "op7_quality_rules": _OP7_SQL,
     "op8_embedding_near_dedup": _OP8_SQL,
+    "op10_suffix_dedup": _OP10_SQL,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markweave.llm import embedding_dedup, line_dedup, mixing, packing, quality, secrets, sharding, simhash, suffix_dedup
+from markweave.llm import embedding_dedup, line_dedup, mixing, packing, quality, secrets, sharding, simhash, suffix_dedup, token_scan
 from markweave.llm.common import read_table
 
 
@@ -163,6 +163,10 @@ _OP10_SQL = f"""
     FROM d LEFT JOIN sums USING (r) LEFT JOIN head USING (r)"""
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_scan.document_tokens(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
@@ -172,6 +176,7 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLE_SQL = {

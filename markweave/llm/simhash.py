@@ -25,6 +25,8 @@ from markweave.llm.common import LOWER, saved, text_of
 from markweave.llm.components import components
 
 SEED = 42
+#: Rows of (id, hash) that may be broadcast (some 5 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -41,14 +43,15 @@ def fingerprint(text: str, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp long) of every document; a null text has no words."""
+    """(doc_id, text_key, fp long) of every document; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), words) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], ["doc_id", "text_key", "fp"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("text_key"), text_of(docs).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def gray_rank(code: Column) -> Column:
@@ -214,6 +217,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, bucket_rows:
     Null, empty and word-free texts share fingerprint zero and link like others. Rows with
     the same doc_id and text are one class. Other columns of docs are not used.
     """
+    return _classes(docs, words, bits, bucket_rows).drop("text_key")
+
+
+def _classes(docs: DataFrame, words: int, bits: int, bucket_rows: int) -> DataFrame:
     fp = saved(fingerprints(docs, words), "fingerprints")
     distinct = saved(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(near_fingerprints(distinct, bits, bucket_rows))
@@ -222,13 +229,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, bucket_rows:
     classes = saved(of.select("fp", "root").join(least, "root").select("fp", "component_id"), "classes")
     return fp.join(classes, "fp").select(
         "doc_id",
+        "text_key",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
 
 
-def one_of_each(docs: DataFrame, **params) -> DataFrame:
-    """The documents with the least doc_id of their component; the columns stay."""
-    kept = near_duplicates(docs, **params).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+def one_of_each(docs: DataFrame, words: int = 3, bits: int = 2, bucket_rows: int = 4096) -> DataFrame:
+    """The documents with the least doc_id of their component; the columns stay. Rows that
+    repeat an id and a text are one document and stay or go together."""
+    gone = saved(_classes(docs, words, bits, bucket_rows).where("NOT kept").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_x")).distinct(), "gone")
+    small = gone.count() <= BROADCAST_ROWS
+    same = (F.xxhash64(text_of(docs)) == F.col("_x")) & docs["doc_id"].eqNullSafe(F.col("_d"))
+    return docs.join(F.broadcast(gone) if small else gone, same, "left_anti")

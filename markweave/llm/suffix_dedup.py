@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from markweave.llm.common import saved, text_of
 
-LENGTH, GRAM, SEGMENT, HOT_SLICES, BROADCAST_ROWS = 400, 32, 1 << 20, 20_000, 200_000
+LENGTH, GRAM, SEGMENT, HOT_SLICES = 400, 32, 1 << 20, 20_000
 _PLACE = np.uint64((1 << 22) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
@@ -263,8 +263,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_slices: int = HOT_
     anchors = saved(_anchors(keyed, length).distinct(), "anchors")
     repeated = anchors.groupBy("h").agg(F.sum("n").alias("c")).where("c > 1").select("h")
     lists = saved(anchors.join(repeated, "h").groupBy("tk").agg(F.collect_list("h").alias("hs")).join(texts.select("tk", "doc"), "tk"), "repeated")
-    small = (lists.agg(F.sum(F.size("hs"))).first()[0] or 0) <= BROADCAST_ROWS
-    looked = keyed.select("tk", "bytes").join(F.broadcast(lists) if small else lists, "tk")
+    # Lists grow with the corpus, so they meet the texts in a shuffle at every size.
+    looked = keyed.select("tk", "bytes").join(lists.hint("merge"), "tk")
     sid = F.unhex(F.md5(F.concat("slice", F.encode(F.col("a").cast("string"), "UTF-8"))))
     slices = saved(_slices(looked, length).withColumn("sid", sid), "slices")
     place = F.struct("doc", "s0", "tk")
@@ -327,9 +327,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     empty table gives no rows; columns besides doc_id and text are not used.
     """
     spans = saved(repeated_spans(docs, length, hot_slices), "spans").withColumnRenamed("tk", "_tk")
-    small = (spans.agg(F.sum(F.size("again") + F.size("first") + 4)).first()[0] or 0) <= BROADCAST_ROWS
     rows = _keyed(docs, "doc_id")
-    joined = rows.join(F.broadcast(spans) if small else spans, F.col("tk") == F.col("_tk"), "left").select("doc_id", "bytes", "doc", "copies", "again", "first")
+    joined = rows.join(spans.hint("merge"), F.col("tk") == F.col("_tk"), "left").select("doc_id", "bytes", "doc", "copies", "again", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -36,7 +36,7 @@ def lines(text: Column) -> Column:
     flat = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\s ]+", " "))), lambda x: x != "")
     before = F.slice(F.concat(F.array(F.lit(None).cast("string")), flat), F.lit(1), F.greatest(F.size(flat), F.lit(0)))
     pairs = F.arrays_zip(flat.alias("x"), before.alias("p"))
-    return F.transform(F.filter(pairs, lambda z: ~z["0"].eqNullSafe(z["1"])), lambda z: z["0"])
+    return F.transform(F.filter(pairs, lambda z: ~z["x"].eqNullSafe(z["p"])), lambda z: z["x"])
 
 
 def value_after(all_lines: Column, code: str) -> Column:

@@ -99,7 +99,7 @@ def marker_places(lines: DataFrame, marker: str) -> DataFrame:
     pieces, found = F.split("t", marker, -1), F.regexp_extract_all("t", F.lit(marker), F.lit(0))
     starts = F.transform(found, lambda m, i: F.aggregate(F.slice(F.col("_p"), F.lit(1), i + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice(F.col("_f"), F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x)))
     hits = joined.withColumn("_p", pieces).withColumn("_f", found).select("block", F.explode(F.arrays_zip(found.alias("m"), starts.alias("s"))).alias("h"))
-    return spans.join(hits.select("block", F.col("h")["0"].alias("match"), F.col("h")["1"].alias("at")), "block").where("at >= _start AND at < _end").drop("_start", "_end")
+    return spans.join(hits.select("block", F.col("h.m").alias("match"), F.col("h.s").alias("at")), "block").where("at >= _start AND at < _end").drop("_start", "_end")
 
 
 def label_above(images: DataFrame, labels: DataFrame, tolerance: float = 20.0) -> DataFrame:

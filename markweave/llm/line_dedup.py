@@ -203,10 +203,10 @@ class LineIndex:
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """docs with doomed lines taken out of their texts, plus n_lines and n_dropped."""
-        lost = saved(self.doomed(), "doomed").withColumnRenamed("doc_id", "_d")
+        lost = saved(self.doomed().toDF("__lost_from", "__lost_keys"), "doomed")
         rows = docs.withColumn("text", text_of(docs)).drop("n_lines", "n_dropped")
         # Lists grow with the corpus, so this is a shuffle of the texts at every size.
-        joined = rows.join(lost.hint("merge"), F.col("doc_id") == F.col("_d"), "left").drop("_d")
+        joined = rows.join(lost.hint("merge"), rows["doc_id"] == lost["__lost_from"], "left").drop("__lost_from")
         fields = [f for f in rows.schema.fields]
         at, least = rows.columns.index("text"), self.min_chars
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_lines long, n_dropped long"

@@ -132,5 +132,5 @@ def keep_good(docs: DataFrame, **params) -> DataFrame:
     rejected = saved(verdict.distinct(), "rejected")
     small = rejected.count() <= BROADCAST_ROWS
     # The text hash is never null, so it is the key that a join can be dealt by.
-    same = (_text_hash(docs) == F.col("_x")) & docs["doc_id"].eqNullSafe(F.col("_d")) & docs["source"].eqNullSafe(F.col("_s"))
+    same = (_text_hash(docs) == rejected["_x"]) & docs["doc_id"].eqNullSafe(rejected["_d"]) & docs["source"].eqNullSafe(rejected["_s"])
     return docs.join(F.broadcast(rejected) if small else rejected, same, "left_anti")

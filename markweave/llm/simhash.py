@@ -241,5 +241,5 @@ def one_of_each(docs: DataFrame, words: int = 3, bits: int = 2, bucket_rows: int
     repeat an id and a text are one document and stay or go together."""
     gone = saved(_classes(docs, words, bits, bucket_rows).where("NOT kept").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_x")).distinct(), "gone")
     small = gone.count() <= BROADCAST_ROWS
-    same = (F.xxhash64(text_of(docs)) == F.col("_x")) & docs["doc_id"].eqNullSafe(F.col("_d"))
+    same = (F.xxhash64(text_of(docs)) == gone["_x"]) & docs["doc_id"].eqNullSafe(gone["_d"])
     return docs.join(F.broadcast(gone) if small else gone, same, "left_anti")

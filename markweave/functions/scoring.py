@@ -78,7 +78,7 @@ def composite(phonetic: Column, visual: Column, semantic: Column, classes: Colum
     alike = F.greatest(phonetic, semantic, F.when(by_hash, visual))
     ramp = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (alike - 0.30) / 0.40))
     goods = (w["class"] * classes + w["vienna"] * vienna) / total * ramp
-    score = F.round(mark + goods, 3)
+    score = F.bround(mark + goods, 3)  # ties as Python rounds them, to even
     likely, possible = _verdicts(score, alike, classes)
     return F.struct(
         score.alias("score"),

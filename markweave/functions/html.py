@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,27 +150,34 @@ def madrid_events(all_lines: Column) -> Column:
     return F.when(n > 0, F.array_compact(F.transform(all_lines, event)))
 
 
-def madrid_record(page: Column) -> Column:
-    """The struct of an international registration page, from its lines."""
-    ls = lines(tag_text(page))
-    start = F.array_max(F.transform(ls, lambda x, i: F.when(x == "Transaction History", i)))
-    summary = F.when(start.isNotNull(), F.slice(ls, F.lit(1), start)).otherwise(ls)
-    history = madrid_events(F.slice(ls, F.coalesce(start, F.size(ls)) + 1, F.greatest(F.size(ls), F.lit(0))))
-    holder = value_after(summary, "732")
-    at = F.array_position(summary, "732")
-    first = F.regexp_replace(F.get(summary, at.cast("int") + 1), ",+$", "")
-    designated = F.regexp_extract_all(F.coalesce(value_after(summary, "832"), F.lit("")), F.lit(r"\b([A-Z]{2})\b"), F.lit(1))
-    parties = F.flatten(F.transform(F.coalesce(history, F.array().cast("array<struct<type:string,date:string,gazette:string,parties:array<string>>>")), lambda e: e["parties"]))
-    classes = F.filter(F.regexp_extract_all(F.coalesce(value_after(summary, "511"), F.lit("")), F.lit(r"\b(\d{1,2})\b"), F.lit(1)), lambda x: x.cast("int").between(1, 45))
-    return F.struct(
-        first.alias("holder_name"),
-        F.coalesce(F.nullif(F.upper(F.regexp_extract(holder, r"\(([A-Za-z]{2})\)\s*$", 1)), F.lit("")), F.nullif(F.regexp_extract(F.coalesce(value_after(summary, "811"), value_after(summary, "812")), r"\b([A-Z]{2})\b", 1), F.lit(""))).alias("holder_country"),
-        dotted_date(value_after(summary, "151")).alias("registration_date"),
-        dotted_date(value_after(summary, "180")).alias("expiration_date"),
+def madrid_records(pages: DataFrame, page: str, out: str = "record") -> DataFrame:
+    """Pages with the struct of their international registration. Lines, summary
+    and history are columns of their own on the way, so each is made once a page."""
+    rows = pages.withColumn("_ls", lines(tag_text(F.col(page))))
+    rows = rows.withColumn("_start", F.array_max(F.transform("_ls", lambda x, i: F.when(x == "Transaction History", i))))
+    rows = rows.withColumns(
+        {
+            "_summary": F.when(F.col("_start").isNotNull(), F.slice("_ls", F.lit(1), F.col("_start"))).otherwise(F.col("_ls")),
+            "_tail": F.slice("_ls", F.coalesce("_start", F.size("_ls")) + 1, F.greatest(F.size("_ls"), F.lit(0))),
+        }
+    )
+    summary = F.col("_summary")
+    rows = rows.withColumns({"_history": madrid_events(F.col("_tail")), "_at": F.array_position(summary, "732"), **{f"_v{c}": value_after(summary, c) for c in ("151", "180", "511", "732", "811", "812", "832")}})
+    none = F.lit("")
+    designated = F.regexp_extract_all(F.coalesce("_v832", none), F.lit(r"\b([A-Z]{2})\b"), F.lit(1))
+    parties = F.flatten(F.transform(F.coalesce("_history", F.array().cast("array<struct<type:string,date:string,gazette:string,parties:array<string>>>")), lambda e: e["parties"]))
+    classes = F.filter(F.regexp_extract_all(F.coalesce("_v511", none), F.lit(r"\b(\d{1,2})\b"), F.lit(1)), lambda x: x.cast("int").between(1, 45))
+    country = F.coalesce(F.nullif(F.upper(F.regexp_extract("_v732", r"\(([A-Za-z]{2})\)\s*$", 1)), none), F.nullif(F.regexp_extract(F.coalesce("_v811", "_v812"), r"\b([A-Z]{2})\b", 1), none))
+    record = F.struct(
+        F.regexp_replace(F.get(summary, F.col("_at").cast("int") + 1), ",+$", "").alias("holder_name"),
+        country.alias("holder_country"),
+        dotted_date(F.col("_v151")).alias("registration_date"),
+        dotted_date(F.col("_v180")).alias("expiration_date"),
         F.array_distinct(F.transform(classes, lambda x: F.lpad(x, 2, "0"))).alias("nice_classes"),
         F.array_distinct(F.concat(designated, parties)).alias("designated_countries"),
-        history.alias("transaction_history"),
+        F.col("_history").alias("transaction_history"),
     )
+    return rows.select(*[F.col(c) for c in pages.columns], record.alias(out))
 
 
 def _typed(events: Column, country: str) -> Column:

@@ -1026,3 +1026,170 @@ def _(s, d):
 @query("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2", False)
 def _(s, d):
     return incremental.tumbling_counts(events(s, d))
+
+
+# Text pipelines on texts built from known values: the SQL gives the values back
+@query("s12_batches", "SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 200)::BIGINT AS batch FROM orders WHERE o_custkey % 10 = 0", False)
+def _(s, d):
+    return sinks.batches(orders(s, d).where("o_custkey % 10 = 0").select("o_orderkey"), ["o_orderkey"], 200)
+
+
+@query("s18_image_links", "SELECT 'i' || p_partkey || '.png' AS name, 'a/i' || p_partkey || '.png' AS relative FROM part", False)
+def _(s, d):
+    return sinks.image_links(part(s, d).select(F.concat(lit("/data/images/a/i"), "p_partkey", lit(".png")).alias("path")), "images")
+
+
+@query("t02_t03_markers", "SELECT p_partkey, '4-2020-' || p_partkey AS application, p_name AS sample, '01.02.20' || (10 + p_size % 10) AS filed, '' AS published FROM part", False)
+def _(s, d):
+    text = F.concat(lit("(210) 4-2020-"), "p_partkey", lit(" (540) "), "p_name", lit(" (220) 01.02.20"), 10 + col("p_size") % 10, lit(" (441) soon"))
+    lines_ = part(s, d).select("p_partkey", F.explode(F.split(T.break_markers(text), "\n")).alias("line"))
+    pick = lambda code: F.max(T.marker_value(F.trim("line"), code))
+    return lines_.groupBy("p_partkey").agg(pick("210").alias("application"), pick("540").alias("sample"), pick("220").alias("filed"), pick("441").alias("published"))
+
+
+def _section_lines(s, d):
+    """Four lines of a B gazette for each part: certificate, classes over two lines, name."""
+    p = part(s, d).select((col("p_partkey") % 20).cast("string").alias("doc"), "p_partkey", F.posexplode(F.array(F.concat(lit("(111) 4-"), "p_partkey"), F.concat(lit("(511) Nhóm "), col("p_size") % 45 + 1), lit("goes on"), F.concat(lit("(540) "), "p_name"))).alias("i", "line"))
+    return p.select("doc", lit("B").alias("kind"), (col("p_partkey") * 4 + col("i")).alias("line_no"), "line")
+
+
+@query(
+    "t04_w02_sections",
+    """SELECT (p_partkey % 20)::VARCHAR AS doc, (row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_partkey))::BIGINT AS section, u.c AS code, u.v AS value
+       FROM (SELECT *, unnest([{'c': '111', 'v': '4-' || p_partkey}, {'c': '511', 'v': 'Nhóm ' || (p_size % 45 + 1) || ' goes on'}, {'c': '540', 'v': p_name}]) AS u FROM part) QUALIFY TRUE""",
+    False,
+)
+def _(s, d):
+    return layout.sections(_section_lines(s, d))
+
+
+ORACLE_SQL["t04_w02_sections"] = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_partkey) AS section FROM part)
+    SELECT (p_partkey % 20)::VARCHAR AS doc, section::BIGINT AS section, u.c AS code, u.v AS value FROM (SELECT p_partkey, section, unnest([{'c': '111', 'v': '4-' || p_partkey}, {'c': '511', 'v': 'Nhóm ' || (p_size % 45 + 1) || ' goes on'}, {'c': '540', 'v': p_name}]) AS u FROM r)"""
+
+
+@query("t07_repair_goods", "SELECT p_partkey, 'dịch vụ ' || p_name || '; phẩm; thuốc dược công nghiệp' AS goods FROM part", False)
+def _(s, d):
+    return part(s, d).select("p_partkey", T.repair_goods(F.concat(lit("dịc h vụ "), "p_name", lit("; phẩ m; thuốc d ược công nghiệp"))).alias("goods"))
+
+
+@query("t08_nice_groups", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN [p_size::VARCHAR, '05'] WHEN p_size <= 45 THEN [p_size::VARCHAR, '7'] ELSE ['7'] END AS groups FROM part", False)
+def _(s, d):
+    even = F.concat(lit("Nhóm "), "p_size", lit(": a; Nhóm 05: b"))
+    return part(s, d).select("p_partkey", T.nice_groups(F.when(col("p_size") % 2 == 0, even).otherwise(F.concat_ws(", ", "p_size", lit("7")))).alias("groups"))
+
+
+@query("t11_split_applicant", "SELECT c_custkey, c_name || ' (GZ) CO' AS name, 'CN' AS country, '1 Road' AS address FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_name, NULL, '2 Road' FROM customer WHERE c_custkey % 2 = 1", False)
+def _(s, d):
+    text = F.when(col("c_custkey") % 2 == 0, F.concat(lit("1. "), "c_name", lit(" (GZ) CO (CN) 1 Road 2. OTHER (VN) x"))).otherwise(F.concat("c_name", lit(", 2 Road")))
+    return customer(s, d).select("c_custkey", T.split_applicant(text, F.array(lit("CN"), lit("VN"))).alias("x")).select("c_custkey", "x.*")
+
+
+@query("t13_city", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'Da Nang' WHEN 1 THEN 'Bắc Ninh' END AS city FROM customer", False)
+def _(s, d):
+    k = col("c_custkey") % 3
+    text = F.when(k == 0, lit("12 Hue road, Hanoi, Da Nang")).when(k == 1, lit("xã A, tỉnh Bắc Ninh.")).otherwise("nowhere")
+    return customer(s, d).select("c_custkey", T.city_in(text, ["Hanoi", "Da Nang", "Hue"], lit("VN")).alias("city"))
+
+
+@query("t16_first_dates", "SELECT user_id::VARCHAR AS doc, event_id AS section, month(f)::INT AS month, year(f)::INT AS year FROM (SELECT user_id, event_id, first_value(CASE WHEN event_type = 'purchase' THEN ts::DATE END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f FROM events)", False)
+def _(s, d):
+    rows = events(s, d).select(col("user_id").cast("string").alias("doc"), col("event_id").alias("section"), F.when(col("event_type") == "purchase", F.to_date("ts")).alias("date"))
+    return layout.first_dates(rows).select("doc", "section", "month", "year")
+
+
+@query("t32_domestic_status", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Granted' ELSE 'cấp bằng ' || o_orderstatus END AS label, o_orderstatus <> 'X' AS is_granted FROM orders", False)
+def _(s, d):
+    text = F.concat(lit("cấp bằng "), "o_orderstatus")
+    return orders(s, d).select("o_orderkey", T.domestic_status(col("o_orderstatus"), text, lit(None).cast("date"), {"F": "Granted"}, "Cấp bằng").alias("x")).select("o_orderkey", "x.*")
+
+
+@query("t43_goods_by_class", "SELECT p_partkey, p_name AS five, 'bán hàng' AS other FROM part", False)
+def _(s, d):
+    text = F.concat(lit("Nhóm 5: "), "p_name", lit("; Nhóm 35: bán hàng; Nhóm 7: "))
+    return part(s, d).select("p_partkey", T.goods_by_class(text).alias("m")).select("p_partkey", F.element_at("m", "05").alias("five"), F.element_at("m", "35").alias("other"))
+
+
+@query("t44_split_codes", "SELECT p_partkey, [p_size::VARCHAR, '1.2', '3'] AS codes FROM part", False)
+def _(s, d):
+    return part(s, d).select("p_partkey", T.split_codes(F.concat("p_size", lit(", 1.2;;3 "))).alias("codes"))
+
+
+@query("t46_country_events", "SELECT user_id, count(*) FILTER (event_type IN ('signup', 'error', 'purchase')) AS n FROM events GROUP BY 1", False)
+def _(s, d):
+    return _histories(s, d).select("user_id", F.size(html.country_events(col("history"), "VN", "Viet Nam")).cast("long").alias("n"))
+
+
+@query("h02_value_after", "SELECT p_partkey, p_name || ' ' || p_brand AS value FROM part", False)
+def _(s, d):
+    ls = F.array(lit("732"), lit("Holder"), col("p_name"), col("p_brand"), lit("811"), lit("x"))
+    return part(s, d).select("p_partkey", html.value_after(ls, "732").alias("value"))
+
+
+@query("h03_h04_madrid_page", "SELECT p_partkey, p_name AS holder, 'FR' AS country, ['VN', 'US'] AS designated, p_partkey % 28 + 1 AS day FROM part", False)
+def _(s, d):
+    page_ = F.concat(lit("<p>732</p><p>Holder</p><p>"), "p_name", lit(",</p><p>1 rue (FR)</p><p>832</p><p>Under</p><p>VN, US</p><p>999</p><h1>Transaction History</h1><p>Grant of protection, VN</p><p>:</p><p>"), F.lpad((col("p_partkey") % 28 + 1).cast("string"), 2, "0"), lit(".06.2021, 2021/24 Gaz</p>"))
+    x = html.madrid_records(part(s, d).select("p_partkey", page_.alias("page")), "page", "r")
+    return x.select("p_partkey", col("r.holder_name").alias("holder"), col("r.holder_country").alias("country"), col("r.designated_countries").alias("designated"), F.day(F.to_date(col("r.transaction_history")[0]["date"])).cast("long").alias("day"))
+
+
+@query("h07_h08_domestic_page", "SELECT p_partkey, '4-2026-' || lpad(p_partkey::VARCHAR, 5, '0') AS number, p_name AS mark, p_brand AS owner, ['09', '42'] AS classes, DATE '2026-01-08' AS filed, 'Filed' AS event FROM part", False)
+def _(s, d):
+    box = lambda label, body: F.concat(lit(f'<div class="product-form-label">{label}</div><div class="product-form-details">'), *body, lit("</div>"))
+    page_ = F.concat(
+        lit("VN -4-2026-"), F.lpad(col("p_partkey").cast("string"), 5, "0"), box("(541)", [lit("<b>(VI)</b> "), col("p_name"), lit(" <br/>")]), box("(730)", [lit("(VI) "), col("p_brand"), lit(" : Road")]),
+        box("(511)", [lit('<a rel="9" class="external-link"><div class="col-md-10">Apps</div></a><a rel="42" class="external-link">x</a>')]), box("(200)", [lit("08.01.2026")]), lit("<div id='events-section'><tr><td>Filed</td><td>1</td></tr></body>"),
+    )
+    x = part(s, d).select("p_partkey", html.domestic_record(page_).alias("r"))
+    return x.select("p_partkey", col("r.application_number").alias("number"), col("r.mark_text").alias("mark"), col("r.applicant_name").alias("owner"), col("r.nice_classes").alias("classes"), col("r.filing_date").alias("filed"), col("r.timeline")[0]["event"].alias("event"))
+
+
+@query("h09_unrendered", "SELECT p_partkey, p_size % 2 = 0 AS bad FROM part", False)
+def _(s, d):
+    page_ = F.concat(lit("<script>'${x}'</script><p>"), F.when(col("p_size") % 2 == 0, "${mk}").otherwise("mk"), lit("</p>"))
+    return part(s, d).select("p_partkey", html.unrendered(page_).alias("bad"))
+
+
+@query("q01_q02_q09_planted", "SELECT c_custkey, c_custkey % 4 = 0 AS q01, c_custkey % 4 = 1 AS q02, c_custkey % 4 = 2 AS q09 FROM customer", False)
+def _(s, d):
+    k = col("c_custkey") % 4
+    rows = customer(s, d).select("c_custkey", F.when(k == 0, "1529250 (DE)").when(k == 1, "Số 12 Road").otherwise(col("c_name")).alias("applicant_name"), F.when(k == 2, "A (732) x").otherwise("A").alias("mark_sample"))
+    checks = quality.row_checks()
+    return rows.select("c_custkey", *[checks[q].alias(q.lower()) for q in ("Q01", "Q02", "Q09")])
+
+
+@query("q13_logo_misses", "SELECT id FROM marks WHERE logo_path IS NULL AND lineage_key LIKE '00%'")
+def _(s, d):
+    m = marks(s, d)
+    return quality.logo_misses(m, m.where("lineage_key LIKE '00%'").select(col("lineage_key").alias("label"))).select("id")
+
+
+@query("x05_x06_tokens", "SELECT p_partkey, 1.0::DOUBLE AS s FROM part", False)
+def _(s, d):
+    return part(s, d).select("p_partkey", F.round(phonetics.token_similarity("p_name", F.regexp_replace("p_name", " ", "-")), 6).alias("s"))
+
+
+@query("x18_placeholder", "SELECT p_partkey, round(0.78 + (('0x' || substr(md5(p_partkey::VARCHAR), 1, 4))::INT / 65535 - 0.5) * 0.1, 3) AS s FROM part", False)
+def _(s, d):
+    return part(s, d).select("p_partkey", scoring.placeholder_score(col("p_partkey").cast("string")).alias("s"))
+
+
+@query("x20_relevant", "SELECT p_partkey, contains(p_name, 'cold') OR p_name = 'x' AS hit FROM part WHERE contains(p_name, 'cold') OR length(p_name) > 11", False)
+def _(s, d):
+    rows = part(s, d).where("contains(p_name, 'cold') OR length(p_name) > 11")
+    return rows.select("p_partkey", phonetics.relevant_match("p_name", F.when(F.contains("p_name", lit("cold")), "COLD").otherwise("zzzzzzzzzzzzzzzz")).alias("hit"))
+
+
+@query("st02_chunk", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) ORDER BY 1 LIMIT 25", False)
+def _(s, d):
+    work = orders(s, d).join(lineitem(s, d).select(col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey")
+    return incremental.chunk(work, "o_orderkey", 25)
+
+
+@query("st04_rate_level", "SELECT event_id, CASE WHEN value % 1 < 0.15 THEN 1 WHEN value % 1 >= 0.5 THEN 4 ELSE 3 END AS level FROM events", False)
+def _(s, d):
+    return events(s, d).select("event_id", incremental.rate_level(col("value") % 1, lit(3)).alias("level"))
+
+
+@query("st09_transitions", "SELECT * FROM (VALUES ('idle', 'start', 'running'), ('running', 'pause', 'paused'), ('paused', 'resume', 'running'), ('running', 'stop', 'stopping'), ('paused', 'stop', 'idle'), ('stopping', 'done', 'idle'), ('running', 'done', 'idle')) t(status, action, next)", False)
+def _(s, d):
+    return incremental.transitions(s)

@@ -124,7 +124,7 @@ def test_domestic_page(spark):
 
 def test_madrid_page(spark):
     page = "<p>151</p><p>Date</p><p>01.02.2020</p><p>732</p><p>Holder</p><p>ACME,</p><p>1 rue (FR)</p><p>832</p><p>Under</p><p>VN, US</p><p>999</p><h1>Transaction History</h1><p>Grant of protection, VN</p><p>:</p><p>05.06.2021, 2021/24 Gaz</p><p>Change of name</p><p>:</p><p>07.06.2021</p>"
-    x = one(spark, html.madrid_record(F.lit(page)))
+    x = html.madrid_records(spark.createDataFrame([(page,)], "page string"), "page").first().record
     assert (x.holder_name, x.holder_country, x.registration_date, x.designated_countries) == ("ACME", "FR", date(2020, 2, 1), ["VN", "US"])
     assert [(e.type, e.date, e.parties) for e in x.transaction_history] == [("Grant of protection, VN", "2021-06-05", ["VN"]), ("Change of name", "2021-06-07", [])]
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,16 @@ def saved(df: DataFrame, what: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What may be broadcast after its size was measured; more goes through a shuffle.
+BROADCAST_BYTES = 64 << 20
+
+
+def sized(df: DataFrame, bytes_of: Column) -> DataFrame:
+    """df, a saved table, with a broadcast hint if the sum of bytes_of stays within
+    BROADCAST_BYTES, else with one for a shuffled join."""
+    return F.broadcast(df) if (df.agg(F.sum(bytes_of)).first()[0] or 0) <= BROADCAST_BYTES else df.hint("merge")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -50,3 +62,10 @@ def trim_ws(c: Column) -> Column:
 
 def lower_az(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that what a task builds for one stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)

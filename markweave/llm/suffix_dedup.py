@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markweave.llm.common import saved, text_of
+from markweave.llm.common import few_rows, saved, sized, text_of
 
-LENGTH, GRAM, SEGMENT, HOT_SLICES = 400, 32, 1 << 20, 20_000
+LENGTH, GRAM, SEGMENT, HOT_SLICES = 400, 128, 1 << 18, 5_000
 _PLACE = np.uint64((1 << 22) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
@@ -92,8 +92,9 @@ def _runs(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
 
     for parts in groups():
         data = np.frombuffer(b"".join(p for _, _, p in parts), np.uint8)
-        h = window_hashes(data, GRAM)
-        least = _sliding_argmin(h, length - GRAM + 1)
+        gram = min(GRAM, max(1, length // 3))
+        h = window_hashes(data, gram)
+        least = _sliding_argmin(h, length - gram + 1)
         sizes = np.array([len(p) for _, _, p in parts])
         begins = np.cumsum(sizes) - sizes
         count = sizes - length + 1
@@ -108,31 +109,32 @@ def _runs(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
 
 
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """tk: 16 bytes for the text; equal texts are one text from here on."""
-    return docs.select(*more, F.unhex(F.md5(F.encode(text_of(docs), "UTF-8"))).alias("tk"), F.encode(text_of(docs), "UTF-8").alias("bytes"))
+    """tk: 16 bytes for the text; equal texts are one text from here on. tx: 8 bytes."""
+    text = F.encode(text_of(docs), "UTF-8")
+    return docs.select(*more, F.unhex(F.md5(text)).alias("tk"), F.xxhash64(text).alias("tx"), text.alias("bytes"))
 
 
 def _anchors(rows: DataFrame, length: int) -> DataFrame:
-    """(h, tk, n): minimizers of each text, with how often it has them."""
+    """(h, tx, twice): the minimizers of each text, and whether it has them more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             for number, _, _, _, h in _runs(b.column(1).to_pylist(), length):
-                pair = np.stack([number.astype(np.uint64), h], 1)
-                pair = pair[np.lexsort((h, number))]
-                first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]).any(1)))
-                n = np.diff(np.append(first, len(pair)))
-                yield pa.RecordBatch.from_arrays([pa.array(pair[first, 1].view(np.int64)), b.column(0).take(pa.array(pair[first, 0].astype(np.int64))), pa.array(n)], ["h", "tk", "n"])
+                order = np.lexsort((h, number))
+                number, h = number[order], h[order]
+                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (number[1:] != number[:-1])))
+                twice = np.diff(np.append(first, len(h))) > 1
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), b.column(0).take(pa.array(number[first].astype(np.int64))), pa.array(twice)], ["h", "tx", "twice"])
 
-    return rows.select("tk", "bytes").mapInArrow(run, "h long, tk binary, n long")
+    return rows.select("tx", "bytes").mapInArrow(run, "h long, tx long, twice boolean")
 
 
 def _slices(rows: DataFrame, length: int) -> DataFrame:
-    """(h, tk, doc, s0, n, a, slice) for the repeated minimizers `hs` of each row's text."""
+    """(h, tk, s0, n, a, slice) for the repeated minimizers `hs` of each row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, wanted = b.column(2).to_pylist(), b.column(3).to_pylist()
+        for b in few_rows(batches):
+            texts, wanted = b.column(1).to_pylist(), b.column(2).to_pylist()
             for number, s0, n, a, h in _runs(texts, length):
                 signed = h.view(np.int64)
                 keep = np.zeros(len(h), bool)
@@ -142,9 +144,9 @@ def _slices(rows: DataFrame, length: int) -> DataFrame:
                 number, s0, n, a, signed = number[keep], s0[keep], n[keep], a[keep], signed[keep]
                 cut = [texts[k][s : s + m + length - 1] for k, s, m in zip(number.tolist(), s0.tolist(), n.tolist(), strict=True)]
                 row = pa.array(number, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(signed), b.column(0).take(row), b.column(1).take(row), pa.array(s0), pa.array(n), pa.array(a), pa.array(cut, pa.binary())], ["h", "tk", "doc", "s0", "n", "a", "slice"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed), b.column(0).take(row), pa.array(s0), pa.array(n), pa.array(a), pa.array(cut, pa.binary())], ["h", "tk", "s0", "n", "a", "slice"])
 
-    return rows.select("tk", "doc", "bytes", "hs").mapInArrow(run, "h long, tk binary, doc long, s0 long, n long, a long, slice binary")
+    return rows.select("tk", "bytes", "hs").mapInArrow(run, "h long, tk binary, s0 long, n long, a long, slice binary")
 
 
 def _factors(bucket: np.ndarray, values: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,10 +205,8 @@ def _bucket_spans(distinct: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for b in batches:
+        for b in few_rows(batches):
             h = b.column(0).to_numpy()
-            if not len(h):
-                continue
             change = np.flatnonzero(h[1:] != h[:-1]) + 1
             if held and held[-1].column(0)[-1].as_py() != h[0]:
                 yield search(held)
@@ -260,13 +260,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_slices: int = HOT_
     as starts, without what copies of the whole text add."""
     keyed = _keyed(docs, "doc_id")
     texts = saved(keyed.groupBy("tk").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.max(F.octet_length("bytes")).alias("size")), "texts")
-    anchors = saved(_anchors(keyed, length).distinct(), "anchors")
-    repeated = anchors.groupBy("h").agg(F.sum("n").alias("c")).where("c > 1").select("h")
-    lists = saved(anchors.join(repeated, "h").groupBy("tk").agg(F.collect_list("h").alias("hs")).join(texts.select("tk", "doc"), "tk"), "repeated")
-    # Lists grow with the corpus, so they meet the texts in a shuffle at every size.
-    looked = keyed.select("tk", "bytes").join(lists.hint("merge"), "tk")
+    anchors = saved(_anchors(keyed, length), "anchors")
+    # Copies of one text have one tx, so they alone make nothing repeated.
+    repeated = anchors.groupBy("h").agg(F.min("tx").alias("lo"), F.max("tx").alias("hi"), F.max("twice").alias("twice")).where("lo <> hi OR twice").select("h")
+    lists = saved(anchors.join(repeated, "h").groupBy("tx").agg(F.collect_set("h").alias("hs")), "repeated")
+    # One row of each text is enough to slice it; copies give the same slices, counted once.
+    looked = keyed.select("tk", "tx", "bytes").join(sized(lists, F.size("hs") * 8 + 40), "tx")
     sid = F.unhex(F.md5(F.concat("slice", F.encode(F.col("a").cast("string"), "UTF-8"))))
-    slices = saved(_slices(looked, length).withColumn("sid", sid), "slices")
+    slices = saved(_slices(looked, length).withColumn("sid", sid).join(sized(texts, F.lit(60)).select("tk", "doc"), "tk"), "slices")
     place = F.struct("doc", "s0", "tk")
     distinct = saved(
         slices.groupBy("h", "sid").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.first("a").alias("a"), F.first("n").alias("n"), F.first("slice").alias("slice"))
@@ -326,12 +327,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fal
     stays whole. Rows with the same text are copies of each other, whatever their ids. An
     empty table gives no rows; columns besides doc_id and text are not used.
     """
-    spans = saved(repeated_spans(docs, length, hot_slices), "spans").withColumnRenamed("tk", "_tk")
+    spans = sized(saved(repeated_spans(docs, length, hot_slices), "spans"), (F.size("again") + F.size("first")) * 8 + 60).withColumnRenamed("tk", "_tk")
     rows = _keyed(docs, "doc_id")
-    joined = rows.join(spans.hint("merge"), F.col("tk") == F.col("_tk"), "left").select("doc_id", "bytes", "doc", "copies", "again", "first")
+    joined = rows.join(spans, F.col("tk") == F.col("_tk"), "left").select("doc_id", "bytes", "doc", "copies", "again", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             out: tuple[list, ...] = ([], [], [], [])
             for doc_id, t, doc, copies, again, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 gone = removed_bytes(len(t), length, again or [], first or [], copies, doc_id == doc, keep_first) if copies else []

@@ -23,13 +23,16 @@ ORACLE_SQL: dict[str, str] = {}
 TODAY = date.fromisoformat(roles.TODAY)
 
 
-def query(name: str, sql: str | None = None, marks: bool = True):
-    """Registers a query; sql is over the mark tables of roles.MARKS_DUCK, or the test tables."""
+def query(name: str, sql: str | None = None, marks: bool = True, days: str = ""):
+    """Registers a query; sql is over the mark tables of roles.MARKS_DUCK, or the test tables.
+    days: date columns of both, which are given as text, as clients type dates differently."""
+    as_text = days.split()
 
     def put(f: Query) -> Query:
-        QUERIES[name] = f
+        QUERIES[name] = (lambda s, d: f(s, d).withColumns({c: F.col(c).cast("string") for c in as_text})) if as_text else f
         if sql is not None:
-            ORACLE_SQL[name] = f"WITH {roles.MARKS_DUCK} {sql}" if marks else sql
+            full = f"WITH {roles.MARKS_DUCK} {sql}" if marks else sql
+            ORACLE_SQL[name] = f"SELECT * REPLACE ({', '.join(f'{c}::VARCHAR AS {c}' for c in as_text)}) FROM ({full})" if as_text else full
         return f
 
     return put
@@ -61,6 +64,7 @@ def _(s, d):
     "s05_short_year_dates",
     """SELECT o_orderkey, make_date(CASE WHEN o_orderkey % 100 <= 68 THEN 2000 ELSE 1900 END + o_orderkey % 100, month(o_orderdate), least(day(o_orderdate), 28)) AS submission_date FROM orders""",
     False,
+    days="submission_date",
 )
 def _(s, d):
     text = F.concat_ws("/", F.month("o_orderdate"), F.least(F.day("o_orderdate"), lit(28)), F.lpad((col("o_orderkey") % 100).cast("string"), 2, "0"))
@@ -177,7 +181,7 @@ def _(s, d):
     return orders(s, d).select("o_orderkey", T.dmy_to_mdy(F.when(col("o_orderkey") % 5 == 0, "none").otherwise(F.date_format("o_orderdate", "dd.MM.yyyy"))).alias("mdy"))
 
 
-@query("t06_parse_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_orderdate::DATE END AS day FROM orders", False)
+@query("t06_parse_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN o_orderdate::DATE END AS day FROM orders", False, days="day")
 def _(s, d):
     k = col("o_orderkey") % 3
     return orders(s, d).select("o_orderkey", T.parse_date(F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise("31.12")).alias("day"))
@@ -251,6 +255,7 @@ _DERIVED = """, j AS (SELECT k.*, d.applicant_name AS da, d.mark_text AS dm, d.g
        CASE WHEN dom THEN dg WHEN mad AND vn_status = 'granted' THEN mg END AS vn_grant_date,
        coalesce(registration_date, CASE record_type WHEN 'B_domestic' THEN dg WHEN 'B_madrid' THEN mreg END) AS registration_date,
        row_number() OVER (PARTITION BY dkey ORDER BY (certificate_number IS NOT NULL) DESC, ((CASE WHEN dom THEN dg WHEN mad AND vn_status = 'granted' THEN mg END) IS NOT NULL) DESC, id DESC) = 1 AS is_representative FROM j""",
+    days="registration_date vn_grant_date",
 )
 def _(s, d):
     out = derive.derive(marks(s, d), domestic(s, d), madrid(s, d))
@@ -304,6 +309,7 @@ def _back(c: str, n: int) -> str:
         {{'kind': 'opposition', 'date': CASE WHEN a THEN p + 150 END, 'done': p + 150 < t}}, {{'kind': 'registration', 'date': CASE WHEN a THEN p + 300 END, 'done': FALSE}},
         {{'kind': 'registered', 'date': CASE WHEN NOT a THEN registration_date END, 'done': TRUE}}, {{'kind': 'renewal', 'date': CASE WHEN NOT a THEN expiry_date END, 'done': expiry_date < t}}]) AS e
         FROM (SELECT *, coalesce(submission_date, {_back('publication_date', 8)}) AS f, publication_date AS p, record_type = 'A' AS a, DATE '{roles.TODAY}' AS t FROM marks)) WHERE e.date IS NOT NULL""",
+    days="date",
 )
 def _(s, d):
     events_ = T.timeline(col("submission_date"), col("publication_date"), col("record_type"), col("registration_date"), col("expiry_date"), lit(TODAY))
@@ -396,6 +402,7 @@ def _(s, d):
        CASE WHEN user_id % 2 = 1 AND g IS NULL THEN r END AS refusal_date
        FROM (SELECT user_id, min(ts::DATE) FILTER (event_type = 'signup') AS g, min(ts::DATE) FILTER (event_type = 'error') AS r, min(ts::DATE) FILTER (event_type = 'purchase') AS p FROM events WHERE event_id % 3 = 0 GROUP BY 1)""",
     False,
+    days="grant_date refusal_date",
 )
 def _(s, d):
     none = lit(None).cast("date")
@@ -494,7 +501,7 @@ def _(s, d):
     return marks(s, d).join(domestic(s, d).select("application_number", "mark_text"), "application_number", "left").select("id", "mark_text")
 
 
-@query("j03_gated_joins", "SELECT m.id, CASE WHEN mark_category LIKE 'domestic%' THEN d.grant_date WHEN mark_category LIKE 'madrid%' THEN r.vn_grant_date END AS g FROM marks m LEFT JOIN domestic d USING (application_number) LEFT JOIN madrid r ON m.lineage_key = r.irn")
+@query("j03_gated_joins", "SELECT m.id, CASE WHEN mark_category LIKE 'domestic%' THEN d.grant_date WHEN mark_category LIKE 'madrid%' THEN r.vn_grant_date END AS g FROM marks m LEFT JOIN domestic d USING (application_number) LEFT JOIN madrid r ON m.lineage_key = r.irn", days="g")
 def _(s, d):
     rows = derive.enriched(marks(s, d), domestic(s, d), madrid(s, d))
     return rows.select("id", F.when(col("mark_category").startswith("domestic"), col("d.grant_date")).when(col("mark_category").startswith("madrid"), col("m.vn_grant_date")).alias("g"))
@@ -1132,7 +1139,7 @@ def _(s, d):
     return x.select("p_partkey", col("r.holder_name").alias("holder"), col("r.holder_country").alias("country"), col("r.designated_countries").alias("designated"), F.day(F.to_date(col("r.transaction_history")[0]["date"])).cast("long").alias("day"))
 
 
-@query("h07_h08_domestic_page", "SELECT p_partkey, '4-2026-' || lpad(p_partkey::VARCHAR, 5, '0') AS number, p_name AS mark, p_brand AS owner, ['09', '42'] AS classes, DATE '2026-01-08' AS filed, 'Filed' AS event FROM part", False)
+@query("h07_h08_domestic_page", "SELECT p_partkey, '4-2026-' || lpad(p_partkey::VARCHAR, 5, '0') AS number, p_name AS mark, p_brand AS owner, ['09', '42'] AS classes, DATE '2026-01-08' AS filed, 'Filed' AS event FROM part", False, days="filed")
 def _(s, d):
     box = lambda label, body: F.concat(lit(f'<div class="product-form-label">{label}</div><div class="product-form-details">'), *body, lit("</div>"))
     page_ = F.concat(

@@ -129,18 +129,22 @@ def _state_rows(shard: int, filters: list[CuckooFilter]) -> dict[str, list]:
 OUT = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("bits", pa.int32()), ("marks", pa.binary()), ("key", pa.binary())])
 
 
+def _add(filters: list[CuckooFilter], new: np.ndarray) -> None:
+    """Puts keys into the last filter, or into one more where it has no room."""
+    last = filters[-1] if filters and filters[-1].room() >= len(new) else None
+    if len(new) and (last is None or last.insert(new).any()):
+        filters.append(CuckooFilter.for_keys(len(new)))
+        while filters[-1].insert(new).any():
+            filters[-1] = CuckooFilter(filters[-1].bits + 1)
+
+
 def _insert(key: tuple, batch: pa.Table, state: pa.Table) -> pa.Table:
     filters, shard = _filters(state), key[0].as_py()
     longs = _longs(batch["key"]) if batch.num_rows else np.zeros(0, np.uint64)
     known = np.zeros(len(longs), bool)
     for f in filters:
         known |= f.contains(longs)
-    new = longs[~known]
-    last = filters[-1] if filters and filters[-1].room() >= len(new) else None
-    if len(new) and (last is None or last.insert(new).any()):
-        filters.append(CuckooFilter.for_keys(len(new)))
-        while filters[-1].insert(new).any():
-            filters[-1] = CuckooFilter(filters[-1].bits + 1)
+    _add(filters, longs[~known])
     hit = np.flatnonzero(known | (batch["n"].to_numpy() > 1)) if batch.num_rows else []
     rows = _state_rows(shard, filters)
     found = batch["key"].take(pa.array(hit)).to_pylist() if len(hit) else []
@@ -149,10 +153,17 @@ def _insert(key: tuple, batch: pa.Table, state: pa.Table) -> pa.Table:
     return pa.table({c: rows[c] + more[c] for c in OUT.names}, OUT)
 
 
-def _delete(key: tuple, gone: pa.Table, state: pa.Table) -> pa.Table:
-    filters, left = _filters(state), _longs(gone["key"]) if gone.num_rows else np.zeros(0, np.uint64)
+def _delete(key: tuple, rows: pa.Table, state: pa.Table) -> pa.Table:
+    """rows: keys, gone or not. A key that a filter took for another one has no mark of its
+    own, so its deletion takes the other's, which then comes back."""
+    filters, gone = _filters(state), rows["gone"].to_numpy() if rows.num_rows else np.zeros(0, bool)
+    keys = _longs(rows["key"]) if rows.num_rows else np.zeros(0, np.uint64)
+    todo, stay = keys[gone], keys[~gone]
+    for f in filters:
+        todo = todo[~f.delete(todo)]
     for f in filters:
-        left = left[~f.delete(left)]
+        stay = stay[~f.contains(stay)]
+    _add(filters, stay)
     return pa.table(_state_rows(key[0].as_py(), filters), OUT)
 
 
@@ -185,8 +196,10 @@ class LineIndex:
         """Takes documents (doc_id) out again."""
         ids = doc_ids.select("doc_id").distinct()
         left = saved(self.refs.join(ids, "doc_id", "left_anti").select("shard", "key", "doc_id"), "refs")
-        gone = self.refs.join(ids, "doc_id", "left_semi").select("shard", "key").distinct().join(left.select("key"), "key", "left_anti")
-        out = gone.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_delete, STATE + ", key binary")
+        # One row a key: gone unless a document that stays holds it.
+        held = left.select("shard", "key", F.lit(False).alias("gone")).unionByName(self.refs.join(ids, "doc_id", "left_semi").select("shard", "key", F.lit(True).alias("gone")))
+        keys = held.groupBy("shard", "key").agg(F.min("gone").alias("gone"))
+        out = keys.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_delete, STATE + ", key binary")
         self.refs, self.filters = left, saved(out, "filters").drop("key")
 
     def shared(self) -> DataFrame:

@@ -2,6 +2,8 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +72,19 @@ def test_cuckoo_filter():
     assert full.insert(keys[:200]).all() and (full.table == held).all()
 
 
+def test_deleting_a_false_hit_leaves_the_other_key():
+    shard = (pa.scalar(0, pa.int32()),)
+    a, b = ((n << 60 | 3 << 16 | 77).to_bytes(8, "little") + bytes(8) for n in (1, 2))  # one mark, one bucket
+    none = pa.table({c: [] for c in line_dedup.OUT.names}, line_dedup.OUT)
+    one = line_dedup._insert(shard, pa.table({"key": [a], "n": [1]}), none)
+    two = line_dedup._insert(shard, pa.table({"key": [b], "n": [1]}), one)
+    assert b in two["key"].to_pylist()
+    state = two.filter(pa.compute.is_null(two["key"]))
+    left = line_dedup._delete(shard, pa.table({"key": [a, b], "gone": [False, True]}), state)
+    again = line_dedup._insert(shard, pa.table({"key": [a], "n": [1]}), left)
+    assert a in again["key"].to_pylist()
+
+
 def brute_counts(text):
     t = text or ""
     w = [x for x in "".join(" " if c in WHITE else c for c in t).split(" ") if x]

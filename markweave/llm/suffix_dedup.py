@@ -279,9 +279,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_slices: int = HOT_
         found = _bucket_spans(distinct, length)
     else:
         found = _bucket_spans(distinct.join(hot, "h", "left_anti"), length).unionByName(_window_spans(distinct.join(hot, "h", "left_semi"), length))
-    found = saved(found, "found")
     firsts = distinct.select("h", "sid", F.col("doc").alias("d0"), F.col("s0").alias("p0"))
-    spots = slices.select("h", "sid", "tk", "doc", "s0").distinct().join(found, ["h", "sid"]).join(firsts, ["h", "sid"])
+    # One row a slice on this side, and one join of places with it, which Spark splits when skewed.
+    found = saved(found.join(firsts, ["h", "sid"]), "found")
+    spots = slices.select("h", "sid", "tk", "doc", "s0").distinct().join(found, ["h", "sid"])
     shifted = lambda c: F.transform(c, lambda x: x + F.col("s0"))
     is_first = F.col("doc").eqNullSafe(F.col("d0")) & (F.col("s0") == F.col("p0"))
     each = spots.select("tk", shifted(F.col("again")).alias("again"), F.when(is_first, shifted(F.col("first"))).otherwise(F.array().cast("array<long>")).alias("first"))

@@ -115,18 +115,20 @@ def _keyed(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def _anchors(rows: DataFrame, length: int) -> DataFrame:
-    """(h, tx, twice): the minimizers of each text, and whether it has them more than once."""
+    """(h, tx, lo, hi): the minimizers of each text, with the least and the greatest of their
+    places in the whole text. A text in several segments has a row of h for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few_rows(batches):
-            for number, _, _, _, h in _runs(b.column(1).to_pylist(), length):
-                order = np.lexsort((h, number))
-                number, h = number[order], h[order]
-                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (number[1:] != number[:-1])))
-                twice = np.diff(np.append(first, len(h))) > 1
-                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), b.column(0).take(pa.array(number[first].astype(np.int64))), pa.array(twice)], ["h", "tx", "twice"])
+            for number, s0, _, a, h in _runs(b.column(1).to_pylist(), length):
+                place = s0 + a
+                order = np.lexsort((place, h, number))
+                number, h, place = number[order], h[order], place[order]
+                edge = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (number[1:] != number[:-1])))
+                last = np.append(edge[1:], len(h)) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(h[edge].view(np.int64)), b.column(0).take(pa.array(number[edge].astype(np.int64))), pa.array(place[edge], pa.int64()), pa.array(place[last], pa.int64())], ["h", "tx", "lo", "hi"])
 
-    return rows.select("tx", "bytes").mapInArrow(run, "h long, tx long, twice boolean")
+    return rows.select("tx", "bytes").mapInArrow(run, "h long, tx long, lo long, hi long")
 
 
 def _slices(rows: DataFrame, length: int) -> DataFrame:
@@ -261,8 +263,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_slices: int = HOT_
     keyed = _keyed(docs, "doc_id")
     texts = saved(keyed.groupBy("tk").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.max(F.octet_length("bytes")).alias("size")), "texts")
     anchors = saved(_anchors(keyed, length), "anchors")
-    # Copies of one text have one tx, so they alone make nothing repeated.
-    repeated = anchors.groupBy("h").agg(F.min("tx").alias("lo"), F.max("tx").alias("hi"), F.max("twice").alias("twice")).where("lo <> hi OR twice").select("h")
+    # Copies of one text have one tx and the same places, so they alone make nothing repeated.
+    spread = anchors.groupBy("h").agg(F.min("tx").alias("t0"), F.max("tx").alias("t1"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    repeated = spread.where("t0 <> t1 OR lo <> hi").select("h")
     lists = saved(anchors.join(repeated, "h").groupBy("tx").agg(F.collect_set("h").alias("hs")), "repeated")
     # One row of each text is enough to slice it; copies give the same slices, counted once.
     looked = keyed.select("tk", "tx", "bytes").join(sized(lists, F.size("hs") * 8 + 40), "tx")

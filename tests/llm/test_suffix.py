@@ -65,6 +65,24 @@ def test_segments_of_a_long_text(monkeypatch):
     assert sorted(starts) == [(1, i) for i in range(4601)]
 
 
+@pytest.mark.parametrize("keep_first", [False, True])
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_a_repeat_across_segments_of_one_text(spark, keep_first, hot, monkeypatch):
+    monkeypatch.setattr(S, "GRAM", 16)
+    monkeypatch.setattr(S, "SEGMENT", 300)
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passage, over = noise(90), noise(90)
+    long = noise(100) + passage + noise(90) + over + noise(700) + passage + noise(130) + over + noise(50)
+    texts = [noise(500), long, noise(40), noise(1000), long[:150] + noise(60)]
+    alone = spark.createDataFrame(list(enumerate(texts[:4])), "doc_id long, text string")
+    copies = spark.createDataFrame(list(enumerate([*texts, texts[3], texts[3]])), "doc_id long, text string")
+    for rows in (alone, copies):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in S.remove_repeats(rows, L, keep_first, hot).collect()}
+        want = brute(rows.collect(), L, keep_first)
+        assert got == want and want[1][1] >= 180
+
+
 def test_equal_windows_have_equal_hashes():
     data = np.frombuffer(b"abcabcabcabc", np.uint8)
     h = S.window_hashes(data, 3)

@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline
 from markweave.llm import mixing, packing, quality, simhash, tokens
+from markweave.llm.common import saved
 from tests.llm.brute import reach
 from tests.llm.test_lines_quality import brute_lines, key
 from tests.llm.test_simhash import brute_fingerprint
@@ -40,6 +41,27 @@ def test_stages_as_brute_force(spark, docs, tmp_path):
     assert len({r.sequence_id for r in out}) <= -(-sum(totals.values()) // packing.LENGTH) + 1
 
 
+@pytest.mark.parametrize("task_pieces", [None, 400])
+def test_sequences_follow_the_source_weights(spark, task_pieces):
+    # 20 to 5 by weight; the lighter source has the shorter texts.
+    rows = [(i, "word " * (40 if i % 5 else 25), "src0" if i % 5 else "src1") for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = saved(corpus_pipeline.mix(spark, docs, ""), "mixed-test")
+    if task_pieces:
+        got = packing.pack(saved(packing.pieces(mixed, in_order=True), "pieces-test"), task_pieces=task_pieces, in_order=True)
+    else:
+        got = corpus_pipeline.pack(spark, mixed, "")
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    ordered = sorted((r.sequence_id, r.offset, r.doc_id) for r in got.collect())
+    assert [d for _, _, d in sorted((d, 0, d) for _, _, d in ordered)] == list(range(2400))
+    # Runs of 400 rows: a block of 32 of the lighter source more or less, and open bins.
+    for i in range(0, 2400, 400):
+        assert abs(sum(d % 5 == 0 for _, _, d in ordered[i : i + 400]) - 80) <= 40
+    slots = {r.doc_id: (r.mix_slot, r.mix_offset) for r in mixing.mix_sources(docs).collect()}
+    place = {d: i for i, (_, d) in enumerate(sorted((s, d) for d, s in slots.items()))}
+    assert all(abs(place[d] - i) <= 150 for i, (_, _, d) in enumerate(ordered))
+
+
 def test_an_empty_table(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()

@@ -147,6 +147,16 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(read_table(spark, sf_dir, "documents"))
 
 
+def _inside(at: str) -> str:
+    """Whether the byte at a place is not the first one of its code point."""
+    return f"substr(x, 2 * ({at}) + 1, 1) IN ('8', '9', 'A', 'B')"
+
+
+def _steps(at: str, sign: str) -> str:
+    """Bytes from a place to the end of its code point (sign +), or to its begin (-)."""
+    return f"CASE WHEN NOT {_inside(at)} THEN 0 WHEN NOT {_inside(f'{at} {sign} 1')} THEN 1 WHEN NOT {_inside(f'{at} {sign} 2')} THEN 2 ELSE 3 END"
+
+
 _OP10_SQL = f"""
     WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents),
     w AS (SELECT r, i, md5(substr(x, 2 * i + 1, {2 * suffix_dedup.LENGTH})) AS m FROM
@@ -155,12 +165,17 @@ _OP10_SQL = f"""
     isle AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM
              (SELECT r, i, (i - coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -9999) > {suffix_dedup.LENGTH})::INT AS fresh FROM hit)),
     span AS (SELECT r, min(i) AS s, max(i) + {suffix_dedup.LENGTH} AS e FROM isle GROUP BY r, g),
-    kept AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS p FROM span),
-    sums AS (SELECT r, count(*) AS n, sum(e - s) AS b, max(e) AS last FROM span GROUP BY r),
-    head AS (SELECT r, string_agg(substr(x, 2 * p + 1, 2 * (s - p)), '' ORDER BY s) AS h FROM kept JOIN d USING (r) GROUP BY r)
+    wide AS (SELECT r, x, s, e, s - ({_steps('s', '-')}) AS ps, e + ({_steps('e', '+')}) AS pe FROM span JOIN d USING (r)),
+    kept AS (SELECT r, x, s, e, ps, pe, coalesce(lag(e) OVER o, 0) AS p, coalesce(lag(pe) OVER o, 0) AS pp FROM wide WINDOW o AS (PARTITION BY r ORDER BY s)),
+    head AS (SELECT r, count(*) AS n, sum(e - s) AS b, max(e) AS last, max(pe) AS plast,
+               string_agg(s || ':' || e, ',' ORDER BY s) AS removed,
+               string_agg(substr(x, 2 * p + 1, 2 * (s - p)), '' ORDER BY s) AS h,
+               string_agg(substr(x, 2 * pp + 1, greatest(0, 2 * (ps - pp))), '' ORDER BY s) AS t FROM kept GROUP BY r)
     SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(b, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
-           sha256(unhex(coalesce(h || substr(x, 2 * last + 1), x))) AS kept_sha256
-    FROM d LEFT JOIN sums USING (r) LEFT JOIN head USING (r)"""
+           sha256(unhex(coalesce(h || substr(x, 2 * last + 1), x))) AS kept_sha256,
+           (len(x) // 2 - coalesce(b, 0))::BIGINT AS n_kept, coalesce(removed, '') AS removed,
+           decode(unhex(coalesce(t || substr(x, 2 * plast + 1), x))) AS kept_text
+    FROM d LEFT JOIN head USING (r)"""
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

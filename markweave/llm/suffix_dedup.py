@@ -1,17 +1,19 @@
 """Repeated passages by longest-previous-factor arrays, in buckets of suffix order.
 
 A start is removed for `length` bytes if the string of that length also starts elsewhere:
-its longest previous (or next) factor is at least `length` long. Suffix order is needed to
-that depth only, where suffixes that agree on it rank equal; among those, in text order,
-the previous and next smaller positions of the suffix order are the neighbours, so the
-first has no earlier match and the last no later one.
+its longest previous (or next) factor is at least `length` long. The suffixes of a bucket
+are sorted by their bytes to that depth; neighbours' common prefixes, and the previous and
+next smaller places in that order, give the longest previous factors, and with places
+reversed the longest next ones. Without an earlier match a start is the first.
 
 Buckets bring equal suffixes together without a global suffix array. Each window of
 `length` bytes has a minimizer, the least hash among its grams of GRAM bytes, so equal
-windows meet at equal minimizers. Hashes of minimizers that occur once are dropped at 8
-bytes each; only around the others are slices of text sent: all windows of one minimizer
-as one slice, equal slices pre-aggregated before the shuffle. A bucket with very many
-different slices is dealt again by window.
+windows meet at equal minimizers, at an equal distance from them. Hashes of minimizers that
+occur once are dropped at 8 bytes each; only around the others are slices of text sent: all
+windows of one minimizer as one slice, equal slices pre-aggregated before the shuffle.
+Hashes steer only what meets; matches are by bytes. A bucket with very many different slices
+is dealt again by window, where windows of one MD5 digest are one row with the least place
+(the previous smaller one of all others), so that no task holds the bucket.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ from pyspark.sql import functions as F
 from markweave.llm.common import few_rows, saved, sized, text_of
 
 LENGTH, GRAM, SEGMENT, HOT_SLICES = 400, 128, 1 << 18, 5_000
+#: A null doc_id stands before all others.
+NO_ID = -(1 << 63)
+#: Windows that are put into suffix order at once: 13 MB of bytes at full length.
+WINDOWS = 1 << 15
 _PLACE = np.uint64((1 << 22) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
@@ -151,15 +157,39 @@ def _slices(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("tk", "bytes", "hs").mapInArrow(run, "h long, tk binary, s0 long, n long, a long, slice binary")
 
 
-def _factors(bucket: np.ndarray, values: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which suffixes have an earlier, and a later, match of full depth. Suffix order is by
-    (bucket, value), equal to full depth when these are, then by place in the texts; the
-    previous smaller place of a suffix is then its neighbour before, if that is equal."""
-    order = np.lexsort((at, doc, values, bucket))
-    same = (bucket[order][1:] == bucket[order][:-1]) & (values[order][1:] == values[order][:-1])
-    earlier, later = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    earlier[order[1:]], later[order[:-1]] = same, same
-    return earlier, later
+def _nearest(place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each suffix in suffix order, what it shares with the nearest one before it whose
+    place is smaller (the previous smaller value); 0 without one. lcp[r] is shared by r - 1
+    and r, and 0 where a bucket starts. All walk back at once, each by the other's steps."""
+    to, shared = np.arange(len(place)) - 1, lcp.copy()
+    todo = np.flatnonzero(lcp)
+    while True:
+        todo = todo[(shared[todo] > 0) & (place[to[todo]] > place[todo])]
+        if not len(todo):
+            return shared
+        over = to[todo]
+        to[todo], shared[todo] = to[over], np.minimum(shared[todo], shared[over])
+
+
+def factors(windows: np.ndarray, bucket: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest previous and the longest next factor of each window (a row of bytes) inside
+    its bucket, to the depth of a row: the most bytes that it shares with one at a smaller,
+    and at a greater place. Places differ inside a bucket; buckets are numbered under 2^32."""
+    m, depth = windows.shape
+    keyed = np.empty((m, 4 + depth), np.uint8)
+    keyed[:, :4] = bucket.astype(">u4").view(np.uint8).reshape(-1, 4)
+    keyed[:, 4:] = windows
+    order = np.argsort(keyed.view(f"S{4 + depth}").ravel(), kind="stable")
+    rows = windows[order]
+    differ = rows[1:] != rows[:-1]
+    lcp = np.zeros(m, np.int64)
+    lcp[1:] = np.where(differ.any(1), differ.argmax(1), depth)
+    lcp[1:][bucket[order][1:] != bucket[order][:-1]] = 0
+    up, down = place[order], np.append(0, lcp[:0:-1])
+    previous, following = np.empty(m, np.int64), np.empty(m, np.int64)
+    for out, at in ((previous, up), (following, -up)):
+        out[order] = np.maximum(_nearest(at, lcp), _nearest(at[::-1], down)[::-1])
+    return previous, following
 
 
 def _spans(flags: np.ndarray, number: np.ndarray, place: np.ndarray) -> dict[int, list[int]]:
@@ -184,12 +214,23 @@ def _judge(h: np.ndarray, a: np.ndarray, n: np.ndarray, doc: np.ndarray, s0: np.
     sizes = np.array([len(s) for s in slices])
     begins = np.cumsum(sizes) - sizes
     number = np.repeat(np.arange(len(slices)), n)
-    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    values = window_hashes(data, length)[begins[number] + place]
-    shift = (a[number] - place).astype(np.uint64)  # equal windows have the minimizer at equal distance
-    bucket = h[number].view(np.uint64) * np.uint64(_BASE) + shift
-    earlier, later = _factors(bucket, values, doc[number], s0[number] + place)
-    return _spans(earlier | later | many[number], number, place), _spans(~earlier, number, place)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    # Equal windows have the minimizer at equal distance, so a bucket is one for each distance.
+    distance = a[number] - at
+    order = np.lexsort((s0[number] + at, doc[number], distance, h[number]))
+    key, near = h[number[order]], distance[order]
+    fresh = np.append(True, (key[1:] != key[:-1]) | (near[1:] != near[:-1]))
+    first, bucket = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+    view, i = np.lib.stride_tricks.sliding_window_view(data, length), 0
+    earlier, later = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    while i < len(order):  # whole buckets, WINDOWS rows at a time
+        more = np.searchsorted(first, i + WINDOWS, "right") - 1
+        j = max(int(first[more]), int(first[bucket[i] + 1]) if bucket[i] + 1 < len(first) else len(order)) if more < len(first) - 1 else len(order)
+        part = order[i:j]
+        previous, following = factors(view[begins[number[part]] + at[part]], bucket[i:j] - bucket[i], np.arange(j - i))
+        earlier[part], later[part] = previous >= length, following >= length
+        i = j
+    return _spans(earlier | later | many[number], number, at), _spans(~earlier, number, at)
 
 
 def _bucket_spans(distinct: DataFrame, length: int) -> DataFrame:
@@ -261,7 +302,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_slices: int = HOT_
     that occur elsewhere in other texts or this one, later those that do so before, both
     as starts, without what copies of the whole text add."""
     keyed = _keyed(docs, "doc_id")
-    texts = saved(keyed.groupBy("tk").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.max(F.octet_length("bytes")).alias("size")), "texts")
+    first = F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    texts = saved(keyed.groupBy("tk").agg(first.alias("doc"), F.count("*").alias("copies"), F.max(F.octet_length("bytes")).alias("size")), "texts")
     anchors = saved(_anchors(keyed, length), "anchors")
     # Copies of one text have one tx and the same places, so they alone make nothing repeated.
     spread = anchors.groupBy("h").agg(F.min("tx").alias("t0"), F.max("tx").alias("t1"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -322,35 +364,56 @@ def removed_bytes(size: int, length: int, again: list[int], first: list[int], co
     return [(int(on[i]), int(on[j - 1]) + length) for i, j in zip(np.append(0, gap), np.append(gap, len(on)), strict=True)]
 
 
+def _whole_points(text: bytes, gone: list[tuple[int, int]]) -> str:
+    """The text without the spans; a code point that loses a byte goes whole."""
+    inside = lambda i: i < len(text) and text[i] & 0xC0 == 0x80
+    out, at = [], 0
+    for s, e in gone:
+        while inside(s):
+            s -= 1
+        while inside(e):
+            e += 1
+        out.append(text[at:s])
+        at = e
+    return b"".join([*out, text[at:]]).decode("utf-8", "replace")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, hot_slices: int = HOT_SLICES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (binary) of every row of docs.
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary), removed (start:end,... in bytes) and
+    kept_text (string) of every row of docs.
 
     A byte goes if a string of `length` bytes that also starts elsewhere covers it. With
     keep_first a string stays where it starts first, by doc_id, then place. Strings are judged
-    on the input, inside documents. Texts are UTF-8; a null one is empty; one under `length`
-    stays whole. Rows with the same text are copies of each other, whatever their ids. An
-    empty table gives no rows; columns besides doc_id and text are not used.
+    on the input, inside documents. kept is what is left byte by byte; in kept_text a code
+    point that lost a byte is gone whole. Texts are UTF-8; a null one is empty; one under
+    `length` stays whole. Rows with the same text are copies of each other, whatever their
+    ids; a null doc_id comes before all others. An empty table gives no rows; columns besides
+    doc_id and text are not used.
     """
     spans = sized(saved(repeated_spans(docs, length, hot_slices), "spans"), (F.size("again") + F.size("first")) * 8 + 60).withColumnRenamed("tk", "_tk")
     rows = _keyed(docs, "doc_id")
     joined = rows.join(spans, F.col("tk") == F.col("_tk"), "left").select("doc_id", "bytes", "doc", "copies", "again", "first")
+    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary(), "removed": pa.string(), "kept_text": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in few_rows(batches):
-            out: tuple[list, ...] = ([], [], [], [])
+            out: dict[str, list] = {c: [] for c in kinds}
             for doc_id, t, doc, copies, again, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                gone = removed_bytes(len(t), length, again or [], first or [], copies, doc_id == doc, keep_first) if copies else []
+                is_first = (NO_ID if doc_id is None else doc_id) == doc
+                gone = removed_bytes(len(t), length, again or [], first or [], copies, is_first, keep_first) if copies else []
                 cuts = [0, *(x for span in gone for x in span), len(t)]
                 kept = b"".join(t[i:j] for i, j in zip(cuts[::2], cuts[1::2], strict=True)) if gone else t
-                for column, x in zip(out, (len(t), len(t) - len(kept), len(gone), kept), strict=True):
+                row = (len(t), len(t) - len(kept), len(gone), kept, ",".join(f"{i}:{j}" for i, j in gone), _whole_points(t, gone))
+                for column, x in zip(out.values(), row, strict=True):
                     column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[c], k) for c, k in kinds.items())], ["doc_id", *kinds])
 
-    return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary, removed string, kept_text string")
 
 
 def digest(docs: DataFrame, **params) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept, removed, kept_text of every
+    document."""
     out = remove_repeats(docs, **params)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    left = (F.col("n_bytes") - F.col("n_removed")).alias("n_kept")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), left, "removed", "kept_text")

@@ -52,7 +52,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return quality.judge(docs).drop("source", "text_hash")
+    return quality.judge(docs).drop("source", "doc_key", "places")
 
 
 _WS = r"[\x20\x09-\x0D]+"
@@ -64,23 +64,23 @@ _OP7_SQL = f"""
     spots AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
     runs AS (SELECT doc_id, sum(least({quality.RUN}, coalesce(nxt - i, {quality.RUN}))) AS n
              FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM spots) GROUP BY doc_id),
-    lines AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS x FROM d),
+    lines AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS x FROM d),
     worded AS (SELECT * FROM lines WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
     dups AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM worded GROUP BY doc_id),
-    keyed AS (SELECT doc_id, source, t, translate(regexp_replace(x, '^{_WS}|{_WS}$', '', 'g'),
-                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM worded),
-    freq AS (SELECT source, k FROM keyed GROUP BY source, k
-             HAVING count(DISTINCT t) > {quality.LINE_DOCS} AND count(DISTINCT t) >
-               {quality.LINE_SHARE}::DOUBLE * (SELECT count(DISTINCT e.t) FROM d e WHERE e.source = keyed.source)),
-    gone AS (SELECT doc_id, sum(len(regexp_split_to_array(k, '{_WS}'))) AS n FROM keyed JOIN freq USING (source, k) GROUP BY doc_id),
+    keyed AS (SELECT doc_id, source, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(32) || chr(9) || chr(11) || chr(12) || chr(13),
+                'abcdefghijklmnopqrstuvwxyz') AS k FROM worded),
+    freq AS (SELECT source, k, min(doc_id) AS first_doc FROM keyed GROUP BY source, k
+             HAVING count(DISTINCT doc_id) > {quality.LINE_DOCS} AND count(DISTINCT doc_id) >
+               {quality.LINE_SHARE}::DOUBLE * (SELECT count(DISTINCT e.doc_id) FROM d e WHERE e.source = keyed.source)),
+    gone AS (SELECT doc_id, sum(len(k)) AS n FROM keyed JOIN freq USING (source, k) WHERE doc_id <> first_doc GROUP BY doc_id),
     c AS (SELECT doc_id, len(w.w)::BIGINT AS n_words,
             len(regexp_replace(t, '{_WS}', '', 'g'))::BIGINT AS word_chars,
             len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
             coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(runs.n, 0)::BIGINT AS n_repeat_words,
-            coalesce(gone.n, 0)::BIGINT AS n_removed_words
+            coalesce(gone.n, 0)::BIGINT AS n_removed_chars
           FROM w LEFT JOIN dups USING (doc_id) LEFT JOIN runs USING (doc_id) LEFT JOIN gone USING (doc_id)),
     f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM c)
-    SELECT *, NOT base_failed AND n_words - n_removed_words >= {quality.LEFT_SHARE}::DOUBLE * n_words AS kept FROM f"""
+    SELECT *, NOT base_failed AND word_chars - n_removed_chars >= {quality.LEFT_SHARE}::DOUBLE * word_chars AS kept FROM f"""
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,24 +94,51 @@ def brute_counts(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
 
 
-def test_quality_as_brute_force(docs, clashing):
-    rows = docs.collect()
-    got = {r.doc_id: r for r in quality.judge(docs, line_docs=2, line_share=0.1).collect()}
-    by_host, texts = defaultdict(lambda: defaultdict(set)), defaultdict(set)
+def line_of(x):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x if c not in WHITE)
+
+
+def brute_removed(rows, least, share):
+    """The numbers of the lines that each document loses."""
+    held, hosts = defaultdict(set), defaultdict(set)
     for r in rows:
-        texts[r.source].add(r.text or "")
+        hosts[r.source].add(r.doc_id)
         for x in (r.text or "").split("\n"):
-            by_host[r.source][key(x)].add(r.text or "")
+            if line_of(x):
+                held[r.source, line_of(x)].add(r.doc_id)
+    above = {k: min(v) for k, v in held.items() if len(v) > max(least, share * len(hosts[k[0]]))}
+    return {r.doc_id: [i for i, x in enumerate((r.text or "").split("\n")) if above.get((r.source, line_of(x)), r.doc_id) != r.doc_id] for r in rows}
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_quality_as_brute_force(docs, clashing, broadcast, monkeypatch):
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", broadcast)
+    rows = docs.collect()
+    gone = brute_removed(rows, 2, 0.1)
+    got = {r.doc_id: r for r in quality.judge(docs, line_docs=2, line_share=0.1).collect()}
+    want = {}
     for r in rows:
         n, chars, symbols, dups, repeats = brute_counts(r.text)
-        o = got[r.doc_id]
+        o, lines = got[r.doc_id], (r.text or "").split("\n")
         assert (o.n_words, o.word_chars, o.n_symbols, o.n_dup_lines, o.n_repeat_words) == (n, chars, symbols, dups, repeats)
-        gone = sum(len(key(x).split()) for x in (r.text or "").split("\n") if key(x) and len(by_host[r.source][key(x)]) > max(2, 0.1 * len(texts[r.source])))
+        lost = sum(len(line_of(lines[i])) for i in gone[r.doc_id])
         failed = n < 20 or 100 * repeats > 30 * n
-        assert (o.base_failed, o.n_removed_words, o.kept) == (failed, gone, not failed and n - gone >= 0.3 * n)
-    kept = {r.doc_id for r in quality.keep_good(docs, line_docs=2, line_share=0.1).collect()}
-    assert kept == {d for d, o in got.items() if o.kept}
-    assert quality.judge(clashing, line_docs=2, line_share=0.1).count() == len(rows) and quality.keep_good(clashing).columns == clashing.columns
+        assert (o.base_failed, o.n_removed_chars, o.kept, sorted(o.places or [])) == (failed, lost, not failed and chars - lost >= 0.3 * chars, gone[r.doc_id])
+        if o.kept:
+            want[r.doc_id] = "\n".join(x for i, x in enumerate(lines) if i not in gone[r.doc_id])
+    assert any(gone[d] for d in want)
+    assert {r.doc_id: r.text for r in quality.keep_good(docs, line_docs=2, line_share=0.1).collect()} == want
+    assert quality.judge(clashing, line_docs=2, line_share=0.1).count() == len(rows)
+    good = quality.keep_good(clashing, line_docs=2, line_share=0.1)
+    assert good.columns == clashing.columns and {r.doc_id: r.text for r in good.collect()} == want
+
+
+def test_one_of_a_family_stays_whole(spark):
+    body = "\n".join(" ".join(f"word{i}{c}" for c in "abcdefgh") for i in range(20))
+    rows = [(i, body + f"\nan own line {i}", "one") for i in range(30)] + [(None, body, "one"), (None, body + " more", "one"), (99, None, None)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    kept = [r.doc_id for r in got if r.kept]
+    assert len(got) == 33 and kept == [None] and sum(r.n_removed_chars == 0 for r in got) == 2
 
 
 def test_quality_of_repeated_rows_and_none(docs, empty):

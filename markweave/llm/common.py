@@ -47,6 +47,13 @@ def sized(df: DataFrame, bytes_of: Column) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(bytes_of)).first()[0] or 0) <= BROADCAST_BYTES else df.hint("merge")
 
 
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """docs with its own columns of these names under others, and what selects all of its
+    columns back, for an operator that adds columns of these names."""
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in names}
+    return docs.withColumnsRenamed(own), [F.col(own.get(c, c)).alias(c) for c in docs.columns]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

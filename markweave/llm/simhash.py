@@ -1,19 +1,21 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
-Distinct fingerprints are dealt by segments: two that differ in at most `bits` = 2 of 64 bits
-agree on two of four 16-bit segments, so six tables keyed by 32 bits hold every pair.
+Distinct fingerprints are dealt by segments: two that differ in at most `bits` of 64 bits
+agree on two of `bits` + 2 segments, so a table for each two segments holds every pair.
 Inside a bucket the fingerprints are sorted by Gray rank; runs of them share bits, which
 are factored out as a mask and pattern into upper nodes, level by level. The search
 descends pairs of nodes, counting differences on bits that both share and were not counted
 above, and drops whole groups when the sum passes the limit. A bucket gives the edges of a
 forest, never its pairs. Buckets above `bucket_rows` are dealt again on their free bits
-(three parts, one of which agrees), twice at most: then 15 bits are free and a bucket of
-distinct fingerprints has at most 2^15 rows, whatever the data.
+(`bits` + 1 parts, one of which agrees), until FREE_BITS or fewer are free: a bucket of
+distinct fingerprints then has at most 2^15 rows, whatever the data.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from markweave.llm.common import LOWER, saved, text_of
+from markweave.llm.common import LOWER, saved, sized, text_of
 from markweave.llm.components import components
 
-SEED = 42
-#: Rows of (id, hash) that may be broadcast (some 5 MB); more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+SEED, FREE_BITS = 42, 15
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -73,9 +73,9 @@ def _moved(code: Column, lead: int, at: int, size: int) -> Column:
     return out
 
 
-def _tree_edges(codes: np.ndarray, starts: np.ndarray, bits: int, fan: int = 16) -> np.ndarray:
-    """labels: the least index that each code reaches inside its bucket by links of at most
-    `bits` differences. starts: where buckets begin; inside them codes are in Gray order."""
+def _tree_edges(codes: np.ndarray, starts: np.ndarray, bits: int, fan: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) indices: a forest of links of at most `bits` differences whose trees are what
+    such links reach. starts: where buckets begin; inside them codes are in Gray order."""
     n = len(codes)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     mask, pattern, bucket_starts = [np.full(n, full)], [codes], starts
@@ -92,7 +92,7 @@ def _tree_edges(codes: np.ndarray, starts: np.ndarray, bits: int, fan: int = 16)
         mask.append(shared)
         pattern.append(both & shared)
         bucket_starts = offset
-    labels = np.arange(n)
+    labels, forest = np.arange(n), [(np.zeros(0, int), np.zeros(0, int))]
     top = len(mask) - 1
     roots = np.arange(len(mask[top]))
     zero = np.zeros(len(roots), np.int64)
@@ -101,7 +101,7 @@ def _tree_edges(codes: np.ndarray, starts: np.ndarray, bits: int, fan: int = 16)
         level, a, b, spent, seen = todo.pop()
         if level == 0:
             keep = a < b
-            _union(labels, a[keep], b[keep])
+            forest += _union(labels, a[keep], b[keep])
             continue
         kids = first_child[level - 1]
         na, nb = kids[a + 1] - kids[a], kids[b + 1] - kids[b]
@@ -119,33 +119,39 @@ def _tree_edges(codes: np.ndarray, starts: np.ndarray, bits: int, fan: int = 16)
         cost = spent[pair] + np.bitwise_count((pattern[level - 1][i] ^ pattern[level - 1][j]) & new)
         keep = (cost <= bits) & (i <= j)
         todo.append((level - 1, i[keep], j[keep], cost[keep], shared[keep]))
-    return labels
+    return tuple(np.concatenate(x) for x in zip(*forest, strict=True))
 
 
-def _union(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Hooks larger roots to smaller ones until a and b agree; labels stay flat."""
+def _union(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hooks larger roots to smaller ones until a and b agree; labels stay flat. The pairs
+    that hooked a root come back."""
+    hooked = []
     while len(a):
         x, y = labels[a], labels[b]
         apart = x != y
         a, b, x, y = a[apart], b[apart], x[apart], y[apart]
         if not len(a):
-            return
-        np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
+            break
+        high, low = np.maximum(x, y), np.minimum(x, y)
+        np.minimum.at(labels, high, low)
+        won = np.flatnonzero(labels[high] == low)
+        won = won[np.unique(high[won], return_index=True)[1]]
+        hooked.append((a[won], b[won]))
         while True:
             up = labels[labels]
             if np.array_equal(up, labels):
                 break
             labels[:] = up
+    return hooked
 
 
 def _bucket_edges(rows: DataFrame, lead: int, bits: int) -> DataFrame:
-    """(a, b) fingerprints of the forest of each bucket (table, first `lead` bits of code)."""
+    """(a, b) of the forest of each bucket (table, first `lead` bits of code), by fp."""
 
     def search(buckets: np.ndarray, codes: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.append(True, (buckets[1:] != buckets[:-1]).any(1))) if len(codes) else np.zeros(0, int)
-        labels = _tree_edges(codes, starts, bits) if len(codes) else np.zeros(0, int)
-        moved = labels != np.arange(len(codes))
-        return pa.RecordBatch.from_arrays([pa.array(fps[moved]), pa.array(fps[labels[moved]])], ["a", "b"])
+        a, b = _tree_edges(codes, starts, bits) if len(codes) else (np.zeros(0, int), np.zeros(0, int))
+        return pa.RecordBatch.from_arrays([pa.array(fps[a]), pa.array(fps[b])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -176,25 +182,40 @@ def _bucket_edges(rows: DataFrame, lead: int, bits: int) -> DataFrame:
     return sorted_rows.mapInArrow(run, "a long, b long")
 
 
+def _dealt(rows: DataFrame, codes: list[Column], *keys: str) -> DataFrame:
+    """Each row once for each code, under a table of its own for keys and that code."""
+    each = F.array(*[F.struct(F.xxhash64(*keys, F.lit(i)).alias("table"), c.alias("code")) for i, c in enumerate(codes)])
+    return rows.select("fp", F.inline(each)).select("table", "code", "fp")
+
+
 def near_fingerprints(fps: DataFrame, bits: int = 2, bucket_rows: int = 4096) -> DataFrame:
-    """(a, b) edges among distinct fingerprints fps (fp long) whose components are those of
-    all pairs with at most `bits` <= 2 differing bits."""
-    if bits > 2:
-        raise ValueError("four segments find pairs with two differing bits at most")
-    base = fps.select("fp")
-    tables = [(x, y) for x in range(4) for y in range(x + 1, 4)]
-    level = None
-    for t, (x, y) in enumerate(tables):
-        code = _moved(_moved(F.col("fp"), 0, 16 * x, 16), 16, 16 * y, 16)
-        rows = base.select(F.lit(t).cast("long").alias("table"), code.alias("code"), "fp")
-        level = rows if level is None else level.unionByName(rows)
-    out, lead = None, 32
-    for parts in ((11, 11, 10), (8, 7, 7), None):
+    """(a, b) edges among distinct fingerprints fps (fp long), which differ in at most `bits`
+    bits and whose components are those of all such pairs."""
+    return near_codes(fps.select(F.lit(0).alias("table"), F.col("fp").alias("code"), "fp"), 64, bits, 2, bucket_rows)
+
+
+def near_codes(rows: DataFrame, width: int, bits: int, agree: int, bucket_rows: int) -> DataFrame:
+    """near_fingerprints for rows (table, code, fp) with distinct codes in a table, which are
+    the first `width` bits of a long; edges name the fp. The code is cut into bits + agree
+    segments, `agree` of which agree in a pair."""
+    size = width // (bits + agree)
+    if agree not in (1, 2) or size < 4:
+        raise ValueError("segments of four bits and more, one or two of which agree")
+    codes = []
+    for chosen in combinations(range(bits + agree), agree):
+        code = F.col("code")
+        for i, x in enumerate(chosen):
+            code = _moved(code, size * i, size * x, size)
+        codes.append(code)
+    level = _dealt(rows, codes, "table")
+    out, lead = None, agree * size
+    while True:
         bucket = F.shiftrightunsigned("code", 64 - lead)
         sizes = level.groupBy("table", bucket.alias("lead")).agg(F.count("*").alias("n")).where("n > 1")
         sizes = saved(sizes, "buckets")
         large = sizes.where(F.col("n") > bucket_rows)
-        again = parts is not None and not large.isEmpty()
+        size = (width - lead) // (bits + 1)
+        again = width - lead > FREE_BITS and size and not large.isEmpty()
         keyed = level.withColumn("lead", bucket)
         take = keyed.join(sizes.where(F.col("n") <= bucket_rows) if again else sizes, ["table", "lead"], "left_semi")
         edges = _bucket_edges(take, lead, bits)
@@ -202,12 +223,8 @@ def near_fingerprints(fps: DataFrame, bits: int = 2, bucket_rows: int = 4096) ->
         if not again:
             return out
         hot = keyed.join(large.select("table", "lead"), ["table", "lead"], "left_semi")
-        nxt, at = None, lead
-        for i, size in enumerate(parts):
-            rows = hot.select(F.xxhash64("table", "lead", F.lit(i)).alias("table"), _moved(F.col("code"), lead, at, size).alias("code"), "fp")
-            nxt, at = rows if nxt is None else nxt.unionByName(rows), at + size
-        level, lead = saved(nxt, "hot-buckets"), lead + min(parts)
-    return out
+        level = saved(_dealt(hot, [_moved(F.col("code"), lead, lead + size * i, size) for i in range(bits + 1)], "table", "lead"), "hot-buckets")
+        lead += size
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, bucket_rows: int = 4096) -> DataFrame:
@@ -223,10 +240,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2, bucket_rows:
 def _classes(docs: DataFrame, words: int, bits: int, bucket_rows: int) -> DataFrame:
     fp = saved(fingerprints(docs, words), "fingerprints")
     distinct = saved(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(near_fingerprints(distinct, bits, bucket_rows))
-    of = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = saved(of.select("fp", "root").join(least, "root").select("fp", "component_id"), "classes")
+    classes = _least_of(distinct, near_fingerprints(distinct, bits, bucket_rows))
     return fp.join(classes, "fp").select(
         "doc_id",
         "text_key",
@@ -236,10 +250,119 @@ def _classes(docs: DataFrame, words: int, bits: int, bucket_rows: int) -> DataFr
     )
 
 
-def one_of_each(docs: DataFrame, words: int = 3, bits: int = 2, bucket_rows: int = 4096) -> DataFrame:
-    """The documents with the least doc_id of their component; the columns stay. Rows that
-    repeat an id and a text are one document and stay or go together."""
-    gone = saved(_classes(docs, words, bits, bucket_rows).where("NOT kept").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_x")).distinct(), "gone")
-    small = gone.count() <= BROADCAST_ROWS
+def _least_of(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, component_id): the least document that each fingerprint reaches."""
+    roots = components(edges)
+    of = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    return saved(of.select("fp", "root").join(least, "root").select("fp", "component_id"), "classes")
+
+
+#: Longs of a wide fingerprint; each half of one is a code of CODE_BITS that is searched for
+#: others within CODE_NEAR bits.
+WIDE, CODE_BITS, CODE_NEAR = 8, 32, 2
+_MIX = np.array([0x9E3779B97F4A7C15 * i % (1 << 64) for i in range(WIDE)], np.uint64)
+
+
+def shingles(text: str, words: int) -> np.ndarray:
+    """The distinct XXH64 of the word shingles of a text; none without words."""
+    w = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+    grams = zip(*(w[i:] for i in range(words)), strict=False) if len(w) >= words else [w] if w else []
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(g), SEED) for g in grams), np.uint64))
+
+
+def wide_fingerprint(text: str, words: int) -> np.ndarray:
+    """64 * WIDE majority bits over the distinct shingles."""
+    h, ones = shingles(text, words), np.zeros(64 * WIDE, np.int64)
+    for i in range(0, len(h), 255):  # sums of single bytes
+        x = h[i : i + 255, None] + _MIX
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        ones += np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
+
+
+def bit_limits(similarity: float) -> tuple[int, int]:
+    """Differing bits of two wide fingerprints up to which a pair is surely at the similarity
+    (2.8 deviations below what is expected there), and up to which it may be (1.8 above)."""
+    bits, p = 64 * WIDE, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    deviation = math.sqrt(p * (1 - p) / bits)
+    return int((p - 2.8 * deviation) * bits), int((p + 1.8 * deviation) * bits)
+
+
+def _wide(docs: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([wide_fingerprint(t.as_py(), words) for t in b.column(2)], np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(fp[:, i])) for i in range(WIDE))], ["doc_id", "text_key", *(f"w{i}" for i in range(WIDE))])
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text_of(docs)).alias("text_key"), text_of(docs).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, " + ", ".join(f"w{i} long" for i in range(WIDE)))
+
+
+def _candidate_pairs(distinct: DataFrame, bucket_rows: int) -> DataFrame:
+    """(a, b, differ) of forests of codes near each other, by fp, with the differing bits of
+    the wide fingerprints. Rows of one code are linked to one of them."""
+    halves = [F.struct(F.lit(2 * i + k).alias("table"), F.shiftleft(F.shiftrightunsigned(f"w{i}", 32) if k else F.col(f"w{i}"), 32).alias("code")) for i in range(WIDE) for k in range(2)]
+    codes = distinct.select("fp", F.inline(F.array(*halves)))
+    first = saved(codes.groupBy("table", "code").agg(F.min("fp").alias("fp"), F.count("*").alias("n")), "codes")
+    stars = codes.withColumnRenamed("fp", "a").join(first.where("n > 1").withColumnRenamed("fp", "b"), ["table", "code"]).where("a <> b").select("a", "b")
+    near = near_codes(first, CODE_BITS, CODE_NEAR, 1, bucket_rows)
+    pairs = stars.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda x: distinct.select(F.col("fp").alias(x), *[F.col(f"w{i}").alias(f"{x}{i}") for i in range(WIDE)])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(WIDE)), F.lit(0))
+    return both.select("a", "b", differ.alias("differ"))
+
+
+def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs whose texts' shingles have a Jaccard similarity of at least `similarity`."""
+    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp").select("fp", F.col("least").alias("_d"), F.col("text_key").alias("_x")), "wanted")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("t"))
+    same = (F.xxhash64("t") == F.col("_x")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    texts = saved(rows.join(sized(wanted, F.lit(40)), same).select("fp", "t").dropDuplicates(["fp"]), "wanted-texts")
+    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = shingles(x.as_py(), words), shingles(y.as_py(), words)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket_rows: int = 4096) -> DataFrame:
+    """One row per document: doc_id, text_key, component_id (the least doc_id reachable), kept.
+
+    Links join texts whose sets of word shingles have a Jaccard similarity of at least
+    `similarity`. Wide fingerprints say which pairs may be (bit_limits): codes of them that
+    differ in few bits are found by the Gray-order index, and pairs that aren't surely as
+    similar are verified by their texts. A pair at 0.8 is found with a chance of some 0.85, at
+    0.85 of some 0.96; in a group of copies any chain of pairs is enough. Texts without words
+    are one class, as are equal texts; a null text is empty. A null doc_id is kept only in a
+    class of such. Other columns of docs are not used.
+    """
+    fp = saved(_wide(docs, words), "wide")
+    w = [f"w{i}" for i in range(WIDE)]
+    of = F.min(F.struct("doc_id", "text_key"))
+    distinct = saved(fp.groupBy(*w).agg(of.alias("_of")).select(F.xxhash64(*w).alias("fp"), *w, F.col("_of")["doc_id"].alias("least"), F.col("_of")["text_key"].alias("text_key")), "wide-distinct")
+    surely, maybe = bit_limits(similarity)
+    pairs = saved(_candidate_pairs(distinct, bucket_rows).where(F.col("differ") <= maybe), "pairs")
+    sure = pairs.where(F.col("differ") <= surely).select("a", "b")
+    edges = sure.unionByName(_verified(pairs.where(F.col("differ") > surely).select("a", "b"), distinct, docs, words, similarity))
+    classes = _least_of(distinct.select("fp", "least"), saved(edges, "edges"))
+    return fp.select("doc_id", "text_key", F.xxhash64(*w).alias("fp")).join(classes, "fp").select(
+        "doc_id", "text_key", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket_rows: int = 4096) -> DataFrame:
+    """The documents with the least doc_id of their class of near_copies; the columns stay. Rows
+    that repeat an id and a text are one document and stay or go together."""
+    gone = saved(near_copies(docs, words, similarity, bucket_rows).where("NOT kept").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_x")).distinct(), "gone")
     same = (F.xxhash64(text_of(docs)) == gone["_x"]) & docs["doc_id"].eqNullSafe(gone["_d"])
-    return docs.join(F.broadcast(gone) if small else gone, same, "left_anti")
+    return docs.join(sized(gone, F.lit(25)), same, "left_anti")

@@ -52,6 +52,47 @@ def test_components_of_chains_and_stars(spark):
 
 def test_one_stays_and_odd_tables(docs, empty, clashing):
     kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns and kept.count() == simhash.near_duplicates(docs).where("kept").count()
+    assert kept.columns == docs.columns and kept.count() == simhash.near_copies(docs).where("kept").count()
     assert simhash.one_of_each(clashing).columns == clashing.columns
     assert simhash.near_duplicates(empty).isEmpty()
+
+
+def brute_shingles(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = low.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def brute_copies(texts):
+    """{id: text} -> the least id that links of a Jaccard similarity of 0.8 reach."""
+    sets = {d: brute_shingles(t) for d, t in texts.items()}
+    near = lambda x, y: len(x & y) >= 0.8 * len(x | y)
+    return reach(sets, [(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])])
+
+
+def test_near_copies_as_brute_force(docs):
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == brute_copies({r.doc_id: r.text for r in docs.collect()}) and len(set(got.values())) < len(got) - 8
+
+
+def edited(rng, words, share):
+    return [f"new{rng.integers(1 << 40)}" if rng.random() < share else w for w in words]
+
+
+@pytest.mark.parametrize("cap", [4096, 8])
+def test_recall_of_near_copies(spark, cap):
+    # 120 pairs with similarities around 0.8 to 0.9, and a family that no bucket holds.
+    rng, texts = np.random.default_rng(5), {}
+    for i in range(120):
+        base = [f"w{rng.integers(5000)}" for _ in range(300)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(base), " ".join(edited(rng, base, 0.01 + 0.012 * rng.random()))
+    base = [f"w{rng.integers(5000)}" for _ in range(300)]
+    texts |= {1000 + i: " ".join(edited(rng, base, 0.003)) for i in range(60)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(rows, bucket_rows=cap).collect()}
+    want = brute_copies(texts)
+    linked = [d for d, c in want.items() if c != d]
+    assert len(linked) > 120 and all(got[d] == want[d] for d in got if want[d] == d)
+    assert sum(got[d] == want[d] for d in linked) >= 0.9 * len(linked)
+    sure = [d for d in linked if d >= 1000]
+    assert len(sure) == 59 and all(got[d] == 1000 for d in sure)

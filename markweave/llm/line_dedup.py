@@ -1,10 +1,11 @@
 """Reversible line dedup: sharded cuckoo filters over an exact reference table.
 
-The reference table has a row for each line key and document that holds it. Keys are
-spread over shards; a shard's cuckoo filters hold a 16-bit mark of each of its live keys.
+The reference table has a row for each line key and document that holds it, and a tally
+(rows, least document) for each key, so that a line that all documents hold is counted
+before it is shuffled. Keys are spread over shards; a shard's cuckoo filters hold a 16-bit mark of each of its live keys.
 A batch brings its keys, counted, to the shards: a key that the filter doesn't know and
 that the batch has in one document needs no lookup, every other one is a candidate, whose
-exact count and least document come from the reference table. Deleting documents takes
+exact count and least document come from the tallies. Deleting documents takes
 their rows out of the table and marks of keys without rows out of the filters, so an
 insertion followed by its deletion leaves the decisions as they were.
 """
@@ -24,6 +25,8 @@ from markweave.llm.common import saved, text_of
 WHITE = " \t\n\v\f\r"
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 MIN_CHARS, SHARD_KEYS, SLOTS = 10, 250_000, 4
+#: A null doc_id stands before all others.
+NO_ID = -(1 << 63)
 STATE = "shard int, part int, bits int, marks binary"
 
 
@@ -33,6 +36,10 @@ def line_key(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
     return hashlib.md5(key.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() if len(key) >= min_chars else None
 
 
+def _tallied(refs: DataFrame) -> DataFrame:
+    return refs.groupBy("shard", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+
+
 class CuckooFilter:
     """Buckets of four 16-bit marks; a key's second bucket follows from its first and its
     mark, so marks can move and be deleted without the key. All steps are vectorised."""
@@ -168,13 +175,14 @@ def _delete(key: tuple, rows: pa.Table, state: pa.Table) -> pa.Table:
 
 
 class LineIndex:
-    """The state: refs (shard, key, doc_id), filters, and candidates (key) that may be in
-    two documents or more. A new index has the number of shards as its only parameter:
+    """The state: refs (shard, key, doc_id), tallies (shard, key, n, first) of each batch of
+    them, filters, and candidates (key) that may be in two documents or more. A new index has the number of shards as its only parameter:
     about one for SHARD_KEYS keys, so that a shard fits a task."""
 
     def __init__(self, spark: SparkSession, shards: int, min_chars: int = MIN_CHARS):
         self.spark, self.shards, self.min_chars = spark, shards, min_chars
         self.refs = spark.createDataFrame([], "shard int, key binary, doc_id long")
+        self.tallies = spark.createDataFrame([], "shard int, key binary, n long, first long")
         self.filters = spark.createDataFrame([], STATE)
         self.candidates = spark.createDataFrame([], "key binary")
 
@@ -185,12 +193,12 @@ class LineIndex:
     def insert_refs(self, refs: DataFrame) -> None:
         """refs: distinct (key, doc_id)."""
         refs = saved(refs.select(F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard"), "key", "doc_id"), "refs")
-        keys = refs.groupBy("shard", "key").agg(F.count("*").alias("n"))
-        out = keys.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_insert, STATE + ", key binary")
+        keys = saved(_tallied(refs), "tallies")
+        out = keys.select("shard", "key", "n").groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_insert, STATE + ", key binary")
         out = saved(out, "filters")
         self.filters = out.where("key IS NULL").drop("key")
         self.candidates = self.candidates.unionByName(out.where("key IS NOT NULL").select("key"))
-        self.refs = self.refs.unionByName(refs)
+        self.refs, self.tallies = self.refs.unionByName(refs), self.tallies.unionByName(keys)
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Takes documents (doc_id) out again."""
@@ -200,18 +208,19 @@ class LineIndex:
         held = left.select("shard", "key", F.lit(False).alias("gone")).unionByName(self.refs.join(ids, "doc_id", "left_semi").select("shard", "key", F.lit(True).alias("gone")))
         keys = held.groupBy("shard", "key").agg(F.min("gone").alias("gone"))
         out = keys.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_delete, STATE + ", key binary")
-        self.refs, self.filters = left, saved(out, "filters").drop("key")
+        self.refs, self.filters, self.tallies = left, saved(out, "filters").drop("key"), saved(_tallied(left), "tallies")
 
     def shared(self) -> DataFrame:
         """(key, n_docs, first_doc) of each key in two documents or more: the exact counts of
         the candidates."""
-        looked = self.refs.join(self.candidates.distinct(), "key", "left_semi")
-        return looked.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).where("n_docs > 1")
+        looked = self.tallies.join(self.candidates.distinct(), "key", "left_semi")  # a row a key and batch
+        return looked.groupBy("key").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first_doc")).where("n_docs > 1")
 
     def doomed(self) -> DataFrame:
         """(doc_id, keys): what each document loses, one list a document."""
         shared = saved(self.shared(), "shared").withColumnRenamed("key", "k")
-        lost = self.refs.join(shared, F.col("key") == F.col("k")).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+        # One row a key on the right, and nothing else in the join's stage: a hot key's refs are split.
+        lost = self.refs.join(shared, F.col("key") == F.col("k")).where(F.col("doc_id") != F.col("first_doc"))
         return lost.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
     def apply(self, docs: DataFrame) -> DataFrame:
@@ -219,7 +228,7 @@ class LineIndex:
         lost = saved(self.doomed().toDF("__lost_from", "__lost_keys"), "doomed")
         rows = docs.withColumn("text", text_of(docs)).drop("n_lines", "n_dropped")
         # Lists grow with the corpus, so this is a shuffle of the texts at every size.
-        joined = rows.join(lost.hint("merge"), rows["doc_id"] == lost["__lost_from"], "left").drop("__lost_from")
+        joined = rows.join(lost.hint("merge"), F.coalesce(rows["doc_id"].cast("long"), F.lit(NO_ID)) == lost["__lost_from"], "left").drop("__lost_from")
         fields = [f for f in rows.schema.fields]
         at, least = rows.columns.index("text"), self.min_chars
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_lines long, n_dropped long"
@@ -241,7 +250,7 @@ class LineIndex:
 
 
 def line_refs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Distinct (key, doc_id) of all lines of min_chars and more."""
+    """Distinct (key, doc_id) of all lines of min_chars and more; a null id as NO_ID."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -252,7 +261,7 @@ def line_refs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 at += [i] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(0).take(pa.array(at, pa.int64()))], ["key", "doc_id"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(run, "key binary, doc_id long").distinct()
+    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of(docs).alias("text")).mapInArrow(run, "key binary, doc_id long").distinct()
 
 
 def dedup_lines(docs: DataFrame, batches: int = 2, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> DataFrame:
@@ -260,7 +269,8 @@ def dedup_lines(docs: DataFrame, batches: int = 2, min_chars: int = MIN_CHARS, s
     in the one with the least doc_id only; plus n_lines (before) and n_dropped.
 
     The index is filled in batches by id, as it would be over time. A null or empty text
-    is one empty line. Rows with one doc_id are one document. Columns n_lines and n_dropped
+    is one empty line. Rows with one doc_id are one document, which comes before all others
+    where the id is null. Columns n_lines and n_dropped
     of docs are replaced; all others come along.
     """
     refs = saved(line_refs(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "line-refs", "batch")

@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from markweave.llm.common import saved, text_of
 
 
+#: Copies of one row that a task expands at once.
+RUN = 100_000
+
+
 def _owners(spark: SparkSession, shards: int, virtual_nodes: int, cells: int, open_shards: list[int]) -> DataFrame:
     """(cell, shard): the first virtual node clockwise of an open shard. cells rows."""
     nodes = (
@@ -74,19 +78,23 @@ def shard_rows(rows: DataFrame, shards: int = 16, virtual_nodes: int = 64, ring_
     """Adds shard (int), slot (long, gapless from 0 in each shard) and hops (full shards
     passed over) to rows, which should be narrow: every column takes part in the hash.
 
-    Rows equal in every column are counted once and expanded at the end, so one row that
-    is repeated a billion times is one entry of one cell. Nulls hash like any value. An
+    Rows equal in every column are counted once and expanded at the end, RUN copies at once,
+    so one row that is repeated a billion times is one entry of one cell. Nulls hash like any value. An
     empty table gives an empty result. Fewer rows than shards leave shards empty.
     """
     cells, names = 1 << ring_bits, rows.columns
     counted = rows.groupBy(*names).agg(F.count("*").alias("_n"))
     placed = counted.withColumn("_h", F.xxhash64(*names)).withColumn("_cell", F.pmod(F.col("_h"), F.lit(cells)))
-    counts = saved(placed.groupBy("_cell").agg(F.sum("_n").alias("n")).withColumnRenamed("_cell", "cell"), "ring-counts")
+    counts = saved(placed.groupBy("_cell").agg(F.sum("_n").alias("n"), F.max("_n").alias("most")).withColumnRenamed("_cell", "cell"), "ring-counts")
     walk = _walk(counts, shards, virtual_nodes, cells).select(*[F.col(c).alias(f"_{c}") for c in ("cell", "lo", "hi", "shard", "base", "hops")])
     order = Window.partitionBy("_cell").orderBy("_h", *names).rowsBetween(Window.unboundedPreceding, 0)
     ranked = placed.withColumn("_first", F.sum("_n").over(order) - F.col("_n"))
     joined = ranked.join(walk, "_cell").where("_first < _hi and _first + _n > _lo")
-    each = joined.withColumn("_rank", F.explode(F.sequence(F.greatest("_first", "_lo"), F.least(F.col("_first") + F.col("_n"), F.col("_hi")) - 1)))
+    runs = joined.withColumn("_from", F.greatest("_first", "_lo")).withColumn("_to", F.least(F.col("_first") + F.col("_n"), F.col("_hi")) - 1)
+    if (counts.agg(F.max("most")).first()[0] or 0) > RUN:  # a row that repeats so often is expanded by many tasks
+        at = F.explode(F.sequence("_from", "_to", F.lit(RUN).cast("long")))
+        runs = runs.withColumn("_from", at).withColumn("_to", F.least("_to", F.col("_from") + RUN - 1)).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = runs.withColumn("_rank", F.explode(F.sequence("_from", "_to")))
     return each.select(
         *names,
         F.col("_shard").cast("int").alias("shard"),
@@ -99,7 +107,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, virtual_nodes: int = 64)
     """One row per document: doc_id, size (UTF-8 bytes plus 1), text_crc32, law, shard, slot,
     grown_shard (null: this law looks at other rows too), hops. The law is `rows`.
 
-    A null text has no bytes. Other columns of docs are not used, whatever their names.
+    A null text has no bytes; a null doc_id hashes like any value. Other columns of docs are not used, whatever their names.
     """
     text = F.encode(text_of(docs), "UTF-8")
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))

@@ -1,10 +1,11 @@
 """Secret scans over a trigram inverted index.
 
 Each rule's regex gives a Boolean trigram query: an OR of ANDs of trigrams that any match
-must hold. The index has a posting (trigram, text key) for each trigram of some query that
-a text holds; its dictionary is the rules', not the corpus's. Intersecting postings leaves
-candidate texts by rule, which the regex verifies; a rule without mandatory trigrams is run
-over every text. Index and scan are DataFrame expressions only.
+must hold. A clause needs its two rarest only to be selective, so the index has a posting
+(trigram, text key) for each of those that a text holds, and rules added later add postings
+of their own trigrams (`extend_index`). Intersecting postings leaves candidate texts by
+rule, which the regex verifies; a rule without mandatory trigrams is run over every text.
+Index and scan are DataFrame expressions only.
 """
 
 from __future__ import annotations
@@ -117,14 +118,33 @@ def trigram_query(regex: str, most: int = 64) -> list[frozenset[str]] | None:
     return both(query, None if strings is None else run_query(strings))
 
 
+#: Letters of common text, the most frequent first: fixed, as an index must outlive a corpus.
+FREQUENT = "etaoinsrhldcumfpgwybvkxjqz"
+
+
+def index_query(regex: str, per_clause: int = 2) -> list[frozenset[str]] | None:
+    """trigram_query with the rarest trigrams of each clause only, repeats dropped."""
+    query = trigram_query(regex)
+    if query is None:
+        return None
+    rarity = lambda g: (-sum(len(FREQUENT) if c not in FREQUENT else FREQUENT.index(c) for c in g), g)
+    out = {frozenset(sorted(c, key=rarity)[:per_clause]) for c in query}
+    return sorted((c for c in out if not any(d < c for d in out)), key=sorted)
+
+
+def dictionary(rules: tuple[Rule, ...]) -> list[str]:
+    return sorted({g for r in rules for c in index_query(r.regex) or [] for g in c})
+
+
 def _text_key(docs: DataFrame) -> Column:
     """Copies of a text share their postings; a clash of keys only adds a candidate."""
     return F.xxhash64(text_of(docs))
 
 
-def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The postings (trigram, text_key) of all trigrams of the rules' queries."""
-    grams = sorted({g for r in rules for c in trigram_query(r.regex) or [] for g in c})
+def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES, known: tuple[Rule, ...] = ()) -> DataFrame:
+    """The postings (trigram, text_key) of all trigrams of the rules' index queries, without
+    those that an index for the rules `known` has."""
+    grams = [g for g in dictionary(rules) if g not in set(dictionary(known))]
     low = docs.select(_text_key(docs).alias("text_key"), F.lower(text_of(docs)).alias("_t"))
     if not grams:
         return low.select(F.lit("").alias("trigram"), "text_key").limit(0)
@@ -132,9 +152,14 @@ def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return low.select("text_key", F.explode(held).alias("trigram")).select("trigram", "text_key")
 
 
+def extend_index(postings: DataFrame, docs: DataFrame, known: tuple[Rule, ...], more: tuple[Rule, ...]) -> DataFrame:
+    """postings of an index for the rules `known`, and those that the rules `more` add."""
+    return postings.unionByName(build_index(docs, more, known))
+
+
 def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(text_key, rules bitmap): texts whose postings satisfy a rule's query."""
-    queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.regex))}
+    queries = {i: q for i, r in enumerate(rules) if (q := index_query(r.regex))}
     grams = sorted({g for q in queries.values() for c in q for g in c})
     words = -(-max(1, len(grams)) // 62)
     bit = {g: divmod(i, 62) for i, g in enumerate(grams)}
@@ -180,14 +205,15 @@ def _spans(text: Column, number: int, rule: Rule) -> Column:
     return F.when(text.rlike(rule.regex), F.aggregate(sizes, state, step, lambda s: s["out"])).otherwise(empty)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, postings: DataFrame | None = None) -> DataFrame:
     """docs' doc_id and text, with spans: array of (start, kind as its place in rules, end)
-    by start and kind, of every row. A null text is empty and has no spans.
+    by start and kind, of every row. A null text is empty and has no spans. postings: those
+    of an index of docs for rules that include these; without them one is built.
 
     Rows with the same text are candidates together; a null or repeated doc_id matters to
     nothing here. Other columns of docs are not used, whatever their names.
     """
-    postings = saved(build_index(docs, rules), "postings")
+    postings = saved(build_index(docs, rules), "postings") if postings is None else postings
     found = saved(candidates(postings, rules), "candidates")
     small = found.count() <= BROADCAST_ROWS
     keyed = docs.select("doc_id", text_of(docs).alias("text"), _text_key(docs).alias("text_key"))
@@ -195,7 +221,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     parts = []
     for i, rule in enumerate(rules):
         spans = _spans(F.col("text"), i, rule)
-        if trigram_query(rule.regex) is not None:
+        if index_query(rule.regex) is not None:
             spans = F.when(F.coalesce("rules", F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0, spans).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
         parts.append(spans)
     return rows.select("doc_id", "text", F.array_sort(F.concat(*parts)).alias("spans"))

@@ -20,12 +20,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from markweave.llm.common import saved
 from markweave.llm.components import components
 from markweave.llm.simhash import _union
 
 COSINE, DIMS, BLOCK, LEAF, SAMPLE = 0.98, 6, 1024, 64, 20_000
+#: Neighbouring blocks of the sequence that are shipped together.
+REACH = 8
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -76,7 +79,7 @@ def _blocks(distinct: DataFrame, directions: np.ndarray, eps: float, block: int)
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.int64()), pa.array(place, pa.int32())], ["cid", "label", "n", "emb", "block", "place"])
 
     kind = distinct.schema["label"].dataType.simpleString()
-    fields = f"cid long, label {kind}, n long, emb array<float>"
+    fields = f"cid long, label {kind}, n long, emb {distinct.schema['emb'].dataType.simpleString()}"
     gridded = distinct.select("cid", "label", "n", "emb").mapInArrow(cells, f"{fields}, cell array<int>")
     keys = ["label", *[F.col("cell")[i] for i in range(dims)], "cid"]
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -149,12 +152,16 @@ def _leaf_pairs(at_a: np.ndarray, at_b: np.ndarray, eps: float, same: bool) -> l
 
 def _join(pairs: DataFrame, blocks: DataFrame, directions: np.ndarray, cosine: float) -> DataFrame:
     """(cid, other, links): links adds the counts of linked rows to cid; with other, an edge
-    of the forest of a pair of blocks."""
+    of the forest of a pair of reaches.
+
+    A task gets two reaches of the sequence, in each the blocks that are near one of the
+    other, once, however many they are near; it joins the sequences by halving."""
     eps = float(np.sqrt(2 - 2 * cosine))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.rename_columns([c.removeprefix("r_") for c in right.column_names])
-        left, right = left.sort_by("place"), right.sort_by("place")
+        order = [("block", "ascending"), ("place", "ascending")]
+        left, right = left.sort_by(order), right.sort_by(order)
         a_ids, a_n, a = left["cid"].to_numpy(), left["n"].to_numpy(), _units(_matrix(left["emb"])) if left.num_rows else None
         same = not right.num_rows
         b_ids, b_n, b = (a_ids, a_n, a) if same else (right["cid"].to_numpy(), right["n"].to_numpy(), _units(_matrix(right["emb"])))
@@ -173,12 +180,17 @@ def _join(pairs: DataFrame, blocks: DataFrame, directions: np.ndarray, cosine: f
         other = pa.array([None] * len(some) + ids[labels[moved]].tolist(), pa.int64())
         return pa.table({"cid": pa.array(np.concatenate([ids[some], ids[moved]])), "other": other, "links": pa.array(np.concatenate([links[some], np.zeros(len(moved), np.int64)]))})
 
-    rows = blocks.select("block", "place", "cid", "n", "emb")
-    left = pairs.join(rows, pairs["a"] == rows["block"]).select("a", "b", "place", "cid", "n", "emb")
-    others = pairs.where("a <> b").select(F.col("a").alias("ra"), F.col("b").alias("rb"))
-    partner = blocks.select(*[F.col(c).alias(f"r_{c}") for c in ("block", "place", "cid", "n", "emb")])
-    right = others.join(partner, F.col("rb") == F.col("r_block")).select("ra", "rb", "r_place", "r_cid", "r_n", "r_emb")
-    return left.groupBy("a", "b").cogroup(right.groupBy("ra", "rb")).applyInArrow(run, "cid long, other long, links long")
+    reach = lambda c: F.floor(F.col(c) / REACH)
+    of = pairs.select("a", "b", reach("a").alias("ra"), reach("b").alias("rb"))
+    inside = F.col("ra") == F.col("rb")
+    rows = blocks.select("block", "label", "place", "cid", "n", "emb")
+    sides = []
+    for blocks_of in (of.select("ra", "rb", F.explode(F.when(inside, F.array("a", "b")).otherwise(F.array("a"))).alias("_b")), of.where(~inside).select("ra", "rb", F.col("b").alias("_b"))):
+        sides.append(blocks_of.distinct().join(rows, F.col("_b") == F.col("block")).drop("_b"))
+    left, right = sides
+    right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+    # A reach may hold the ends of two labels, which are never joined.
+    return left.groupBy("ra", "rb", "label").cogroup(right.groupBy("r_ra", "r_rb", "r_label")).applyInArrow(run, "cid long, other long, links long")
 
 
 def near_vectors(rows: DataFrame, cosine: float = COSINE, dims: int = DIMS, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
@@ -191,8 +203,10 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, dims: int = DIMS, bloc
     with each other. Rows that repeat a vec_id are vectors of their own. An empty table
     gives no rows; other columns are not used.
     """
-    base = rows.select(rows["vec_id"].cast("long").alias("vec_id"), rows["label"].alias("label"), rows["embedding"].cast("array<float>").alias("emb"))
-    sound = F.expr("label IS NOT NULL AND emb IS NOT NULL AND forall(emb, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < float('Infinity')) AND exists(emb, x -> x <> 0)")
+    # Single numbers are exact as they are; all others are taken as doubles.
+    kind = "array<float>" if rows.schema["embedding"].dataType == ArrayType(FloatType()) else "array<double>"
+    base = rows.select(rows["vec_id"].cast("long").alias("vec_id"), rows["label"].alias("label"), rows["embedding"].cast(kind).alias("emb"))
+    sound = F.expr("label IS NOT NULL AND emb IS NOT NULL AND forall(emb, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(emb, x -> x <> 0)")
     valid = base.where(F.coalesce(sound, F.lit(False)))
     distinct = saved(valid.groupBy("label", "emb").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("cid", F.monotonically_increasing_id()), "vectors")
     found = None

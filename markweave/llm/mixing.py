@@ -13,9 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from markweave.llm.common import set_aside
+
 #: Production weights; sources that are not named share REST.
 WEIGHTS = {"src0": 20.0} | {f"src{i}": 5.0 for i in range(1, 10)} | {f"src{i}": 3.0 for i in range(10, 20)}
 REST, PERIOD, BLOCK, SEED = 5.0, 100, 32, 17
+ADDED = ("mix_class", "mix_block", "mix_slot", "mix_offset")
 
 
 def quotas(weights: dict[str, float], rest: float, period: int) -> list[tuple[str | None, int]]:
@@ -72,13 +75,14 @@ def mix_sources(
     leaves its slots empty and the others keep their proportions.
 
     A null source, or one without a weight, belongs to the rest. Within a source the order
-    is that of md5(doc_id, seed), ties by id. Places are counted by cells of three hex
+    is that of md5(doc_id, seed), a null id as an empty one, ties by id, then by a hash of the
+    row, so that a rerun gives rows that share an id the same places. Places are counted by cells of three hex
     digits of that hash, so a source with a third of all rows is 4096 windows, not one.
     Columns of docs that already have one of the four names are replaced.
     """
     spark = docs.sparkSession
     q = quotas(WEIGHTS if weights is None else weights, rest, period)
-    keep = [c for c in docs.columns if c.lower() not in ("mix_class", "mix_block", "mix_slot", "mix_offset")]
+    keep = [c for c in docs.columns if c.lower() not in ADDED]
     cls = F.lit(len(q) - 1)
     for i, (name, _) in enumerate(q[:-1]):
         cls = F.when(docs["source"] == name, i).otherwise(cls)
@@ -86,12 +90,13 @@ def mix_sources(
         F.struct(*[docs[c] for c in keep]).alias("_row"),
         cls.alias("mix_class"),
         docs["doc_id"].alias("_id"),
+        F.xxhash64(*[docs[c] for c, kind in docs.dtypes if c in keep and "map<" not in kind and "variant" not in kind]).alias("_tie"),
         F.md5(F.concat_ws("#", F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(str(seed)))).alias("_h"),
     ).withColumn("_cell", F.substring("_h", 1, 3))
     counts = rows.groupBy("mix_class", "_cell").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("mix_class").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
     bases = counts.select("mix_class", "_cell", (F.sum("_n").over(before) - F.col("_n")).alias("_base"))
-    inside = Window.partitionBy("mix_class", "_cell").orderBy("_h", "_id")
+    inside = Window.partitionBy("mix_class", "_cell").orderBy("_h", "_id", "_tie")
     ranked = (
         rows.withColumn("_in", F.row_number().over(inside) - 1)
         .join(bases, ["mix_class", "_cell"])
@@ -114,8 +119,10 @@ def mix_sources(
 
 
 def mixed_order(docs: DataFrame, **params) -> DataFrame:
-    """The rows of docs, laid out in mixed order: files follow one another by slot."""
+    """The rows of docs, laid out in mixed order: files follow one another by slot. All columns
+    of docs stay, whatever their names."""
+    docs, back = set_aside(docs, *ADDED)
     mixed = mix_sources(docs, **params)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = mixed.repartitionByRange(parts, "mix_slot", "mix_offset").sortWithinPartitions("mix_slot", "mix_offset", "mix_class")
-    return laid.select(*docs.columns)
+    return laid.select(*back)

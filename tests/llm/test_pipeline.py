@@ -1,22 +1,24 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from markweave.llm import mixing, packing, quality, simhash, tokens
 from markweave.llm.common import saved
-from tests.llm.brute import reach
-from tests.llm.test_lines_quality import brute_lines, key
-from tests.llm.test_simhash import brute_fingerprint
+from tests.llm.test_lines_quality import brute_lines, brute_removed, key
+from tests.llm.test_simhash import brute_copies
 
 
 def test_stages_as_brute_force(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     rows, columns = docs.collect(), docs.columns
     good = {r.doc_id for r in quality.judge(docs).collect() if r.kept}
-    step = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
-    assert step.columns == columns and {r.doc_id for r in step.collect()} == good
-    kept = [r for r in rows if r.doc_id in good]
+    step = corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).cache()
+    gone = brute_removed(rows, quality.LINE_DOCS, quality.LINE_SHARE)
+    left = {r.doc_id: "\n".join(x for i, x in enumerate(r.text.split("\n")) if i not in gone[r.doc_id]) for r in rows if r.doc_id in good}
+    assert step.columns == columns and {r.doc_id: r.text for r in step.collect()} == left and any(gone[d] for d in good)
+    kept = step.collect()
     lines = corpus_pipeline.dedup_lines(spark, step, str(tmp_path)).cache()
     held = defaultdict(set)
     for r in kept:
@@ -26,10 +28,10 @@ def test_stages_as_brute_force(spark, docs, tmp_path):
     want = {r.doc_id: "\n".join(x for x in r.text.split("\n") if len(held.get(key(x), ())) < 2 or min(held[key(x)]) == r.doc_id) for r in kept}
     assert lines.columns == columns and {r.doc_id: r.text for r in lines.collect()} == want and brute_lines(kept)
     assert all(r.n_chars == len(r.text) for r in lines.collect())
-    fps = {d: brute_fingerprint(t) for d, t in want.items()}
-    least = reach(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2])
+    least = brute_copies(want)
     near = corpus_pipeline.near_dedup(spark, lines, str(tmp_path))
-    stays = {d for d in fps if least[d] == d}
+    stays = {d for d in want if least[d] == d}
+    assert 0 < len(stays) < len(want)
     assert near.columns == columns and {r.doc_id for r in near.collect()} == stays
     mixed = corpus_pipeline.mix(spark, near, str(tmp_path))
     assert mixed.columns == columns and {r.doc_id for r in mixed.collect()} == stays
@@ -62,6 +64,17 @@ def test_sequences_follow_the_source_weights(spark, task_pieces):
     assert all(abs(place[d] - i) <= 150 for i, (_, _, d) in enumerate(ordered))
 
 
+def test_clashing_columns_and_odd_rows_stay(spark, docs):
+    names = "n_lines n_dropped mix_slot mix_class _row places kept doc_key fp".split()
+    odd = spark.createDataFrame([(None, "one two three\n" * 3, "en", None, 5), (None, None, None, None, None), (3, "a b c", "en", "src0", 5), (3, "a b c", "en", "src0", 5)], docs.schema)
+    rows = docs.unionByName(odd).withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for c in names}).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, "").cache()
+        assert out.columns == rows.columns, name
+        assert out.count() > 0 and all(r[c] == c + ("" if r.doc_id is None else str(r.doc_id)) for r in out.collect() for c in names), name
+        assert name in ("quality rules", "SimHash near-dedup") or out.count() == rows.count(), name
+
+
 def test_an_empty_table(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()

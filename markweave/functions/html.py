@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from markweave.functions.text import clean_text
 
 def unescaped(c: Column) -> Column:
-    """Character references as characters; only pages that have any visit Python."""
+    """Character references as characters: the one step of a page that Python makes."""
 
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
@@ -53,9 +53,27 @@ def details(page: Column, label: str) -> Column:
     return F.nullif(F.regexp_extract(page, rf"(?is){label}[^<]*</div>\s*<div[^>]*product-form-details[^>]*>(.*?)(?=<div[^>]*product-form-label|</div></div></div>|\z)", 1), F.lit(""))
 
 
+def _numeric(c: Column, rx: str, base: int, lead: str) -> Column:
+    numbers = F.array_distinct(F.regexp_extract_all(c, F.lit(rx), F.lit(1)))
+    value = lambda n: F.conv(n, base, 10).cast("int")
+    # Halves of code points are no characters.
+    sound = F.filter(numbers, lambda n: (value(n) < 0xD800) | value(n).between(0xE000, 0xFFFF))
+    point = lambda n: F.decode(F.unhex(F.lpad(F.conv(n, base, 16), 4, "0")), "UTF-16BE")
+    return F.aggregate(sound, c, lambda t, n: F.replace(t, F.concat(F.lit(lead), n, F.lit(";")), point(n)))
+
+
+def references(c: Column) -> Column:
+    """The common named and the numeric character references of a fragment as characters, for
+    use inside array expressions; unescaped() knows all names, but is a step of its own."""
+    c = _numeric(_numeric(c, r"&#(\d{1,5});", 10, "&#"), r"&#x([0-9a-fA-F]{1,4});", 16, "&#x")
+    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
+    return c
+
+
 def flat(c: Column) -> Column:
     """A fragment's text in one line, NULL for none."""
-    return F.nullif(clean_text(F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]*>", " "), r"&nbsp;| ", " ")), F.lit(""))
+    return F.nullif(clean_text(F.replace(references(F.regexp_replace(c, r"(?s)<[^>]*>", " ")), F.lit("\u00a0"), F.lit(" "))), F.lit(""))
 
 
 def without_language(c: Column) -> Column:
@@ -126,34 +144,74 @@ def page_state(page: Column) -> Column:
     return F.when(unrendered(page), "unrendered").when(F.contains(page, F.lit("product-form-label")), "ok").otherwise("not_found")
 
 
-def madrid_events(all_lines: Column) -> Column:
-    """Array of struct(type, date, gazette, parties) from the lines of a history: an
-    event's line, at most a colon, then its date line "dd.mm.yyyy[, yyyy/n Gaz]"."""
-    n = F.size(all_lines)
-    date_rx = r"^(\d{2}\.\d{2}\.\d{4})(?:,\s*(\d{4}/\d+)\s*Gaz)?"
+#: A gazette's date line, with and without the gazette's number.
+GAZETTE_DATE = r"^:?\s*\d{2}\.\d{2}\.\d{4},\s*\d{4}/\d+\s*(?:Gaz|LMi)"
+EVENT_DATE = r"^:?\s*(\d{2}\.\d{2}\.\d{4})(?:,\s*(\d{4}/\d+)\s*(?:Gaz|LMi))?"
+EVENTS = "array<struct<type:string,date:string,gazette:string,parties:array<string>,designations:array<string>>>"
+
+
+def countries(c: Column) -> Column:
+    """The two-letter codes of a text, in order."""
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\b([A-Z]{2})\b"), F.lit(1))
 
-    def event(x: Column, i: Column) -> Column:
+
+def madrid_events(all_lines: Column) -> Column:
+    """Array of struct(type, date, gazette, parties, designations) from the lines of a
+    history. An event starts with a line of a type and countries, before a gazette's date line
+    one or two lines on, or with a type alone, then a colon and a date line. Its lines go up to
+    the next start: parties are the type's countries, else those of its field 833;
+    designations are those of its field 832."""
+
+    def starts(x: Column, i: Column) -> Column:
+        one, two = F.coalesce(F.get(all_lines, i + 1), F.lit("")), F.coalesce(F.get(all_lines, i + 2), F.lit(""))
+        named = F.contains(x, F.lit(",")) & (one.rlike(GAZETTE_DATE) | two.rlike(GAZETTE_DATE))
+        plain = ~F.contains(x, F.lit(",")) & (one == ":") & two.rlike(EVENT_DATE)
+        return F.when((named | plain) & ~x.rlike(r"^\d{3}$") & ~x.rlike(EVENT_DATE) & ~x.isin(":", "Transaction History"), i)
+
+    at = F.array_compact(F.transform(all_lines, starts))
+
+    def event(i: Column, k: Column) -> Column:
+        x = F.get(all_lines, i)
         one, two = F.get(all_lines, i + 1), F.get(all_lines, i + 2)
-        dated = F.when(one.rlike(date_rx), one).when(two.rlike(date_rx) & ((one == ":") | F.contains(x, F.lit(","))), two)
-        parties = F.when(F.contains(x, F.lit(",")), F.regexp_extract_all(F.regexp_replace(x, r"^[^,]*,", ""), F.lit(r"\b([A-Z]{2})\b"), F.lit(1))).otherwise(F.array().cast("array<string>"))
-        sound = ~x.rlike(r"^\d{3}$") & ~x.rlike(date_rx) & ~x.isin(":", "Transaction History")
-        return F.when(
-            dated.isNotNull() & sound,
-            F.struct(
-                F.regexp_replace(x, r"[ :]+$", "").alias("type"),
-                F.date_format(F.try_to_date(F.regexp_extract(dated, date_rx, 1), "dd.MM.yyyy"), "yyyy-MM-dd").alias("date"),
-                F.nullif(F.regexp_extract(dated, date_rx, 2), F.lit("")).alias("gazette"),
-                parties.alias("parties"),
-            ),
+        named = F.contains(x, F.lit(","))
+        dated = F.when(one.rlike(GAZETTE_DATE), one).otherwise(two)
+        block = F.slice(all_lines, i + 1, F.coalesce(F.get(at, k + 1), F.size(all_lines)) - i)
+        own = countries(F.regexp_replace(x, r"^[^,]*,", ""))
+        none = F.array().cast("array<string>")
+        return F.struct(
+            F.regexp_replace(x, r"[ :]+$", "").alias("type"),
+            F.regexp_replace(F.regexp_extract(dated, EVENT_DATE, 1), r"(\d{2})\.(\d{2})\.(\d{4})", "$3-$2-$1").alias("date"),
+            F.nullif(F.regexp_extract(dated, EVENT_DATE, 2), F.lit("")).alias("gazette"),
+            F.when(~named, none).when(F.size(own) > 0, own).otherwise(countries(value_after(block, "833"))).alias("parties"),
+            F.when(named, countries(value_after(block, "832"))).otherwise(none).alias("designations"),
         )
 
-    return F.when(n > 0, F.array_compact(F.transform(all_lines, event)))
+    return F.when(F.size(all_lines) > 0, F.transform(at, event))
+
+
+def _terms(page: Column) -> Column:
+    """Map of class to goods of the basic list: the English term, else the first."""
+    basic = F.nullif(F.regexp_extract(page, r"(?is)<dl[^>]*\bBASICGS\b[^>]*>(.*?)</dl>", 1), F.lit(""))
+    scope, rx = F.coalesce(basic, page), r"""(?is)<p[^>]*\bgsterm\b[^>]*nice="(\d+)"[^>]*lang="([A-Za-z]{2})"[^>]*>(.*?)</p>"""
+    part = lambda n: F.regexp_extract_all(scope, F.lit(rx), F.lit(n))
+    rows = F.zip_with(F.zip_with(part(1), part(2), lambda c, g: F.struct(F.lpad(c, 2, "0").alias("c"), F.upper(g).alias("g"))), part(3), lambda x, t: F.struct(x["c"].alias("c"), x["g"].alias("g"), flat(t).alias("t")))
+    told = F.filter(rows, lambda x: x["t"].isNotNull())
+    keys = F.array_distinct(F.transform(told, lambda x: x["c"]))
+    # The last English term of a class, else the first language's last one.
+    best = lambda k: F.coalesce(F.element_at(_of(told, k, F.lit("EN")), -1), F.element_at(_of(told, k, F.get(F.filter(told, lambda x: x["c"] == k), F.lit(0))["g"]), -1))
+    return F.map_from_arrays(keys, F.transform(keys, best))
+
+
+def _of(told: Column, key: Column, language: Column) -> Column:
+    own = F.transform(F.filter(told, lambda x: (x["c"] == key) & (x["g"] == language)), lambda x: x["t"])
+    return F.when(F.size(own) > 0, own)
 
 
 def madrid_records(pages: DataFrame, page: str, out: str = "record") -> DataFrame:
     """Pages with the struct of their international registration. Lines, summary
     and history are columns of their own on the way, so each is made once a page."""
-    rows = pages.withColumn("_ls", lines(tag_text(F.col(page))))
+    source = F.col(page)
+    rows = pages.withColumn("_text", unescaped(tag_text(source))).withColumn("_ls", lines(F.col("_text")))
     rows = rows.withColumn("_start", F.array_max(F.transform("_ls", lambda x, i: F.when(x == "Transaction History", i))))
     rows = rows.withColumns(
         {
@@ -161,20 +219,34 @@ def madrid_records(pages: DataFrame, page: str, out: str = "record") -> DataFram
             "_tail": F.slice("_ls", F.coalesce("_start", F.size("_ls")) + 1, F.greatest(F.size("_ls"), F.lit(0))),
         }
     )
-    summary = F.col("_summary")
-    rows = rows.withColumns({"_history": madrid_events(F.col("_tail")), "_at": F.array_position(summary, "732"), **{f"_v{c}": value_after(summary, c) for c in ("151", "180", "511", "732", "811", "812", "832")}})
-    none = F.lit("")
-    designated = F.regexp_extract_all(F.coalesce("_v832", none), F.lit(r"\b([A-Z]{2})\b"), F.lit(1))
-    parties = F.flatten(F.transform(F.coalesce("_history", F.array().cast("array<struct<type:string,date:string,gazette:string,parties:array<string>>>")), lambda e: e["parties"]))
-    classes = F.filter(F.regexp_extract_all(F.coalesce("_v511", none), F.lit(r"\b(\d{1,2})\b"), F.lit(1)), lambda x: x.cast("int").between(1, 45))
-    country = F.coalesce(F.nullif(F.upper(F.regexp_extract("_v732", r"\(([A-Za-z]{2})\)\s*$", 1)), none), F.nullif(F.regexp_extract(F.coalesce("_v811", "_v812"), r"\b([A-Z]{2})\b", 1), none))
+    summary, none = F.col("_summary"), F.lit("")
+    fields = ("151", "180", "270", "511", "732", "740", "811", "812", "822", "842")
+    rows = rows.withColumns({"_history": madrid_events(F.col("_tail")), "_at": F.array_position(summary, "732"), "_language": F.array_position("_ls", "270"), **{f"_v{c}": value_after(summary, c) for c in fields}})
+    blocks = F.array_compact(F.transform(summary, lambda x, i: F.when(x == "832", i)))
+    designated = F.flatten(F.transform(blocks, lambda i: countries(value_after(F.slice(summary, i + 1, F.greatest(F.size(summary), F.lit(0))), "832"))))
+    more = F.flatten(F.transform(F.coalesce("_history", F.array().cast(EVENTS)), lambda e: F.concat(e["parties"], e["designations"])))
+    first = F.coalesce(F.get(summary, F.col("_at").cast("int") + 1), none)
+    first = F.when((F.col("_at") > 0) & ~first.rlike(r"^\d{3}$"), first).otherwise(none)
+    address = F.when(F.startswith("_v732", first), F.trim(F.substring(F.col("_v732"), F.length(first) + 1, F.length("_v732")))).otherwise(F.col("_v732"))
+    country = F.coalesce(F.nullif(F.upper(F.regexp_extract("_v732", r"\(([A-Za-z]{2})\)\s*$", 1)), none), F.upper(F.substring(F.coalesce("_v811", "_v812"), 1, 2)))
+    cell = F.regexp_replace(F.regexp_extract(source, r"""(?is)<td[^>]*class="[^"]*\bnice\b[^"]*"[^>]*>(.*?)</td>""", 1), r"(?s)<[^>]+>", " ")
+    listed = F.filter(F.regexp_extract_all(cell, F.lit(r"(\d{1,2})"), F.lit(1)), lambda x: x.cast("int").between(1, 45))
+    scraped = F.slice(F.regexp_extract_all(F.regexp_replace(F.coalesce("_v511", none), r"NCL\([^)]*\)", " "), F.lit(r"\b(\d{2})\b"), F.lit(1)), 1, 1)
+    titles = F.filter(F.transform(F.slice("_ls", 1, 30), lambda x: F.trim(F.regexp_extract(x, r"^\d{6,}\s*-\s*(.+)$", 1))), lambda x: x != "")
     record = F.struct(
-        F.regexp_replace(F.get(summary, F.col("_at").cast("int") + 1), ",+$", "").alias("holder_name"),
+        F.get(titles, F.lit(0)).alias("mark_text"),
+        F.coalesce(F.nullif(F.regexp_replace(first, ",+$", ""), none), F.col("_v732")).alias("holder_name"),
+        F.nullif(address, none).alias("holder_address"),
         country.alias("holder_country"),
+        F.col("_v842").alias("holder_legal_status"),
+        F.col("_v740").alias("representative"),
         dotted_date(F.col("_v151")).alias("registration_date"),
         dotted_date(F.col("_v180")).alias("expiration_date"),
-        F.array_distinct(F.transform(classes, lambda x: F.lpad(x, 2, "0"))).alias("nice_classes"),
-        F.array_distinct(F.concat(designated, parties)).alias("designated_countries"),
+        F.when(F.size(listed) > 0, F.array_distinct(F.transform(listed, lambda x: F.lpad(x, 2, "0")))).otherwise(scraped).alias("nice_classes"),
+        _terms(source).alias("goods_services"),
+        F.array_distinct(F.concat(designated, more)).alias("designated_countries"),
+        F.col("_v822").alias("basic_registration"),
+        F.coalesce("_v270", F.when(F.col("_language") > 0, F.get("_ls", F.col("_language").cast("int") + 1))).alias("language"),
         F.col("_history").alias("transaction_history"),
     )
     return rows.select(*[F.col(c) for c in pages.columns], record.alias(out))

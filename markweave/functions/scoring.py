@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,7 +18,13 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.flatten(grams))
 
 
-def set_overlap(a: Column, b: Column) -> Column:
+def text_trigrams(text: str) -> list[str]:
+    """trigrams() of one given text, such as a query."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    return sorted({f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)})
+
+
+def set_overlap(a: Column | str, b: Column | str) -> Column:
     """Jaccard of two sets; 0 if one is empty or NULL."""
     both, some = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
     return F.when((F.coalesce(F.size(a), F.lit(0)) == 0) | (F.coalesce(F.size(b), F.lit(0)) == 0), 0.0).otherwise(both / some)

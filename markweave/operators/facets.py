@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from markweave.functions.text import blank_to_null
 from markweave.operators.filters import FilterSpec, apply
 from markweave.operators.linkage import representatives
+from markweave.operators.numbering import numbered
 
 #: Facet limits, the years' half-months and category labels.
 LIMITS = {"country": 20, "nice": 45, "applicant": 8, "ip_agency": 8}
@@ -36,7 +37,7 @@ def facet_nice(marks: DataFrame, spec: FilterSpec = FilterSpec(), limit: int | N
     """Counts of exploded classes, with labels (code, label)."""
     rows = apply(representatives(marks), spec.without("nice_class"))
     out = top_counts(rows.select(F.explode("nice_classes").alias("c")), "c", limit)
-    return out if labels is None else out.join(F.broadcast(labels), out["value"] == labels["code"], "left").select("value", "n", "label")
+    return out if labels is None else out.join(labels, out["value"] == labels["code"], "left").select("value", "n", "label")
 
 
 def facet_category(marks: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
@@ -187,12 +188,17 @@ def year_summary(gazettes: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def percentile_at(rows: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """The value at index min(n-1, floor(q n)) of each group's sorted values, by counting
-    rows, so that no group is collected."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
+    """The value at index min(n-1, floor(q n)) of each group's sorted values: all are
+    numbered in one order, and a group's places follow from its first, so that no group is
+    sorted by one task."""
+    ranked = numbered(rows.where(F.col(value).isNotNull()).select(*by, value), [*by, value])
+    groups = ranked.groupBy(*by).agg(F.min("_i").alias("_first"), F.count("*").alias("_n")).select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], "_first", "_n")
+    same = F.lit(True)
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_g{i}"))
     at = lambda q: F.least(F.col("_n") - 1, F.floor(F.lit(q) * F.col("_n")))
-    return ranked.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == at(q), F.col(value))).alias(k) for k, q in quantiles.items()])
+    placed = ranked.join(groups, same).withColumn("_at", F.col("_i") - F.col("_first"))
+    return placed.groupBy(*by).agg(*[F.max(F.when(F.col("_at") == at(q), F.col(value))).alias(k) for k, q in quantiles.items()])
 
 
 def retrieval_scores(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -211,7 +217,7 @@ def hamming_histogram(rows: DataFrame, hash_column: str, order: str) -> DataFram
     """Differing bits of consecutive pairs, with a running share."""
     from markweave.functions.scoring import hamming_hex
 
-    cells = rows.where(F.col(hash_column).isNotNull()).withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1)
+    cells = numbered(rows.where(F.col(hash_column).isNotNull()), [order])
     pair = cells.groupBy(F.floor(F.col("_i") / 2).alias("_k")).agg(F.min_by(hash_column, "_i").alias("a"), F.max_by(hash_column, "_i").alias("b"), F.count("*").alias("_c")).where("_c = 2")
     bits = pair.groupBy(hamming_hex(F.col("a"), F.col("b")).alias("distance")).agg(F.count("*").alias("n"))
     share = F.sum("n").over(Window.orderBy("distance")) / F.sum("n").over(Window.partitionBy())

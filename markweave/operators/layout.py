@@ -30,8 +30,9 @@ def word_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
 
 
 def marker_lines(pages: DataFrame) -> DataFrame:
-    """(doc, line_no, line) of page texts (doc, page, text), a line for each marker."""
-    split = pages.select("doc", "page", F.posexplode(F.split(break_markers(F.col("text")), "\n")).alias("i", "line"))
+    """(doc, line_no, line) of page texts (doc, page, text), a line for each marker,
+    empty ones dropped."""
+    split = pages.select("doc", "page", F.posexplode(F.split(break_markers(F.col("text")), "\n")).alias("i", "line")).where("trim(line) <> ''")
     order = Window.partitionBy("doc").orderBy("page", "i")
     return split.withColumn("line_no", F.row_number().over(order)).select("doc", "line_no", F.trim("line").alias("line"))
 

@@ -24,7 +24,9 @@ def with_representative(marks: DataFrame, column: str = "is_representative") ->
 
 def representatives(marks: DataFrame) -> DataFrame:
     """The rows that stand for their mark. Filter the result, not the input: a group
-    keeps its row whatever is asked for."""
+    keeps its row whatever is asked for. Marks that hold the flag already are taken as they are."""
+    if "is_representative" in marks.columns:
+        return marks.where("is_representative").drop("is_representative")
     return with_representative(marks).where("is_representative").drop("is_representative")
 
 

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markweave.functions import phonetics
-from markweave.functions.scoring import best_trigram, code_coverage, composite, semantic_score, set_overlap, text_score, trigram_similarity, trigrams, visual_hash_score
+from markweave.functions.scoring import code_coverage, composite, semantic_score, set_overlap, text_score, text_trigrams, trigram_similarity, trigrams, visual_hash_score
 from markweave.operators.filters import FilterSpec, apply, normalize_request_code
 from markweave.operators.linkage import best_of_each, dedup_key, preference, representatives
 
-#: Candidates that a recall hands on, and the trigram threshold.
-RECALL, SIMILAR, FIGURATIVE, THRESHOLD = 1000, 50, 40, 0.15
+#: Candidates that a recall hands on, the trigram threshold, and the days before
+#: and after an anchor that make its period.
+RECALL, SIMILAR, FIGURATIVE, THRESHOLD, PERIOD = 1000, 50, 40, 0.15, 60
 
 
 def by_publication(nulls_first: bool = False) -> list[Column]:
@@ -36,10 +37,14 @@ def page(rows: DataFrame, keys: list[Column], limit: int, offset: int = 0) -> Da
 
 
 def capped(rows: DataFrame, keys: list[Column], n: int) -> DataFrame:
-    """The n first rows as they leave the recall, before a costly score: the top n is
-    taken by a global rank, so the score never runs on more."""
-    top = rows.orderBy(*keys).limit(n)
-    return top.withColumn("_r", F.row_number().over(Window.orderBy(*keys))).where(F.col("_r") <= n).drop("_r")
+    """The n first rows as they leave the recall, before a costly score."""
+    return rows.orderBy(*keys).limit(n)
+
+
+def overfetched(rows: DataFrame, keys: list[Column], limit: int, offset: int, kept: Column) -> DataFrame:
+    """A page of what a score keeps of a window of twice the rows that it needs, so that
+    a page costs the same however many rows there are; later rows are left to later pages."""
+    return page(capped(rows, keys, 2 * max(limit + offset, limit)).where(kept), keys, limit, offset)
 
 
 def deduped(rows: DataFrame) -> DataFrame:
@@ -58,22 +63,38 @@ def search_text(marks: DataFrame, q: str, spec: FilterSpec = FilterSpec(), thres
     return hits.withColumn("score", text_score(q, names, numbers, bag)).where(F.col("score") >= threshold)
 
 
-def recall_names(marks: DataFrame, q: str, spec: FilterSpec = FilterSpec(), cap: int = RECALL) -> DataFrame:
-    """Rows whose name shares trigrams with q or sounds like it, best first."""
-    rows = apply(marks, spec.without("q"))
-    trig = F.coalesce(best_trigram(F.lit(q), F.col("mark_sample"), F.col("mark_name")), F.lit(0.0))
-    code = phonetics.double_metaphone(q)[0][:4]
-    test = F.col("_t") >= THRESHOLD
-    rows = rows.withColumn("_t", trig)
-    if code:  # a query without letters has no sound to match
-        test = test | (phonetics.metaphone(F.coalesce("mark_sample", F.lit(""))) == code)
-    return capped(rows.where(test), [F.desc("_t"), F.asc("id")], cap)
+NAMES = ("mark_sample", "mark_name")
+
+
+def name_index(marks: DataFrame) -> DataFrame:
+    """(name, grams, code) of each distinct name of marks, for recall: a row of its own sound
+    and trigrams, however many marks bear it. Written once, it serves every later query."""
+    names = marks.select(F.explode(F.array(*NAMES)).alias("name")).where("name IS NOT NULL").distinct()
+    return names.select("name", trigrams(F.col("name")).alias("grams"), phonetics.metaphone(F.lower("name")).alias("code"))
+
+
+def recall_names(marks: DataFrame, q: str, index: DataFrame | None = None) -> DataFrame:
+    """Rows of marks with a name that shares trigrams with q or sounds like it,
+    with _t, the best trigram similarity of the two names. Names are matched once each in the
+    index (name_index of marks or more), and marks are joined to the few that match."""
+    index = name_index(marks) if index is None else index
+    grams = F.array(*map(F.lit, text_trigrams(q))).cast("array<string>")
+    scored = index.select("name", set_overlap("grams", grams).alias("t"), (F.col("code") == phonetics.double_metaphone(q.lower())[0][:4]).alias("heard"))
+    hits = scored.where((F.col("t") >= THRESHOLD) | F.col("heard"))
+    rows = marks
+    for c in NAMES:
+        rows = rows.join(hits.select(F.col("name").alias(f"_n_{c}"), F.col("t").alias(f"_t_{c}")), F.col(c) == F.col(f"_n_{c}"), "left")
+    found = rows.where(F.coalesce(*[f"_t_{c}" for c in NAMES]).isNotNull())
+    # A name that didn't match has a similarity of its own.
+    each = [F.when(F.col(c).isNotNull(), F.coalesce(f"_t_{c}", set_overlap(trigrams(F.col(c)), grams))) for c in NAMES]
+    return found.withColumn("_t", F.greatest(*each)).select(*marks.columns, "_t")
 
 
-def search_sound(marks: DataFrame, q: str, spec: FilterSpec = FilterSpec(), threshold: float = 0.4) -> DataFrame:
+def search_sound(marks: DataFrame, q: str, spec: FilterSpec = FilterSpec(), threshold: float = 0.4, index: DataFrame | None = None) -> DataFrame:
     """Phonetic mode: trigram or sound recall, one row a mark, X09 scores over the threshold."""
-    found = deduped(recall_names(marks, q, spec)).drop("_t")
-    score = F.greatest(phonetics.phonetic_similarity(F.lit(q), "mark_sample"), phonetics.phonetic_similarity(F.lit(q), "mark_name"))
+    recalled = recall_names(apply(marks, spec.without("q")), q, index)
+    found = deduped(capped(recalled, [F.desc("_t"), F.asc("id")], RECALL)).drop("_t")
+    score = F.greatest(*[phonetics.phonetic_similarity(F.lit(q), c) for c in NAMES])
     return found.withColumn("score", score).where(F.col("score") >= threshold)
 
 
@@ -121,15 +142,30 @@ def scored_pairs(pairs: DataFrame, weights: dict | None = None) -> DataFrame:
     return heard.withColumn("scores", pair_score("a_", "b_", F.col("_p"), weights)).drop("_p")
 
 
-def similar_marks(marks: DataFrame, anchor_id: str, limit: int = 4, weights: dict | None = None, cap: int = SIMILAR) -> DataFrame:
-    """Marks like the anchor: recall by name, the anchor's whole group out, one row a mark,
-    five axes, best first. The anchor is one row and is broadcast."""
-    a = marks.where(F.col("id") == anchor_id).select(dedup_key().alias("_key"), *[F.col(c).alias(f"a_{c}") for c in AXES])
-    rows = marks.select(dedup_key().alias("_k"), "certificate_number", "vn_grant_date", *AXES).join(F.broadcast(a.limit(1)), F.lit(True)).where("_k <> _key")
-    near = rows.withColumn("_t", F.coalesce(trigram_similarity(F.col("mark_sample"), F.col("a_mark_sample")), F.lit(0.0))).where(F.col("_t") >= THRESHOLD)
-    one = best_of_each(capped(near, [F.desc("_t"), F.asc("id")], cap), ["_k"], preference())
-    scored = scored_pairs(one.select(*[c for c in one.columns if c.startswith("a_")], *[F.col(c).alias(f"b_{c}") for c in AXES]), weights)
-    return scored.orderBy(F.desc("scores.result.score"), "b_id").limit(limit)
+def similar_marks(marks: DataFrame, anchor_id: str, limit: int = 4, weights: dict | None = None, cap: int = SIMILAR, index: DataFrame | None = None) -> DataFrame:
+    """Marks that conflict with the anchor, best first: those published within PERIOD days of
+    it, recalled by name, or for an anchor without one by a common class; five axes; low risks
+    go. The anchor is one row. An unknown anchor gives none."""
+    word = F.trim(F.coalesce(F.nullif("mark_name", F.lit("")), F.col("mark_sample"), F.lit("")))
+    anchor = marks.where(F.col("id") == anchor_id).select(*AXES, word.alias("word"), "publication_date").limit(1)
+    a = anchor.first()
+    pool = marks.where(F.col("id") != anchor_id)
+    if a is None:
+        pool = pool.limit(0)
+    elif a.publication_date is not None:
+        pool = pool.where(F.abs(F.datediff("publication_date", F.lit(a.publication_date))) <= PERIOD)
+    if a is None or a.word:
+        order = [F.desc("_t"), F.asc("id")]
+        found = capped(recall_names(pool, a.word if a else "", index), order, cap)
+    else:
+        order = [F.desc_nulls_first("publication_date"), F.asc("id")]
+        named = pool.where("mark_sample IS NOT NULL")
+        found = capped(named.where(F.arrays_overlap("nice_classes", F.array(*map(F.lit, a.nice_classes)))) if a.nice_classes else named, order, FIGURATIVE)
+    ranked = found.withColumn("_place", F.row_number().over(Window.orderBy(*order))).withColumn("mark_sample", word)  # at most cap rows
+    left = anchor.withColumn("mark_sample", F.col("word")).select(*[F.col(c).alias(f"a_{c}") for c in AXES])
+    pairs = ranked.select("_place", *[F.col(c).alias(f"b_{c}") for c in AXES]).join(F.broadcast(left), F.lit(True))
+    risky = scored_pairs(pairs, weights).where("scores.result.verdict <> 'Low risk'")
+    return risky.orderBy(F.desc("scores.result.score"), "_place").limit(limit).drop("_place")
 
 
 def name_neighbours(names: DataFrame, name: str, threshold: float = THRESHOLD) -> DataFrame:

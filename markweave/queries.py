@@ -349,9 +349,9 @@ def _(s, d):
     return marks(s, d).select("id", T.query_summary(q=col("mark_sample"), country=col("applicant_country_code")).alias("summary"))
 
 
-@query("t39_classes", "SELECT doc_id, CASE WHEN regexp_matches(substr(text, 1, 30), '[À-ỹ]') THEN 'vn_diacritic' ELSE 'latin' END AS script, CASE WHEN n_chars <= 4 THEN 'short' WHEN n_chars <= 12 THEN 'medium' ELSE 'long' END AS length FROM documents", False)
+@query("t39_classes", "SELECT doc_id, CASE WHEN regexp_matches(text, '[一-鿿぀-ヿ가-힯]') THEN 'cjk' WHEN regexp_matches(text, '[Ѐ-ӿ]') THEN 'cyrillic' WHEN regexp_matches(text, '[À-ỹ]') THEN 'vn_diacritic' ELSE 'latin' END AS script, CASE WHEN n_chars <= 4 THEN 'short' WHEN n_chars <= 12 THEN 'medium' ELSE 'long' END AS length FROM documents", False)
 def _(s, d):
-    return documents(s, d).select("doc_id", T.script_class(F.substring("text", 1, 30)).alias("script"), T.length_class(col("text")).alias("length"))
+    return documents(s, d).select("doc_id", T.script_class(col("text")).alias("script"), T.length_class(col("text")).alias("length"))
 
 
 @query("t40_logo_kind", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'figurative' WHEN p_size % 4 = 1 THEN NULL WHEN p_retailprice >= 1500 AND p_size <= 20 THEN 'wordmark' ELSE 'figurative' END AS kind FROM part", False)
@@ -397,23 +397,23 @@ def _(s, d):
 
 @query(
     "h11_vn_status",
-    """SELECT user_id, CASE WHEN user_id % 2 = 0 OR g IS NOT NULL THEN 'granted' WHEN r IS NOT NULL THEN 'refused' ELSE 'pending' END AS status,
+    """SELECT user_id, day, CASE WHEN user_id % 2 = 0 OR g IS NOT NULL THEN 'granted' WHEN r IS NOT NULL THEN 'refused' ELSE 'pending' END AS status,
        CASE WHEN user_id % 2 = 0 THEN coalesce(g, CASE WHEN r IS NULL THEN p END) ELSE g END AS grant_date,
        CASE WHEN user_id % 2 = 1 AND g IS NULL THEN r END AS refusal_date
-       FROM (SELECT user_id, min(ts::DATE) FILTER (event_type = 'signup') AS g, min(ts::DATE) FILTER (event_type = 'error') AS r, min(ts::DATE) FILTER (event_type = 'purchase') AS p FROM events WHERE event_id % 3 = 0 GROUP BY 1)""",
+       FROM (SELECT user_id, ts::DATE AS day, min(ts::DATE) FILTER (event_type = 'signup') AS g, min(ts::DATE) FILTER (event_type = 'error') AS r, min(ts::DATE) FILTER (event_type = 'purchase') AS p FROM events GROUP BY 1, 2)""",
     False,
-    days="grant_date refusal_date",
+    days="day grant_date refusal_date",
 )
 def _(s, d):
     none = lit(None).cast("date")
-    return _histories_of(s, d).select("user_id", html.vn_status(col("history"), F.array(lit("VN")), none, none, col("user_id") % 2 == 0).alias("x")).select("user_id", "x.status", "x.grant_date", "x.refusal_date")
+    return _daily_histories(s, d).select("user_id", "day", html.vn_status(col("history"), F.array(lit("VN")), none, none, col("user_id") % 2 == 0).alias("x")).select("user_id", "day", "x.status", "x.grant_date", "x.refusal_date")
 
 
-def _histories_of(s, d):
-    """As _histories, of every third event: a smaller history with all outcomes."""
+def _daily_histories(s, d):
+    """As _histories, one for each user and day: short ones, with all outcomes."""
     kind = F.when(col("event_type") == "signup", "Grant of protection, VN").when(col("event_type") == "error", "Total provisional refusal, VN").when(col("event_type") == "purchase", "International Registration, VN").otherwise("Renewal, VN")
-    e = events(s, d).where("event_id % 3 = 0").select("user_id", F.struct(kind.alias("type"), F.date_format("ts", "yyyy-MM-dd").alias("date"), lit("g").alias("gazette"), F.array(lit("VN")).alias("parties")).alias("e"))
-    return e.groupBy("user_id").agg(F.collect_list("e").alias("history"))
+    e = events(s, d).select("user_id", F.to_date("ts").alias("day"), F.struct(kind.alias("type"), F.date_format("ts", "yyyy-MM-dd").alias("date"), lit("g").alias("gazette"), F.array(lit("VN")).alias("parties")).alias("e"))
+    return e.groupBy("user_id", "day").agg(F.collect_list("e").alias("history"))
 
 
 # Filters
@@ -535,17 +535,12 @@ def _(s, d):
     return incremental.work_list(m, domestic(s, d), missing, "application_number", F.to_timestamp(lit("2024-02-01")))
 
 
-@query("j09_q12_coverage", """, k AS (SELECT CASE WHEN d.application_number IS NOT NULL THEN 'enriched' WHEN m.n1 % 5 = 0 THEN 'not_found' ELSE 'not_tried' END AS kind FROM marks m LEFT JOIN domestic d USING (application_number) WHERE m.application_number IS NOT NULL AND m.n2 % 2 = 0)
+@query("j09_q12_coverage", """, k AS (SELECT CASE WHEN d.application_number IS NOT NULL THEN 'enriched' WHEN x.application_number IS NOT NULL THEN 'not_found' ELSE 'not_tried' END AS kind FROM marks m LEFT JOIN domestic d USING (application_number)
+      LEFT JOIN (SELECT DISTINCT application_number FROM marks WHERE n1 % 5 = 0) x USING (application_number) WHERE m.application_number IS NOT NULL)
     SELECT kind, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM k), 2) AS pct FROM k GROUP BY 1""")
 def _(s, d):
-    return _coverage_by_row(marks(s, d).where("n2 % 2 = 0"), domestic(s, d))
-
-
-def _coverage_by_row(rows, dom):
-    marked = rows.where(col("application_number").isNotNull()).join(dom.select("application_number", lit(True).alias("_d")), "application_number", "left")
-    kinds = marked.groupBy(F.when(col("_d"), "enriched").when(col("n1") % 5 == 0, "not_found").otherwise("not_tried").alias("kind")).agg(F.count("*").alias("n"))
-    total = kinds.agg(F.sum("n").alias("_all"))
-    return kinds.join(F.broadcast(total), lit(True)).select("kind", "n", facets.percent(col("n"), col("_all")).alias("pct"))
+    m = marks(s, d)
+    return quality.enrichment_coverage(m, domestic(s, d), m.where("n1 % 5 = 0").select("application_number").distinct())
 
 
 @query("j10_a07_vn_status_facet", "SELECT vn_status AS value, count(*) AS n FROM reps JOIN madrid ON lineage_key = irn GROUP BY 1")
@@ -777,7 +772,15 @@ def _(s, d):
     return incremental.window_tallies(_outcomes(s, d), ["job"], "event_id")
 
 
-@query("st03_concurrency")
+@query("st03_concurrency", f"""{_TALLY.replace(', o AS', 'WITH RECURSIVE o AS', 1)},
+    fold(job, "window", level, blocked, given_up) AS (
+      SELECT DISTINCT job, -1::BIGINT, {incremental.START}, 0, false FROM v
+      UNION ALL
+      SELECT job, "window", CASE WHEN f.given_up THEN f.level ELSE new END, CASE WHEN f.given_up THEN f.blocked ELSE bad END, f.given_up OR bad >= {incremental.GIVE_UP}
+      FROM (SELECT v.job, v."window", f AS f, CASE v.verdict WHEN 'block' THEN greatest({incremental.FLOOR}, f.level // 2) WHEN 'ease' THEN greatest({incremental.FLOOR}, f.level - 1)
+              WHEN 'probe' THEN least({incremental.CEILING}, f.level + 1) ELSE f.level END AS new, CASE WHEN v.verdict = 'block' THEN f.blocked + 1 ELSE 0 END AS bad
+            FROM fold f JOIN v ON v.job = f.job AND v."window" = f."window" + 1))
+    SELECT job, arg_max(level, "window")::INT AS level, arg_max(given_up, "window") AS given_up FROM fold GROUP BY 1""", False)
 def _(s, d):
     return incremental.concurrency(incremental.window_tallies(_outcomes(s, d), ["job"], "event_id"), ["job"])
 
@@ -851,9 +854,9 @@ def _(s, d):
     return part(s, d).select("p_name").distinct().select("p_name", phonetics.double_metaphones(col("p_name")).alias("c")).select("p_name", "c.*")
 
 
-@query("x04_fold_name", "SELECT doc_id, trim(regexp_replace(upper(strip_accents(replace(replace(substr(text, 1, 40), 'đ', 'd'), 'Đ', 'D'))), '\\s+', ' ', 'g')) AS folded FROM documents WHERE lang = 'fr'", False)
+@query("x04_fold_name", "SELECT doc_id, trim(regexp_replace(upper(strip_accents(replace(replace(replace(text, 'ß', 'ss'), 'đ', 'd'), 'Đ', 'D'))), '\\s+', ' ', 'g')) AS folded FROM documents", False)
 def _(s, d):
-    return documents(s, d).where("lang = 'fr'").select("doc_id", phonetics.folded(F.substring("text", 1, 40)).alias("folded"))
+    return documents(s, d).select("doc_id", phonetics.folded("text").alias("folded"))
 
 
 @query("x08_vn_keys")
@@ -925,8 +928,7 @@ def _(s, d):
 @query("x21_similar_marks")
 def _(s, d):
     m = marks(s, d).withColumns({"logo_kind": lit(None).cast("string"), "mark_embedding": lit(None).cast("array<float>")})
-    anchor = m.where("mark_sample IS NOT NULL").agg(F.min("id")).first()[0]
-    out = search.similar_marks(m, anchor)
+    out = search.similar_marks(m, roles.first_mark(s, d))
     return out.select("b_id", "scores.phonetic", "scores.result.score", "scores.result.verdict")
 
 
@@ -1036,9 +1038,9 @@ def _(s, d):
 
 
 # Text pipelines on texts built from known values: the SQL gives the values back
-@query("s12_batches", "SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 200)::BIGINT AS batch FROM orders WHERE o_custkey % 10 = 0", False)
+@query("s12_batches", "SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 200)::BIGINT AS batch FROM orders", False)
 def _(s, d):
-    return sinks.batches(orders(s, d).where("o_custkey % 10 = 0").select("o_orderkey"), ["o_orderkey"], 200)
+    return sinks.batches(orders(s, d).select("o_orderkey"), ["o_orderkey"], 200)
 
 
 @query("s18_image_links", "SELECT 'i' || p_partkey || '.png' AS name, 'a/i' || p_partkey || '.png' AS relative FROM part", False)
@@ -1132,11 +1134,31 @@ def _(s, d):
     return part(s, d).select("p_partkey", html.value_after(ls, "732").alias("value"))
 
 
-@query("h03_h04_madrid_page", "SELECT p_partkey, p_name AS holder, 'FR' AS country, ['VN', 'US'] AS designated, p_partkey % 28 + 1 AS day FROM part", False)
+@query(
+    "h03_h04_madrid_page",
+    """SELECT p_partkey, p_name || ' & Co' AS mark, p_name AS holder, '1 rue ' || p_size || CASE WHEN p_size % 2 = 0 THEN ' (FR)' ELSE '' END AS address, CASE WHEN p_size % 2 = 0 THEN 'FR' ELSE 'DE' END AS country,
+       'Company' AS legal, p_brand || ' Agents' AS agent, 'DE, ' || p_size AS basic, 'English' AS language, CASE WHEN p_size % 3 = 0 THEN ['09', '42'] ELSE ['21'] END AS classes, 'cups' AS goods,
+       ['DE', 'IT', 'VN', 'US', 'EG', 'IN', 'CU'] AS designated, 4::BIGINT AS n_events, 'Grant of protection, VN' AS type, '2021-06-' || lpad((p_partkey % 28 + 1)::VARCHAR, 2, '0') AS date,
+       '1989/7' AS old_gazette, ['CU'] AS party, ['EG', 'IN'] AS later, 'Change of address' AS global_type FROM part""",
+    False,
+)
 def _(s, d):
-    page_ = F.concat(lit("<p>732</p><p>Holder</p><p>"), "p_name", lit(",</p><p>1 rue (FR)</p><p>832</p><p>Under</p><p>VN, US</p><p>999</p><h1>Transaction History</h1><p>Grant of protection, VN</p><p>:</p><p>"), F.lpad((col("p_partkey") % 28 + 1).cast("string"), 2, "0"), lit(".06.2021, 2021/24 Gaz</p>"))
-    x = html.madrid_records(part(s, d).select("p_partkey", page_.alias("page")), "page", "r")
-    return x.select("p_partkey", col("r.holder_name").alias("holder"), col("r.holder_country").alias("country"), col("r.designated_countries").alias("designated"), F.day(F.to_date(col("r.transaction_history")[0]["date"])).cast("long").alias("day"))
+    p = lambda *x: F.concat(*[F.concat(lit("<p>"), c if isinstance(c, F.Column) else lit(c), lit("</p>")) for c in x])
+    even = col("p_size") % 2 == 0
+    page_ = F.concat(
+        lit("<script>832 XX</script>"), p(F.concat(lit("1266721 - "), "p_name", lit(" &amp; Co")), "Transaction History", "732", "Holder", F.concat("p_name", lit(",")), F.concat(lit("1 rue "), "p_size"), F.when(even, "(FR)").otherwise("")),
+        p("811", "Nationality", F.when(even, "XX").otherwise("de"), "842", "Legal", "Company", "740", "Agent", F.concat("p_brand", lit(" Agents")), "822", "Basic", F.concat(lit("DE, "), "p_size"), "511", "Class", "NCL(10-2015) 21 cups of 33"),
+        F.when(col("p_size") % 3 == 0, '<td class="x nice">9, 42, 9, 77</td>').otherwise(""), lit('<dl class="BASICGS"><p class="gsterm GSTERMFR" nice="21" lang="FR">tasses</p><p class="gsterm GSTERMEN" nice="21" lang="EN"><b>cups</b></p></dl>'),
+        p("832", "Under", "DE,", "IT", "999", "x", "Transaction History", "Grant of protection, VN", ":", F.concat(F.lpad((col("p_partkey") % 28 + 1).cast("string"), 2, "0"), lit(".06.2021, 2021/24 Gaz")), "270", "Language", "English"),
+        p("International Registration, US, VN", "01.02.1989, 1989/7 LMi", "832", "Designated", "EG", "- IN"), p("Renewal, all", "02.02.1999, 1999/7 Gaz", "833", "Interested", "CU"), p("Change of address", ":", "05.06.2001"),
+    )
+    r = html.madrid_records(part(s, d).select("p_partkey", page_.alias("page")), "page", "r").select("p_partkey", "r.*")
+    e = lambda i: F.get("transaction_history", lit(i))
+    return r.select(
+        "p_partkey", col("mark_text").alias("mark"), col("holder_name").alias("holder"), col("holder_address").alias("address"), col("holder_country").alias("country"), col("holder_legal_status").alias("legal"),
+        col("representative").alias("agent"), col("basic_registration").alias("basic"), "language", col("nice_classes").alias("classes"), col("goods_services")["21"].alias("goods"), col("designated_countries").alias("designated"),
+        F.size("transaction_history").cast("long").alias("n_events"), e(0)["type"].alias("type"), e(0)["date"].alias("date"), e(1)["gazette"].alias("old_gazette"), e(2)["parties"].alias("party"), e(1)["designations"].alias("later"), e(3)["type"].alias("global_type"),
+    )
 
 
 @query("h07_h08_domestic_page", "SELECT p_partkey, '4-2026-' || lpad(p_partkey::VARCHAR, 5, '0') AS number, p_name AS mark, p_brand AS owner, ['09', '42'] AS classes, DATE '2026-01-08' AS filed, 'Filed' AS event FROM part", False, days="filed")
@@ -1180,10 +1202,9 @@ def _(s, d):
     return part(s, d).select("p_partkey", scoring.placeholder_score(col("p_partkey").cast("string")).alias("s"))
 
 
-@query("x20_relevant", "SELECT p_partkey, contains(p_name, 'cold') OR p_name = 'x' AS hit FROM part WHERE contains(p_name, 'cold') OR length(p_name) > 11", False)
+@query("x20_relevant", "SELECT p_partkey, contains(p_name, 'cold') AS hit FROM part", False)
 def _(s, d):
-    rows = part(s, d).where("contains(p_name, 'cold') OR length(p_name) > 11")
-    return rows.select("p_partkey", phonetics.relevant_match("p_name", F.when(F.contains("p_name", lit("cold")), "COLD").otherwise("zzzzzzzzzzzzzzzz")).alias("hit"))
+    return part(s, d).select("p_partkey", phonetics.relevant_match("p_name", F.when(F.contains("p_name", lit("cold")), "COLD").otherwise("zzzzzzzzzzzzzzzz")).alias("hit"))
 
 
 @query("st02_chunk", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) ORDER BY 1 LIMIT 25", False)
@@ -1200,3 +1221,132 @@ def _(s, d):
 @query("st09_transitions", "SELECT * FROM (VALUES ('idle', 'start', 'running'), ('running', 'pause', 'paused'), ('paused', 'resume', 'running'), ('running', 'stop', 'stopping'), ('paused', 'stop', 'idle'), ('stopping', 'done', 'idle'), ('running', 'done', 'idle')) t(status, action, next)", False)
 def _(s, d):
     return incremental.transitions(s)
+
+
+# Layout, ingest and pages over shapes built from the tables
+@query("t21_entity_norm", "SELECT c_custkey, lower(c_name || ' ' || c_mktsegment) AS norm FROM customer", False)
+def _(s, d):
+    return customer(s, d).select("c_custkey", phonetics.entity_norm(F.concat(lit("  "), "c_name", lit(" \t "), "c_mktsegment", lit(" "))).alias("norm"))
+
+
+@query(
+    "t28_registration_date",
+    """SELECT m.id, coalesce(m.registration_date, CASE m.record_type WHEN 'B_domestic' THEN d.grant_date WHEN 'B_madrid' THEN x.registration_date END) AS registration_date
+       FROM marks m LEFT JOIN domestic d ON m.application_number = d.application_number LEFT JOIN madrid x ON m.lineage_key = x.irn""",
+    days="registration_date",
+)
+def _(s, d):
+    return derive.derive(marks(s, d), domestic(s, d), madrid(s, d)).select("id", "registration_date")
+
+
+def _block(size):
+    return F.floor(col("p_partkey") / size).alias("block" if size == 10 else "doc")
+
+
+@query(
+    "t41_marker_places",
+    """SELECT block, line_no, 'mark ' || nxt AS match FROM (SELECT p_partkey // 10 AS block, p_partkey % 10 AS line_no, p_partkey % 2 = 1 AS odd,
+         CASE WHEN lead(p_partkey) OVER w % 2 = 0 THEN lead(p_size) OVER w END AS nxt FROM part WINDOW w AS (PARTITION BY p_partkey // 10 ORDER BY p_partkey)) WHERE odd AND nxt IS NOT NULL""",
+    False,
+)
+def _(s, d):
+    k = col("p_partkey") % 10
+    line = F.when(k % 2 == 1, F.concat("p_name", lit(" mark"))).otherwise(F.concat(col("p_size").cast("string"), lit(" y")))
+    rows = part(s, d).select(_block(10), k.alias("line_no"), line.alias("line"), (k * 12).alias("y"))
+    return layout.marker_places(rows, r"mark\s+\d+").select("block", "line_no", "match")
+
+
+_SLICED = """WITH l AS (SELECT p_partkey // 10 AS doc, p_partkey % 10 AS k, p_name AS label, (p_partkey % 10) * 100.0 + p_size AS y, p_size FROM part),
+    h AS (SELECT doc, k, 'i' || k AS image, k * 100.0 AS start, CASE WHEN p_size <= 20 THEN label ELSE coalesce(lag(label) OVER (PARTITION BY doc ORDER BY k), 'unknown') END AS owner, y, label FROM l)"""
+
+
+@query(
+    "t42_image_slices",
+    f"""{_SLICED} SELECT doc, image, owner, start::DOUBLE AS start, y::DOUBLE AS "end" FROM h WHERE y > start
+        UNION ALL SELECT doc, image, label, y::DOUBLE, (start + 90)::DOUBLE FROM h""",
+    False,
+)
+def _(s, d):
+    k = (col("p_partkey") % 10).cast("double")
+    at = part(s, d).select(F.floor(col("p_partkey") / 10).alias("doc"), lit(1).alias("page"), F.concat(lit("i"), (col("p_partkey") % 10).cast("string")).alias("image"), (k * 100).alias("top"), (k * 100 + 90).alias("bottom"), "p_name", (k * 100 + col("p_size")).alias("y"))
+    return layout.image_slices(at.select("doc", "page", "image", "top", "bottom"), at.select("doc", "page", "y", col("p_name").alias("label"))).select("doc", "image", "owner", "start", "end")
+
+
+@query(
+    "j15_merge_rectangles",
+    """SELECT doc, min(x0)::DOUBLE AS x0, max(x0 + 2 * p_size)::DOUBLE AS x1 FROM (SELECT *, sum(CASE WHEN x0 - before > 20 OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY x0) AS run
+       FROM (SELECT p_partkey // 10 AS doc, (p_partkey % 10) * 100 AS x0, p_size, lag((p_partkey % 10) * 100 + 2 * p_size) OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey) AS before FROM part)) GROUP BY doc, run""",
+    False,
+)
+def _(s, d):
+    x0 = (col("p_partkey") % 10 * 100).cast("double")
+    boxes = part(s, d).select(F.floor(col("p_partkey") / 10).alias("doc"), lit(1).alias("page"), x0.alias("x0"), lit(0.0).alias("y0"), (x0 + 2 * col("p_size")).alias("x1"), lit(10.0).alias("y1"))
+    return layout.merge_rectangles(boxes).select("doc", "x0", "x1")
+
+
+@query(
+    "s03_word_lines",
+    """WITH w AS (SELECT p_partkey // 20 AS doc, p_partkey % 20 AS k, p_name FROM part),
+    b AS (SELECT doc, p_name, CASE WHEN doc % 2 = 0 THEN 10 ELSE k // 10 * 400 + k % 2 * 50 END AS x0, CASE WHEN doc % 2 = 0 THEN 590 ELSE k // 10 * 400 + k % 2 * 50 + 40 END AS x1,
+            CASE WHEN doc % 2 = 0 THEN k * 30 ELSE k % 10 // 2 * 30 + k % 2 END AS top FROM w),
+    p AS (SELECT doc, max(x1) / 2 AS mid FROM b GROUP BY 1),
+    t AS (SELECT doc, mid, count(*) FILTER (x0 < mid AND x1 > mid) <= greatest(10, count(*) * 0.1) AS two FROM b JOIN p USING (doc) GROUP BY 1, 2),
+    l AS (SELECT doc, CASE WHEN two AND x0 >= mid THEN 1 ELSE 0 END AS c, top // 3 AS y, string_agg(p_name, ' ' ORDER BY x0, p_name) AS line FROM b JOIN t USING (doc) GROUP BY 1, 2, 3)
+    SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY c, y)::INT AS line_no, line FROM l""",
+    False,
+)
+def _(s, d):
+    k, even = col("p_partkey") % 20, F.floor(col("p_partkey") / 20) % 2 == 0
+    x0 = F.when(even, 10).otherwise(F.floor(k / 10) * 400 + k % 2 * 50)
+    x1 = F.when(even, 590).otherwise(F.floor(k / 10) * 400 + k % 2 * 50 + 40)
+    top = F.when(even, k * 30).otherwise(F.floor(k % 10 / 2) * 30 + k % 2)
+    words = part(s, d).select(F.floor(col("p_partkey") / 20).alias("doc"), lit(1).alias("page"), col("p_name").alias("text"), x0.alias("x0"), x1.alias("x1"), top.alias("top"))
+    return layout.word_lines(words).select("doc", "line_no", "line")
+
+
+@query(
+    "s04_marker_lines",
+    """SELECT doc, (2 * r - 1)::INT AS line_no, '(210) 4-' || p_partkey AS line FROM (SELECT p_partkey // 3 AS doc, p_partkey, p_name, row_number() OVER (PARTITION BY p_partkey // 3 ORDER BY p_partkey) AS r FROM part)
+       UNION ALL SELECT doc, (2 * r)::INT, '(540) ' || p_name FROM (SELECT p_partkey // 3 AS doc, p_partkey, p_name, row_number() OVER (PARTITION BY p_partkey // 3 ORDER BY p_partkey) AS r FROM part)""",
+    False,
+)
+def _(s, d):
+    text = F.concat(lit("(210) 4-"), "p_partkey", lit("  (540) "), "p_name")
+    return layout.marker_lines(part(s, d).select(F.floor(col("p_partkey") / 3).alias("doc"), (col("p_partkey") % 3).alias("page"), text.alias("text")))
+
+
+@query("o04_by_score", "SELECT id, n1 AS score FROM marks ORDER BY n1 DESC, id LIMIT 50 OFFSET 10")
+def _(s, d):
+    return search.page(marks(s, d).select("id", col("n1").alias("score")), search.sort_keys("similarity"), 50, 10)
+
+
+@query(
+    "o05_overfetched",
+    """SELECT id FROM (SELECT id, publication_date, n1 FROM reps ORDER BY publication_date DESC NULLS LAST, id LIMIT 60) WHERE n1 % 3 <> 0
+       ORDER BY publication_date DESC NULLS LAST, id LIMIT 20 OFFSET 10""",
+)
+def _(s, d):
+    return search.overfetched(linkage.representatives(marks(s, d)), search.by_publication(), 20, 10, col("n1") % 3 != 0).select("id")
+
+
+@query(
+    "st01_ingest_plan",
+    """SELECT o_orderkey AS gazette_id, CASE WHEN o_orderkey % 4 = 0 THEN 'new' WHEN o_orderstatus <> 'F' THEN 'retry' WHEN o_orderkey % 3 = o_orderkey % 2 THEN 'skip' ELSE 'replace' END AS action FROM orders""",
+    False,
+)
+def _(s, d):
+    content = lambda n: F.md5((col("o_orderkey") % n).cast("string")).alias("sha256")
+    status = F.when(col("o_orderstatus") == "F", "completed").when(col("o_orderstatus") == "O", "failed").otherwise("processing")
+    files = orders(s, d).select(col("o_orderkey").alias("gazette_id"), content(3))
+    held = orders(s, d).where("o_orderkey % 4 <> 0").select(col("o_orderkey").alias("gazette_id"), content(2), status.alias("status"))
+    return incremental.ingest_plan(files, held)
+
+
+@query(
+    "st01_purge_partial",
+    "SELECT l_orderkey AS gazette_id, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')",
+    False,
+)
+def _(s, d):
+    plan = orders(s, d).select(col("o_orderkey").alias("gazette_id"), F.when(col("o_orderstatus") != "F", "retry").otherwise("skip").alias("action"))
+    return incremental.purge_partial(lineitem(s, d).select(col("l_orderkey").alias("gazette_id"), "l_linenumber"), plan)

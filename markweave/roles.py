@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markweave.functions.text import lineage_key, mark_category, nice_classes
+from markweave.operators.linkage import with_representative
 
 TODAY = "1997-06-15"
 
@@ -84,12 +85,28 @@ def _tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFram
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = spark.conf.get(f"markweave.marks.{sf_dir.rstrip('/')}", None)
+    if stored:
+        return spark.read.parquet(stored)
     dims = _tables(spark, sf_dir, "lineitem", "orders", "customer", "nation", "part", "supplier")
     df = spark.sql(MARKS, **dims)
     numbers = [F.col(c) for c in ("application_number", "certificate_number", "madrid_number")]
     return df.withColumns({"lineage_key": lineage_key(*numbers), "mark_category": mark_category(*numbers), "nice_classes": nice_classes(F.col("nice_group_number")), "vienna_codes": F.array("v1", "v2")})
 
 
+def store(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Write marks with is_representative: what an ingest leaves behind, so that queries over
+    the same sf_dir needn't join and number the rows again."""
+    with_representative(marks(spark, sf_dir)).write.mode("overwrite").parquet(path)
+    spark.conf.set(f"markweave.marks.{sf_dir.rstrip('/')}", path)
+
+
+def first_mark(spark: SparkSession, sf_dir: str) -> str:
+    """The id of the first mark that has a name."""
+    r = _tables(spark, sf_dir, "lineitem")["lineitem"].where("l_linenumber <> 5").orderBy("l_orderkey", "l_linenumber").first()
+    return "-".join(map(str, (r.l_orderkey, r.l_linenumber, r.l_partkey, r.l_suppkey, round(r.l_extendedprice * 100), round(r.l_discount * 100))))
+
+
 def madrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(MADRID, **_tables(spark, sf_dir, "part")).withColumn("designated_countries", F.array("d1", "d2"))
 

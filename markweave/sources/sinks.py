@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from markweave.operators.numbering import numbered
+
 #: Excel's cell limit and what an export keeps of a longer one.
 CELL_LIMIT, CELL_KEEP = 32_767, 32_500
 
@@ -29,7 +31,7 @@ def plan_upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def batches(df: DataFrame, order: list[str], size: int = 200) -> DataFrame:
     """A batch number for each row; one write takes them all."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size))
+    return numbered(df, order).withColumn("batch", F.floor(F.col("_i") / size)).drop("_i")
 
 
 def gazette_csv(sections: DataFrame, columns: list[str], keep_case: str, long_column: str, key: str) -> tuple[DataFrame, DataFrame]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,6 +19,43 @@ def ingest(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoin
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: ST01, fixed values: what an ingest step makes of a gazette's status.
+INGEST_STEPS = {
+    ("uploaded", "start"): "processing",
+    ("failed", "start"): "processing",
+    ("processing", "start"): "processing",
+    ("processing", "done"): "completed",
+    ("processing", "error"): "failed",
+}
+
+
+def ingest_plan(files: DataFrame, gazettes: DataFrame) -> DataFrame:
+    """ST01: (gazette_id, action) of files (gazette_id, sha256) against gazettes (gazette_id,
+    sha256, status): `skip` what is completed with the same content, `retry` what an attempt
+    left behind, `replace` what has other content, `new` what is unknown."""
+    old = gazettes.select(F.col("gazette_id").alias("_g"), F.col("sha256").alias("_s"), "status")
+    joined = files.join(old, files["gazette_id"] == F.col("_g"), "left")
+    done = F.col("status") == "completed"
+    action = F.when(F.col("_g").isNull(), "new").when(done & (F.col("sha256") == F.col("_s")), "skip").when(done, "replace").otherwise("retry")
+    return joined.select("gazette_id", action.alias("action"))
+
+
+def purge_partial(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """ST01: rows without those of gazettes that are read again, so that a retry after a
+    crash leaves no row twice; one write of the result and the new rows is the commit."""
+    again = plan.where(F.col("action").isin("retry", "replace")).select("gazette_id")
+    return rows.join(again, "gazette_id", "left_anti")
+
+
+def ingest_step(gazettes: DataFrame, event: str) -> DataFrame:
+    """ST01: gazettes with the status that follows; a step that isn't legal leaves it."""
+    out = F.col("status")
+    for (status, what), following in INGEST_STEPS.items():
+        if what == event:
+            out = F.when(F.col("status") == status, following).otherwise(out)
+    return gazettes.withColumn("status", out)
+
+
 def work_list(universe: DataFrame, done: DataFrame, missing: DataFrame, key: str, now: Column, ttl_days: int = 30) -> DataFrame:
     """J08, ST02, ST05: keys neither done nor found missing within the time to live."""
     recent = missing.where(F.col("last_checked_at") >= now - F.make_dt_interval(F.lit(ttl_days)))
@@ -121,22 +159,23 @@ def watch_new_rows(stream: DataFrame, count: Callable[[DataFrame], DataFrame], s
 
 
 class FacetCache:
-    """ST08: representatives cached for facets, renewed after a time to live. Spark holds the
-    rows; this only says when they are stale."""
-
-    def __init__(self, build: Callable[[], DataFrame], ttl: float = 120.0, clock: Callable[[], float] | None = None):
-        import time
-
-        self.build, self.ttl, self.clock = build, ttl, clock or time.monotonic
-        self.rows: DataFrame | None = None
-        self.at = 0.0
-
-    def get(self) -> DataFrame:
-        if self.rows is None or self.clock() - self.at > self.ttl:
-            if self.rows is not None:
-                self.rows.unpersist()
-            self.rows, self.at = self.build().cache(), self.clock()
-        return self.rows
+    """ST08: facet counts by (name, limit, filters that are set), renewed after a time to live.
+    Counts are short lists; when `most` are held, all go. Nothing but time makes them stale."""
+
+    def __init__(self, ttl: float = 120.0, most: int = 512, clock: Callable[[], float] = time.monotonic):
+        self.ttl, self.most, self.clock = ttl, most, clock
+        self.held: dict[tuple, tuple[float, list[Row]]] = {}
+
+    def get(self, name: str, limit: int | None, filters: dict[str, object], count: Callable[[], DataFrame]) -> list[Row]:
+        key = (name, limit, tuple(sorted((k, str(v)) for k, v in filters.items() if v is not None)))
+        now, hit = self.clock(), self.held.get(key)
+        if hit is not None and hit[0] > now:
+            return hit[1]
+        rows = count().collect()  # at most limit rows
+        if len(self.held) >= self.most:
+            self.held.clear()
+        self.held[key] = (now + self.ttl, rows)
+        return rows
 
 
 def tumbling_counts(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -3,6 +3,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from markweave.functions import phonetics
 from markweave.operators import facets, filters, layout, linkage, quality
 from markweave.operators.filters import FilterSpec
 from markweave.plans import search
@@ -147,3 +148,122 @@ def test_audit_reports(spark, marks):
     got = {r.check: (r.suspects, r.regression, r.examples) for r in quality.audit(rows).collect()}
     assert got["Q01"] == (1, False, ["a1"]) and got["Q03"][0] == 5 and got["Q05"] == (2, None, ["a2", "b2"]) and got["Q07"][0] == 0 and got["Q10"][0] == 0
     assert quality.groups_without_representative(linkage.with_representative(rows)).isEmpty()
+
+
+def test_numbered_rows_and_percentiles(spark):
+    from markweave.operators.numbering import numbered
+
+    values = [None, None, *[i * 7919 % 1009 for i in range(500)], 3, 3]
+    rows = spark.createDataFrame([(v, f"g{i % 3}" if i % 5 else None) for i, v in enumerate(values)], "v int, g string")
+    for parts in (1, 7):
+        got = sorted((r["_i"], r.v) for r in numbered(rows, ["v"], parts=parts).collect())
+        assert [i for i, _ in got] == list(range(len(values))) and [v for _, v in got] == sorted(values, key=lambda v: (v is not None, v or 0))
+    assert numbered(rows.limit(0), ["v"]).isEmpty()
+    out = {r.g: (r.low, r.high) for r in facets.percentile_at(rows, ["g"], "v", {"low": 0.5, "high": 1.0}).collect()}
+    by = {}
+    for r in rows.collect():
+        if r.v is not None:
+            by.setdefault(r.g, []).append(r.v)
+    assert out == {g: (sorted(x)[min(len(x) - 1, len(x) // 2)], max(x)) for g, x in by.items()}
+    assert facets.percentile_at(rows, [], "v", {"p": 0.0}).first().p == min(v for v in values if v is not None)
+
+
+def test_facet_cache():
+    from markweave.streaming.incremental import FacetCache
+
+    now, calls = [0.0], []
+
+    class Counts:
+        def collect(self):
+            calls.append(1)
+            return [len(calls)]
+
+    cache = FacetCache(ttl=120.0, most=2, clock=lambda: now[0])
+    ask = lambda name, limit=8, **f: cache.get(name, limit, f, Counts)
+    assert ask("a", country="VN", year=None) == [1] and ask("a", country="VN") == [1] and ask("a", limit=9, country="VN") == [2]
+    now[0] = 119.0
+    assert ask("a", country="VN") == [1]
+    now[0] = 120.0
+    assert ask("a", country="VN") == [3]  # two are held, so all went
+    assert len(cache.held) == 1
+
+
+def test_ingest_is_repeatable(spark):
+    files = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "2"), ("d", "1"), ("e", "1")], "gazette_id string, sha256 string")
+    held = spark.createDataFrame([("a", "1", "completed"), ("b", "1", "processing"), ("c", "1", "completed"), ("d", "1", "failed")], "gazette_id string, sha256 string, status string")
+    plan = incremental.ingest_plan(files, held).cache()
+    assert {r.gazette_id: r.action for r in plan.collect()} == {"a": "skip", "b": "retry", "c": "replace", "d": "retry", "e": "new"}
+    rows = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("c", 1), (None, 1)], "gazette_id string, n int")
+    assert {r.gazette_id for r in incremental.purge_partial(rows, plan).collect()} == {"a", None}
+    step = lambda e: {r.gazette_id: r.status for r in incremental.ingest_step(held, e).collect()}
+    assert step("start") == {"a": "completed", "b": "processing", "c": "completed", "d": "processing"} and step("done")["b"] == "completed" and step("error")["b"] == "failed"
+
+
+def sound_marks(spark):
+    from datetime import date
+
+    names = ["Cold Bolt", "kold bolt", "COLD-BOLT", "warm nut", "Coldbolt", "colt bold", "Nguyen Kim", "Nguyễn Kim", None, "", "123", "bolt", "x cold bolts y"]
+    rows = []
+    for i, a in enumerate(names):
+        for j, b in enumerate((None, a, "cold volt", "other")):
+            n = 4 * i + j
+            rows.append((f"m{n:03d}", f"4-{n // 2}", None, None, f"4-{n // 2}", a if j % 2 == 0 else None, b, date(2020, 1 + n % 9, 1) if n % 7 else None, ["05", "09"] if n % 3 else ["12"], ["5.7.1"], None, None, None, None, None))
+    return rows, spark.createDataFrame(rows, "id string, application_number string, certificate_number string, madrid_number string, lineage_key string, mark_sample string, mark_name string, publication_date date, nice_classes array<string>, vienna_codes array<string>, logo_phash string, logo_kind string, mark_embedding array<float>, vn_grant_date date, record_type string").cache()
+
+
+def brute_trigrams(text):
+    import re
+
+    return {f"  {w} "[i : i + 3] for w in re.findall(r"[^\W_]+", text.lower()) for i in range(len(w) + 1)}
+
+
+def brute_recall(rows, q):
+    """[(similarity, id)] of the rows that J13 recalls, by plain Python."""
+    out, g = [], brute_trigrams(q)
+    code = phonetics.double_metaphone(q.lower())[0][:4]
+    alike = lambda n: len(brute_trigrams(n) & g) / len(brute_trigrams(n) | g) if brute_trigrams(n) and g else 0.0
+    for r in rows:
+        names = [n for n in (r[5], r[6]) if n is not None]
+        if any(alike(n) >= 0.15 or phonetics.double_metaphone(n.lower())[0][:4] == code for n in names):
+            out.append((max(map(alike, names)), r[0]))
+    return sorted(out, key=lambda x: (-x[0], x[1]))
+
+
+@pytest.mark.parametrize("q", ["cold bolt", "Nguyễn", "123", "zzz"])
+def test_sound_search_as_brute_force(spark, q):
+    rows, marks = sound_marks(spark)
+    by_id = {r[0]: r for r in rows}
+    found = [by_id[i] for _, i in brute_recall(rows, q)]
+    assert sorted((round(t, 9), i) for t, i in brute_recall(rows, q)) == sorted((round(r["_t"], 9), r.id) for r in search.recall_names(marks, q).collect())
+    best = {}
+    for r in found:
+        best[r[1]] = max(best.get(r[1], ""), r[0])
+    want = {}
+    for i in best.values():
+        score = max(phonetics.phonetic_score(q, n) for n in (by_id[i][5], by_id[i][6]) if n is not None)
+        if score >= 0.4:
+            want[i] = score
+    assert {r.id: r.score for r in search.search_sound(marks, q).collect()} == want
+    index = search.name_index(marks).cache()
+    assert {r.id: r.score for r in search.search_sound(marks, q, index=index).collect()} == want
+
+
+def test_similar_marks_as_brute_force(spark):
+    rows, marks = sound_marks(spark)
+    by_id = {r[0]: r for r in rows}
+    word = lambda r: (r[6] or r[5] or "").strip()
+    near = lambda a, b: a[7] is None or (b[7] is not None and abs((a[7] - b[7]).days) <= 60)
+    for anchor in ("m001", "m002", "m028", "m007", "m032"):
+        a = by_id[anchor]
+        pool = [r for r in rows if r[0] != anchor and near(a, r)]
+        if word(a):
+            ranked = [by_id[i] for _, i in brute_recall(pool, word(a))][:50]
+        else:
+            ranked = sorted([r for r in pool if r[5] is not None and (not a[8] or set(r[8]) & set(a[8]))], key=lambda r: (r[7] is not None, -(r[7].toordinal() if r[7] else 0), r[0]))[:40]
+        pairs = spark.createDataFrame([(i, r[0], word(a), word(r), a[8], r[8]) for i, r in enumerate(ranked)], "n int, b_id string, a_mark_sample string, b_mark_sample string, a_nice_classes array<string>, b_nice_classes array<string>")
+        none = {f"{p}_{c}": F.lit(None).cast(t) for p in "ab" for c, t in (("logo_phash", "string"), ("logo_kind", "string"), ("mark_embedding", "array<float>"))}
+        full = pairs.withColumns(none | {"a_vienna_codes": F.array(F.lit("5.7.1")), "b_vienna_codes": F.array(F.lit("5.7.1"))})
+        scored = [(-r.scores.result.score, r.n, r.b_id) for r in search.scored_pairs(full).collect() if r.scores.result.verdict != "Low risk"]
+        want = [i for _, _, i in sorted(scored)][:4]
+        assert [r.b_id for r in search.similar_marks(marks, anchor).collect()] == want, anchor
+    assert search.similar_marks(marks, "nobody").isEmpty()

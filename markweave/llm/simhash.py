@@ -348,7 +348,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket
     """
     fp = saved(_wide(docs, words), "wide")
     w = [f"w{i}" for i in range(WIDE)]
-    of = F.min(F.struct("doc_id", "text_key"))
+    of = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     distinct = saved(fp.groupBy(*w).agg(of.alias("_of")).select(F.xxhash64(*w).alias("fp"), *w, F.col("_of")["doc_id"].alias("least"), F.col("_of")["text_key"].alias("text_key")), "wide-distinct")
     surely, maybe = bit_limits(similarity)
     pairs = saved(_candidate_pairs(distinct, bucket_rows).where(F.col("differ") <= maybe), "pairs")

@@ -33,6 +33,31 @@ def test_links_as_brute_force(spark, cosine, block, dims):
     assert got == brute(rows, cosine)
 
 
+@pytest.mark.parametrize("reach_blocks", [1, 3])
+def test_reaches_of_the_sequence(spark, reach_blocks, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "REACH", reach_blocks)
+    rows, df = table(spark)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_vectors(df, 0.95, 3, 5).collect()}
+    assert got == brute(rows, 0.95)
+
+
+def test_double_precision(spark):
+    angle = np.arccos(0.98)
+    at = lambda x: [float(np.cos(x)), float(np.sin(x))]
+    rows = [(0, 0, [1e39, 1.0]), (1, 0, [1e39, 1.0]), (2, 1, at(0)), (3, 1, at(angle - 1e-12)), (4, 2, at(0)), (5, 2, at(angle + 1e-12)), (6, 3, [1e300, 0.0]), (7, 3, [1e-300, 0.0]), (8, 3, [float("inf"), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (1, 2), 4: (0, 4), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
+
+
+def test_clashing_columns(spark):
+    rows, df = table(spark)
+    from pyspark.sql import functions as F
+
+    more = df.withColumns({c: F.lit(c) for c in ("cid", "emb", "n", "block", "place", "ra", "_l", "_e", "least", "root")})
+    assert {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(more).collect()} == {i: n for i, (n, _, _) in brute(rows, 0.98).items()}
+
+
 def test_leaf_pairs_lose_nothing():
     rng = np.random.default_rng(5)
     a, b = rng.random((300, 3)), rng.random((200, 3))

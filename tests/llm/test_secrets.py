@@ -48,5 +48,32 @@ def test_queries_hold_for_every_match():
                 assert query is None or any(all(g in low for g in c) for c in query)
 
 
+def test_a_rule_is_added_to_an_index(rows):
+    more = (secrets.Rule("mail", r"[a-z0-9]+@example\.com"), secrets.Rule("note", r"nothing (here|there)"))
+    known = secrets.build_index(rows)
+    grown = secrets.extend_index(known, rows, secrets.RULES, more).cache()
+    assert grown.count() > known.count() and grown.count() == secrets.build_index(rows, secrets.RULES + more).count()
+    saved_postings = secrets.scan(rows, secrets.RULES + more, grown).collect()
+    fresh = secrets.scan(rows, secrets.RULES + more).collect()
+    key = lambda r: (r.doc_id, r.text, str(r.spans))
+    assert sorted(map(key, saved_postings)) == sorted(map(key, fresh))
+    assert [[s.kind - len(secrets.RULES) for s in r.spans if s.kind >= len(secrets.RULES)] for r in saved_postings if r.text == "nothing here"] == [[1]]
+
+
+@pytest.mark.parametrize("per_clause", [1, 2, 3])
+def test_index_queries_hold_for_every_match(per_clause):
+    for r in secrets.RULES:
+        query = secrets.index_query(r.regex, per_clause)
+        assert query is None or all(len(c) <= per_clause for c in query)
+        for m in (m for t in filter(None, TEXTS) for m in re.finditer(r.regex, t, re.ASCII)):
+            assert query is None or any(all(g in m[0].lower() for g in c) for c in query)
+
+
+def test_candidates_on_both_sides_of_the_broadcast(rows, monkeypatch):
+    want = sorted(map(str, secrets.report(rows).collect()))
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, secrets.report(rows).collect())) == want
+
+
 def test_no_rows(empty):
     assert secrets.report(empty).isEmpty()

@@ -20,11 +20,56 @@ def test_shards_hold_the_law(docs):
 
 
 def test_shards_are_stable_and_move_little(spark):
-    rows = spark.range(2000).toDF("k")
-    a = {r.k: r["shard"] for r in sharding.shard_rows(rows, 8).collect()}
-    assert a == {r.k: r["shard"] for r in sharding.shard_rows(rows.repartition(7), 8).collect()}
-    b = {r.k: r["shard"] for r in sharding.shard_rows(rows, 9).collect()}
-    assert sum(a[k] != b[k] for k in a) < 0.45 * len(a)
+    rows = spark.range(20_000).toDF("k")
+    a = {r.k: r["shard"] for r in sharding.shard_rows(rows, 16).collect()}
+    assert a == {r.k: r["shard"] for r in sharding.shard_rows(rows.repartition(7), 16).collect()}
+    b = {r.k: r["shard"] for r in sharding.shard_rows(rows, 17).collect()}
+    assert sum(a[k] != b[k] for k in a) < 0.15 * len(a)
+    more = {r.k: r["shard"] for r in sharding.shard_rows(spark.range(20_001).toDF("k"), 16).collect()}
+    assert sum(a[k] != more[k] for k in a) < 0.01 * len(a)
+
+
+def brute_ring(rows, nodes, shards):
+    """{row: (shard, slot, hops)}: each row goes clockwise from its cell to a node, past those of
+    full shards, in rounds; rows are (cell, order, row), nodes {cell: shards}."""
+    room = {s: len(rows) // shards + (s < len(rows) % shards) for s in range(shards)}
+    used, out, left, hops = dict.fromkeys(room, 0), {}, sorted(rows), 0
+    while left:
+        opened = {s for s in room if used[s] < room[s]}
+        at = sorted((c, min(s & opened)) for c, s in nodes.items() if s & opened)
+        over = []
+        for cell, order, row in left:
+            shard = next((s for c, s in at if c >= cell), at[0][1])
+            if used[shard] < room[shard]:
+                out[row] = (shard, used[shard], hops)
+                used[shard] += 1
+            else:
+                over.append((cell, order, row))
+        left, hops = over, hops + 1
+    return out
+
+
+def test_shards_as_brute_force(spark, docs):
+    cells = 1 << 14
+    rows = sharding.shard_documents(docs).collect()
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    inputs = spark.createDataFrame([(d, len(t) + 1, crc32(t)) for d, t in text.items()], "doc_id long, size long, text_crc32 long")
+    hashed = inputs.selectExpr("doc_id", "xxhash64(doc_id, size, text_crc32) AS h").collect()
+    nodes = defaultdict(set)
+    for r in spark.range(16 * 64).selectExpr("CAST(id % 16 AS INT) AS s", f"pmod(xxhash64('node', CAST(id % 16 AS INT), FLOOR(id / 16)), {cells}) AS c").collect():
+        nodes[r.c].add(r.s)
+    want = brute_ring([(r.h % cells, r.h, r.doc_id) for r in hashed], nodes, 16)
+    assert {r.doc_id: (r["shard"], r["slot"], r["hops"]) for r in rows} == want
+
+
+def test_a_row_that_repeats_is_expanded_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    rows = spark.range(500).selectExpr("1 AS k").unionByName(spark.range(30).selectExpr("CAST(id AS INT) AS k"))
+    got = sharding.shard_rows(rows, 4).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 530 and all(sorted(v) == list(range(len(v))) for v in slots.values()) and sum(r.k == 1 for r in got) == 501
 
 
 def test_repeated_rows_spread_over_shards(spark):
@@ -65,5 +110,6 @@ def test_mixed_rows_are_whole_and_ordered(docs, empty, clashing):
     assert mixing.mix_sources(empty).isEmpty()
     out = mixing.mix_sources(clashing)
     assert out.count() == docs.count() and sorted(out.columns) == sorted({*clashing.columns, "mix_block", "mix_offset"})
+    assert mixing.mixed_order(clashing).columns == clashing.columns
     laid = mixing.mixed_order(docs, weights=weights, rest=1.0, period=4, block=2)
     assert laid.columns == docs.columns and laid.count() == docs.count()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from markweave import roles
-from markweave.functions import html, phonetics, scoring
+from markweave.functions import html, images, phonetics, scoring
 from markweave.functions import text as T
 from markweave.operators import facets, filters, layout, linkage, quality
 from markweave.operators.filters import FilterSpec
@@ -932,6 +932,13 @@ def _(s, d):
     return out.select("b_id", "scores.phonetic", "scores.result.score", "scores.result.verdict")
 
 
+@query("x22_phash")
+def _(s, d):
+    # A vector of w numbers as a grey image: number i of it is pixel i, i + w and so on, each row of them brighter.
+    grey = F.expr("transform(sequence(0, 1023), i -> double(embedding[i % size(embedding)]) * (i div size(embedding) + 1))")
+    return embeddings(s, d).select("vec_id", images.phash(grey).alias("phash"))
+
+
 @query("x23_l2_normalize", "SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4) AS n FROM embeddings", False)
 def _(s, d):
     scaled = embeddings(s, d).select("vec_id", F.transform("embedding", lambda x: (x * 3).cast("float")).alias("v"))

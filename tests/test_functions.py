@@ -159,3 +159,23 @@ def test_wilson_and_udf_names(spark):
     assert (w.low, w.high) == (0.0, 0.0)
     phonetics.register(spark)
     assert spark.sql("SELECT phonetic_similarity('Taseko', 'Tabeko'), dmetaphone('Thomas'), entity_norm('  ẞ  A ')").first()[:] == (0.911, "TMS", "ss a")
+
+
+def test_phash(spark):
+    import math
+    import random
+    import statistics
+
+    from markweave.functions.images import phash
+
+    rng = random.Random(1)
+    images = [[rng.random() * 255 for _ in range(1024)] for _ in range(5)] + [[float(i % 32) for i in range(1024)]]
+
+    def plain(x):
+        low = [sum(x[32 * r + c] * math.cos(math.pi * u * (2 * r + 1) / 64) * math.cos(math.pi * v * (2 * c + 1) / 64) for r in range(32) for c in range(32)) for u in range(8) for v in range(8)]
+        middle = statistics.median(low)
+        return f"{int(''.join('1' if y > middle else '0' for y in low), 2):016x}"
+
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*images, None, [1.0]])], "i int, x array<double>").repartition(2)
+    got = {r.i: r.h for r in rows.select("i", phash("x").alias("h")).collect()}
+    assert {i: got[i] for i in range(5)} == {i: plain(x) for i, x in enumerate(images[:5])} and got[6] is None and got[7] is None and len(got[5]) == 16

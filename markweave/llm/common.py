@@ -28,11 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/markweave-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that saved() wrote in this application. Results that aren't written yet read
+    from there, so this comes after them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def saved(df: DataFrame, what: str, *partition_by: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, so a lost
-    executor costs a reread, never a recomputation of what came before."""
+    executor costs a reread, never a recomputation of what came before. clear() deletes it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -260,7 +260,7 @@ def _least_of(distinct: DataFrame, edges: DataFrame) -> DataFrame:
 
 #: Longs of a wide fingerprint; each half of one is a code of CODE_BITS that is searched for
 #: others within CODE_NEAR bits.
-WIDE, CODE_BITS, CODE_NEAR = 8, 32, 2
+WIDE, CODE_BITS, CODE_NEAR = 12, 32, 2
 _MIX = np.array([0x9E3779B97F4A7C15 * i % (1 << 64) for i in range(WIDE)], np.uint64)
 
 
@@ -341,8 +341,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket
     Links join texts whose sets of word shingles have a Jaccard similarity of at least
     `similarity`. Wide fingerprints say which pairs may be (bit_limits): codes of them that
     differ in few bits are found by the Gray-order index, and pairs that aren't surely as
-    similar are verified by their texts. A pair at 0.8 is found with a chance of some 0.85, at
-    0.85 of some 0.96; in a group of copies any chain of pairs is enough. Texts without words
+    similar are verified by their texts. A pair at 0.8 is found with a chance of some 0.92, at
+    0.85 of some 0.99; in a group of copies any chain of pairs is enough. Texts without words
     are one class, as are equal texts; a null text is empty. A null doc_id is kept only in a
     class of such. Other columns of docs are not used.
     """

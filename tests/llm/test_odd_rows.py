@@ -69,3 +69,21 @@ def test_a_code_point_goes_whole():
         for e in range(s + 1, len(text) + 1):
             out = suffix_dedup._whole_points(text, [(s, e)])
             assert set(out) <= set("aé日𝒳z") and all(c in out for c in text[:s].decode(errors="ignore") + text[e:].decode(errors="ignore"))
+
+
+def test_saved_tables_are_cleared():
+    """In a process of its own, as other tests read tables that they saved."""
+    import subprocess
+    import sys
+
+    code = """
+import pathlib, tempfile
+from pyspark.sql import SparkSession
+from markweave.llm import common
+top = tempfile.mkdtemp()
+spark = SparkSession.builder.master("local[1]").config("spark.checkpoint.dir", top).config("spark.ui.enabled", "false").getOrCreate()
+assert common.saved(spark.range(3), "x").count() == 3 and list(pathlib.Path(top).rglob("*.parquet"))
+common.clear(spark)
+assert not list(pathlib.Path(top).rglob("*.parquet"))
+"""
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, timeout=200).returncode == 0

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from markweave.llm import line_dedup, mixing, packing, quality, secrets, sharding, simhash, suffix_dedup, token_scan
+from markweave.llm import common, line_dedup, mixing, packing, quality, secrets, sharding, simhash, suffix_dedup, token_scan
 from tests.llm.conftest import SCHEMA, words
 
 
@@ -87,3 +87,17 @@ common.clear(spark)
 assert not list(pathlib.Path(top).rglob("*.parquet"))
 """
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, timeout=200).returncode == 0
+
+
+def test_both_sides_of_the_broadcast_limit(docs, monkeypatch):
+    make = {
+        "op10": lambda: suffix_dedup.digest(docs).select("doc_id", "n_removed", "kept_sha256"),
+        "near": lambda: simhash.near_copies(docs).select("doc_id", "component_id", "kept"),
+        "one": lambda: simhash.one_of_each(docs).select("doc_id", "text"),
+        "good": lambda: quality.keep_good(docs, line_docs=2, line_share=0.1).select("doc_id", "text"),
+    }
+    for name, f in make.items():
+        want = Counter(map(tuple, f().collect()))
+        with monkeypatch.context() as m:
+            m.setattr(common, "BROADCAST_BYTES", -1)
+            assert Counter(map(tuple, f().collect())) == want, name

@@ -191,7 +191,7 @@ def compare_marks(marks: DataFrame, ids: list[str], anchor: str, weights: dict |
     if not 2 <= len(ids) <= 3 or anchor not in ids:
         raise ValueError("two or three ids, one of which is the anchor")
     named = marks.where(F.col("id").isin(ids)).withColumn("mark_sample", F.coalesce("mark_sample", "applicant_name")).select(*AXES)
-    a = named.where(F.col("id") == anchor).select(*[F.col(c).alias(f"a_{c}") for c in AXES])
+    a = named.where(F.col("id") == anchor).limit(1).select(*[F.col(c).alias(f"a_{c}") for c in AXES])
     b = named.where(F.col("id") != anchor).select(*[F.col(c).alias(f"b_{c}") for c in AXES])
     return scored_pairs(b.join(F.broadcast(a), F.lit(True)), weights)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markweave.llm import embedding_dedup, line_dedup, mixing, packing, quality, secrets, sharding, simhash, suffix_dedup, token_scan
+from markweave.llm import embedding_dedup, line_dedup, mixing, packing, prefix_trie, quality, secrets, sharding, simhash, suffix_dedup, token_scan
 from markweave.llm.common import read_table
 
 
@@ -182,6 +182,33 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_scan.document_tokens(read_table(spark, sf_dir, "documents"))
 
 
+#: Conversations take their first turns from the first one of each 20 ids.
+FAMILY = 20
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"), FAMILY).drop("digest")
+
+
+# crc32 by its bits, as DuckDB has no function for it.
+_OP11_SQL = f"""
+    WITH t AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, ''))
+                 ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+               FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    k AS (SELECT conv_id, l, conv_id - conv_id % {FAMILY} AS b, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+            lambda s, c: list_reduce(list_prepend(xor(s, c), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT) % 4 AS h FROM t),
+    c AS (SELECT k.conv_id, list_concat(coalesce(f.l[1:k.h], []), k.l[k.h + 1:]) AS l FROM k LEFT JOIN t f ON f.conv_id = k.b),
+    p AS (SELECT conv_id, l[1:d] AS p, d, d = len(l) AS last, l FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM c)),
+    n AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256,
+            CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].x, '[^\x20\x09-\x0D]+')) END AS words FROM p GROUP BY p, d),
+    up AS (SELECT u.p[1:a] AS p, u.d, a, u.n_convs, u.words, NOT EXISTS (SELECT 1 FROM n v WHERE v.d = u.d + 1 AND v.p[1:u.d] = u.p) AS leaf
+           FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM n) u),
+    s AS (SELECT p, a, count(*) FILTER (d = a + 1) AS n_children, count(*) FILTER (leaf) AS n_leaves, sum((n_convs - 1) * words) AS saved FROM up GROUP BY p, a)
+    SELECT n.conv_id, n.d::BIGINT AS depth, f.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, s.n_children::BIGINT AS n_children,
+           s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends_sha256
+    FROM n JOIN s ON s.p = n.p AND s.a = n.d LEFT JOIN n f ON f.d = n.d - 1 AND f.p = n.p[1:n.d - 1]"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
@@ -193,6 +220,7 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 ORACLE_SQL = {
     "op3_source_mixing": _op3_sql(),
@@ -201,4 +229,5 @@ ORACLE_SQL = {
     "op7_quality_rules": _OP7_SQL,
     "op8_embedding_near_dedup": _OP8_SQL,
     "op10_suffix_dedup": _OP10_SQL,
+    "op11_prefix_trie": _OP11_SQL,
 }

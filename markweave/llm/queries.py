@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markweave.llm import embedding_dedup, line_dedup, mixing, packing, prefix_trie, quality, secrets, sharding, simhash, suffix_dedup, token_scan
+from markweave.llm import divergence, embedding_dedup, line_dedup, mixing, packing, prefix_trie, quality, secrets, sharding, simhash, suffix_dedup, token_scan
 from markweave.llm.common import read_table
 
 
@@ -209,6 +209,33 @@ _OP11_SQL = f"""
     FROM n JOIN s ON s.p = n.p AND s.a = n.d LEFT JOIN n f ON f.d = n.d - 1 AND f.p = n.p[1:n.d - 1]"""
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+def _op13_sql() -> str:
+    def p(n: str, total: str) -> str:
+        return f"(1 + ({divergence.SCALE}::HUGEINT * ({n} + {divergence.PRIOR})) // ({total} + {divergence.PRIOR} * v))::BIGINT"
+
+    return rf"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    w AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+    k AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+    l AS (SELECT lang, sum(lang_n) AS lang_total, count(*) AS v FROM k GROUP BY lang),
+    n AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY lang, source, term),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    t AS (SELECT lang, source, sum(n) AS total FROM n GROUP BY lang, source),
+    p AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n, {p('coalesce(n.n, 0)', 'coalesce(t.total, 0)')} AS p, {p('k.lang_n', 'l.lang_total')} AS q
+          FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN n USING (lang, source, term) LEFT JOIN t USING (lang, source)),
+    pair AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x) WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sharding": op2_sharding,
@@ -221,6 +248,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_prefix_trie": op11_prefix_trie,
+    "op13_source_divergence": op13_source_divergence,
 }
 ORACLE_SQL = {
     "op3_source_mixing": _op3_sql(),
@@ -230,4 +258,5 @@ ORACLE_SQL = {
     "op8_embedding_near_dedup": _OP8_SQL,
     "op10_suffix_dedup": _OP10_SQL,
     "op11_prefix_trie": _OP11_SQL,
+    "op13_source_divergence": _op13_sql(),
 }

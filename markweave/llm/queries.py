@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markweave.llm import divergence, embedding_dedup, line_dedup, mixing, packing, prefix_trie, quality, secrets, sharding, simhash, suffix_dedup, token_scan
+from markweave.llm import divergence, embedding_dedup, line_dedup, mixing, packing, pii, prefix_trie, quality, secrets, sharding, simhash, suffix_dedup, token_scan
 from markweave.llm.common import read_table
 
 
@@ -209,6 +209,10 @@ _OP11_SQL = f"""
     FROM n JOIN s ON s.p = n.p AND s.a = n.d LEFT JOIN n f ON f.d = n.d - 1 AND f.p = n.p[1:n.d - 1]"""
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read_table(spark, sf_dir, "documents"))
 
@@ -248,6 +252,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_pii": op12_pii,
     "op13_source_divergence": op13_source_divergence,
 }
 ORACLE_SQL = {

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from markweave.functions.text import blank_to_null
 from markweave.operators.filters import FilterSpec, apply
 from markweave.operators.linkage import representatives
-from markweave.operators.numbering import numbered
+from markweave.operators.numbering import numbered, sums_before
 
 #: Facet limits, the years' half-months and category labels.
 LIMITS = {"country": 20, "nice": 45, "applicant": 8, "ip_agency": 8}
@@ -188,17 +188,22 @@ def year_summary(gazettes: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def percentile_at(rows: DataFrame, by: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """The value at index min(n-1, floor(q n)) of each group's sorted values: all are
-    numbered in one order, and a group's places follow from its first, so that no group is
-    sorted by one task."""
-    ranked = numbered(rows.where(F.col(value).isNotNull()).select(*by, value), [*by, value])
-    groups = ranked.groupBy(*by).agg(F.min("_i").alias("_first"), F.count("*").alias("_n")).select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], "_first", "_n")
+    """The value at index min(n-1, floor(q n)) of each group's sorted values.
+
+    Equal values are counted first, then each has the number of rows before it in one order of
+    groups and values; a group's places follow from its first. So neither a group nor a
+    value is sorted by one task, and a value costs one row however frequent it is.
+    """
+    cells = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    placed = sums_before(cells, [*by, value], "_c", "_at")
+    groups = placed.groupBy(*by).agg(F.min("_at").alias("_first"), F.sum("_c").alias("_n")).select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], "_first", "_n")
     same = F.lit(True)
     for i, b in enumerate(by):
         same = same & F.col(b).eqNullSafe(F.col(f"_g{i}"))
+    place = F.col("_at") - F.col("_first")
     at = lambda q: F.least(F.col("_n") - 1, F.floor(F.lit(q) * F.col("_n")))
-    placed = ranked.join(groups, same).withColumn("_at", F.col("_i") - F.col("_first"))
-    return placed.groupBy(*by).agg(*[F.max(F.when(F.col("_at") == at(q), F.col(value))).alias(k) for k, q in quantiles.items()])
+    holds = lambda q: (place <= at(q)) & (at(q) < place + F.col("_c"))
+    return placed.join(groups, same).groupBy(*by).agg(*[F.max(F.when(holds(q), F.col(value))).alias(k) for k, q in quantiles.items()])
 
 
 def retrieval_scores(pairs: DataFrame, by: list[str]) -> DataFrame:

@@ -1,35 +1,47 @@
-"""Numbers in a global order without a global sort in one task."""
+"""Numbers and sums in a global order, without one task that sorts all rows or all rows of a
+value."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that the bounds of ranges are taken from, for each range.
-SAMPLE = 50
+from markweave.storage import saved
 
 
-def _bounds(rows: DataFrame, order: list[str], parts: int) -> list[Column]:
-    """Structs that cut rows into `parts` ranges of about equal size, from a bounded sample:
-    the least rows by a hash, which is the same on every run."""
-    found = rows.select(*order).orderBy(F.xxhash64(*order)).limit(SAMPLE * parts).collect()
-    at = sorted(found, key=lambda r: [(x is not None, x) for x in r])
-    kinds = [rows.schema[c].dataType for c in order]
-    cuts = dict.fromkeys(tuple(at[i * len(at) // parts]) for i in range(1, parts)) if at else {}
-    return [F.struct(*[F.lit(x).cast(k).alias(c) for x, k, c in zip(cut, kinds, order, strict=True)]) for cut in cuts]
+def _ranged(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows in a written table, dealt to ranges of the columns, with the number of the range.
+    No two rows should be equal in these, so that Spark's bounds can cut anywhere."""
+    return saved(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "_i", parts: int | None = None) -> DataFrame:
-    """Adds the place (from 0) of each row in the ascending order of the columns, NULL first.
+def _bases(ranged: DataFrame, weight: Column) -> DataFrame:
+    """(_part, _base): the weight of all ranges before; a row for each range, which the shuffle
+    partitions bound."""
+    sums = ranged.groupBy("_part").agg(F.sum(weight).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_base"))
+
+
+def sums_before(cells: DataFrame, order: list[str], weight: str, name: str = "_before") -> DataFrame:
+    """Adds the sum (long) of `weight` over the rows that come before in the ascending order of
+    the columns, NULL first. No two rows are equal in these columns: count equal ones first,
+    so that a value of any frequency is one row."""
+    ranged = _ranged(cells, order)
+    before = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumn("_in", F.coalesce(F.sum(weight).over(before), F.lit(0)))
+    return inside.join(F.broadcast(_bases(ranged, F.col(weight))), "_part").withColumn(name, (F.col("_base") + F.col("_in")).cast("long")).drop("_part", "_in", "_base")
 
-    Rows are dealt to ranges by fixed bounds, ranked inside them, and moved on by the number of
-    rows in the ranges before. Rows equal in all columns share a range, in any order.
+
+def numbered(rows: DataFrame, order: list[str], name: str = "_i") -> DataFrame:
+    """Adds the place (long, from 0) of each row in the ascending order of the columns, NULL
+    first; equal rows in any order.
+
+    A row's number in the table that is written first parts equal rows, so a range may end
+    among them and no value is one task's.
     """
-    bounds = _bounds(rows, order, parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    part = sum(((F.struct(*order) >= b).cast("int") for b in bounds), F.lit(0))
-    dealt = rows.withColumn("_part", part)
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.withColumn("_in", inside).join(F.broadcast(bases), "_part").withColumn(name, F.col("_base") + F.col("_in") - 1).drop("_part", "_in", "_base")
+    table = saved(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    ranged = _ranged(table, [*order, "_row"])
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order, "_row"))
+    placed = ranged.withColumn("_in", inside).join(F.broadcast(_bases(ranged, F.lit(1))), "_part")
+    return placed.withColumn(name, (F.col("_base") + F.col("_in") - 1).cast("long")).drop("_part", "_in", "_base", "_row")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from markweave.functions.phonetics import entity_norm
 from markweave.functions.text import blank_to_null, clean_text, head_before_address, mark_category, lineage_key, nice_classes, strip_note
 from markweave.operators.linkage import with_representative
 
@@ -54,13 +55,14 @@ def derive(marks: DataFrame, domestic: DataFrame, madrid: DataFrame, names: Data
             "mark_name": F.coalesce(blank_to_null(F.col("mark_sample")), blank_to_null(_gated(c, F.col("d.mark_text"), F.col("m.mark_text")))),
         }
     ).drop("d", "m")
-    rows = rows.withColumns({"applicant_norm": F.lower("applicant_clean"), "representative_norm": F.lower("representative_clean")})
+    rows = rows.withColumns({"applicant_norm": entity_norm(F.col("applicant_clean")), "representative_norm": entity_norm(F.col("representative_clean"))})
     return with_representative(rows)
 
 
 def fill_sample(marks: DataFrame, names: DataFrame) -> DataFrame:
-    """A sample from the reference where there is none."""
-    n = names.select(F.col("application_number").alias("_a"), F.col("mark_sample").alias("_s"))
+    """A sample from the reference where there is none. A number that repeats in
+    names (name_index gives each once) has its greatest sample; marks are never doubled."""
+    n = names.groupBy(F.col("application_number").alias("_a")).agg(F.max("mark_sample").alias("_s"))
     return marks.join(n, F.col("application_number") == F.col("_a"), "left").withColumn("mark_sample", F.coalesce(blank_to_null(F.col("mark_sample")), "_s")).drop("_a", "_s")
 
 

@@ -9,6 +9,8 @@ from markweave.functions import phonetics
 from markweave.functions.scoring import code_coverage, composite, semantic_score, set_overlap, text_score, text_trigrams, trigram_similarity, trigrams, visual_hash_score
 from markweave.operators.filters import FilterSpec, apply, normalize_request_code
 from markweave.operators.linkage import best_of_each, dedup_key, preference, representatives
+from markweave.plans.name_postings import NameIndex
+from markweave.storage import saved, scratch, sized
 
 #: Candidates that a recall hands on, the trigram threshold, and the days before
 #: and after an anchor that make its period.
@@ -66,31 +68,30 @@ def search_text(marks: DataFrame, q: str, spec: FilterSpec = FilterSpec(), thres
 NAMES = ("mark_sample", "mark_name")
 
 
-def name_index(marks: DataFrame) -> DataFrame:
-    """(name, grams, code) of each distinct name of marks, for recall: a row of its own sound
-    and trigrams, however many marks bear it. Written once, it serves every later query."""
-    names = marks.select(F.explode(F.array(*NAMES)).alias("name")).where("name IS NOT NULL").distinct()
-    return names.select("name", trigrams(F.col("name")).alias("grams"), phonetics.metaphone(F.lower("name")).alias("code"))
+def names_of(marks: DataFrame) -> DataFrame:
+    """(name) of each distinct name of marks, of which a NameIndex is built."""
+    return marks.select(F.explode(F.array(*NAMES)).alias("name")).where("name IS NOT NULL").distinct()
 
 
-def recall_names(marks: DataFrame, q: str, index: DataFrame | None = None) -> DataFrame:
+def recall_names(marks: DataFrame, q: str, index: NameIndex | None = None) -> DataFrame:
     """Rows of marks with a name that shares trigrams with q or sounds like it,
-    with _t, the best trigram similarity of the two names. Names are matched once each in the
-    index (name_index of marks or more), and marks are joined to the few that match."""
-    index = name_index(marks) if index is None else index
-    grams = F.array(*map(F.lit, text_trigrams(q))).cast("array<string>")
-    scored = index.select("name", set_overlap("grams", grams).alias("t"), (F.col("code") == phonetics.double_metaphone(q.lower())[0][:4]).alias("heard"))
-    hits = scored.where((F.col("t") >= THRESHOLD) | F.col("heard"))
+    with _t, the best trigram similarity of the two names. Names are found once each in the
+    lists of a NameIndex of marks or more; without one, one is built for the call. Marks meet
+    the names that match in one pass, as long as these are few enough to broadcast."""
+    spark = marks.sparkSession
+    index = NameIndex.build(names_of(marks), scratch(spark, "names")) if index is None else index
+    hits = sized(saved(index.recall(q, THRESHOLD), "hits"), 100)
     rows = marks
     for c in NAMES:
         rows = rows.join(hits.select(F.col("name").alias(f"_n_{c}"), F.col("t").alias(f"_t_{c}")), F.col(c) == F.col(f"_n_{c}"), "left")
     found = rows.where(F.coalesce(*[f"_t_{c}" for c in NAMES]).isNotNull())
     # A name that didn't match has a similarity of its own.
+    grams = F.array(*map(F.lit, text_trigrams(q))).cast("array<string>")
     each = [F.when(F.col(c).isNotNull(), F.coalesce(f"_t_{c}", set_overlap(trigrams(F.col(c)), grams))) for c in NAMES]
     return found.withColumn("_t", F.greatest(*each)).select(*marks.columns, "_t")
 
 
-def search_sound(marks: DataFrame, q: str, spec: FilterSpec = FilterSpec(), threshold: float = 0.4, index: DataFrame | None = None) -> DataFrame:
+def search_sound(marks: DataFrame, q: str, spec: FilterSpec = FilterSpec(), threshold: float = 0.4, index: NameIndex | None = None) -> DataFrame:
     """Phonetic mode: trigram or sound recall, one row a mark, X09 scores over the threshold."""
     recalled = recall_names(apply(marks, spec.without("q")), q, index)
     found = deduped(capped(recalled, [F.desc("_t"), F.asc("id")], RECALL)).drop("_t")
@@ -142,7 +143,7 @@ def scored_pairs(pairs: DataFrame, weights: dict | None = None) -> DataFrame:
     return heard.withColumn("scores", pair_score("a_", "b_", F.col("_p"), weights)).drop("_p")
 
 
-def similar_marks(marks: DataFrame, anchor_id: str, limit: int = 4, weights: dict | None = None, cap: int = SIMILAR, index: DataFrame | None = None) -> DataFrame:
+def similar_marks(marks: DataFrame, anchor_id: str, limit: int = 4, weights: dict | None = None, cap: int = SIMILAR, index: NameIndex | None = None) -> DataFrame:
     """Marks that conflict with the anchor, best first: those published within PERIOD days of
     it, recalled by name, or for an anchor without one by a common class; five axes; low risks
     go. The anchor is one row. An unknown anchor gives none."""
@@ -172,16 +173,20 @@ def name_neighbours(names: DataFrame, name: str, threshold: float = THRESHOLD) -
     """J13 over a whole corpus: (a, b, similarity) of names with a < b, by a trigram prefix
     join. A pair at the threshold shares one of the |x| - ceil(t |x|) + 1 rarest trigrams of
     each name, so only those are posted; the rarest come first, which keeps posting lists
-    short."""
+    short. At a low threshold most pairs of a corpus are its result, and no plan makes that
+    small: NameIndex.neighbours() takes the names that are asked about."""
     grams = names.where(F.col(name).isNotNull()).select(F.col(name).alias("_n")).distinct()
     sets = grams.withColumn("_g", trigrams(F.col("_n"))).where(F.size("_g") > 0)
     freq = sets.select(F.explode("_g").alias("g")).groupBy("g").agg(F.count("*").alias("c"))
     ranked = sets.select("_n", F.size("_g").alias("s"), F.explode("_g").alias("g")).join(freq, "g")
     place = F.row_number().over(Window.partitionBy("_n").orderBy("c", "g"))
-    posts = ranked.withColumn("p", place).where(F.col("p") <= F.col("s") - F.ceil(F.lit(threshold) * F.col("s")) + 1).select("g", "_n", "s")
-    x, y = posts.select("g", F.col("_n").alias("a"), F.col("s").alias("sa")), posts.select("g", F.col("_n").alias("b"), F.col("s").alias("sb"))
-    sized = (F.col("sa") >= F.lit(threshold) * F.col("sb")) & (F.col("sb") >= F.lit(threshold) * F.col("sa"))
-    pairs = x.join(y, "g").where((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
+    posts = ranked.withColumn("p", place).where(F.col("p") <= F.col("s") - F.ceil(F.lit(threshold) * F.col("s")) + 1).select("g", "_n", "s", "p")
+    x, y = (posts.select("g", F.col("_n").alias(n), F.col("s").alias(f"s{n}"), F.col("p").alias(f"p{n}")) for n in "ab")
+    # The trigrams that both can still have, this one and those behind it, must be enough.
+    left = 1 + F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) + F.least("pa", "pb") - 1
+    enough = left >= (F.col("sa") + F.col("sb")) * threshold / (1 + threshold) - 1e-9
+    near = (F.col("sa") >= F.lit(threshold) * F.col("sb")) & (F.col("sb") >= F.lit(threshold) * F.col("sa"))
+    pairs = x.join(y, "g").where((F.col("a") < F.col("b")) & near & enough).select("a", "b").distinct()
     return pairs.withColumn("similarity", trigram_similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= threshold)
 
 

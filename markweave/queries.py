@@ -265,6 +265,41 @@ def _(s, d):
 ORACLE_SQL["t23_t27_derive_dag"] = ORACLE_SQL["t23_t27_derive_dag"].replace(" SELECT id, coalesce(CASE WHEN dom", f"{_DERIVED} SELECT id, coalesce(CASE WHEN dom", 1)
 
 
+_NORM = "trim(regexp_replace(replace(lower(nfc_normalize({0})), 'ß', 'ss'), '[\t-\r ]+', ' ', 'g'))"
+_FIRM = """CASE l_linenumber % 4 WHEN 0 THEN 'Straße  ' || l_suppkey WHEN 1 THEN 'STRASSE ' || l_suppkey || ' ' WHEN 2 THEN 'Cafe' || chr(769) || ' ' || l_suppkey ELSE 'CAFÉ ' || l_suppkey END"""
+
+
+@query(
+    "t21_derived_norms",
+    f""", f AS (SELECT {_FIRM} AS owner FROM lineitem) SELECT {_NORM.format('owner')} AS applicant_norm, count(*) AS n FROM f GROUP BY 1""",
+)
+def _(s, d):
+    # Firms in sharp and double s, composed and decomposed: two keys for each supplier.
+    k = F.split(col("id"), "-")
+    firm = F.when(k[1].cast("int") % 4 == 0, F.concat(lit("Straße  "), k[3])).when(k[1].cast("int") % 4 == 1, F.concat(lit("STRASSE "), k[3], lit(" "))).when(k[1].cast("int") % 4 == 2, F.concat(lit("Cafe\u0301 "), k[3])).otherwise(F.concat(lit("CAFÉ "), k[3]))
+    rows = derive.derive(marks(s, d).withColumn("applicant_name", firm), domestic(s, d).limit(0), madrid(s, d).limit(0))
+    return rows.groupBy("applicant_norm").agg(F.count("*").alias("n"))
+
+
+@query(
+    "s05_j11_last_sample_wins",
+    """, k AS (SELECT application_number AS a, arg_max(v, o) AS v FROM (SELECT application_number, 'first ' || l AS v, 1 AS o FROM (SELECT application_number, mark_text AS l FROM domestic) UNION ALL
+      SELECT application_number, 'last ' || l, 2 FROM (SELECT application_number, mark_text AS l FROM domestic) WHERE length(application_number) % 2 = 0) GROUP BY 1)
+    SELECT id, coalesce(nullif(mark_sample, ''), v) AS mark_sample FROM marks LEFT JOIN k ON a = application_number""",
+)
+def _(s, d):
+    # A CSV in which half of the numbers come twice, read as an import and used to fill samples.
+    from markweave.storage import scratch
+
+    number, text = "210 Application number", "540 Trademark sample"
+    dom = domestic(s, d)
+    lines = dom.select(F.array(F.struct(lit(1).alias("o"), F.concat(lit("first "), "mark_text").alias(text)), F.struct(lit(2).alias("o"), F.concat(lit("last "), "mark_text").alias(text))).alias("x"), col("application_number").alias(number))
+    each = lines.select(number, F.inline("x")).where((col("o") == 1) | (F.length(number) % 2 == 0))
+    path = scratch(s, "names-csv")
+    each.repartitionByRange(4, "o", number).sortWithinPartitions("o", number).select(number, lit("1/2/03").alias("220 Application submission date"), text).write.option("header", True).csv(path)
+    return derive.fill_sample(marks(s, d), readers.name_index(s, path)).select("id", "mark_sample")
+
+
 @query("t29_fill_sample", "SELECT m.id, coalesce(m.mark_sample, d.mark_text) AS mark_sample FROM marks m LEFT JOIN domestic d ON m.application_number = d.application_number")
 def _(s, d):
     names = domestic(s, d).select("application_number", col("mark_text").alias("mark_sample"))
@@ -563,6 +598,26 @@ def _(s, d):
     return search.name_neighbours(part(s, d), "p_name").withColumn("similarity", F.round("similarity", 6))
 
 
+@query(
+    "j13_anchored_neighbours",
+    f""", n AS (SELECT DISTINCT v, {_GRAMS.format('v')} AS g FROM (SELECT mark_sample AS v FROM marks UNION SELECT mark_name FROM marks) WHERE v IS NOT NULL),
+    a AS (SELECT * FROM n WHERE v IN (SELECT p_name FROM part WHERE p_partkey % 20 = 0))
+    SELECT a.v AS anchor, n.v AS name, round(len(list_intersect(a.g, n.g)) / (len(a.g) + len(n.g) - len(list_intersect(a.g, n.g))), 6) AS similarity FROM a JOIN n ON a.v <> n.v
+    WHERE len(list_intersect(a.g, n.g)) / (len(a.g) + len(n.g) - len(list_intersect(a.g, n.g))) >= 0.15""",
+)
+def _(s, d):
+    # The names that are asked about, against all names of all marks.
+    names = marks(s, d).select(col("mark_sample").alias("anchor")).where("anchor IS NOT NULL").join(part(s, d).where("p_partkey % 20 = 0").select(col("p_name").alias("anchor")), "anchor", "left_semi")
+    return roles.name_index(s, d).neighbours(names, search.THRESHOLD).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("f25_names_sharing", f""", n AS (SELECT DISTINCT v, {_GRAMS.format('v')} AS g FROM (SELECT mark_sample AS v FROM marks UNION SELECT mark_name FROM marks) WHERE v IS NOT NULL),
+    q AS (SELECT {_GRAMS.format("'cold bolt'")} AS q) SELECT v AS name, round(len(list_intersect(g, q)) / (len(g) + len(q) - len(list_intersect(g, q))), 6) AS t FROM n, q
+    WHERE len(list_intersect(g, q)) / (len(g) + len(q) - len(list_intersect(g, q))) >= 0.15""")
+def _(s, d):
+    return roles.name_index(s, d).sharing("cold bolt", search.THRESHOLD).withColumn("t", F.round("t", 6))
+
+
 @query("j14_as_of", "SELECT e.event_id, (SELECT max(b.event_id) FROM events b WHERE b.user_id = e.user_id AND b.event_type = 'view' AND b.event_id <= e.event_id) AS last_view FROM events e", False)
 def _(s, d):
     w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -922,13 +977,13 @@ def _(s, d):
 
 @query("x21_sound_search")
 def _(s, d):
-    return search.page(search.search_sound(marks(s, d), "cold bolt"), search.sort_keys("similarity"), 50).select("id", "mark_sample", "score")
+    return search.page(search.search_sound(marks(s, d), "cold bolt", index=roles.name_index(s, d)), search.sort_keys("similarity"), 50).select("id", "mark_sample", "score")
 
 
 @query("x21_similar_marks")
 def _(s, d):
     m = marks(s, d).withColumns({"logo_kind": lit(None).cast("string"), "mark_embedding": lit(None).cast("array<float>")})
-    out = search.similar_marks(m, roles.first_mark(s, d))
+    out = search.similar_marks(m, roles.first_mark(s, d), index=roles.name_index(s, d))
     return out.select("b_id", "scores.phonetic", "scores.result.score", "scores.result.verdict")
 
 

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from markweave.functions.text import lineage_key, mark_category, nice_classes
 from markweave.operators.linkage import with_representative
+from markweave.plans import search
+from markweave.plans.name_postings import NameIndex
+from markweave.storage import scratch
 
 TODAY = "1997-06-15"
 
@@ -101,6 +104,18 @@ def store(spark: SparkSession, sf_dir: str, path: str) -> None:
     spark.conf.set(f"markweave.marks.{sf_dir.rstrip('/')}", path)
 
 
+def name_index(spark: SparkSession, sf_dir: str, path: str | None = None) -> NameIndex:
+    """The names of marks, indexed as an ingest would leave them: once for a session, in path or
+    in the shared folder."""
+    key = f"markweave.names.{sf_dir.rstrip('/')}"
+    found = spark.conf.get(key, None)
+    if found:
+        return NameIndex(spark, found)
+    index = NameIndex.build(search.names_of(marks(spark, sf_dir)), path or scratch(spark, "names"))
+    spark.conf.set(key, index.root)
+    return index
+
+
 def first_mark(spark: SparkSession, sf_dir: str) -> str:
     """The id of the first mark that has a name."""
     r = _tables(spark, sf_dir, "lineitem")["lineitem"].where("l_linenumber <> 5").orderBy("l_orderkey", "l_linenumber").first()

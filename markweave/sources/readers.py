@@ -24,16 +24,33 @@ def _without_bom(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
 
 
+def _lines(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A CSV with a header; _file, _line: where a row stands in the file's order. Files are in
+    the order of their names, and blocks of a file in that of their places in it."""
+    raw = spark.read.csv(path, header=True, **options)
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = raw.select("*", F.col("_metadata.file_name").alias("_file"), place.alias("_line"))
+    return rows.toDF(*[c.lstrip("\ufeff").strip() for c in rows.columns])
+
+
 def name_index(spark: SparkSession, path: str) -> DataFrame:
     """The CSV of application numbers, dates and samples; bad dates are NULL, rows
     without a number or sample go, the last row of a number wins."""
-    raw = _without_bom(spark.read.csv(path, header=True, multiLine=False, encoding="UTF-8"))
+    raw = _lines(spark, path, multiLine=False, encoding="UTF-8")
     wanted = ("210 Application number", "220 Application submission date", "540 Trademark sample")
     if missing := [w for w in wanted if w not in raw.columns]:
         raise ValueError(f"the CSV has no {missing}")
     number, submitted, sample = (F.col(f"`{w}`") for w in wanted)
-    rows = raw.select(blank_to_null(number).alias("application_number"), short_year_date(F.trim(submitted)).alias("submission_date"), blank_to_null(sample).alias("mark_sample"))
-    return rows.where("application_number IS NOT NULL AND mark_sample IS NOT NULL")
+    rows = raw.select(blank_to_null(number).alias("application_number"), short_year_date(F.trim(submitted)).alias("submission_date"), blank_to_null(sample).alias("mark_sample"), F.struct("_file", "_line").alias("ordinal"))
+    return last_of_each(rows.where("application_number IS NOT NULL AND mark_sample IS NOT NULL"), "application_number", "ordinal")
+
+
+def last_of_each(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
+    """The row of each key with the greatest ordinal, which goes; taken before rows are
+    shuffled, so a key of any frequency is a few rows."""
+    rest = [c for c in rows.columns if c not in (key, ordinal)]
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*rest), ordinal).alias("_r"))
+    return best.select(*[F.col(key) if c == key else F.col("_r")[c].alias(c) for c in rows.columns if c != ordinal])
 
 
 def madrid_id(c: Column) -> Column:
@@ -44,13 +61,13 @@ def madrid_id(c: Column) -> Column:
 def per_file_pairs(spark: SparkSession, path: str) -> DataFrame:
     """(kind, key, sample, ordinal) from CSV files, whose names say which kind they
     are: A applications, B domestic certificates, or B Madrid numbers. Excel's errors are no
-    values."""
-    rows = _without_bom(spark.read.csv(path, header=True))
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    values. The ordinal orders rows by file name, then by their place in the file."""
+    rows = _lines(spark, path)
+    name = F.col("_file")
     kind = F.when(name.rlike(r"(?i)madrid"), "madrid").when(name.rlike(r"^[Aa]_"), "application").when(name.rlike(r"^[Bb]_"), "certificate")
     first, second = (F.trim(F.col(f"`{c}`")) for c in rows.columns[:2])
     clean = F.when(~second.rlike(r"^#(N/A|NAME\?|REF!|VALUE!|DIV/0!|NULL!|NUM!)$") & (second != ""), second)
-    out = rows.select(kind.alias("kind"), F.when(kind == "madrid", madrid_id(first)).otherwise(first).alias("key"), clean.alias("sample"), F.monotonically_increasing_id().alias("ordinal"))
+    out = rows.select(kind.alias("kind"), F.when(kind == "madrid", madrid_id(first)).otherwise(first).alias("key"), clean.alias("sample"), F.struct("_file", "_line").alias("ordinal"))
     return out.where("kind IS NOT NULL AND key <> '' AND sample IS NOT NULL")
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from markweave.functions import phonetics
 from markweave.operators import facets, filters, layout, linkage, quality
 from markweave.operators.filters import FilterSpec
-from markweave.plans import search
+from markweave.plans import derive, search
+from markweave.plans.name_postings import NameIndex
 from markweave.sources import readers, sinks
 from markweave.streaming import incremental
 
@@ -100,6 +101,18 @@ def test_name_index_and_imports(spark, tmp_path):
     (tmp_path / "n.csv").write_text("﻿210 Application number,220 Application submission date,540 Trademark sample\n4-1,1/2/70,ABC\n4-2,junk,DEF\n,1/2/03,X\n4-3,1/2/03,\n", "utf-8")
     rows = {r.application_number: r.submission_date for r in readers.name_index(spark, str(tmp_path / "n.csv")).collect()}
     assert rows == {"4-1": date(1970, 1, 2), "4-2": None}
+    # The last row of a number wins, in one file and over files by their names.
+    (tmp_path / "d").mkdir()
+    head = "210 Application number,220 Application submission date,540 Trademark sample\n"
+    (tmp_path / "d/b.csv").write_text(head + "4-1,1/2/71,NEWER\n4-9,,X\n4-9,,Y\n", "utf-8")
+    (tmp_path / "d/a.csv").write_text(head + "4-1,1/2/70,OLD\n4-1,1/3/70,NEW\n" + "4-5,1/2/03,S\n" * 300 + "4-5,1/2/03,LAST\n", "utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1000)
+    names = readers.name_index(spark, str(tmp_path / "d"))
+    assert {r.application_number: r.mark_sample for r in names.collect()} == {"4-1": "NEWER", "4-9": "Y", "4-5": "LAST"} and names.count() == 3
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    twice = spark.createDataFrame([("4-1", "A"), ("4-1", "B")], "application_number string, mark_sample string")
+    marks = spark.createDataFrame([("m1", "4-1", None), ("m2", "4-1", "own"), ("m3", None, "")], "id string, application_number string, mark_sample string")
+    assert sorted((r.id, r.mark_sample) for r in derive.fill_sample(marks, twice).collect()) == [("m1", "B"), ("m2", "own"), ("m3", None)]
     (tmp_path / "w.csv").write_text('Name,Q,Country,Classes\n"A, ""b""",foo,vn,"5;12"\n,x,usa,\n')
     good, bad = readers.watchlist_csv(spark, str(tmp_path / "w.csv"))
     assert [(r.name, r.country, r.nice_class) for r in good.collect()] == [('A, "b"', "VN", ["5", "12"])] and bad.count() == 1
@@ -156,8 +169,10 @@ def test_numbered_rows_and_percentiles(spark):
     values = [None, None, *[i * 7919 % 1009 for i in range(500)], 3, 3]
     rows = spark.createDataFrame([(v, f"g{i % 3}" if i % 5 else None) for i, v in enumerate(values)], "v int, g string")
     for parts in (1, 7):
-        got = sorted((r["_i"], r.v) for r in numbered(rows, ["v"], parts=parts).collect())
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = sorted((r["_i"], r.v) for r in numbered(rows, ["v"]).collect())
         assert [i for i, _ in got] == list(range(len(values))) and [v for _, v in got] == sorted(values, key=lambda v: (v is not None, v or 0))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert numbered(rows.limit(0), ["v"]).isEmpty()
     out = {r.g: (r.low, r.high) for r in facets.percentile_at(rows, ["g"], "v", {"low": 0.5, "high": 1.0}).collect()}
     by = {}
@@ -230,7 +245,7 @@ def brute_recall(rows, q):
 
 
 @pytest.mark.parametrize("q", ["cold bolt", "Nguyễn", "123", "zzz"])
-def test_sound_search_as_brute_force(spark, q):
+def test_sound_search_as_brute_force(spark, tmp_path, q):
     rows, marks = sound_marks(spark)
     by_id = {r[0]: r for r in rows}
     found = [by_id[i] for _, i in brute_recall(rows, q)]
@@ -244,7 +259,7 @@ def test_sound_search_as_brute_force(spark, q):
         if score >= 0.4:
             want[i] = score
     assert {r.id: r.score for r in search.search_sound(marks, q).collect()} == want
-    index = search.name_index(marks).cache()
+    index = NameIndex.build(search.names_of(marks), str(tmp_path / f"names-{len(q)}"))
     assert {r.id: r.score for r in search.search_sound(marks, q, index=index).collect()} == want
 
 
@@ -267,3 +282,45 @@ def test_similar_marks_as_brute_force(spark):
         want = [i for _, _, i in sorted(scored)][:4]
         assert [r.b_id for r in search.similar_marks(marks, anchor).collect()] == want, anchor
     assert search.similar_marks(marks, "nobody").isEmpty()
+
+
+def many_marks(spark, n=3000):
+    import random
+
+    rng = random.Random(6)
+    pick = lambda *x: rng.choice(x)
+    rows = []
+    for i in range(n):
+        app = pick(None, "", f"4-{rng.randrange(n // 2)}")
+        rows.append((f"m{i:06d}", pick("g1", "g2", "g3", None), app, pick(None, f"C{i}"), None, pick(None, f"L{i % 50}"), pick(None, date(2020, 1, 1 + i % 28)), pick("VN", "US", "FR", None), sorted({pick("05", "12", "30") for _ in range(i % 3)}) or None, [pick("5.7.1", "5.7.20", "5.3.13", "26.1.1") for _ in range(i % 4)] or None, pick("A", "B_domestic"), pick("domestic_application", "unknown"), pick("Company", None), f"Owner {rng.randrange(40)}", pick("Agent x", "agent Y", None), pick(2019, 2020), pick(1, 2)))
+    schema = "id string, gazette_id string, application_number string, certificate_number string, madrid_number string, lineage_key string, vn_grant_date date, applicant_country_code string, nice_classes array<string>, vienna_codes array<string>, record_type string, mark_category string, applicant_type string, applicant_name string, ip_agency string, year int, month int"
+    madrid = spark.createDataFrame([(f"L{i}", pick("granted", "refused", None), ["VN", "FR"][: i % 3]) for i in range(45)], "irn string, vn_status string, designated_countries array<string>")
+    return spark.createDataFrame(rows, schema).withColumns({"mark_sample": F.lit(None).cast("string"), "mark_name": F.lit(None).cast("string")}).cache(), madrid
+
+
+SPECS = [
+    FilterSpec(), FilterSpec(country="vn"), FilterSpec(nice_class=("05", "12")), FilterSpec(nice_class=("05", "12"), nice_mode="any", record_type="A"), FilterSpec(vienna=("5.7", "26.1.1")), FilterSpec(vienna=("5.7.1", "5.3"), vienna_mode="any", year=2020, month=2),
+    FilterSpec(applicant="owner 1", granted=True), FilterSpec(ip_agency="AGENT", mark_category="unknown", applicant_type="Company"), FilterSpec(gazette_id="g2", country="US"), FilterSpec(designated_country="fr", vn_status="granted"), FilterSpec(country="XX"), FilterSpec(vienna=("5.07.01",), country="FR"),
+]
+
+
+def test_bitmaps_as_scans(spark, tmp_path):
+    from markweave.operators.facet_index import FacetIndex
+
+    marks, madrid = many_marks(spark)
+    index = FacetIndex.build(marks, str(tmp_path / "facets"), madrid)
+    for spec in SPECS:
+        assert ids(index.ids(spec)) == ids(filters.apply(marks, spec, madrid)), spec
+        reps = linkage.representatives(marks)
+        assert ids(index.ids(spec, representatives=True)) == ids(filters.apply(reps, spec, madrid)), spec
+        if spec.vn_status is None:
+            want = {tuple(r) for r in facets.facets_all(marks, spec).collect() if r.n}
+            assert {tuple(r) for r in index.facets(spec).collect()} == want, spec
+        one = facets.facet(marks, "applicant_country_code", "country", spec, 20, madrid)
+        assert [tuple(r) for r in index.facet("country", spec).collect()] == [tuple(r) for r in one.collect()], spec
+    with pytest.raises(ValueError):
+        index.ids(FilterSpec(q="x"))
+    # A second build takes the place of the first.
+    again = FacetIndex.build(marks.where("year = 2020"), str(tmp_path / "facets"))
+    assert ids(again.ids(FilterSpec(country="VN"))) == ids(marks.where("year = 2020 AND applicant_country_code = 'VN'")) and len(again.gens.clean()) == 1
+    assert again.ids(FilterSpec(year=2020)).count() == marks.where("year = 2020").count()

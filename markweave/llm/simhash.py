@@ -6,7 +6,10 @@ Inside a bucket the fingerprints are sorted by Gray rank; runs of them share bit
 are factored out as a mask and pattern into upper nodes, level by level. The search
 descends pairs of nodes, counting differences on bits that both share and were not counted
 above, and drops whole groups when the sum passes the limit. A bucket gives the edges of a
-forest, never its pairs. Buckets above `bucket_rows` are dealt again on their free bits
+forest, never its pairs. Where codes are only parts of longer fingerprints, rows carry more
+bits of these (`check`), a pair is a link only if those are near too, and the forest is the
+one of least distances: it connects what links of up to any distance connect, so what later
+filters drop takes no closer link with it. Buckets above `bucket_rows` are dealt again on their free bits
 (`bits` + 1 parts, one of which agrees), until FREE_BITS or fewer are free: a bucket of
 distinct fingerprints then has at most 2^15 rows, whatever the data.
 """
@@ -27,6 +30,8 @@ from markweave.llm.common import LOWER, saved, sized, text_of
 from markweave.llm.components import components
 
 SEED, FREE_BITS = 42, 15
+#: Columns with more bits of the fingerprint that a code is of.
+CHECK = ("c0", "c1")
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -73,9 +78,11 @@ def _moved(code: Column, lead: int, at: int, size: int) -> Column:
     return out
 
 
-def _tree_edges(codes: np.ndarray, starts: np.ndarray, bits: int, fan: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def _tree_edges(codes: np.ndarray, starts: np.ndarray, bits: int, fan: int = 16, check: np.ndarray | None = None, limit: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(a, b) indices: a forest of links of at most `bits` differences whose trees are what
-    such links reach. starts: where buckets begin; inside them codes are in Gray order."""
+    such links reach. starts: where buckets begin; inside them codes are in Gray order.
+    check: longs of each code, in which a link differs by at most `limit` bits; then the
+    forest is the one of least distances in these."""
     n = len(codes)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     mask, pattern, bucket_starts = [np.full(n, full)], [codes], starts
@@ -92,7 +99,7 @@ def _tree_edges(codes: np.ndarray, starts: np.ndarray, bits: int, fan: int = 16)
         mask.append(shared)
         pattern.append(both & shared)
         bucket_starts = offset
-    labels, forest = np.arange(n), [(np.zeros(0, int), np.zeros(0, int))]
+    labels, forest, links = np.arange(n), [(np.zeros(0, int), np.zeros(0, int))], []
     top = len(mask) - 1
     roots = np.arange(len(mask[top]))
     zero = np.zeros(len(roots), np.int64)
@@ -101,7 +108,15 @@ def _tree_edges(codes: np.ndarray, starts: np.ndarray, bits: int, fan: int = 16)
         level, a, b, spent, seen = todo.pop()
         if level == 0:
             keep = a < b
-            forest += _union(labels, a[keep], b[keep])
+            if check is None:
+                forest += _union(labels, a[keep], b[keep])
+                continue
+            a, b = a[keep], b[keep]
+            apart = np.bitwise_count(check[a] ^ check[b]).sum(1, dtype=np.int64)
+            near = apart <= limit
+            links.append((a[near], b[near], apart[near]))
+            if sum(len(x[0]) for x in links) > 1 << 21:
+                links = [_least_forest(n, links)]
             continue
         kids = first_child[level - 1]
         na, nb = kids[a + 1] - kids[a], kids[b + 1] - kids[b]
@@ -119,9 +134,21 @@ def _tree_edges(codes: np.ndarray, starts: np.ndarray, bits: int, fan: int = 16)
         cost = spent[pair] + np.bitwise_count((pattern[level - 1][i] ^ pattern[level - 1][j]) & new)
         keep = (cost <= bits) & (i <= j)
         todo.append((level - 1, i[keep], j[keep], cost[keep], shared[keep]))
+    if links:
+        forest.append(_least_forest(n, links)[:2])
     return tuple(np.concatenate(x) for x in zip(*forest, strict=True))
 
 
+def _least_forest(n: int, links: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(a, b, distance): the links of a spanning forest of least distances."""
+    a, b, apart = (np.concatenate(x) for x in zip(*links, strict=True))
+    labels, out = np.arange(n), [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))]
+    for d in np.unique(apart):
+        at = apart == d
+        out += [(x, y, np.full(len(x), d)) for x, y in _union(labels, a[at], b[at])]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _union(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Hooks larger roots to smaller ones until a and b agree; labels stay flat. The pairs
     that hooked a root come back."""
@@ -145,47 +172,59 @@ def _union(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[np.nd
     return hooked
 
 
-def _bucket_edges(rows: DataFrame, lead: int, bits: int) -> DataFrame:
-    """(a, b) of the forest of each bucket (table, first `lead` bits of code), by fp."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches as arrays, cut so that rows of one value of the first
+    `keys` columns are together."""
+    held: list[list[np.ndarray]] = []
+    joined = lambda: [np.concatenate(x) for x in zip(*held, strict=True)]
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        if held and any(c[0] != h[-1] for c, h in zip(columns[:keys], held[-1], strict=False)):
+            yield joined()
+            held = []
+        change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:keys]])) + 1
+        if len(change):  # the last group may go on in the next batch
+            held.append([c[: change[-1]] for c in columns])
+            yield joined()
+            held = []
+        held.append([c[change[-1] if len(change) else 0 :] for c in columns])
+    if held:
+        yield joined()
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where groups of equal keys begin."""
+    return np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
+
 
-    def search(buckets: np.ndarray, codes: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.append(True, (buckets[1:] != buckets[:-1]).any(1))) if len(codes) else np.zeros(0, int)
-        a, b = _tree_edges(codes, starts, bits) if len(codes) else (np.zeros(0, int), np.zeros(0, int))
-        return pa.RecordBatch.from_arrays([pa.array(fps[a]), pa.array(fps[b])], ["a", "b"])
+def _bucket_edges(rows: DataFrame, lead: int, bits: int, limit: int) -> DataFrame:
+    """(a, b) of the forest of each bucket (table, first `lead` bits of code), by fp. limit:
+    of the bits in which the columns behind fp may differ, if there are any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            table, lead_bits, code, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not len(code):
-                continue
-            buckets, code = np.stack([table, lead_bits], 1), code.view(np.uint64)
-            change = np.flatnonzero((buckets[1:] != buckets[:-1]).any(1)) + 1
-            if held and (buckets[0] != held[-1][0][-1]).any():
-                yield search(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held = []
-            if len(change):  # the last bucket may go on in the next batch
-                cut = change[-1]
-                held.append((buckets[:cut], code[:cut], fp[:cut]))
-                yield search(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held = [(buckets[cut:], code[cut:], fp[cut:])]
-            else:
-                held.append((buckets, code, fp))
-        if held:
-            yield search(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        for table, first, code, fp, *check in _whole_groups(batches, 2):
+            more = np.stack(check, 1).view(np.uint64) if check else None
+            a, b = _tree_edges(code.view(np.uint64), _starts(table, first), bits, check=more, limit=limit)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rows.select("table", F.shiftrightunsigned("code", 64 - lead).alias("lead"), "code", "fp")
+    keyed = rows.select("table", F.shiftrightunsigned("code", 64 - lead).alias("lead"), "code", "fp", *_check(rows))
     # An unsigned order of ranks: the sign bit turned.
     rank = gray_rank(F.col("code")).bitwiseXOR(F.lit(-(1 << 63)))
     sorted_rows = keyed.repartition(parts, "table", "lead").sortWithinPartitions("table", "lead", rank)
     return sorted_rows.mapInArrow(run, "a long, b long")
 
 
+def _check(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c in CHECK]
+
+
 def _dealt(rows: DataFrame, codes: list[Column], *keys: str) -> DataFrame:
     """Each row once for each code, under a table of its own for keys and that code."""
     each = F.array(*[F.struct(F.xxhash64(*keys, F.lit(i)).alias("table"), c.alias("code")) for i, c in enumerate(codes)])
-    return rows.select("fp", F.inline(each)).select("table", "code", "fp")
+    return rows.select("fp", *_check(rows), F.inline(each)).select("table", "code", "fp", *_check(rows))
 
 
 def near_fingerprints(fps: DataFrame, bits: int = 2, bucket_rows: int = 4096) -> DataFrame:
@@ -194,10 +233,11 @@ def near_fingerprints(fps: DataFrame, bits: int = 2, bucket_rows: int = 4096) ->
     return near_codes(fps.select(F.lit(0).alias("table"), F.col("fp").alias("code"), "fp"), 64, bits, 2, bucket_rows)
 
 
-def near_codes(rows: DataFrame, width: int, bits: int, agree: int, bucket_rows: int) -> DataFrame:
+def near_codes(rows: DataFrame, width: int, bits: int, agree: int, bucket_rows: int, limit: int = 0) -> DataFrame:
     """near_fingerprints for rows (table, code, fp) with distinct codes in a table, which are
     the first `width` bits of a long; edges name the fp. The code is cut into bits + agree
-    segments, `agree` of which agree in a pair."""
+    segments, `agree` of which agree in a pair. With the CHECK columns, in which linked rows
+    differ by at most `limit` bits, a few rows may share a code."""
     size = width // (bits + agree)
     if agree not in (1, 2) or size < 4:
         raise ValueError("segments of four bits and more, one or two of which agree")
@@ -218,7 +258,7 @@ def near_codes(rows: DataFrame, width: int, bits: int, agree: int, bucket_rows:
         again = width - lead > FREE_BITS and size and not large.isEmpty()
         keyed = level.withColumn("lead", bucket)
         take = keyed.join(sizes.where(F.col("n") <= bucket_rows) if again else sizes, ["table", "lead"], "left_semi")
-        edges = _bucket_edges(take, lead, bits)
+        edges = _bucket_edges(take, lead, bits, limit)
         out = edges if out is None else out.unionByName(edges)
         if not again:
             return out
@@ -258,8 +298,8 @@ def _least_of(distinct: DataFrame, edges: DataFrame) -> DataFrame:
     return saved(of.select("fp", "root").join(least, "root").select("fp", "component_id"), "classes")
 
 
-#: Longs of a wide fingerprint; each half of one is a code of CODE_BITS that is searched for
-#: others within CODE_NEAR bits.
+#: Longs of a wide fingerprint; each half of one has a code of CODE_BITS, which is searched
+#: for others within CODE_NEAR bits.
 WIDE, CODE_BITS, CODE_NEAR = 12, 32, 2
 _MIX = np.array([0x9E3779B97F4A7C15 * i % (1 << 64) for i in range(WIDE)], np.uint64)
 
@@ -300,14 +340,63 @@ def _wide(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_key long, " + ", ".join(f"w{i} long" for i in range(WIDE)))
 
 
-def _candidate_pairs(distinct: DataFrame, bucket_rows: int) -> DataFrame:
+def check_limits(similarity: float) -> tuple[int, int]:
+    """Differing bits of the CHECK columns up to which rows of one code are taken for one (what
+    is expected halfway between the similarity and 1), and up to which rows may be linked:
+    four deviations above what is expected at the similarity. Of chance meetings, which
+    differ in half the bits, one in a million passes at 0.8."""
+    bits, apart = 64 * len(CHECK), lambda x: math.acos(2 * x / (1 + x)) / math.pi
+    p = apart(similarity)
+    return int(bits * apart((1 + similarity) / 2)), int(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
+
+
+def _leaders(rows: DataFrame, similarity: float, bucket_rows: int, whole: bool) -> DataFrame:
+    """rows (table, code, fp, CHECK) with `to`: the fp of a row of the same code that is nearly
+    the same, and goes on for this one; null for rows that go on. Beyond bucket_rows rows
+    that go on in one code, all that may be linked to one of them are taken for it. whole:
+    rows are sorted by table and code; otherwise groups are those inside a batch."""
+    close, linked = check_limits(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = _whole_groups(batches, 2) if whole else ([c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows)
+        for columns in groups:
+            if not whole:
+                order = np.lexsort(columns[2::-1])
+                columns = [c[order] for c in columns]
+            fp, check = columns[2], np.stack(columns[3:], 1).view(np.uint64)
+            first = _starts(*columns[:2])
+            last = np.append(first[1:], len(fp))
+            to, has = fp.copy(), np.zeros(len(fp), bool)
+            for s, e in zip(first[last - first > 1].tolist(), last[last - first > 1].tolist(), strict=True):
+                stays = np.array([s])
+                for i in range(s + 1, e):
+                    apart = np.bitwise_count(check[stays] ^ check[i]).sum(1, dtype=np.int64)
+                    k = int(apart.argmin())
+                    if apart[k] <= (close if len(stays) < bucket_rows else linked):
+                        to[i], has[i] = fp[stays[k]], True
+                    else:
+                        stays = np.append(stays, i)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(to, mask=~has)], names)
+
+    names = ["table", "code", "fp", *CHECK, "to"]
+    return rows.select(names[:-1]).mapInArrow(run, "table int, code long, fp long, " + ", ".join(f"{c} long" for c in CHECK) + ", to long")
+
+
+def _candidate_pairs(distinct: DataFrame, bucket_rows: int, similarity: float) -> DataFrame:
     """(a, b, differ) of forests of codes near each other, by fp, with the differing bits of
-    the wide fingerprints. Rows of one code are linked to one of them."""
-    halves = [F.struct(F.lit(2 * i + k).alias("table"), F.shiftleft(F.shiftrightunsigned(f"w{i}", 32) if k else F.col(f"w{i}"), 32).alias("code")) for i in range(WIDE) for k in range(2)]
-    codes = distinct.select("fp", F.inline(F.array(*halves)))
-    first = saved(codes.groupBy("table", "code").agg(F.min("fp").alias("fp"), F.count("*").alias("n")), "codes")
-    stars = codes.withColumnRenamed("fp", "a").join(first.where("n > 1").withColumnRenamed("fp", "b"), ["table", "code"]).where("a <> b").select("a", "b")
-    near = near_codes(first, CODE_BITS, CODE_NEAR, 1, bucket_rows)
+    the wide fingerprints. The next words of a fingerprint are a code's check. Of rows that
+    have one code and nearly one fingerprint the first goes on: of those at hand where codes
+    are made, then of all, so that a large family is few rows when it is shuffled."""
+    top = lambda c: F.shiftleft(F.shiftrightunsigned(c, 64 - CODE_BITS), 64 - CODE_BITS)
+    checks = lambda i: [F.col(f"w{(i + 1 + k) % WIDE}").alias(c) for k, c in enumerate(CHECK)]
+    halves = [F.struct(F.lit(2 * i + k).alias("table"), top(F.col(f"w{i}") if k else F.shiftleft(f"w{i}", 32)).alias("code"), *checks(i)) for i in range(WIDE) for k in range(2)]
+    codes = distinct.select("fp", F.inline(F.array(*halves))).select("table", "code", "fp", *CHECK)
+    here = saved(_leaders(codes, similarity, bucket_rows, whole=False), "codes-here")
+    parts = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = here.where("to IS NULL").repartition(parts, "table", "code").sortWithinPartitions("table", "code", "fp")
+    first = saved(_leaders(dealt, similarity, bucket_rows, whole=True), "codes")
+    stars = here.unionByName(first).where("to IS NOT NULL").select(F.col("fp").alias("a"), F.col("to").alias("b"))
+    near = near_codes(first.where("to IS NULL").drop("to"), CODE_BITS, CODE_NEAR, 1, bucket_rows, check_limits(similarity)[1])
     pairs = stars.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda x: distinct.select(F.col("fp").alias(x), *[F.col(f"w{i}").alias(f"{x}{i}") for i in range(WIDE)])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -341,8 +430,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket
     Links join texts whose sets of word shingles have a Jaccard similarity of at least
     `similarity`. Wide fingerprints say which pairs may be (bit_limits): codes of them that
     differ in few bits are found by the Gray-order index, and pairs that aren't surely as
-    similar are verified by their texts. A pair at 0.8 is found with a chance of some 0.92, at
-    0.85 of some 0.99; in a group of copies any chain of pairs is enough. Texts without words
+    similar are verified by their texts (of pairs just below 0.8, one in 400 counts as sure;
+    at 0.77, one in 20,000). A pair at 0.8 is found with a chance of some 0.92, at 0.85 of
+    some 0.99; in a group of copies any chain of pairs is enough. Texts without words
     are one class, as are equal texts; a null text is empty. A null doc_id is kept only in a
     class of such. Other columns of docs are not used.
     """
@@ -351,7 +441,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket
     of = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     distinct = saved(fp.groupBy(*w).agg(of.alias("_of")).select(F.xxhash64(*w).alias("fp"), *w, F.col("_of")["doc_id"].alias("least"), F.col("_of")["text_key"].alias("text_key")), "wide-distinct")
     surely, maybe = bit_limits(similarity)
-    pairs = saved(_candidate_pairs(distinct, bucket_rows).where(F.col("differ") <= maybe), "pairs")
+    pairs = saved(_candidate_pairs(distinct, bucket_rows, similarity).where(F.col("differ") <= maybe), "pairs")
     sure = pairs.where(F.col("differ") <= surely).select("a", "b")
     edges = sure.unionByName(_verified(pairs.where(F.col("differ") > surely).select("a", "b"), distinct, docs, words, similarity))
     classes = _least_of(distinct.select("fp", "least"), saved(edges, "edges"))

@@ -96,3 +96,33 @@ def test_recall_of_near_copies(spark, cap):
     assert sum(got[d] == want[d] for d in linked) >= 0.9 * len(linked)
     sure = [d for d in linked if d >= 1000]
     assert len(sure) == 59 and all(got[d] == 1000 for d in sure)
+
+
+def test_chance_neighbours_take_no_copies(spark, monkeypatch):
+    # Codes of 12 bits have 79 of 4,096 within two bits: 20 and more chance neighbours each.
+    monkeypatch.setattr(simhash, "CODE_BITS", 12)
+    rng, texts = np.random.default_rng(8), {}
+    for i in range(250):
+        base = [f"w{rng.integers(5000)}" for _ in range(300)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(base), " ".join(edited(rng, base, 0.018 + 0.006 * rng.random()))
+    for i in range(600):
+        texts[1000 + i] = " ".join(f"w{rng.integers(5000)}" for _ in range(300))
+    texts |= {2000 + i: " ".join(edited(rng, base, 0.003)) for i in range(40)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_copies(texts)
+    linked = [d for d, c in want.items() if c != d]
+    assert len(linked) > 150
+    for cap in (4096, 8):
+        got = {r.doc_id: r.component_id for r in simhash.near_copies(rows, bucket_rows=cap).collect()}
+        assert all(got[d] == want[d] for d in got if want[d] == d)
+        assert sum(got[d] == want[d] for d in linked) >= 0.9 * len(linked), cap
+
+
+def test_least_forests_keep_every_threshold():
+    rng = np.random.default_rng(9)
+    a, b, apart = rng.integers(0, 60, 400), rng.integers(0, 60, 400), rng.integers(0, 12, 400)
+    kept = simhash._least_forest(60, [(a[:150], b[:150], apart[:150]), (a[150:], b[150:], apart[150:])])
+    for most in range(12):
+        links = lambda x: [(i, j) for i, j, d in zip(*(y.tolist() for y in x), strict=True) if d <= most]  # noqa: B023, E731
+        assert reach(range(60), links((a, b, apart))) == reach(range(60), links(kept))
+    assert len(kept[0]) < 60

@@ -15,7 +15,7 @@ from markweave.operators import facets, filters, layout, linkage, quality
 from markweave.operators.filters import FilterSpec
 from markweave.plans import derive, search
 from markweave.sources import readers, sinks
-from markweave.streaming import incremental
+from markweave.streaming import incremental, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,6 +154,55 @@ def _(s, d):
     return readers.keyset_page(marks(s, d).select("application_number", "id"), ["application_number", "id"], ("4-2", ""), 100)
 
 
+@query("s21_clustered_page", "SELECT publication_date, id FROM marks WHERE (publication_date IS NOT NULL) AND (publication_date < DATE '1996-03-01' OR (publication_date = DATE '1996-03-01' AND id > '5')) ORDER BY publication_date DESC, id LIMIT 100", days="publication_date")
+def _(s, d):
+    # Pages in the order of search: the latest publication first, then the id.
+    late = (-F.unix_date("publication_date")).alias("late")
+    table = roles.clustered(s, d, marks(s, d).where("publication_date IS NOT NULL").select(late, "id", "publication_date"), ["late", "id"])
+    return table.page((-(date(1996, 3, 1) - date(1970, 1, 1)).days, "5"), 100)[0].select("publication_date", "id")
+
+
+@query("s13_s14_keyed_merge", """SELECT o_orderkey, CASE WHEN k THEN 'merged' ELSE o_orderstatus END AS status FROM (SELECT o_orderkey, o_orderstatus, o_orderkey BETWEEN lo AND lo + (hi - lo) // 100 AS k FROM orders, (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders))
+    UNION ALL SELECT -o_orderkey, 'new' FROM orders WHERE o_orderkey % 100 = 1""", False)
+def _(s, d):
+    # A hundredth of the keys is changed, rows that come twice among them, and new ones are added.
+    from markweave.sources.keyed_table import KeyedTable
+    from markweave.storage import scratch
+
+    old = orders(s, d).select("o_orderkey", col("o_orderstatus").alias("status"))
+    table = KeyedTable.create(old, scratch(s, "keyed"), ["o_orderkey"], 500)
+    ends = old.agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi")).first()
+    part = old.where(col("o_orderkey").between(ends.lo, ends.lo + (ends.hi - ends.lo) // 100)).select("o_orderkey")
+    new = part.select("o_orderkey", lit("early").alias("status"), lit(1).alias("o")).unionByName(part.select("o_orderkey", lit("merged").alias("status"), lit(2).alias("o")))
+    table.merge(new.unionByName(old.where("o_orderkey % 100 = 1").select((-col("o_orderkey")).alias("o_orderkey"), lit("new").alias("status"), lit(1).alias("o"))), "o")
+    return table.read()
+
+
+@query("st01_whole_ingest", """SELECT 'g' || (o_orderkey % 4)::VARCHAR AS gazette_id, CASE WHEN o_orderkey % 4 = 2 THEN 'second' ELSE 'first' END AS attempt, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders WHERE o_orderkey % 4 <> 3 GROUP BY 1, 2""", False)
+def _(s, d):
+    # Four gazettes: one whole, one whole and offered again, one that fails first, one that fails.
+    from markweave.storage import scratch
+    from markweave.streaming.ingest import Ingest
+
+    log = Ingest(s, scratch(s, "ingest"), "o_orderkey long, attempt string")
+
+    def rows(k: int, attempt: str, fails: bool = False):
+        def read() -> DataFrame:
+            found = orders(s, d).where(col("o_orderkey") % 4 == k).select(col("o_orderkey").cast("long").alias("o_orderkey"), lit(attempt).alias("attempt"))
+            last = found.agg(F.max("o_orderkey")).first()[0]
+            return found.withColumn("attempt", F.when(col("o_orderkey") == last, F.raise_error(lit("page 47"))).otherwise(col("attempt"))) if fails else found
+
+        return read
+
+    for k, sha, attempt, fails in ((0, "a", "first", False), (1, "b", "first", False), (1, "b", "again", False), (2, "c", "first", True), (2, "c", "second", False), (3, "d", "first", True)):
+        try:
+            log.run(f"g{k}", sha, rows(k, attempt, fails))
+        except Exception as e:
+            if "page 47" not in str(e):
+                raise
+    return log.rows().groupBy("gazette_id", "attempt").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
 @query("s23_source_type", "SELECT doc_id, CASE WHEN source LIKE 'src1%' THEN 'B' WHEN source LIKE 'src2%' THEN 'C' ELSE 'A' END AS kind FROM documents", False)
 def _(s, d):
     return documents(s, d).select("doc_id", readers.source_type(col("source"), {"A": "src0", "B": "src1", "C": "src2"}).alias("kind"))
@@ -483,6 +532,21 @@ def _(s, d):
     return filters.apply(marks(s, d), FilterSpec(vienna=("5.7", "22.08.06", "junk"), vienna_mode="any")).select("id")
 
 
+@query("f05_vienna_all_lists", ORACLE_SQL["f05_vienna_all"], False)
+def _(s, d):
+    return roles.facet_index(s, d).ids(FilterSpec(vienna=("05.07", "7.6")))
+
+
+@query("f06_vienna_any_lists", ORACLE_SQL["f06_vienna_any"], False)
+def _(s, d):
+    return roles.facet_index(s, d).ids(FilterSpec(vienna=("5.7", "22.08.06", "junk"), vienna_mode="any"))
+
+
+@query("f02_f16_bitmap_filters", "SELECT id FROM reps WHERE applicant_country_code = 'NA' AND record_type = 'A' AND year = 1996 AND lower(applicant_name) LIKE '%customer#00000010%'")
+def _(s, d):
+    return roles.facet_index(s, d).ids(FilterSpec(country="na", record_type="A", year=1996, applicant="customer#00000010"), representatives=True)
+
+
 @query("f08_normalize_code", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_size || '.' || (p_size % 7) ELSE NULL END AS code FROM part", False)
 def _(s, d):
     k = col("p_size") % 3
@@ -691,6 +755,31 @@ def _(s, d):
     return facets.facets_all(marks(s, d))
 
 
+_FILTERED = "record_type = 'A' AND list_contains(nice_classes, '05')"
+
+
+@query("a04_bitmap_country", _top("applicant_country_code"))
+def _(s, d):
+    return roles.facet_index(s, d).facet("country")
+
+
+@query("a09_bitmap_facets", ORACLE_SQL["a09_facets_all"], False)
+def _(s, d):
+    return roles.facet_index(s, d).facets()
+
+
+@query(
+    "a09_f19_bitmap_filtered",
+    f""", f AS (SELECT * FROM reps WHERE record_type = 'A') SELECT 'country' AS facet, * FROM ({_top('applicant_country_code', f"(SELECT * FROM reps WHERE {_FILTERED})")})
+        UNION ALL SELECT 'nice', value, count(*) FROM (SELECT unnest(nice_classes) AS value FROM f) GROUP BY 2
+        UNION ALL SELECT 'applicant', * FROM ({_top('applicant_name', f"(SELECT * FROM reps WHERE {_FILTERED})", 8)}) UNION ALL SELECT 'ip_agency', * FROM ({_top('ip_agency', f"(SELECT * FROM reps WHERE {_FILTERED})", 8)})
+        UNION ALL SELECT 'mark_category', mark_category, count(*) FROM reps WHERE {_FILTERED} GROUP BY 2
+        UNION ALL SELECT 'granted', 'true', count(vn_grant_date) FROM reps WHERE {_FILTERED} HAVING count(vn_grant_date) > 0""",
+)
+def _(s, d):
+    return roles.facet_index(s, d).facets(FilterSpec(record_type="A", nice_class=("05",)))
+
+
 _STREAMS = ", ".join(f"count(*) FILTER (mark_category = '{v}') AS {k}" for k, v in {"applications": "domestic_application", "registrations": "domestic_registration", "madrid": "madrid_registration", "renewals": "madrid_renewal"}.items())
 
 
@@ -699,6 +788,38 @@ def _(s, d):
     return facets.year_streams(marks(s, d))
 
 
+def _rollup(s, d):
+    """The marks taken in gazette by gazette, once for a session."""
+    from markweave.operators.rollup import Rollup
+    from markweave.storage import scratch
+
+    key = f"markweave.rollup.{d.rstrip('/')}"
+    if not s.conf.get(key, None):
+        path, m = scratch(s, "rollup"), marks(s, d)
+        rollup = Rollup(s, path)
+        for r in m.select("gazette_id").distinct().collect():  # of some seven years
+            rollup.put(r.gazette_id, m.where(col("gazette_id") == r.gazette_id))
+        s.conf.set(key, path)
+    return Rollup(s, s.conf.get(key))
+
+
+@query("a10_rollup_streams", f"SELECT year, {_STREAMS} FROM marks GROUP BY 1")
+def _(s, d):
+    return _rollup(s, d).year_streams()
+
+
+@query("a12_rollup_distinct", "SELECT record_type, count(DISTINCT dkey) AS n FROM keyed GROUP BY 1 UNION ALL SELECT NULL, count(DISTINCT dkey) FROM keyed")
+def _(s, d):
+    return _rollup(s, d).distinct_counts()
+
+
+@query("a12_sketch_within", "SELECT record_type, true AS within FROM keyed GROUP BY 1 UNION ALL SELECT NULL, true")
+def _(s, d):
+    exact = _rollup(s, d).distinct_counts().select(col("record_type").alias("_r"), col("n").alias("_n"))
+    both = _rollup(s, d).sketched_counts().join(exact, col("record_type").eqNullSafe(col("_r")))
+    return both.select("record_type", (F.abs(col("n") - col("_n")) <= 0.03 * col("_n")).alias("within"))
+
+
 @query("a11_totals", f"SELECT {_STREAMS} FROM marks")
 def _(s, d):
     counts = facets.year_streams(marks(s, d))
@@ -765,6 +886,36 @@ def _(s, d):
     return facets.watch_counts(marks(s, d), {"bolts": FilterSpec(q="bolt"), "class 5": FilterSpec(nice_class=("05",))}, lit(TODAY))
 
 
+def _changes(s, d):
+    """The marks as a stream of three micro-batches in another order, a tenth of them twice;
+    once for a session."""
+    from markweave.storage import scratch
+
+    key = f"markweave.changes.{d.rstrip('/')}"
+    if not s.conf.get(key, None):
+        watch = {"bolts": FilterSpec(q="bolt"), "class 5": FilterSpec(nice_class=("05",))}
+        path, out = scratch(s, "events"), scratch(s, "changes")
+        rows, turn = marks(s, d), lambda n: F.pmod(F.xxhash64("id") + n, lit(3))
+        events = stateful.mark_events(rows, watch, lit(1)).withColumn("_turn", turn(0))
+        every = events.unionByName(stateful.mark_events(rows.where("n1 % 10 = 0"), watch, lit(1)).withColumn("_turn", turn(2)))
+        for i in range(3):
+            every.where(col("_turn") == i).drop("_turn").coalesce(1).write.mode("append").parquet(path)
+        stream = s.readStream.schema(events.drop("_turn").schema).option("maxFilesPerTrigger", 1).parquet(path)
+        stateful.mark_changes(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(s, "stream")).trigger(availableNow=True).start().awaitTermination()
+        s.conf.set(key, out)
+    return s.read.schema(stateful.CHANGE).parquet(s.conf.get(key))
+
+
+@query("d02_d04_streamed_flags", "SELECT id FROM reps")
+def _(s, d):
+    return stateful.representatives_of(_changes(s, d))
+
+
+@query("a22_st11_streamed_counts", ORACLE_SQL["a22_st11_watchlists"], False)
+def _(s, d):
+    return stateful.watch_counts_of(_changes(s, d), lit(TODAY))
+
+
 @query("a23_this_quarter", "SELECT count(*) FILTER (month >= 4) AS quarter, count(*) AS year FROM marks WHERE year = 1997")
 def _(s, d):
     return facets.this_quarter(marks(s, d), lit(TODAY))

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markweave.functions.text import lineage_key, mark_category, nice_classes
+from markweave.operators.facet_index import FacetIndex
 from markweave.operators.linkage import with_representative
 from markweave.plans import search
 from markweave.plans.name_postings import NameIndex
+from markweave.sources.keyed_table import KeyedTable
 from markweave.storage import scratch
 
 TODAY = "1997-06-15"
@@ -116,6 +118,26 @@ def name_index(spark: SparkSession, sf_dir: str, path: str | None = None) -> Nam
     return index
 
 
+def facet_index(spark: SparkSession, sf_dir: str, path: str | None = None) -> FacetIndex:
+    """The bitmaps and lists of marks, as an ingest would leave them: once for a session."""
+    key = f"markweave.facets.{sf_dir.rstrip('/')}"
+    found = spark.conf.get(key, None)
+    if found:
+        return FacetIndex(spark, found)
+    index = FacetIndex.build(marks(spark, sf_dir), path or scratch(spark, "facets"), madrid(spark, sf_dir))
+    spark.conf.set(key, index.gens.root)
+    return index
+
+
+def clustered(spark: SparkSession, sf_dir: str, rows: DataFrame, key: list[str]) -> KeyedTable:
+    """rows of marks in the order of a key, as an ingest would leave them: once for a session."""
+    name = f"markweave.by-{'-'.join(key)}.{sf_dir.rstrip('/')}"
+    found = spark.conf.get(name, None)
+    table = KeyedTable(spark, found) if found else KeyedTable.create(rows, scratch(spark, "clustered"), key, 20_000)
+    spark.conf.set(name, table.root)
+    return table
+
+
 def first_mark(spark: SparkSession, sf_dir: str) -> str:
     """The id of the first mark that has a name."""
     r = _tables(spark, sf_dir, "lineitem")["lineitem"].where("l_linenumber <> 5").orderBy("l_orderkey", "l_linenumber").first()

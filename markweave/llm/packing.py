@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markweave.llm import tokens
-from markweave.llm.common import saved, text_of
+from markweave.llm.common import few_rows, saved, text_of
 
 LENGTH, OPEN_BINS, TASK_PIECES, END_ID = 2048, 4096, 200_000, 0
 
@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, in_order: bool = False) -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             doc, out, counts = b.column(0).to_pylist(), ([], [], [], [], []), []
             for d, t in zip(doc, b.column(1), strict=True):
                 ids = np.append(tokens.ids(t.as_py()), np.uint32(END_ID)).astype("<u4")

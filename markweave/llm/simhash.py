@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from markweave.llm.common import LOWER, saved, sized, text_of
+from markweave.llm.common import LOWER, few_rows, saved, sized, text_of
 from markweave.llm.components import components
 
 SEED, FREE_BITS = 42, 15
@@ -413,7 +413,7 @@ def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, words: int
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches, 200):
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = shingles(x.as_py(), words), shingles(y.as_py(), words)

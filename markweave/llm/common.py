@@ -39,11 +39,16 @@ def clear(spark: SparkSession) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def own_path(spark: SparkSession, what: str) -> str:
+    """A path in the shared folder that nothing else has; clear() deletes what is there."""
+    return f"{_own_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame, what: str, *partition_by: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there, so a lost
     executor costs a reread, never a recomputation of what came before. clear() deletes it."""
     spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = own_path(spark, what)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -65,8 +65,37 @@ def test_token_counts_over_any_blocks(docs, empty, clashing):
 
 def test_flat_files_and_an_open_end(spark, tmp_path):
     e = tokens.END
-    np.array([1, 2, e, e, 3, e, 4, 5], "<u2").tofile(tmp_path / "a.bin")
-    np.array([e], "<u2").tofile(tmp_path / "b.bin")
-    blocks = token_scan.read_token_files(spark, str(tmp_path), 6)
-    got = sorted((r.file[-5:], r.place, r.n_tokens, r.complete) for r in token_scan.count_tokens(blocks).collect())
-    assert got == [("a.bin", 0, 2, True), ("a.bin", 1, 0, True), ("a.bin", 2, 1, True), ("a.bin", 3, 2, False), ("b.bin", 0, 0, True)]
+    files = {"a.bin": [1, 2, e, e, 3, e, 4, 5], "b.bin": [e], "none.bin": [], "in/c.bin": [7] * 5000 + [e] + [8] * 3}
+    (tmp_path / "in").mkdir()
+    for name, ids in files.items():
+        np.array(ids, "<u2").tofile(tmp_path / name)
+    (tmp_path / "odd.bin").write_bytes(np.array([1, e], "<u2").tobytes() + b"x")
+    listed = token_scan.list_token_files(spark, str(tmp_path))
+    assert listed.count() == 5
+    want = [("a.bin", 0, 2, True), ("a.bin", 1, 0, True), ("a.bin", 2, 1, True), ("a.bin", 3, 2, False), ("b.bin", 0, 0, True), ("c.bin", 0, 5000, True), ("c.bin", 1, 3, False), ("odd.bin", 0, 1, True)]
+    for block, part in ((6, 6), (6, 18), (2, 1 << 10), (1 << 20, 64 << 20)):
+        got = sorted((r.file.rpartition("/")[2], r.place, r.n_tokens, r.complete) for r in token_scan.count_tokens(listed, block_bytes=block, range_bytes=part).collect())
+        assert got == want, (block, part)
+
+
+def test_a_file_beyond_two_gigabytes(spark, tmp_path):
+    # Sparse: ends stand at two places on both sides of 2 GB.
+    e, size = tokens.END, (2 << 30) + (64 << 20)
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate(size)
+        for at in (1 << 30, size - 4):
+            f.seek(at)
+            f.write(np.array([e], "<u2").tobytes())
+    counts = token_scan.count_tokens(token_scan.list_token_files(spark, str(tmp_path)), block_bytes=16 << 20)
+    first = (1 << 30) // 2
+    assert sorted((r.place, r.n_tokens, r.complete) for r in counts.collect()) == [(0, first, True), (1, size // 2 - 2 - first - 1, True), (2, 1, False)]
+
+
+def test_files_of_lost_attempts_do_not_count(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(6).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    listed = token_scan.write_token_files(docs, str(tmp_path / "flat"))
+    (tmp_path / "flat/000000-lost.bin").write_bytes(b"\0" * 50)
+    counts = token_scan.count_tokens(listed.where("place < 0").select("file", "bytes"))
+    assert counts.count() == 6 and len({r.n_tokens for r in counts.collect()}) == 1

@@ -29,6 +29,39 @@ def word_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
     return rows.withColumn("line_no", F.row_number().over(Window.partitionBy("doc", "page").orderBy("column", "y"))).drop("y")
 
 
+def entry_lines(words: DataFrame, width: Column | None = None, tolerance: float = 3.0) -> DataFrame:
+    """(doc, page, line_no, line) of words (doc, page, text, x0, x1, top), entry by entry.
+
+    A page of 30 words and more, of which few cross the middle, is cut where (111) or (116)
+    stands in its left half. Of an entry come the left column, the right one, then all from
+    (511) on over the full width; words above a first entry that starts at the very top (30
+    at most) are the page's header and go. Other pages are read over their full width. A line
+    goes on while tops are within the tolerance of its first word. width: the page's, or the
+    end of its last word. Words without text or a place are left out.
+    """
+    page = Window.partitionBy("doc", "page")
+    rows = words.where("text IS NOT NULL AND x0 IS NOT NULL AND top IS NOT NULL").withColumn("_mid", (F.max("x1").over(page) if width is None else width) / 2)
+    marker = F.when(F.col("text").isin("(111)", "(116)") & (F.col("x0") < F.col("_mid")), F.col("top"))
+    crossing = F.count_if((F.col("x0") < F.col("_mid")) & (F.col("x1") > F.col("_mid"))).over(page)
+    n, first = F.count("*").over(page), F.min(marker).over(page)
+    above = page.orderBy("top").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select("*", ((n >= 30) & (crossing <= F.greatest(F.lit(10.0), n * 0.1)) & first.isNotNull()).alias("_cut"), F.coalesce(F.max(marker).over(above), F.when(first > 30, 0.0)).cast("double").alias("_start"))
+    rows = rows.withColumn("_entry", F.when(F.col("_cut"), F.col("_start")).otherwise(0.0)).where("_entry IS NOT NULL")
+    wide = F.min(F.when((F.col("text") == "(511)") & (F.col("x0") < F.col("_mid")), F.col("top"))).over(Window.partitionBy("doc", "page", "_entry"))
+    rows = rows.withColumn("_wide", wide - 2)
+    part = F.when(~F.col("_cut"), 0).when(F.col("top") >= F.col("_wide"), 2).when(F.col("x0") >= F.col("_mid"), 1).otherwise(0)
+    # The words of a part of a page, a bounded number, are folded into lines in one array.
+    inside = F.struct((F.bround(F.col("top") / tolerance) * tolerance).alias("row"), F.col("x0").cast("double").alias("x0"), F.col("top").cast("double").alias("top"), "text")
+    parts = rows.groupBy("doc", "page", "_entry", part.alias("_part")).agg(F.array_sort(F.collect_list(inside)).alias("w"))
+    lines = F.expr(f"""aggregate(w, CAST(NULL AS STRUCT<done: ARRAY<STRING>, now: STRING, y: DOUBLE>),
+        (a, x) -> CASE WHEN a IS NULL THEN named_struct('done', CAST(array() AS ARRAY<STRING>), 'now', x.text, 'y', x.top)
+                       WHEN abs(x.top - a.y) > {tolerance} THEN named_struct('done', concat(a.done, array(a.now)), 'now', x.text, 'y', x.top)
+                       ELSE named_struct('done', a.done, 'now', concat(a.now, ' ', x.text), 'y', a.y) END,
+        a -> concat(a.done, array(a.now)))""")
+    placed = parts.select("doc", "page", "_entry", "_part", F.posexplode(lines).alias("_i", "line"))
+    return placed.select("doc", "page", F.row_number().over(page.orderBy("_entry", "_part", "_i")).alias("line_no"), "line")
+
+
 def marker_lines(pages: DataFrame) -> DataFrame:
     """(doc, line_no, line) of page texts (doc, page, text), a line for each marker,
     empty ones dropped."""

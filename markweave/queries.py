@@ -1517,6 +1517,30 @@ def _(s, d):
     return layout.word_lines(words).select("doc", "line_no", "line")
 
 
+@query(
+    "s03_entry_lines",
+    """WITH b AS (SELECT p_partkey // 60 AS doc, p_partkey % 60 AS k, (p_partkey % 60) // 20 AS e, p_partkey % 20 AS j, p_name, count(*) OVER (PARTITION BY p_partkey // 60) AS n FROM part),
+    p AS (SELECT *, doc % 3 = 2 AS wide, doc % 3 = 2 OR n < 30 AS plain, CASE WHEN j < 9 THEN j ELSE j - 9 END AS h FROM b),
+    w AS (SELECT doc, CASE WHEN plain THEN 0 ELSE e END AS entry, CASE WHEN plain OR j < 9 THEN 0 WHEN j < 15 THEN 1 ELSE 2 END AS part,
+            CASE WHEN wide THEN k * 10 WHEN j < 15 THEN 100 + e * 200 + h // 2 * 15 ELSE 200 + e * 200 END AS band,
+            CASE WHEN wide OR j >= 15 THEN 0 ELSE h % 2 END AS low, CASE WHEN j = 15 THEN 40 WHEN j > 15 THEN 60 + 150 * (j - 16) WHEN j < 9 THEN 40 + h % 2 * 60 ELSE 400 + h % 2 * 60 END AS x0,
+            CASE WHEN wide THEN p_name WHEN j = 0 THEN '(111)' WHEN j = 15 THEN '(511)' ELSE p_name END AS t FROM p)
+    SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY entry, part, band)::INT AS line_no, string_agg(t, ' ' ORDER BY round((band + low) / 3), x0) AS line FROM w GROUP BY doc, entry, part, band""",
+    False,
+)
+def _(s, d):
+    # Pages of three entries in two columns, every third page over the full width.
+    doc, k = F.floor(col("p_partkey") / 60), col("p_partkey") % 60
+    j, top, wide = k % 20, 100 + F.floor(k / 20) * 200, doc % 3 == 2
+    h = F.when(j < 9, j).otherwise(j - 9)
+    x0 = F.when(wide, 10).when(j == 15, 40).when(j > 15, 60 + 150 * (j - 16)).otherwise(F.when(j < 9, 40).otherwise(400) + h % 2 * 60)
+    x1 = F.when(wide, 590).when(j > 15, x0 + 130).otherwise(x0 + 50)
+    y = F.when(wide, k * 10).when(j >= 15, top + 100).otherwise(top + F.floor(h / 2) * 15 + h % 2)
+    text = F.when(wide, col("p_name")).when(j == 0, "(111)").when(j == 15, "(511)").otherwise(col("p_name"))
+    words = part(s, d).select(doc.alias("doc"), lit(1).alias("page"), text.alias("text"), x0.alias("x0"), x1.alias("x1"), y.alias("top"))
+    return layout.entry_lines(words).select("doc", "line_no", "line")
+
+
 @query(
     "s04_marker_lines",
     """SELECT doc, (2 * r - 1)::INT AS line_no, '(210) 4-' || p_partkey AS line FROM (SELECT p_partkey // 3 AS doc, p_partkey, p_name, row_number() OVER (PARTITION BY p_partkey // 3 ORDER BY p_partkey) AS r FROM part)

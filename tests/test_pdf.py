@@ -1,5 +1,6 @@
 """Small PDFs, made by hand, to words and lines."""
 
+import random
 import zlib
 
 from markweave.operators import layout
@@ -66,7 +67,7 @@ def test_what_cannot_be_read_is_a_row():
 def test_lines_of_one_and_two_columns(spark, tmp_path):
     left = [(40, 20 + 15 * i, f"({210 + i}) left {i}") for i in range(12)]
     right = [(320, 20 + 15 * i, f"right {i} end") for i in range(12)]
-    wide = [(40, 20 + 15 * i, f"a line that runs over the middle of the page with number {i} in it so it is one column") for i in range(14)]
+    wide = [(40, 20 + 15 * i, f"line{i} {'over-the-middle-of-the-page-' * 2}word end") for i in range(14)]
     (tmp_path / "two.pdf").write_bytes(make([text([x for p in zip(left, right) for x in p]), text(left[:2])]))
     (tmp_path / "one.pdf").write_bytes(make([text([(40, top, s) for _, top, s in wide])], packed=True))
     (tmp_path / "bad.pdf").write_bytes(b"nothing")
@@ -74,6 +75,50 @@ def test_lines_of_one_and_two_columns(spark, tmp_path):
     assert [(r.doc, r.page, r.error) for r in rows.where("error IS NOT NULL").collect()] == [("bad.pdf", None, "no pages")]
     lines = layout.word_lines(rows.where("error IS NULL").drop("error")).orderBy("doc", "page", "line_no").collect()
     assert [r.line for r in lines if r.doc == "two.pdf" and r.page == 1] == [s for _, _, s in left] + [s for _, _, s in right]
-    assert [r.line for r in lines if r.doc == "one.pdf"] == [s for _, _, s in wide] and [r.line for r in lines if r.page == 2] == ["(210) left 0", "(211) left 1"]
-    marks = layout.marker_lines(rows.where("error IS NULL").groupBy("doc", "page").agg({"text": "max"}).withColumnRenamed("max(text)", "text"))
-    assert not marks.isEmpty()
+    assert [r.line for r in lines if r.doc == "one.pdf"] == [s for _, _, s in wide]
+    by_entry = layout.entry_lines(rows.where("error IS NULL")).orderBy("doc", "page", "line_no").collect()
+    assert [r.line for r in by_entry if r.doc == "one.pdf"] == [s for _, _, s in wide]
+    # A page of few words is read over its full width.
+    assert [r.line for r in by_entry if r.page == 2] == ["(210) left 0", "(211) left 1"]
+
+
+def test_entry_lines_by_plain_python(spark):
+    """Random pages: entries, columns, the full width from (511) on, headers that go."""
+    rng = random.Random(7)
+
+    def lines(words):
+        out, y = [], None
+        for top, x0, text in sorted(words, key=lambda w: (round(w[0] / 3) * 3, w[1])):
+            if y is None or abs(top - y) > 3:
+                out, y = [*out, []], top
+            out[-1].append(text)
+        return [" ".join(x) for x in out]
+
+    def page(words):
+        mid = max(w[2] for w in words) / 2
+        crossing = sum(x0 < mid < x1 for _, x0, x1, _ in words)
+        starts = sorted({top for top, x0, _, text in words if text in ("(111)", "(116)") and x0 < mid})
+        if len(words) < 30 or crossing > max(10, len(words) / 10) or not starts:
+            return lines([(t, a, s) for t, a, _, s in words])
+        starts = ([0.0] if starts[0] > 30 else []) + starts + [1e9]
+        out = []
+        for low, high in zip(starts, starts[1:], strict=False):
+            here = [w for w in words if low <= w[0] < high]
+            cut = min((t for t, a, _, s in here if s == "(511)" and a < mid), default=1e9) - 2
+            for side in (lambda t, a: t < cut and a < mid, lambda t, a: t < cut and a >= mid, lambda t, a: t >= cut):
+                out += lines([(t, a, s) for t, a, _, s in here if side(t, a)])
+        return out
+
+    rows, want = [], []
+    for n in range(60):
+        size, words, spots = rng.choice((5, 29, 30, 60, 150)), [], set()
+        while len(words) < size:
+            top, x0 = float(rng.randrange(0, 780)), rng.choice((40.0, 90.0, 150.0, 320.0, 380.0, 450.0)) + rng.randrange(40)
+            if (round(top / 3), x0) not in spots:
+                spots.add((round(top / 3), x0))
+                words.append((top, x0, x0 + rng.choice((10, 30, 30, 30, 200 if n % 3 else 30)), rng.choice(["(111)", "(116)", "(511)"] + [f"w{len(words)}"] * (8 if n % 4 else 0) + [f"v{len(words)}"] * 8)))
+        rows += [(f"d{n // 2}", n % 2, s, a, b, t) for t, a, b, s in words]
+        want += [(f"d{n // 2}", n % 2, i + 1, x) for i, x in enumerate(page(words))]
+    made = spark.createDataFrame([*rows, ("d0", 0, None, 1.0, 2.0, 3.0)], "doc string, page int, text string, x0 double, x1 double, top double")
+    assert sorted(map(tuple, layout.entry_lines(made).collect())) == sorted(want)
+    assert layout.entry_lines(made.limit(0)).count() == 0

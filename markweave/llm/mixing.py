@@ -10,7 +10,7 @@ lookup and no task ever sees the whole schedule.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from markweave.llm.common import set_aside
@@ -18,7 +18,7 @@ from markweave.llm.common import set_aside
 #: Production weights; sources that are not named share REST.
 WEIGHTS = {"src0": 20.0} | {f"src{i}": 5.0 for i in range(1, 10)} | {f"src{i}": 3.0 for i in range(10, 20)}
 REST, PERIOD, BLOCK, SEED = 5.0, 100, 32, 17
-ADDED = ("mix_class", "mix_block", "mix_slot", "mix_offset")
+ADDED = ("mix_class", "mix_block", "mix_slot", "mix_offset", "mix_epoch")
 
 
 def quotas(weights: dict[str, float], rest: float, period: int) -> list[tuple[str | None, int]]:
@@ -68,17 +68,27 @@ def mix_sources(
     period: int = PERIOD,
     block: int = BLOCK,
     seed: int = SEED,
+    size: Column | None = None,
+    epochs: int | None = None,
 ) -> DataFrame:
     """Adds mix_class (int), mix_block, mix_slot and mix_offset (long) to all rows of docs,
     which come back whole; ordered by (mix_slot, mix_offset), every prefix of slots holds
     each source within one block of its share until a source ends. A source that ends early
     leaves its slots empty and the others keep their proportions.
 
+    size: what a row weighs (bytes or tokens; null and less than one as one); a block then
+    holds rows that begin within `block` of it, so the shares are of that in place of rows,
+    and off by at most one row more. epochs: if given, the mixture ends where the first
+    source that has rows was used up so many times, and sources with fewer rows repeat until
+    then; so the weights hold to the end, at the price of rows that come again (mix_epoch
+    counts from 0, and is there only then) or not at all.
+
     A null source, or one without a weight, belongs to the rest. Within a source the order
-    is that of md5(doc_id, seed), a null id as an empty one, ties by id, then by a hash of the
-    row, so that a rerun gives rows that share an id the same places. Places are counted by cells of three hex
-    digits of that hash, so a source with a third of all rows is 4096 windows, not one.
-    Columns of docs that already have one of the four names are replaced.
+    is that of md5(doc_id, seed), with a hash of the row for a null id; ties come by id, then by
+    a hash of the row, so that a rerun gives rows that share an id the same places. Places are
+    counted by cells of three hex digits of that md5, so a source with a third of all rows is
+    4096 windows, not one; rows that share an id share a cell. Columns of docs that already
+    have one of the five names are replaced.
     """
     spark = docs.sparkSession
     q = quotas(WEIGHTS if weights is None else weights, rest, period)
@@ -86,36 +96,41 @@ def mix_sources(
     cls = F.lit(len(q) - 1)
     for i, (name, _) in enumerate(q[:-1]):
         cls = F.when(docs["source"] == name, i).otherwise(cls)
+    tie = F.xxhash64(*[docs[c] for c, kind in docs.dtypes if c in keep and "map<" not in kind and "variant" not in kind])
     rows = docs.select(
         F.struct(*[docs[c] for c in keep]).alias("_row"),
         cls.alias("mix_class"),
         docs["doc_id"].alias("_id"),
-        F.xxhash64(*[docs[c] for c, kind in docs.dtypes if c in keep and "map<" not in kind and "variant" not in kind]).alias("_tie"),
-        F.md5(F.concat_ws("#", F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(str(seed)))).alias("_h"),
+        tie.alias("_tie"),
+        F.md5(F.concat_ws("#", F.coalesce(docs["doc_id"].cast("string"), F.concat(F.lit("null"), tie.cast("string"))), F.lit(str(seed)))).alias("_h"),
+        (F.lit(1).cast("long") if size is None else F.greatest(F.coalesce(size.cast("long"), F.lit(1)), F.lit(1))).alias("_size"),
     ).withColumn("_cell", F.substring("_h", 1, 3))
-    counts = rows.groupBy("mix_class", "_cell").agg(F.count("*").alias("_n"))
+    counts = rows.groupBy("mix_class", "_cell").agg(F.sum("_size").alias("_n"))
     before = Window.partitionBy("mix_class").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-    bases = counts.select("mix_class", "_cell", (F.sum("_n").over(before) - F.col("_n")).alias("_base"))
-    inside = Window.partitionBy("mix_class", "_cell").orderBy("_h", "_id", "_tie")
-    ranked = (
-        rows.withColumn("_in", F.row_number().over(inside) - 1)
-        .join(bases, ["mix_class", "_cell"])
-        .withColumn("_rank", F.col("_base") + F.col("_in"))
-        .withColumn("mix_block", F.floor(F.col("_rank") / block))
-    )
+    whole = Window.partitionBy("mix_class")
+    bases = counts.select("mix_class", "_cell", (F.sum("_n").over(before) - F.col("_n")).alias("_base"), F.sum("_n").over(whole).alias("_whole"))
+    inside = Window.partitionBy("mix_class", "_cell").orderBy("_h", "_id", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     quota = F.element_at(F.array(*[F.lit(n) for _, n in q]), F.col("mix_class") + 1)
     plan = period_schedule(spark, [n for _, n in q], period).select(F.col("class").alias("mix_class"), F.col("k").cast("long").alias("_k"), "slot")
-    return (
-        ranked.withColumn("_k", F.col("mix_block") % quota)
-        .join(F.broadcast(plan), ["mix_class", "_k"])  # `period` rows
-        .select(
-            *[F.col("_row")[c].alias(c) for c in keep],
-            "mix_class",
-            "mix_block",
-            (F.floor(F.col("mix_block") / quota) * period + F.col("slot")).alias("mix_slot"),
-            (F.col("_rank") % block).alias("mix_offset"),
-        )
-    )
+
+    def placed(df: DataFrame, at: str) -> DataFrame:
+        """df with the slot of the block that holds the place `at`."""
+        cut = df.withColumn("mix_block", F.floor(F.col(at) / block)).withColumn("_k", F.col("mix_block") % quota)
+        slots = cut.join(F.broadcast(plan), ["mix_class", "_k"])  # `period` rows
+        return slots.withColumn("mix_slot", F.floor(F.col("mix_block") / quota) * period + F.col("slot")).drop("slot", "_k")
+
+    ranked = rows.withColumn("_in", F.sum("_size").over(inside) - F.col("_size")).join(bases, ["mix_class", "_cell"]).withColumn("_rank", F.col("_base") + F.col("_in"))
+    own = [F.col("_row")[c].alias(c) for c in keep]
+    added = ["mix_class", "mix_block", "mix_slot", (F.col("_rank") % block).alias("mix_offset")]
+    if epochs is None:
+        return placed(ranked, "_rank").select(*own, *added)
+    # One row a class: the slot of its last place, if it is used up so many times.
+    totals = counts.groupBy("mix_class").agg((F.sum("_n") * epochs - 1).alias("_last"))
+    end = placed(totals, "_last").agg(F.min("mix_slot")).first()[0] or 0
+    # A class has its quota of blocks in each period, so the end bounds its rounds.
+    most = F.floor((end // period + 1) * quota * block / F.col("_whole")).cast("int")
+    again = ranked.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), most))).withColumn("_rank", F.col("_rank") + F.col("mix_epoch") * F.col("_whole"))
+    return placed(again, "_rank").where(F.col("mix_slot") <= end).select(*own, *added, "mix_epoch")
 
 
 def mixed_order(docs: DataFrame, **params) -> DataFrame:

@@ -1,7 +1,9 @@
+import random
 from collections import Counter, defaultdict
 from zlib import crc32
 
 import pytest
+from pyspark.sql import functions as F
 
 from markweave.llm import mixing, sharding
 
@@ -113,3 +115,40 @@ def test_mixed_rows_are_whole_and_ordered(docs, empty, clashing):
     assert mixing.mixed_order(clashing).columns == clashing.columns
     laid = mixing.mixed_order(docs, weights=weights, rest=1.0, period=4, block=2)
     assert laid.columns == docs.columns and laid.count() == docs.count()
+
+
+@pytest.mark.parametrize("sized", [False, True])
+def test_shares_hold_to_the_end_with_epochs(spark, sized):
+    rng, weights, block = random.Random(4), {"a": 5.0, "b": 3.0, "c": 1.0}, 20
+    rows = [(i, rng.choice("aabbbbbbbcz"), rng.randrange(1, 9)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, weight int")
+    got = mixing.mix_sources(docs, weights, rest=1.0, period=10, block=block, epochs=2, size=F.col("weight") if sized else None).collect()
+    size = lambda r: r.weight if sized else 1
+    places = sorted(got, key=lambda r: (r.mix_slot, r.mix_offset))
+    seen, target = Counter(), {0: 0.5, 1: 0.3, 2: 0.1, 3: 0.1}
+    slots = defaultdict(Counter)
+    for r in places:
+        slots[r.mix_slot][r.mix_class] += size(r)
+    for n, slot in enumerate(sorted(slots), 1):
+        seen.update(slots[slot])
+        for c, share in target.items():
+            assert abs(seen[c] - share * n * block) < block + 9  # a block, and a row that reaches over its end
+    assert sorted(slots) == list(range(len(slots)))
+    # Some source is used up twice and none starts its third round before that.
+    whole, per = Counter(r.mix_class for r in mixing.mix_sources(docs, weights, rest=1.0, period=10, block=block).collect()), Counter((r.mix_class, r.mix_epoch) for r in got)
+    assert any(per[c, 1] == whole[c] for c in target)
+    for c in target:
+        epochs = sorted(e for k, e in per if k == c)
+        assert epochs == list(range(len(epochs))) and all(per[c, e] == whole[c] for e in epochs[:-1])
+
+
+def test_rows_without_ids_share_no_cell(spark):
+    docs = spark.range(4000).selectExpr("CAST(null AS LONG) AS doc_id", "'a' AS source", "CAST(id AS STRING) AS text")
+    once, again = (sorted((r.mix_slot, r.mix_offset, r.text) for r in mixing.mix_sources(x, {"a": 1.0}).collect()) for x in (docs, docs.repartition(7)))
+    assert once == again and len({x[:2] for x in once}) == 4000
+    assert [x[2] for x in once] != sorted(x[2] for x in once)
+
+
+def test_epochs_of_nothing(spark, empty):
+    out = mixing.mix_sources(empty, epochs=3)
+    assert out.isEmpty() and "mix_epoch" in out.columns

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markweave.llm.common import saved, text_of
+from markweave.storage import Generations
 
 WHITE = " \t\n\v\f\r"
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -28,6 +29,7 @@ MIN_CHARS, SHARD_KEYS, SLOTS = 10, 250_000, 4
 #: A null doc_id stands before all others.
 NO_ID = -(1 << 63)
 STATE = "shard int, part int, bits int, marks binary"
+TABLES = {"refs": "shard int, key binary, doc_id long", "tallies": "shard int, key binary, n long, first long", "filters": STATE, "candidates": "key binary"}
 
 
 def line_key(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -176,19 +178,60 @@ def _delete(key: tuple, rows: pa.Table, state: pa.Table) -> pa.Table:
 
 class LineIndex:
     """The state: refs (shard, key, doc_id), tallies (shard, key, n, first) of each batch of
-    them, filters, and candidates (key) that may be in two documents or more. A new index has the number of shards as its only parameter:
-    about one for SHARD_KEYS keys, so that a shard fits a task."""
+    them, filters, and candidates (key) that may be in two documents or more. A new index has
+    about one shard for SHARD_KEYS keys, so that a shard fits a task; compact() adds shards as
+    keys grow. save() keeps an index in a folder, from which open() begins another session."""
 
     def __init__(self, spark: SparkSession, shards: int, min_chars: int = MIN_CHARS):
         self.spark, self.shards, self.min_chars = spark, shards, min_chars
-        self.refs = spark.createDataFrame([], "shard int, key binary, doc_id long")
-        self.tallies = spark.createDataFrame([], "shard int, key binary, n long, first long")
-        self.filters = spark.createDataFrame([], STATE)
-        self.candidates = spark.createDataFrame([], "key binary")
+        self.refs, self.tallies, self.filters, self.candidates = (spark.createDataFrame([], kind) for kind in TABLES.values())
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> LineIndex:
+        """The index as it was last saved to path; ValueError if none was."""
+        tables = Generations(spark, path)
+        live = tables.live()
+        if not live:
+            raise ValueError(f"no line index in {path}")
+        index = cls(spark, live[-1]["shards"], live[-1]["min_chars"])
+        for name, kind in TABLES.items():
+            setattr(index, name, tables.read(name, kind + ", gen string").drop("gen"))
+        return index
+
+    def save(self, path: str) -> None:
+        """Write the index, compact, to path. It counts from one rename on: a writer that dies
+        before leaves what was saved earlier, and of two writers one fails. The index goes on
+        from the saved tables."""
+        tables = Generations(self.spark, path)
+        gen, before = tables.begin(), [e["gen"] for e in tables.live()]
+        for name, df in self._compact().items():
+            tables.write(gen, name, df)
+        tables.publish(gen, before, shards=self.shards, min_chars=self.min_chars)
+        for name, kind in TABLES.items():
+            setattr(self, name, self.spark.read.schema(kind).parquet(f"{tables.root}/{name}/gen={gen}"))
+
+    def _compact(self) -> dict[str, DataFrame]:
+        """One tally a key, each candidate once."""
+        tallies = self.tallies.groupBy("shard", "key").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+        return {"refs": self.refs, "tallies": tallies, "filters": self.filters, "candidates": self.candidates.distinct()}
+
+    def compact(self, shard_keys: int = SHARD_KEYS) -> None:
+        """What many insertions have left, in one table each; and more shards, with filters of
+        their own, if there are more than shard_keys keys to one."""
+        tables = {name: saved(df, name) for name, df in self._compact().items()}
+        shards = -(-tables["tallies"].count() // shard_keys)
+        if shards > self.shards:
+            self.__init__(self.spark, shards, self.min_chars)
+            self.insert_refs(tables["refs"].select("key", "doc_id"))
+        else:
+            for name, df in tables.items():
+                setattr(self, name, df)
 
     def insert(self, docs: DataFrame) -> None:
-        """Adds documents whose ids the index doesn't hold yet."""
-        self.insert_refs(line_refs(docs, self.min_chars))
+        """Adds documents. One whose id the index holds lines of stays as it is there: to
+        replace it, delete it first."""
+        held = self.refs.select("doc_id").distinct()
+        self.insert_refs(line_refs(docs, self.min_chars).join(held, "doc_id", "left_anti"))
 
     def insert_refs(self, refs: DataFrame) -> None:
         """refs: distinct (key, doc_id)."""
@@ -201,7 +244,8 @@ class LineIndex:
         self.refs, self.tallies = self.refs.unionByName(refs), self.tallies.unionByName(keys)
 
     def delete(self, doc_ids: DataFrame) -> None:
-        """Takes documents (doc_id) out again."""
+        """Takes documents (doc_id; null is NO_ID here) out again. Ids that the index doesn't
+        hold change nothing."""
         ids = doc_ids.select("doc_id").distinct()
         left = saved(self.refs.join(ids, "doc_id", "left_anti").select("shard", "key", "doc_id"), "refs")
         # One row a key: gone unless a document that stays holds it.

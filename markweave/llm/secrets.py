@@ -6,6 +6,9 @@ must hold. A clause needs its two rarest only to be selective, so the index has
 of their own trigrams (`extend_index`). Intersecting postings leaves candidate texts by
 rule, which the regex verifies; a rule without mandatory trigrams is run over every text.
 Index and scan are DataFrame expressions only.
+
+TextIndex keeps the postings of all trigrams of the texts themselves in a folder, for rules
+that nobody knows yet.
 """
 
 from __future__ import annotations
@@ -14,10 +17,11 @@ import re
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markweave.llm.common import saved, text_of
+from markweave.storage import Generations
 
 #: Rows of candidates that may be broadcast (some 10 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -239,3 +243,66 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         F.sha2(say(F.filter("spans", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"),
         say(F.col("spans")).alias("spans"),
     )
+
+
+class TextIndex:
+    """Postings (trigram, text_key) of all trigrams of each distinct text, in lower case, laid
+    out by trigram in a folder, with the texts and the documents that have them.
+
+    Documents come in generations, each put in place by one rename, and a text is split
+    once, however many documents have it or bring it again. A rule, also a new one, reads the
+    postings of its own trigrams only, and its regex runs on the texts that these leave;
+    a rule without mandatory trigrams runs on all texts. Null texts are empty and never
+    match; ids may be null or repeat, and a document that is added twice is there twice.
+    """
+
+    DOCS = "doc_id long, digest binary, gen string"
+    TEXTS = "digest binary, text_key long, text string, gen string"
+    POSTINGS = "trigram string, text_key long, gen string, bucket int"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.tables, self.buckets = Generations(spark, path), buckets
+        for e in self.tables.live():
+            self.buckets = e["buckets"]
+
+    def _bucket(self, trigram: Column) -> Column:
+        return F.pmod(F.xxhash64(trigram), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def add(self, docs: DataFrame) -> None:
+        gen = self.tables.begin()
+        rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).where("text <> ''")
+        rows = rows.select("doc_id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("digest"), F.xxhash64("text").alias("text_key"), "text")
+        held = self.tables.read("texts", self.TEXTS).select("digest")
+        texts = saved(rows.drop("doc_id").dropDuplicates(["digest"]).join(held, "digest", "left_anti"), "texts")
+        # A look ahead takes the three characters at every place.
+        grams = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+        postings = texts.select(F.explode(grams).alias("trigram"), "text_key").select("trigram", "text_key", self._bucket(F.col("trigram")))
+        # By ranges, so that the list of a trigram that all texts hold is written by many tasks.
+        by = ["bucket", "trigram", "text_key"]
+        self.tables.write(gen, "postings", postings.repartitionByRange(*by).sortWithinPartitions(*by), "bucket")
+        self.tables.write(gen, "texts", texts)
+        self.tables.write(gen, "docs", rows.select("doc_id", "digest"))
+        self.tables.publish(gen, buckets=self.buckets)
+
+    def postings(self, rules: tuple[Rule, ...]) -> DataFrame:
+        """(trigram, text_key) of the rules' trigrams, from the buckets that can hold them."""
+        grams = dictionary(rules)
+        spark = self.tables.spark
+        buckets = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "g string").select(self._bucket(F.col("g"))).distinct().collect()] if grams else []
+        return self.tables.read("postings", self.POSTINGS).where(F.col("bucket").isin(buckets) & F.col("trigram").isin(grams)).select("trigram", "text_key")
+
+    def candidate_texts(self, rules: tuple[Rule, ...], postings: DataFrame) -> DataFrame:
+        """(digest, text) of the texts that the rules' regexes run on."""
+        texts = self.tables.read("texts", self.TEXTS)
+        if not all(index_query(r.regex) for r in rules):
+            return texts.select("digest", "text")
+        found = saved(candidates(postings, rules).select("text_key"), "candidates")
+        few = found.count() <= BROADCAST_ROWS
+        return texts.join(F.broadcast(found) if few else found, "text_key", "left_semi").select("digest", "text")
+
+    def find(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """(doc_id, spans) of the documents with any, spans as scan() gives them."""
+        postings = saved(self.postings(rules), "postings")
+        texts = self.candidate_texts(rules, postings).withColumnRenamed("digest", "doc_id")
+        found = scan(texts, rules, postings).where(F.size("spans") > 0).select(F.col("doc_id").alias("digest"), "spans")
+        return self.tables.read("docs", self.DOCS).join(found, "digest").select("doc_id", "spans")

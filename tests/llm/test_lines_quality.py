@@ -60,6 +60,51 @@ def test_insert_then_delete_is_reversible(spark, docs):
     assert sum(int(np.count_nonzero(f.table)) for fs in held.values() for f in fs) == len(live)
 
 
+def test_an_index_outlives_its_session(spark, docs, tmp_path):
+    path, state = str(tmp_path / "lines"), lambda x: {bytes(r.key): (r.n_docs, r.first_doc) for r in x.shared().collect()}
+    index = line_dedup.LineIndex(spark, 3)
+    for i in range(3):
+        index.insert(docs.where(f"doc_id % 4 = {i}"))
+    before = state(index)
+    index.save(path)
+    assert state(index) == before
+    again = line_dedup.LineIndex.open(spark.newSession(), path)
+    assert (again.shards, again.min_chars) == (3, 10) and state(again) == before
+    keys = again.tallies.count()
+    assert keys == again.tallies.select("key").distinct().count()  # one row a key now
+    again.insert(docs.where("doc_id % 4 = 3"))
+    whole = line_dedup.LineIndex(spark, 5)
+    whole.insert(docs)
+    assert state(again) == state(whole) != before
+    again.delete(docs.where("doc_id % 4 = 3"))
+    assert state(again) == before == state(line_dedup.LineIndex.open(spark, path))
+    # A writer that dies before its entry is in place leaves the former state.
+    lost = line_dedup.Generations(spark, path)
+    lost.write(lost.begin(), "refs", whole.refs)
+    assert state(line_dedup.LineIndex.open(spark, path)) == before
+    whole.save(path)
+    assert state(line_dedup.LineIndex.open(spark, path)) == state(whole)
+    with pytest.raises(ValueError, match="no line index"):
+        line_dedup.LineIndex.open(spark, str(tmp_path / "none"))
+
+
+def test_held_and_unknown_ids_and_more_shards(spark, docs):
+    state = lambda x: {bytes(r.key): (r.n_docs, r.first_doc) for r in x.shared().collect()}
+    index = line_dedup.LineIndex(spark, 2)
+    index.insert(docs)
+    before, n = state(index), index.refs.count()
+    index.insert(docs.where("doc_id % 3 = 0"))
+    assert state(index) == before and index.refs.count() == n
+    index.delete(spark.createDataFrame([(-5,), (10**9,)], "doc_id long"))
+    assert state(index) == before and index.refs.count() == n
+    keys = index.tallies.count()
+    index.compact(shard_keys=keys // 7)
+    assert index.shards == -(-keys // (keys // 7)) and state(index) == before
+    assert {r.shard for r in index.filters.select("shard").collect()} == set(range(index.shards))
+    index.compact()
+    assert state(index) == before and index.refs.count() == n
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(1, 1 << 62, 20_000).astype(np.uint64))

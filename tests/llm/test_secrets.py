@@ -77,3 +77,36 @@ def test_candidates_on_both_sides_of_the_broadcast(rows, monkeypatch):
 
 def test_no_rows(empty):
     assert secrets.report(empty).isEmpty()
+
+
+def test_an_index_of_texts_answers_rules_that_come_later(spark, rows, docs, tmp_path):
+    index = secrets.TextIndex(spark, str(tmp_path / "index"), buckets=8)
+    index.add(rows)
+    n = index.tables.read("postings", index.POSTINGS).count()
+    index.add(rows.where("doc_id < 6").unionByName(docs.select("doc_id", "text")))
+    texts = [r.text for r in rows.unionByName(rows.where("doc_id < 6")).unionByName(docs.select("doc_id", "text")).collect()]
+    held = index.tables.read("texts", index.TEXTS).collect()
+    assert sorted(r.text for r in held) == sorted({t for t in texts if t})  # each text once
+    grams = sum(len({t.lower()[i : i + 3] for i in range(len(t) - 2)}) for t in {t for t in texts if t and ord(max(t)) < 0x10000})
+    assert n < index.tables.read("postings", index.POSTINGS).where("NOT trigram RLIKE '[^\\x00-\\uFFFF]'").count() and grams > n
+    # Another session, and rules of which the index knew nothing.
+    again = secrets.TextIndex(spark.newSession(), str(tmp_path / "index"))
+    more = (secrets.Rule("note", r"nothing (here|there)"), secrets.Rule("tail", r"tail[0-9]"))
+    postings = again.postings(more)
+    files = {f.split("bucket=")[1].split("/")[0] for f in postings.inputFiles() if "bucket=" in f}
+    looked = again.candidate_texts(more, postings).collect()
+    assert again.buckets == 8 and 0 < len(looked) < len(held) / 3 and files
+    assert all("nothing" in r.text or "tail" in r.text for r in looked)
+    brute = sorted(str([(m.start(), k, m.end()) for k, x in enumerate(more) for m in re.finditer(x.regex, t)]) for t in texts if t)
+    got = sorted(str([(s.start, s.kind, s.end) for s in r.spans]) for r in again.find(more).collect())
+    assert got == [x for x in brute if x != "[]"]
+    # The rules of old, one of which needs all texts.
+    want = sorted(str(r.spans) for r in secrets.scan(rows.unionByName(rows.where("doc_id < 6")).unionByName(docs.select("doc_id", "text"))).collect() if r.spans)
+    assert sorted(str(r.spans) for r in again.find().collect()) == want
+
+
+def test_an_index_of_nothing(spark, empty, tmp_path):
+    index = secrets.TextIndex(spark, str(tmp_path / "none"))
+    assert index.find().isEmpty()
+    index.add(empty)
+    assert index.find().isEmpty() and index.find((secrets.Rule("x", "[0-9]+"),)).isEmpty()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,18 @@ from pyspark.sql import types as T
 
 from markweave.functions.text import clean_text
 
+
+def once(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it: Spark writes out
+    a nullif as two copies of its argument, and copies inside copies double at each level."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
+def filled(c: Column) -> Column:
+    """A text, NULL for an empty one."""
+    return once(c, lambda x: F.nullif(x, F.lit("")))
+
+
 def unescaped(c: Column) -> Column:
     """Character references as characters: the one step of a page that Python makes."""
 
@@ -41,25 +54,30 @@ def lines(text: Column) -> Column:
 
 def value_after(all_lines: Column, code: str) -> Column:
     """What stands two lines below a code up to the next three-digit code, in one line."""
-    at = F.array_position(all_lines, code)
-    tail = F.slice(all_lines, (at + 2).cast("int"), F.greatest(F.size(all_lines), F.lit(0)))
-    numbered = F.transform(tail, lambda x, i: F.when(x.rlike(r"^\d{3}$"), i))
-    stop = F.coalesce(F.array_min(numbered), F.size(tail))
-    return F.when(at > 0, F.nullif(F.trim(F.array_join(F.slice(tail, F.lit(1), stop), " ")), F.lit("")))
+
+    def below(tail: Column) -> Column:
+        stop = F.coalesce(F.array_min(F.transform(tail, lambda x, i: F.when(x.rlike(r"^\d{3}$"), i))), F.size(tail))
+        return filled(F.trim(F.array_join(F.slice(tail, F.lit(1), stop), " ")))
+
+    def behind(at: Column) -> Column:
+        return F.when(at > 0, once(F.slice(all_lines, (at + 2).cast("int"), F.greatest(F.size(all_lines), F.lit(0))), below))
+
+    return once(F.array_position(all_lines, code), behind)
 
 
 def details(page: Column, label: str) -> Column:
     """Source of the value that follows a label, such as (541)."""
-    return F.nullif(F.regexp_extract(page, rf"(?is){label}[^<]*</div>\s*<div[^>]*product-form-details[^>]*>(.*?)(?=<div[^>]*product-form-label|</div></div></div>|\z)", 1), F.lit(""))
+    return filled(F.regexp_extract(page, rf"(?is){label}[^<]*</div>\s*<div[^>]*product-form-details[^>]*>(.*?)(?=<div[^>]*product-form-label|</div></div></div>|\z)", 1))
 
 
 def _numeric(c: Column, rx: str, base: int, lead: str) -> Column:
-    numbers = F.array_distinct(F.regexp_extract_all(c, F.lit(rx), F.lit(1)))
     value = lambda n: F.conv(n, base, 10).cast("int")
     # Halves of code points are no characters.
-    sound = F.filter(numbers, lambda n: (value(n) < 0xD800) | value(n).between(0xE000, 0xFFFF))
+    sound = lambda n: (value(n) < 0xD800) | value(n).between(0xE000, 0xFFFF)
     point = lambda n: F.decode(F.unhex(F.lpad(F.conv(n, base, 16), 4, "0")), "UTF-16BE")
-    return F.aggregate(sound, c, lambda t, n: F.replace(t, F.concat(F.lit(lead), n, F.lit(";")), point(n)))
+    numbers = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(rx), F.lit(1)))
+    put = lambda t, n: F.replace(t, F.concat(F.lit(lead), n, F.lit(";")), point(n))
+    return once(c, lambda x: F.when(F.contains(x, F.lit("&#")), F.aggregate(F.filter(numbers(x), sound), x, put)).otherwise(x))
 
 
 def references(c: Column) -> Column:
@@ -73,7 +91,7 @@ def references(c: Column) -> Column:
 
 def flat(c: Column) -> Column:
     """A fragment's text in one line, NULL for none."""
-    return F.nullif(clean_text(F.replace(references(F.regexp_replace(c, r"(?s)<[^>]*>", " ")), F.lit("\u00a0"), F.lit(" "))), F.lit(""))
+    return filled(clean_text(F.replace(references(F.regexp_replace(c, r"(?s)<[^>]*>", " ")), F.lit("\u00a0"), F.lit(" "))))
 
 
 def without_language(c: Column) -> Column:
@@ -82,12 +100,12 @@ def without_language(c: Column) -> Column:
 
 def dotted_date(c: Column) -> Column:
     """The first dd.mm.yyyy of a text."""
-    return F.try_to_date(F.nullif(F.regexp_extract(c, r"(\d{2}\.\d{2}\.\d{4})", 1), F.lit("")), "dd.MM.yyyy")
+    return F.try_to_date(filled(F.regexp_extract(c, r"(\d{2}\.\d{2}\.\d{4})", 1)), "dd.MM.yyyy")
 
 
 def domestic_record(page: Column) -> Column:
     """The struct of a domestic detail page."""
-    name = F.nullif(F.trim(F.regexp_extract(page, r"getOtherApplicants\('(.*?)'\)", 1)), F.lit(""))
+    name = filled(F.trim(F.regexp_extract(page, r"getOtherApplicants\('(.*?)'\)", 1)))
     owner = without_language(flat(details(page, r"\(730\)")))
     agent = without_language(flat(details(page, r"\(740\)")))
     goods = details(page, r"\(511\)")
@@ -98,30 +116,35 @@ def domestic_record(page: Column) -> Column:
     two = lambda n: F.lpad(n.cast("string"), 2, "0")
     classes = F.array_distinct(F.transform(pairs, lambda p: two(p["n"])))
     described = F.filter(pairs, lambda p: p["b"] != "")
-    keys = F.array_distinct(F.transform(described, lambda p: p["n"]))
-    goods_map = F.map_from_arrays(F.transform(keys, two), F.transform(keys, lambda k: F.get(F.filter(described, lambda p: p["n"] == k), F.lit(0))["b"]))
+
+    def by_class(rows: Column) -> Column:
+        keys = F.array_distinct(F.transform(rows, lambda p: p["n"]))
+        return F.map_from_arrays(F.transform(keys, two), F.transform(keys, lambda k: F.get(F.filter(rows, lambda p: p["n"] == k), F.lit(0))["b"]))
+
     spans = F.regexp_extract_all(details(page, r"\(531\)"), F.lit(r"(?is)<span[^>]*ext-link-text[^>]*>\s*(\d{2}\.\d{2}\.\d{2})"), F.lit(1))
     cells = F.filter(F.transform(F.regexp_extract_all(details(page, r"\(400\)"), F.lit(r"(?is)<div[^>]*col-md-4[^>]*>(.*?)</div>"), F.lit(1)), flat), lambda x: x.isNotNull())
     dates = F.filter(F.transform(cells, dotted_date), lambda d: d.isNotNull())
-    scope = F.coalesce(F.nullif(F.regexp_extract(page, r"(?is)events-section(.*?)(?:description-section|claims-section|</body>)", 1), F.lit("")), page)
+    scope = F.coalesce(filled(F.regexp_extract(page, r"(?is)events-section(.*?)(?:description-section|claims-section|</body>)", 1)), page)
 
     def row(r: Column) -> Column:
-        tds = F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), lambda x: F.coalesce(flat(x), F.lit("")))
-        at = lambda i: F.coalesce(F.get(tds, F.lit(i)), F.lit(""))
-        return F.when((F.size(tds) >= 2) & ((at(0) != "") | (at(1) != "")), F.struct(at(0).alias("event"), at(1).alias("date"), at(2).alias("status")))
+        def event(tds: Column) -> Column:
+            at = lambda i: F.coalesce(F.get(tds, F.lit(i)), F.lit(""))
+            return F.when((F.size(tds) >= 2) & ((at(0) != "") | (at(1) != "")), F.struct(at(0).alias("event"), at(1).alias("date"), at(2).alias("status")))
+
+        return once(F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), lambda x: F.coalesce(flat(x), F.lit(""))), event)
 
     events = F.array_compact(F.transform(F.regexp_extract_all(scope, F.lit(r"(?is)<tr>(.*?)</tr>"), F.lit(1)), row))
     head = lambda c: F.split(c, " : ", 2)[0]
     return F.struct(
-        F.nullif(F.regexp_extract(page, r"VN\s*-?\s*(\d-\d{4}-\d{4,6})", 1), F.lit("")).alias("application_number"),
-        F.nullif(without_language(flat(F.split(details(page, r"\(541\)"), r"(?is)<br\s*/?>", 2)[0])), F.lit("")).alias("mark_text"),
+        filled(F.regexp_extract(page, r"VN\s*-?\s*(\d-\d{4}-\d{4,6})", 1)).alias("application_number"),
+        filled(without_language(flat(F.split(details(page, r"\(541\)"), r"(?is)<br\s*/?>", 2)[0]))).alias("mark_text"),
         flat(details(page, r"\(550\)")).alias("mark_type"),
         flat(details(page, r"\(591\)")).alias("colors"),
-        F.coalesce(name, F.nullif(F.trim(head(owner)), F.lit(""))).alias("applicant_name"),
-        F.nullif(F.trim(F.get(F.split(owner, " : ", 2), F.lit(1))), F.lit("")).alias("applicant_address"),
-        F.nullif(F.trim(head(agent)), F.lit("")).alias("representative"),
+        F.coalesce(name, filled(F.trim(head(owner)))).alias("applicant_name"),
+        filled(F.trim(F.get(F.split(owner, " : ", 2), F.lit(1)))).alias("applicant_address"),
+        filled(F.trim(head(agent))).alias("representative"),
         classes.alias("nice_classes"),
-        goods_map.alias("goods_services"),
+        once(described, by_class).alias("goods_services"),
         F.array_distinct(spans).alias("vienna_codes"),
         flat(F.regexp_extract(page, r"(?is)Tr[^<]*ng th[^<]*i</div>\s*<div[^>]*product-form-details[^>]*>(.*?)</div>", 1)).alias("status_code"),
         dotted_date(flat(details(page, r"\(200\)"))).alias("filing_date"),
@@ -129,7 +152,7 @@ def domestic_record(page: Column) -> Column:
         F.get(dates, F.lit(0)).alias("publication_date"),
         dotted_date(flat(details(page, r"\(100\)"))).alias("grant_date"),
         dotted_date(flat(details(page, r"\(180\)"))).alias("expiry_date"),
-        F.nullif(F.regexp_extract(page, r"""['"]([^'"]*?/trademarks/application/[^'"]*?/logo[^'"]*)['"]""", 1), F.lit("")).alias("logo_url"),
+        filled(F.regexp_extract(page, r"""['"]([^'"]*?/trademarks/application/[^'"]*?/logo[^'"]*)['"]""", 1)).alias("logo_url"),
         events.alias("timeline"),
     )
 
@@ -191,15 +214,19 @@ def madrid_events(all_lines: Column) -> Column:
 
 def _terms(page: Column) -> Column:
     """Map of class to goods of the basic list: the English term, else the first."""
-    basic = F.nullif(F.regexp_extract(page, r"(?is)<dl[^>]*\bBASICGS\b[^>]*>(.*?)</dl>", 1), F.lit(""))
+    basic = filled(F.regexp_extract(page, r"(?is)<dl[^>]*\bBASICGS\b[^>]*>(.*?)</dl>", 1))
     scope, rx = F.coalesce(basic, page), r"""(?is)<p[^>]*\bgsterm\b[^>]*nice="(\d+)"[^>]*lang="([A-Za-z]{2})"[^>]*>(.*?)</p>"""
     part = lambda n: F.regexp_extract_all(scope, F.lit(rx), F.lit(n))
     rows = F.zip_with(F.zip_with(part(1), part(2), lambda c, g: F.struct(F.lpad(c, 2, "0").alias("c"), F.upper(g).alias("g"))), part(3), lambda x, t: F.struct(x["c"].alias("c"), x["g"].alias("g"), flat(t).alias("t")))
     told = F.filter(rows, lambda x: x["t"].isNotNull())
-    keys = F.array_distinct(F.transform(told, lambda x: x["c"]))
-    # The last English term of a class, else the first language's last one.
-    best = lambda k: F.coalesce(F.element_at(_of(told, k, F.lit("EN")), -1), F.element_at(_of(told, k, F.get(F.filter(told, lambda x: x["c"] == k), F.lit(0))["g"]), -1))
-    return F.map_from_arrays(keys, F.transform(keys, best))
+
+    def goods(told: Column) -> Column:
+        keys = F.array_distinct(F.transform(told, lambda x: x["c"]))
+        # The last English term of a class, else the first language's last one.
+        best = lambda k: F.coalesce(F.element_at(_of(told, k, F.lit("EN")), -1), F.element_at(_of(told, k, F.get(F.filter(told, lambda x: x["c"] == k), F.lit(0))["g"]), -1))
+        return F.map_from_arrays(keys, F.transform(keys, best))
+
+    return once(told, goods)
 
 
 def _of(told: Column, key: Column, language: Column) -> Column:

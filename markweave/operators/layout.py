@@ -192,3 +192,9 @@ def inid_rows(marks: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame
     """(id, ordinal, code, label, value) of fields {code: (column, label)} that are set."""
     items = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(code).alias("code"), F.lit(label).alias("label"), F.col(c).cast("string").alias("value")) for i, (code, (c, label)) in enumerate(fields.items())])
     return marks.select("id", F.inline(items)).where("value IS NOT NULL AND value <> ''")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a compact table over all shuffle partitions, before steps that cost far more than
+    reading: Spark cuts tasks by bytes, and a million short rows may be one task's."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -1365,7 +1365,7 @@ def _(s, d):
         p("832", "Under", "DE,", "IT", "999", "x", "Transaction History", "Grant of protection, VN", ":", F.concat(F.lpad((col("p_partkey") % 28 + 1).cast("string"), 2, "0"), lit(".06.2021, 2021/24 Gaz")), "270", "Language", "English"),
         p("International Registration, US, VN", "01.02.1989, 1989/7 LMi", "832", "Designated", "EG", "- IN"), p("Renewal, all", "02.02.1999, 1999/7 Gaz", "833", "Interested", "CU"), p("Change of address", ":", "05.06.2001"),
     )
-    r = html.madrid_records(part(s, d).select("p_partkey", page_.alias("page")), "page", "r").select("p_partkey", "r.*")
+    r = html.madrid_records(layout.spread(part(s, d)).select("p_partkey", page_.alias("page")), "page", "r").select("p_partkey", "r.*")
     e = lambda i: F.get("transaction_history", lit(i))
     return r.select(
         "p_partkey", col("mark_text").alias("mark"), col("holder_name").alias("holder"), col("holder_address").alias("address"), col("holder_country").alias("country"), col("holder_legal_status").alias("legal"),
@@ -1381,7 +1381,7 @@ def _(s, d):
         lit("VN -4-2026-"), F.lpad(col("p_partkey").cast("string"), 5, "0"), box("(541)", [lit("<b>(VI)</b> "), col("p_name"), lit(" <br/>")]), box("(730)", [lit("(VI) "), col("p_brand"), lit(" : Road")]),
         box("(511)", [lit('<a rel="9" class="external-link"><div class="col-md-10">Apps</div></a><a rel="42" class="external-link">x</a>')]), box("(200)", [lit("08.01.2026")]), lit("<div id='events-section'><tr><td>Filed</td><td>1</td></tr></body>"),
     )
-    x = part(s, d).select("p_partkey", html.domestic_record(page_).alias("r"))
+    x = layout.spread(part(s, d)).select("p_partkey", page_.alias("page")).select("p_partkey", html.domestic_record(col("page")).alias("r"))
     return x.select("p_partkey", col("r.application_number").alias("number"), col("r.mark_text").alias("mark"), col("r.applicant_name").alias("owner"), col("r.nice_classes").alias("classes"), col("r.filing_date").alias("filed"), col("r.timeline")[0]["event"].alias("event"))
 
 

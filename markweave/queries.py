@@ -889,18 +889,19 @@ def _(s, d):
 def _changes(s, d):
     """The marks as a stream of three micro-batches in another order, a tenth of them twice;
     once for a session."""
-    from markweave.storage import scratch
+    from markweave.storage import saved, scratch
 
     key = f"markweave.changes.{d.rstrip('/')}"
     if not s.conf.get(key, None):
         watch = {"bolts": FilterSpec(q="bolt"), "class 5": FilterSpec(nice_class=("05",))}
         path, out = scratch(s, "events"), scratch(s, "changes")
-        rows, turn = marks(s, d), lambda n: F.pmod(F.xxhash64("id") + n, lit(3))
-        events = stateful.mark_events(rows, watch, lit(1)).withColumn("_turn", turn(0))
-        every = events.unionByName(stateful.mark_events(rows.where("n1 % 10 = 0"), watch, lit(1)).withColumn("_turn", turn(2)))
+        # A turn is a micro-batch of files that many tasks write.
+        rows, turn, files = marks(s, d), lambda n: F.pmod(F.xxhash64("id") + n, lit(3)), int(s.conf.get("spark.sql.shuffle.partitions"))
+        events = stateful.mark_events(rows, watch, lit(1)).withColumn("_again", F.split("id", "-")[2].cast("long") % 10 == 0)
+        table = saved(events, "mark-events")
         for i in range(3):
-            every.where(col("_turn") == i).drop("_turn").coalesce(1).write.mode("append").parquet(path)
-        stream = s.readStream.schema(events.drop("_turn").schema).option("maxFilesPerTrigger", 1).parquet(path)
+            table.where((turn(0) == i) | ((turn(2) == i) & col("_again"))).drop("_again").repartition(files).write.mode("append").parquet(path)
+        stream = s.readStream.schema(events.drop("_again").schema).option("maxFilesPerTrigger", files).parquet(path)
         stateful.mark_changes(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(s, "stream")).trigger(availableNow=True).start().awaitTermination()
         s.conf.set(key, out)
     return s.read.schema(stateful.CHANGE).parquet(s.conf.get(key))

@@ -1,18 +1,21 @@
 """Representatives and watchlist counts of a stream of mark rows, as changes only.
 
-Each mark's state holds what choosing a representative needs of its rows: their ids, whether
-they have a certificate and a grant, and their versions. A micro-batch touches the marks that
-it has rows of, and puts out what it changed: flags that turn, and how watchlist counts move.
+The state holds what choosing a representative needs of each mark's rows: their ids, whether
+they have a certificate and a grant, and their versions. Marks are dealt to buckets, whose rows
+are one packed value of the state and are worked on as columns: a call for each mark would
+cost a thousand times its few rows. A micro-batch puts out what it changed of the marks that it
+has rows of: flags that turn, and how watchlist counts move.
 A row that comes again or late, behind a newer version of its id, changes nothing. Added up,
 the changes are what a batch over the last versions gives.
 """
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -23,7 +26,12 @@ from markweave.operators.linkage import dedup_key
 #: A change: flag rows have id and value, watch rows the list's name, a day and a delta. seq
 #: orders the changes of a mark.
 CHANGE = "key string, seq long, kind string, id string, value boolean, name string, day date, delta long"
-STATE = "seq long, rep string, ids array<string>, versions array<long>, alive array<boolean>, certificate array<boolean>, granted array<boolean>, lists array<string>, days array<int>"
+HELD = pa.schema([("key", pa.string()), ("id", pa.string()), ("version", pa.int64()), ("alive", pa.bool_()), ("certificate", pa.bool_()), ("granted", pa.bool_()), ("lists", pa.string()), ("day", pa.int32())])
+#: rows: those of HELD as a compressed Arrow stream.
+STATE = "seq long, rows binary"
+#: Buckets that marks are dealt to; one stream keeps its number. A bucket is rewritten when a
+#: row of it comes, and should have some thousands of marks.
+BUCKETS = 1024
 
 
 def mark_events(marks: DataFrame, watchlists: dict[str, FilterSpec], version: Column, alive: Column | None = None) -> DataFrame:
@@ -49,40 +57,53 @@ def mark_events(marks: DataFrame, watchlists: dict[str, FilterSpec], version: Co
     )
 
 
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, HELD, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _best(rows: pd.DataFrame) -> pd.Series:
+    """The id of each mark's representative, by key."""
+    alive = rows[rows["alive"]].sort_values(["key", "certificate", "granted", "id"])
+    return alive.drop_duplicates("key", keep="last").set_index("key")["id"]
+
+
+def _moves(rows: pd.DataFrame, by: int) -> pd.DataFrame:
+    on = rows.loc[rows["alive"] & (rows["lists"] != ""), ["key", "lists", "day"]]
+    return on.assign(name=on["lists"].str.split("\n"), delta=by).explode("name")[["key", "name", "day", "delta"]]
+
+
 def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    # Spark joins the frames of many marks, and pandas warns of each column of nulls.
-    warnings.simplefilter("ignore", FutureWarning)
-    seq, rep, held = 0, None, {}
+    seq, held = 0, HELD.empty_table()
     if state.exists:
-        seq, rep, *columns = state.get
-        held = {row[0]: row[1:] for row in zip(*columns, strict=True)}
-    moved: dict[tuple[str, int | None], int] = {}
-    for batch in batches:
-        days = [None if pd.isna(d) else int(d) for d in batch["day"]]
-        for i, v, alive, cert, granted, lists, day in zip(batch["id"], batch["version"], batch["alive"], batch["certificate"], batch["granted"], batch["lists"], days, strict=True):
-            old = held.get(i)
-            if old is not None and old[0] >= v:
-                continue
-            for row, by in ((old, -1), ((v, alive, cert, granted, lists, day), 1)):
-                if row is not None and row[1]:
-                    for name in filter(None, row[4].split("\n")):
-                        moved[name, row[5]] = moved.get((name, row[5]), 0) + by
-            held[i] = (int(v), bool(alive), bool(cert), bool(granted), lists, day)
-    best = max(((row[2], row[3], i) for i, row in held.items() if row[1]), default=(None, None, None))[2]
-    out = []
-    if best != rep:
-        out += [(key[0], seq + 1, "flag", i, value, None, None, None) for i, value in ((rep, False), (best, True)) if i is not None]
-    out += [(key[0], seq + 1, "watch", None, None, name, None if day is None else pd.Timestamp(day, unit="D").date(), by) for (name, day), by in moved.items() if by]
-    rows = [(i, *row) for i, row in held.items()]
-    state.update((seq + 1, best, *(list(c) for c in zip(*rows, strict=True))))
-    if out:
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGE.split(", ")])
-
-
-def mark_changes(events: DataFrame) -> DataFrame:
-    """The CHANGE rows of a stream of mark_events(). A mark's state is a few numbers for each
-    of its rows; a row that went leaves its version, so that a late one doesn't bring it back."""
-    return events.groupBy("key").applyInPandasWithState(_changes, CHANGE, STATE, "append", GroupStateTimeout.NoTimeout)
+        seq, packed = state.get
+        held = pa.ipc.open_stream(packed).read_all()
+    new = pa.concat_tables(pa.Table.from_pandas(b[HELD.names], HELD, preserve_index=False) for b in batches)
+    touched = pc.is_in(held["key"], value_set=pc.unique(new["key"]))
+    frame = lambda t: t.to_pandas(types_mapper={pa.int32(): pd.Int32Dtype()}.get)
+    old = frame(held.filter(touched))
+    # Of one version the row that came first counts: sorting is stable.
+    last = pd.concat([old, frame(new)]).sort_values(["key", "id", "version"], ascending=[True, True, False], kind="stable").drop_duplicates(["key", "id"])
+    rest = held.filter(pc.invert(touched))
+    state.update((seq + 1, _packed(pa.concat_tables([rest, pa.Table.from_pandas(last, HELD, preserve_index=False)]))))
+    best = pd.concat([_best(old).rename("old"), _best(last).rename("new")], axis=1).astype(object)
+    best = best[best["old"].where(best["old"].notna(), "") != best["new"].where(best["new"].notna(), "")]
+    flags = [best[c].dropna().rename("id").rename_axis("key").reset_index().assign(kind="flag", value=v) for c, v in (("old", False), ("new", True))]
+    moved = pd.concat([_moves(old, -1), _moves(last, 1)]).groupby(["key", "name", "day"], dropna=False, as_index=False)["delta"].sum()
+    moved = moved[moved["delta"] != 0].assign(kind="watch")
+    out = pa.concat_tables([pa.Table.from_pandas(x.assign(seq=seq + 1), preserve_index=False) for x in (*flags, moved) if len(x)], promote_options="default") if len(best) or len(moved) else None
+    if out is not None:
+        found = {n: out[n] if n in out.column_names else pa.nulls(out.num_rows) for n in (c.split()[0] for c in CHANGE.split(", "))}
+        yield pa.table(found | {"day": found["day"].cast(pa.int32()).cast(pa.date32())}).to_pandas(date_as_object=True)
+
+
+def mark_changes(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The CHANGE rows of a stream of mark_events(). The state is a few numbers for each row
+    of a mark; a row that went leaves its version, so that a late one doesn't bring it back."""
+    dealt = events.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandasWithState(_changes, CHANGE, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def representatives_of(changes: DataFrame) -> DataFrame:

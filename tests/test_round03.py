@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from markweave.functions import html
 from markweave.operators import layout
+from markweave.streaming import stateful
 
 
 def test_page_values_are_worked_out_once(spark):
@@ -19,3 +20,21 @@ def test_page_values_are_worked_out_once(spark):
 def test_short_rows_are_spread(spark):
     rows = layout.spread(spark.range(1000, numPartitions=1))
     assert [n > 100 for n in rows.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()] == [True] * 4
+
+
+def test_marks_share_a_bucket_of_state(spark, tmp_path):
+    schema = "key string, id string, version long, alive boolean, certificate boolean, granted boolean, lists string, day int"
+    turns = [
+        [("k1", "a", 1, True, False, False, "x\ny", None), ("k2", "b", 1, True, True, False, "", 3)],
+        [("k1", "c", 1, True, True, False, "x", 5), ("k1", "a", 2, False, False, False, "x", None), ("k3", "d", 1, True, False, True, "y", 7)],
+        [("k1", "a", 1, True, True, True, "y", 1)],  # late
+    ]
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in turns:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stateful.mark_changes(stream, buckets=2).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    changes = spark.read.schema(stateful.CHANGE).parquet(out)
+    assert sorted(r.id for r in stateful.representatives_of(changes).collect()) == ["b", "c", "d"]
+    assert {tuple(r) for r in changes.where("kind = 'watch'").groupBy("name", F.unix_date("day").alias("day")).agg(F.sum("delta").alias("n")).where("n <> 0").collect()} == {("x", 5, 1), ("y", 7, 1)}
+    assert sorted((r.id, r.value) for r in changes.where("kind = 'flag'").collect()) == [("a", False), ("a", True), ("b", True), ("c", True), ("d", True)]

@@ -16,9 +16,10 @@ def preference() -> list[Column]:
     return [F.desc(F.col("certificate_number").isNotNull()), F.desc(F.col("vn_grant_date").isNotNull()), F.desc("id")]
 
 
-def with_representative(marks: DataFrame, column: str = "is_representative") -> DataFrame:
-    """Adds the flag of the one row of each group that stands for it."""
-    order = Window.partitionBy(dedup_key()).orderBy(*preference())
+def with_representative(marks: DataFrame, column: str = "is_representative", key: Column | None = None) -> DataFrame:
+    """Adds the flag of the one row of each group that stands for it. key: a column
+    that holds dedup_key(), by which the rows may be dealt already."""
+    order = Window.partitionBy(dedup_key() if key is None else key).orderBy(*preference())
     return marks.withColumn(column, F.row_number().over(order) == 1)
 
 
@@ -45,9 +46,11 @@ def recompute(old: DataFrame, column: str = "is_representative") -> DataFrame:
 def recompute_scope(marks: DataFrame, keys: DataFrame, column: str = "is_representative") -> DataFrame:
     """Marks with the flag renewed for groups whose key is in keys (key) only."""
     keyed = marks.withColumn("_key", dedup_key())
-    scope = keys.select(F.col("key").alias("_key")).distinct()
-    inside = with_representative(keyed.join(scope, "_key", "left_semi"), column)
-    return inside.unionByName(keyed.join(scope, "_key", "left_anti")).drop("_key")
+    scope = keys.select(F.col("key").alias("_key"), F.lit(True).alias("_in")).distinct()
+    # One pass over marks: the new flag stands beside the old one and counts inside the scope.
+    rows = with_representative(keyed.join(scope, "_key", "left"), "_new", F.col("_key"))
+    old = F.col(column) if column in marks.columns else F.lit(None).cast("boolean")
+    return rows.withColumn(column, F.when(F.col("_in"), F.col("_new")).otherwise(old)).drop("_key", "_in", "_new")
 
 
 def purge(marks: DataFrame, gazette_id: str) -> DataFrame:
@@ -56,6 +59,21 @@ def purge(marks: DataFrame, gazette_id: str) -> DataFrame:
     return recompute_scope(marks.where(~F.col("gazette_id").eqNullSafe(gazette_id)), gone)
 
 
+#: Shares that rows without a number are dealt to.
+SALTS = 64
+
+
+def with_record(rows: DataFrame, number: str, records: DataFrame, key: str) -> DataFrame:
+    """rows (with an id) LEFT JOIN records ON number = key. A third of the rows may have no
+    number, NULL or blank; they are dealt by their id too, not to one task."""
+    none = F.coalesce(F.col(number) == "", F.lit(True))
+    salt = lambda c: c.cast("int")
+    left = rows.withColumn("_salt", salt(F.when(none, F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0)))
+    each = F.when(F.col(key) == "", F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = records.withColumn("_share", F.explode(each))
+    return left.join(right, (left[number] == right[key]) & (left["_salt"] == right["_share"]), "left").drop("_salt", "_share")
+
+
 def others_of(marks: DataFrame, anchor_key: Column, same: Column) -> DataFrame:
     """One row for each other mark that meets `same`."""
     return representatives(marks).where(same & (dedup_key() != anchor_key))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from markweave.functions.phonetics import entity_norm
 from markweave.functions.text import blank_to_null, clean_text, head_before_address, mark_category, lineage_key, nice_classes, strip_note
-from markweave.operators.linkage import with_representative
+from markweave.operators.linkage import dedup_key, with_record, with_representative
 
 DOMESTIC = ("domestic_application", "domestic_registration")
 MADRID = ("madrid_registration", "madrid_renewal")
@@ -18,7 +18,17 @@ def enriched(marks: DataFrame, domestic: DataFrame, madrid: DataFrame) -> DataFr
     lineage, as structs d and m."""
     d = domestic.select(F.col("application_number").alias("_da"), F.struct(*domestic.columns).alias("d"))
     m = madrid.select(F.col("irn").alias("_mi"), F.struct(*madrid.columns).alias("m"))
-    return marks.join(d, F.col("application_number") == F.col("_da"), "left").join(m, F.col("lineage_key") == F.col("_mi"), "left").drop("_da", "_mi")
+    return with_record(marks, "application_number", d, "_da").join(m, F.col("lineage_key") == F.col("_mi"), "left").drop("_da", "_mi")
+
+
+def _enriched_by_key(marks: DataFrame, domestic: DataFrame, madrid: DataFrame) -> DataFrame:
+    """enriched() with _key, for marks whose lineage_key is the first number that isn't blank: a
+    row's application number and lineage, where it has them, are its dedup_key(), so rows are
+    dealt by that once for both joins and the representatives. A blank number is none."""
+    d = domestic.select(F.col("application_number").alias("_da"), F.struct(*domestic.columns).alias("d"))
+    m = madrid.select(F.col("irn").alias("_mi"), F.struct(*madrid.columns).alias("m"))
+    rows, own = marks.withColumn("_key", dedup_key()), lambda c: F.col(c).eqNullSafe(F.col("_key"))
+    return rows.join(d, (F.col("_key") == F.col("_da")) & own("application_number"), "left").join(m, (F.col("_key") == F.col("_mi")) & own("lineage_key"), "left").drop("_da", "_mi")
 
 
 def _gated(category: Column, domestic: Column, madrid: Column) -> Column:
@@ -44,7 +54,7 @@ def derive(marks: DataFrame, domestic: DataFrame, madrid: DataFrame, names: Data
     base = base.withColumn("lineage_key", lineage_key(*[F.col(c) for c in ("application_number", "certificate_number", "madrid_number")]))
     if names is not None:
         base = fill_sample(base, names)
-    rows, c = enriched(base, domestic, madrid), F.col("mark_category")
+    rows, c = _enriched_by_key(base, domestic, madrid), F.col("mark_category")
     rows = rows.withColumns(
         {
             "nice_classes": nice_classes(F.col("nice_group_number")),
@@ -56,14 +66,14 @@ def derive(marks: DataFrame, domestic: DataFrame, madrid: DataFrame, names: Data
         }
     ).drop("d", "m")
     rows = rows.withColumns({"applicant_norm": entity_norm(F.col("applicant_clean")), "representative_norm": entity_norm(F.col("representative_clean"))})
-    return with_representative(rows)
+    return with_representative(rows, key=F.col("_key")).drop("_key")
 
 
 def fill_sample(marks: DataFrame, names: DataFrame) -> DataFrame:
     """A sample from the reference where there is none. A number that repeats in
     names (name_index gives each once) has its greatest sample; marks are never doubled."""
     n = names.groupBy(F.col("application_number").alias("_a")).agg(F.max("mark_sample").alias("_s"))
-    return marks.join(n, F.col("application_number") == F.col("_a"), "left").withColumn("mark_sample", F.coalesce(blank_to_null(F.col("mark_sample")), "_s")).drop("_a", "_s")
+    return with_record(marks, "application_number", n, "_a").withColumn("mark_sample", F.coalesce(blank_to_null(F.col("mark_sample")), "_s")).drop("_a", "_s")
 
 
 def overwrite_sample(marks: DataFrame, pairs: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

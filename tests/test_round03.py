@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from markweave.functions import html
-from markweave.operators import layout
+from markweave.operators import layout, linkage
+from markweave.operators.rollup import Rollup
+from markweave.sources.keyed_table import KeyedTable
 from markweave.streaming import stateful
 
 
@@ -38,3 +40,37 @@ def test_marks_share_a_bucket_of_state(spark, tmp_path):
     assert sorted(r.id for r in stateful.representatives_of(changes).collect()) == ["b", "c", "d"]
     assert {tuple(r) for r in changes.where("kind = 'watch'").groupBy("name", F.unix_date("day").alias("day")).agg(F.sum("delta").alias("n")).where("n <> 0").collect()} == {("x", 5, 1), ("y", 7, 1)}
     assert sorted((r.id, r.value) for r in changes.where("kind = 'flag'").collect()) == [("a", False), ("a", True), ("b", True), ("c", True), ("d", True)]
+
+
+def test_rows_without_a_number_are_spread(spark):
+    rows = spark.createDataFrame([(f"i{i}", None if i % 2 else "") for i in range(400)] + [("x", "4-1")], "id string, number string")
+    records = spark.createDataFrame([("4-1", "one"), ("", "blank")], "key string, name string").hint("merge")
+    got = linkage.with_record(rows, "number", records, "key")
+    assert sorted({(r.number, r.name) for r in got.collect()}, key=str) == sorted({(None, None), ("", "blank"), ("4-1", "one")}, key=str) and got.count() == 401
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    sizes = linkage.with_record(rows, "number", records, "key").rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+    spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert len(sizes) == 4 and max(sizes) < 200
+
+
+def test_purge_reads_marks_once(spark):
+    schema = "id string, gazette_id string, application_number string, lineage_key string, certificate_number string, vn_grant_date date"
+    marks = spark.createDataFrame([("a", "g1", "4-1", None, None, None), ("b", "g2", "4-1", None, "C", None), ("c", "g1", "4-2", None, None, None), ("d", None, "", "", None, None)], schema)
+    purged = linkage.purge(linkage.with_representative(marks), "g2")
+    assert {(r.id, r.is_representative) for r in purged.collect()} == {("a", True), ("c", True), ("d", True)}
+    assert purged._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
+
+
+def test_a_task_writes_many_files(spark, tmp_path):
+    table = KeyedTable.create(spark.range(1000).withColumnRenamed("id", "k"), str(tmp_path / "t"), ["k"], 10)
+    files = table.manifest().collect()
+    assert len(files) >= 100 and max(r.rows for r in files) <= 10 and table.read().count() == 1000
+    assert len({r.file.split("/")[1].split("-")[1] for r in files}) <= 4  # the tasks that wrote them
+
+
+def test_rollup_takes_rows_with_their_key(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "c", "A", "k1"), (1, "c", "A", "k1"), (2, "c", "B", "k1")], "year int, mark_category string, record_type string, key string")
+    rollup = Rollup(spark, str(tmp_path / "r"))
+    rollup.put("g", rows)
+    assert {tuple(r) for r in rollup.distinct_counts().collect()} == {("A", 1), ("B", 1), (None, 1)}

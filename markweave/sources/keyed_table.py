@@ -63,7 +63,10 @@ class KeyedTable:
         gen = uuid.uuid4().hex
         table = saved(rows, "merge")
         parts = max(1, -(-table.count() // self.rows_per_file))
-        table.repartitionByRange(parts, *self.key).sortWithinPartitions(*self.key).write.parquet(f"{self.root}/data/{gen}")
+        # Each task tells the driver of its work: a task writes many files, not one.
+        tasks = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        ranges = table.repartitionByRange(min(parts, tasks), *self.key).sortWithinPartitions(*self.key)
+        (ranges.write.option("maxRecordsPerFile", self.rows_per_file) if parts > tasks else ranges.write).parquet(f"{self.root}/data/{gen}")
         return gen
 
     def _commit(self, gen: str, before: str | None, gone: list[str]) -> None:

@@ -27,11 +27,16 @@ class Rollup:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.gens = spark, Generations(spark, root)
 
+    @staticmethod
+    def columns(rows: DataFrame, *more: str) -> DataFrame:
+        """What a rollup needs of marks; rows of it have their key already."""
+        return rows.select("year", "mark_category", "record_type", ("key" if "key" in rows.columns else dedup_key().alias("key")), *more)
+
     def put(self, gazette_id: str, rows: DataFrame) -> None:
         """Take in a gazette's marks, in the place of what it had; no other gazette is read."""
         old = [e["gen"] for e in self.gens.live() if e["gazette_id"] == gazette_id]
         gen = self.gens.begin()
-        keyed = rows.select("year", "mark_category", "record_type", dedup_key().alias("key"))
+        keyed = self.columns(rows)
         cells = keyed.groupBy("year", "mark_category", "record_type").agg(F.count("*").alias("n"), F.hll_sketch_agg("key", LOG_K).alias("sketch"))
         self.gens.write(gen, "cells", cells)
         bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")

@@ -597,7 +597,7 @@ def _(s, d):
 
 @query("j02_left", "SELECT m.id, d.mark_text FROM marks m LEFT JOIN domestic d USING (application_number)")
 def _(s, d):
-    return marks(s, d).join(domestic(s, d).select("application_number", "mark_text"), "application_number", "left").select("id", "mark_text")
+    return linkage.with_record(marks(s, d), "application_number", domestic(s, d).select(col("application_number").alias("_number"), "mark_text"), "_number").select("id", "mark_text")
 
 
 @query("j03_gated_joins", "SELECT m.id, CASE WHEN mark_category LIKE 'domestic%' THEN d.grant_date WHEN mark_category LIKE 'madrid%' THEN r.vn_grant_date END AS g FROM marks m LEFT JOIN domestic d USING (application_number) LEFT JOIN madrid r ON m.lineage_key = r.irn", days="g")
@@ -795,8 +795,10 @@ def _rollup(s, d):
 
     key = f"markweave.rollup.{d.rstrip('/')}"
     if not s.conf.get(key, None):
-        path, m = scratch(s, "rollup"), marks(s, d)
-        rollup = Rollup(s, path)
+        # The rows of a gazette come to it as a file of its own.
+        path, files = scratch(s, "rollup"), scratch(s, "gazette-rows")
+        Rollup.columns(marks(s, d), "gazette_id").write.partitionBy("gazette_id").parquet(files)
+        rollup, m = Rollup(s, path), s.read.parquet(files)
         for r in m.select("gazette_id").distinct().collect():  # of some seven years
             rollup.put(r.gazette_id, m.where(col("gazette_id") == r.gazette_id))
         s.conf.set(key, path)

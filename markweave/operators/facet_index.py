@@ -2,7 +2,7 @@
 without a scan of the marks.
 
 Rows are numbered; 32,768 of them are a bucket. A field of few values has a bitmap for each
-value and bucket, one of many values the sorted list of its rows there. Codes are closed
+value and bucket, one of many values the sorted list of its rows there, in one entry or a few. Codes are closed
 upwards: a row is in the lists of its codes and of what they begin with, so a search for part
 of a code is one list. A filter is an AND over its clauses, bucket by bucket, and the count of
 a facet's value an AND with its bitmap; a clause of several values is an OR.
@@ -10,13 +10,18 @@ a facet's value an AND with its bitmap; a clause of several values is an OR.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markweave.operators.facets import LIMITS
 from markweave.operators.filters import FilterSpec, normalize_request_code
 from markweave.operators.linkage import with_representative
-from markweave.operators.numbering import numbered
+from markweave.operators.numbering import placed
 from markweave.storage import Generations, saved, sized
 
 #: Fields by the column that they are of. Those of few values have bitmaps, the others lists.
@@ -25,6 +30,8 @@ DENSE_ARRAYS = {"nice_class": "nice_classes", "designated_country": "_designated
 LISTS = {"applicant": "applicant_name", "ip_agency": "ip_agency", "gazette_id": "gazette_id"}
 #: The facets of a request, and the field that each counts.
 FACETS = {"country": "country", "nice": "nice_class", "applicant": "applicant", "ip_agency": "ip_agency", "mark_category": "mark_category", "granted": "granted"}
+#: Rows of a bucket, as Spark's bitmap functions have it.
+BUCKET = 32_768
 BITS = "value string, bucket long, bits binary, n long, gen string, field string"
 LISTED = "value string, bucket long, rows array<int>, n long, gen string, field string"
 ROWS = "row int, id string, gen string, bucket long"
@@ -42,6 +49,55 @@ def _held(bits: Column, row: Column) -> Column:
     return F.floor(byte / F.pow(F.lit(2), row % 8)) % 2 == 1
 
 
+def _pieces(dense: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (_i, _rep, a column a field: text or lists of it) as entries (field, value, bucket,
+    n, bits or rows) of some 32,768 rows at a time. A bucket that a task or such a run ends in
+    has several entries of a value, which hold different rows."""
+
+    def entries(i: np.ndarray, rep: np.ndarray, field: str, column: pa.Array) -> pa.RecordBatch:
+        at = np.arange(len(i))
+        if pa.types.is_list(column.type):
+            at, column = pc.list_parent_indices(column).to_numpy(), pc.list_flatten(column)
+        there = pc.is_valid(column).to_numpy(zero_copy_only=False)
+        at, coded = at[there], column.filter(pa.array(there)).dictionary_encode()
+        code, number = coded.indices.to_numpy().astype(np.int64), i[at]
+        order = np.lexsort((number, code))
+        code, number, flag = code[order], number[order], rep[at][order].astype(np.int64)
+        bucket, row = number // BUCKET + 1, (number % BUCKET).astype(np.int32)
+        first = np.flatnonzero(np.append(len(code) > 0, (code[1:] != code[:-1]) | (bucket[1:] != bucket[:-1])))
+        ends = np.append(first, len(code))
+        if dense:
+            maps = []
+            for s, e in zip(ends, ends[1:], strict=False):
+                held = np.zeros(BUCKET, np.uint8)
+                held[row[s:e]] = 1
+                maps.append(np.packbits(held, bitorder="little").tobytes())
+            what = pa.array(maps, pa.binary())
+        else:
+            what = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(row))
+        n = np.add.reduceat(flag, first) if len(first) else np.zeros(0, np.int64)
+        columns = [pa.array([field] * len(first), pa.string()), coded.dictionary.take(pa.array(code[first])), pa.array(bucket[first]), pa.array(n), what]
+        return pa.RecordBatch.from_arrays(columns, ["field", "value", "bucket", "n", "bits" if dense else "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            i, rep = table["_i"].to_numpy(), table["_rep"].to_numpy()
+            for name in table.column_names[2:]:
+                yield entries(i, rep, name, table[name].combine_chunks())
+
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= BUCKET:
+                yield from made(held)
+                held = []
+        if held:
+            yield from made(held)
+
+    return run
+
+
 class FacetIndex:
     """The index in a folder; build() puts a new one in the place of the last."""
 
@@ -59,22 +115,21 @@ class FacetIndex:
             status = madrid.select(F.col("irn").alias("_irn"), F.col("vn_status").alias("_vn_status"), F.col("designated_countries").alias("_designated"))
             own = own.join(status, F.col("lineage_key") == F.col("_irn"), "left")
         columns = [*DENSE.values(), *DENSE_ARRAYS.values(), *LISTS.values(), "vienna_codes", "vn_grant_date", "is_representative"]
-        rows = numbered(own.select("id", *columns), ["id"])
-        at = F.col("_i") + 1
-        rows = rows.withColumns({"bucket": F.bitmap_bucket_number(at), "row": F.bitmap_bit_position(at).cast("int")})
+        # Numbers follow the places in the written table, so a task has whole runs of rows at hand
+        # and makes their bitmaps and lists itself: nothing is shuffled or sorted for them.
+        rows = placed(own.select("id", *columns))
         gen, before = index.gens.begin(), [e["gen"] for e in index.gens.live()]
-        named = lambda name, values: F.transform(F.coalesce(values.cast("array<string>"), F.array().cast("array<string>")), lambda v: F.struct(F.lit(name).alias("field"), v.alias("value")))
-        one = lambda name, c: named(name, F.array(F.col(c).cast("string")))
-        true = lambda name, test: named(name, F.array(F.when(test, "true")))
-        dense = [one(n, c) for n, c in DENSE.items()] + [named(n, F.array_distinct(c)) for n, c in DENSE_ARRAYS.items()]
-        dense += [true("granted", F.col("vn_grant_date").isNotNull()), true("representative", F.col("is_representative"))]
-        lists = [one(n, c) for n, c in LISTS.items()] + [named("vienna", code_ancestors(F.col("vienna_codes")))]
-        each = lambda fields: rows.select("bucket", "row", "is_representative", F.inline(F.concat(*fields))).where("value IS NOT NULL").groupBy("field", "value", "bucket")
-        n = F.count_if("is_representative").alias("n")
-        index.gens.write(gen, "bits", each(dense).agg(F.bitmap_construct_agg("row").alias("bits"), n).repartitionByRange("field", "value", "bucket"), "field")
-        # A list is at most the 32,768 rows of its bucket.
-        index.gens.write(gen, "lists", each(lists).agg(F.sort_array(F.collect_list("row")).alias("rows"), n).repartitionByRange("field", "value", "bucket"), "field")
-        index.gens.write(gen, "rows", rows.select("row", "id", "bucket").repartitionByRange("bucket", "row").sortWithinPartitions("bucket", "row"), "bucket")
+        text = lambda c: F.col(c).cast("string")
+        true = lambda test: F.when(test, F.lit("true"))
+        dense = [text(c).alias(n) for n, c in DENSE.items()] + [F.array_distinct(c).cast("array<string>").alias(n) for n, c in DENSE_ARRAYS.items()]
+        dense += [true(F.col("vn_grant_date").isNotNull()).alias("granted"), true(F.col("is_representative")).alias("representative")]
+        lists = [text(c).alias(n) for n, c in LISTS.items()] + [code_ancestors(F.col("vienna_codes")).alias("vienna")]
+        each = lambda fields: rows.select("_i", F.coalesce("is_representative", F.lit(False)).alias("_rep"), *fields)
+        kept = "field string, value string, bucket long, n long"
+        index.gens.write(gen, "bits", each(dense).mapInArrow(_pieces(True), f"{kept}, bits binary").sortWithinPartitions("field", "value", "bucket"), "field")
+        index.gens.write(gen, "lists", each(lists).mapInArrow(_pieces(False), f"{kept}, rows array<int>").sortWithinPartitions("field", "value", "bucket"), "field")
+        place = [(F.col("_i") % BUCKET).cast("int").alias("row"), "id", (F.floor(F.col("_i") / BUCKET) + 1).cast("long").alias("bucket")]
+        index.gens.write(gen, "rows", rows.select(*place).sortWithinPartitions("bucket", "row"), "bucket")
         index.gens.publish(gen, before)
         return index
 
@@ -155,8 +210,10 @@ class FacetIndex:
             clauses.append(("representative", self._bits("representative").groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))))
             met = saved(self._met(clauses, list(fields)), "met").select(F.col("own").alias("field"), "bucket", F.col("bits").alias("met"))
             met = sized(met, 4200)
-            pairs = self._bits(*dense).join(met, ["field", "bucket"]).select("field", "value", "bucket", F.explode(F.array("bits", "met")).alias("b"))
-            both = pairs.groupBy("field", "value", "bucket").agg(F.bitmap_count(F.bitmap_and_agg("b")).alias("n"))
+            # The entries of a value in a bucket hold different rows, so their counts add up.
+            bits = self._bits(*dense).withColumn("_entry", F.monotonically_increasing_id())
+            pairs = bits.join(met, ["field", "bucket"]).select("field", "value", "_entry", F.explode(F.array("bits", "met")).alias("b"))
+            both = pairs.groupBy("field", "value", "_entry").agg(F.bitmap_count(F.bitmap_and_agg("b")).alias("n"))
             rare = self._lists(*lists).join(met, ["field", "bucket"]).select("field", "value", F.size(F.filter("rows", lambda r: _held(F.col("met"), r))).cast("long").alias("n"))
             counts = both.select("field", "value", "n").unionByName(rare)
         names = F.create_map(*[F.lit(x) for kv in fields.items() for x in kv])

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from markweave.functions import html
-from markweave.operators import layout, linkage
+from markweave.operators import facet_index, layout, linkage, numbering
 from markweave.operators.rollup import Rollup
 from markweave.sources.keyed_table import KeyedTable
 from markweave.streaming import stateful
@@ -74,3 +74,15 @@ def test_rollup_takes_rows_with_their_key(spark, tmp_path):
     rollup = Rollup(spark, str(tmp_path / "r"))
     rollup.put("g", rows)
     assert {tuple(r) for r in rollup.distinct_counts().collect()} == {("A", 1), ("B", 1), (None, 1)}
+
+
+def test_index_entries_are_made_without_a_shuffle(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 3 == 0, None if i == 5 else f"v{i % 2}") for i in range(32_760, 32_790)], "_i long, _rep boolean, f string").coalesce(1)
+    bits = rows.mapInArrow(facet_index._pieces(True), "field string, value string, bucket long, n long, bits binary")
+    assert "Exchange hashpartitioning" not in bits._jdf.queryExecution().executedPlan().toString()
+    got = {(r.value, r.bucket): (r.n, r.c) for r in bits.select("value", "bucket", "n", F.bitmap_count("bits").alias("c")).collect()}
+    assert got == {("v0", 1): (2, 4), ("v1", 1): (1, 4), ("v0", 2): (3, 11), ("v1", 2): (4, 11)}
+    lists = rows.mapInArrow(facet_index._pieces(False), "field string, value string, bucket long, n long, rows array<int>")
+    assert {(r.value, r.bucket): r.rows[0] for r in lists.collect()} == {("v0", 1): 32760, ("v1", 1): 32761, ("v0", 2): 0, ("v1", 2): 1}
+    numbers = numbering.placed(spark.range(100, numPartitions=3)).collect()
+    assert sorted(r._i for r in numbers) == list(range(100))

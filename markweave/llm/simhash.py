@@ -7,9 +7,10 @@ are factored out as a mask and pattern into upper nodes, level by level. The sea
 descends pairs of nodes, counting differences on bits that both share and were not counted
 above, and drops whole groups when the sum passes the limit. A bucket gives the edges of a
 forest, never its pairs. Where codes are only parts of longer fingerprints, rows carry more
-bits of these (`check`), a pair is a link only if those are near too, and the forest is the
-one of least distances: it connects what links of up to any distance connect, so what later
-filters drop takes no closer link with it. Buckets above `bucket_rows` are dealt again on their free bits
+bits of these (`check`), a pair is a candidate only if those are near too, and the forest is
+the one of least distances. A candidate that is rejected later may have stood for links that
+hold, so a second search (`_missed`) looks at all candidates whose ends the first one left in
+different classes; what is in one class already is passed over in whole groups. Buckets above `bucket_rows` are dealt again on their free bits
 (`bits` + 1 parts, one of which agrees), until FREE_BITS or fewer are free: a bucket of
 distinct fingerprints then has at most 2^15 rows, whatever the data.
 """
@@ -32,6 +33,9 @@ from markweave.llm.components import components
 SEED, FREE_BITS = 42, 15
 #: Columns with more bits of the fingerprint that a code is of.
 CHECK = ("c0", "c1")
+#: Behind them: the most of those bits by which a row differs from any that it goes on for; and,
+#: in the second search, its class, and whether rows that it goes on for are in other ones.
+REACH, CLASS = "reach", ("class", "mixed")
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -78,14 +82,14 @@ def _moved(code: Column, lead: int, at: int, size: int) -> Column:
     return out
 
 
-def _tree_edges(codes: np.ndarray, starts: np.ndarray, bits: int, fan: int = 16, check: np.ndarray | None = None, limit: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b) indices: a forest of links of at most `bits` differences whose trees are what
-    such links reach. starts: where buckets begin; inside them codes are in Gray order.
-    check: longs of each code, in which a link differs by at most `limit` bits; then the
-    forest is the one of least distances in these."""
+def _near_pairs(codes: np.ndarray, starts: np.ndarray, bits: int, fan: int = 16, kind: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) indices, a < b, of all pairs in a bucket with at most `bits` differences, many at a
+    time. starts: where buckets begin; inside them codes are in Gray order. kind: pairs of
+    one kind are left out, unless it is -1."""
     n = len(codes)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     mask, pattern, bucket_starts = [np.full(n, full)], [codes], starts
+    kinds = [np.full(n, -1) if kind is None else kind]
     first_child: list[np.ndarray] = []
     while len(mask[-1]) > len(bucket_starts):
         size = np.diff(np.append(bucket_starts, len(mask[-1])))
@@ -98,8 +102,9 @@ def _tree_edges(codes: np.ndarray, starts: np.ndarray, bits: int, fan: int = 16,
         first_child.append(np.append(begin, len(mask[-1])))
         mask.append(shared)
         pattern.append(both & shared)
+        least = np.minimum.reduceat(kinds[-1], begin)
+        kinds.append(np.where(least == np.maximum.reduceat(kinds[-1], begin), least, -1))
         bucket_starts = offset
-    labels, forest, links = np.arange(n), [(np.zeros(0, int), np.zeros(0, int))], []
     top = len(mask) - 1
     roots = np.arange(len(mask[top]))
     zero = np.zeros(len(roots), np.int64)
@@ -108,35 +113,53 @@ def _tree_edges(codes: np.ndarray, starts: np.ndarray, bits: int, fan: int = 16,
         level, a, b, spent, seen = todo.pop()
         if level == 0:
             keep = a < b
-            if check is None:
-                forest += _union(labels, a[keep], b[keep])
-                continue
-            a, b = a[keep], b[keep]
-            apart = np.bitwise_count(check[a] ^ check[b]).sum(1, dtype=np.int64)
-            near = apart <= limit
-            links.append((a[near], b[near], apart[near]))
-            if sum(len(x[0]) for x in links) > 1 << 21:
-                links = [_least_forest(n, links)]
+            yield a[keep], b[keep]
             continue
         kids = first_child[level - 1]
         na, nb = kids[a + 1] - kids[a], kids[b + 1] - kids[b]
         grown = np.cumsum(na * nb)
-        if grown[-1] > 1 << 20 and len(a) > 1:
+        if len(a) > 1 and grown[-1] > 1 << 20:
             cut = max(1, int(np.searchsorted(grown, grown[-1] // 2)))
             todo += [(level, a[x], b[x], spent[x], seen[x]) for x in (slice(cut), slice(cut, None))]
             continue
         pair = np.repeat(np.arange(len(a)), na * nb)
-        within = np.arange(grown[-1]) - np.repeat(grown - na * nb, na * nb)
+        within = np.arange(len(pair)) - np.repeat(grown - na * nb, na * nb)
         i = kids[a][pair] + within // nb[pair]
         j = kids[b][pair] + within % nb[pair]
         shared = mask[level - 1][i] & mask[level - 1][j]
         new = shared & ~seen[pair]
         cost = spent[pair] + np.bitwise_count((pattern[level - 1][i] ^ pattern[level - 1][j]) & new)
-        keep = (cost <= bits) & (i <= j)
-        todo.append((level - 1, i[keep], j[keep], cost[keep], shared[keep]))
-    if links:
-        forest.append(_least_forest(n, links)[:2])
-    return tuple(np.concatenate(x) for x in zip(*forest, strict=True))
+        of = kinds[level - 1]
+        keep = (cost <= bits) & (i <= j) & ((of[i] != of[j]) | (of[i] < 0))
+        if keep.any():
+            todo.append((level - 1, i[keep], j[keep], cost[keep], shared[keep]))
+
+
+def _candidates(pairs: Iterator[tuple[np.ndarray, np.ndarray]], check: np.ndarray, reach: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, distance) of the pairs that differ by at most `limit` bits of check, or for which
+    two rows that they go on for may."""
+    for a, b in pairs:
+        apart = np.bitwise_count(check[a] ^ check[b]).sum(1, dtype=np.int64)
+        near = apart <= limit + reach[a] + reach[b]
+        yield a[near], b[near], apart[near]
+
+
+def _tree_edges(codes: np.ndarray, starts: np.ndarray, bits: int, check: np.ndarray | None = None, reach: np.ndarray | None = None, limit: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) indices: a forest of links of at most `bits` differences whose trees are what
+    such links reach. starts: as in _near_pairs. check: longs of each code; then links are
+    the _candidates, and the forest is the one of least distances in these."""
+    n, pairs = len(codes), _near_pairs(codes, starts, bits)
+    if check is None:
+        labels, forest = np.arange(n), [(np.zeros(0, int), np.zeros(0, int))]
+        for a, b in pairs:
+            forest += _union(labels, a, b)
+        return tuple(np.concatenate(x) for x in zip(*forest, strict=True))
+    links = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))]
+    for found in _candidates(pairs, check, reach, limit):
+        links.append(found)
+        if sum(len(x[0]) for x in links) > 1 << 21:
+            links = [_least_forest(n, links)]
+    return _least_forest(n, links)[:2]
 
 
 def _least_forest(n: int, links: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -201,30 +224,37 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
 
 def _bucket_edges(rows: DataFrame, lead: int, bits: int, limit: int) -> DataFrame:
     """(a, b) of the forest of each bucket (table, first `lead` bits of code), by fp. limit:
-    of the bits in which the columns behind fp may differ, if there are any."""
+    of the bits in which the CHECK columns may differ, if there are any. With the CLASS
+    columns all candidates that may join two classes, not a forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, first, code, fp, *check in _whole_groups(batches, 2):
-            more = np.stack(check, 1).view(np.uint64) if check else None
-            a, b = _tree_edges(code.view(np.uint64), _starts(table, first), bits, check=more, limit=limit)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
+        for table, first, code, fp, *more in _whole_groups(batches, 2):
+            codes, starts = code.view(np.uint64), _starts(table, first)
+            check, reach = (np.stack(more[:2], 1).view(np.uint64), more[2]) if more else (None, None)
+            if len(more) > 3:
+                kind = np.where(more[4] == 0, np.unique(more[3], return_inverse=True)[1], -1)
+                found = _candidates(_near_pairs(codes, starts, bits, kind=kind), check, reach, limit)
+            else:
+                found = [_tree_edges(codes, starts, bits, check, reach, limit)]
+            for a, b, *_ in found:
+                yield pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["a", "b"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = rows.select("table", F.shiftrightunsigned("code", 64 - lead).alias("lead"), "code", "fp", *_check(rows))
+    keyed = rows.select("table", F.shiftrightunsigned("code", 64 - lead).alias("lead"), "code", "fp", *_more(rows))
     # An unsigned order of ranks: the sign bit turned.
     rank = gray_rank(F.col("code")).bitwiseXOR(F.lit(-(1 << 63)))
     sorted_rows = keyed.repartition(parts, "table", "lead").sortWithinPartitions("table", "lead", rank)
     return sorted_rows.mapInArrow(run, "a long, b long")
 
 
-def _check(rows: DataFrame) -> list[str]:
-    return [c for c in rows.columns if c in CHECK]
+def _more(rows: DataFrame) -> list[str]:
+    return [c for c in rows.columns if c in (*CHECK, REACH, *CLASS)]
 
 
 def _dealt(rows: DataFrame, codes: list[Column], *keys: str) -> DataFrame:
     """Each row once for each code, under a table of its own for keys and that code."""
     each = F.array(*[F.struct(F.xxhash64(*keys, F.lit(i)).alias("table"), c.alias("code")) for i, c in enumerate(codes)])
-    return rows.select("fp", *_check(rows), F.inline(each)).select("table", "code", "fp", *_check(rows))
+    return rows.select("fp", *_more(rows), F.inline(each)).select("table", "code", "fp", *_more(rows))
 
 
 def near_fingerprints(fps: DataFrame, bits: int = 2, bucket_rows: int = 4096) -> DataFrame:
@@ -236,8 +266,9 @@ def near_fingerprints(fps: DataFrame, bits: int = 2, bucket_rows: int = 4096) ->
 def near_codes(rows: DataFrame, width: int, bits: int, agree: int, bucket_rows: int, limit: int = 0) -> DataFrame:
     """near_fingerprints for rows (table, code, fp) with distinct codes in a table, which are
     the first `width` bits of a long; edges name the fp. The code is cut into bits + agree
-    segments, `agree` of which agree in a pair. With the CHECK columns, in which linked rows
-    differ by at most `limit` bits, a few rows may share a code."""
+    segments, `agree` of which agree in a pair. With the CHECK columns and REACH a few rows may
+    share a code, and links are _candidates within `limit`; with CLASS too, edges are all of
+    these that may join two classes, some of them twice."""
     size = width // (bits + agree)
     if agree not in (1, 2) or size < 4:
         raise ValueError("segments of four bits and more, one or two of which agree")
@@ -351,10 +382,10 @@ def check_limits(similarity: float) -> tuple[int, int]:
 
 
 def _leaders(rows: DataFrame, similarity: float, bucket_rows: int, whole: bool) -> DataFrame:
-    """rows (table, code, fp, CHECK) with `to`: the fp of a row of the same code that is nearly
-    the same, and goes on for this one; null for rows that go on. Beyond bucket_rows rows
-    that go on in one code, all that may be linked to one of them are taken for it. whole:
-    rows are sorted by table and code; otherwise groups are those inside a batch."""
+    """rows (table, code, fp, CHECK, REACH) with `to`: the fp of a row of the same code that is
+    nearly the same, and goes on for this one; null for rows that go on. Beyond bucket_rows
+    rows that go on in one code, all that may be linked to one of them are taken for it.
+    whole: rows are sorted by table and code; otherwise groups are those inside a batch."""
     close, linked = check_limits(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +394,7 @@ def _leaders(rows: DataFrame, similarity: float, bucket_rows: int, whole: bool)
             if not whole:
                 order = np.lexsort(columns[2::-1])
                 columns = [c[order] for c in columns]
-            fp, check = columns[2], np.stack(columns[3:], 1).view(np.uint64)
+            fp, check, reach = columns[2], np.stack(columns[3:5], 1).view(np.uint64), columns[5].copy()
             first = _starts(*columns[:2])
             last = np.append(first[1:], len(fp))
             to, has = fp.copy(), np.zeros(len(fp), bool)
@@ -374,34 +405,65 @@ def _leaders(rows: DataFrame, similarity: float, bucket_rows: int, whole: bool)
                     k = int(apart.argmin())
                     if apart[k] <= (close if len(stays) < bucket_rows else linked):
                         to[i], has[i] = fp[stays[k]], True
+                        reach[stays[k]] = max(reach[stays[k]], apart[k] + reach[i])
                     else:
                         stays = np.append(stays, i)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(to, mask=~has)], names)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:5]), pa.array(reach), pa.array(to, mask=~has)], names)
 
-    names = ["table", "code", "fp", *CHECK, "to"]
-    return rows.select(names[:-1]).mapInArrow(run, "table int, code long, fp long, " + ", ".join(f"{c} long" for c in CHECK) + ", to long")
+    names = ["table", "code", "fp", *CHECK, REACH, "to"]
+    return rows.select(names[:-1]).mapInArrow(run, "table int, code long, fp long, " + ", ".join(f"{c} long" for c in CHECK) + ", reach int, to long")
 
 
-def _candidate_pairs(distinct: DataFrame, bucket_rows: int, similarity: float) -> DataFrame:
-    """(a, b, differ) of forests of codes near each other, by fp, with the differing bits of
-    the wide fingerprints. The next words of a fingerprint are a code's check. Of rows that
-    have one code and nearly one fingerprint the first goes on: of those at hand where codes
-    are made, then of all, so that a large family is few rows when it is shuffled."""
+def _led(distinct: DataFrame, bucket_rows: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The codes that go on (table, code, fp, CHECK, REACH), and (table, fp, to) of the others.
+    The next words of a fingerprint are a code's check. Of rows that have one code and nearly
+    one fingerprint the first goes on: of those at hand where codes are made, then of all, so
+    that a large family is few rows when it is shuffled."""
     top = lambda c: F.shiftleft(F.shiftrightunsigned(c, 64 - CODE_BITS), 64 - CODE_BITS)
     checks = lambda i: [F.col(f"w{(i + 1 + k) % WIDE}").alias(c) for k, c in enumerate(CHECK)]
     halves = [F.struct(F.lit(2 * i + k).alias("table"), top(F.col(f"w{i}") if k else F.shiftleft(f"w{i}", 32)).alias("code"), *checks(i)) for i in range(WIDE) for k in range(2)]
-    codes = distinct.select("fp", F.inline(F.array(*halves))).select("table", "code", "fp", *CHECK)
+    codes = distinct.select("fp", F.inline(F.array(*halves))).select("table", "code", "fp", *CHECK, F.lit(0).alias(REACH))
     here = saved(_leaders(codes, similarity, bucket_rows, whole=False), "codes-here")
     parts = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = here.where("to IS NULL").repartition(parts, "table", "code").sortWithinPartitions("table", "code", "fp")
     first = saved(_leaders(dealt, similarity, bucket_rows, whole=True), "codes")
-    stars = here.unionByName(first).where("to IS NOT NULL").select(F.col("fp").alias("a"), F.col("to").alias("b"))
-    near = near_codes(first.where("to IS NULL").drop("to"), CODE_BITS, CODE_NEAR, 1, bucket_rows, check_limits(similarity)[1])
-    pairs = stars.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return first.where("to IS NULL").drop("to"), here.unionByName(first).where("to IS NOT NULL").select("table", "fp", "to")
+
+
+def _differing(pairs: DataFrame, distinct: DataFrame, most: int) -> DataFrame:
+    """The pairs (a, b, differ) whose wide fingerprints differ in at most `most` bits."""
     side = lambda x: distinct.select(F.col("fp").alias(x), *[F.col(f"w{i}").alias(f"{x}{i}") for i in range(WIDE)])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(WIDE)), F.lit(0))
-    return both.select("a", "b", differ.alias("differ"))
+    return both.select("a", "b", differ.alias("differ")).where(F.col("differ") <= most)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _missed(first: DataFrame, stars: DataFrame, tried: DataFrame, roots: DataFrame, bucket_rows: int, limit: int) -> DataFrame:
+    """(a, b): the candidates that were not tried and whose ends are in different classes, from
+    the codes that go on and those that don't (_led), the pairs tried and their classes
+    (node, root). A row with any candidate is in a tree or a star of those tried. Rows that
+    go on are searched again, to their limit and the reach of both; only pairs that are found
+    and may join two classes are replaced by the rows that they go on for."""
+    classes = tried.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    classes = saved(classes.select("fp", F.coalesce("root", "fp").alias("class")), "tried-classes")
+    # A leader where codes were made may be led by another one.
+    up = stars.select("table", F.col("fp").alias("to"), F.col("to").alias("over"))
+    behind = stars.join(up, ["table", "to"], "left").select("fp", F.coalesce("over", "to").alias("lead")).distinct()
+    behind = behind.unionByName(classes.select("fp", F.col("fp").alias("lead")))
+    behind = saved(behind.join(sized(classes, F.lit(16)), "fp").select("lead", "fp", "class"), "behind")
+    leads = behind.groupBy("lead").agg(F.min("class").alias("class"), (F.min("class") < F.max("class")).cast("int").alias("mixed"))
+    leads = saved(leads.withColumnRenamed("lead", "fp"), "leads")
+    again = saved(first.join(sized(leads, F.lit(20)), "fp").select("table", "code", "fp", *CHECK, REACH, *CLASS), "codes-again")
+    found = near_codes(again, CODE_BITS, CODE_NEAR, 1, bucket_rows, limit)
+    inside = leads.where("mixed = 1").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    pairs = saved(_ordered(found.unionByName(inside)), "leads-found")
+    side = lambda x: behind.toDF(f"{x}_lead", x, f"{x}_class")
+    every = pairs.toDF("a_lead", "b_lead").join(side("a"), "a_lead").join(side("b"), "b_lead").where("a_class <> b_class")
+    return _ordered(every.select("a", "b")).join(tried, ["a", "b"], "left_anti")
 
 
 def _verified(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -441,10 +503,19 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket
     of = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
     distinct = saved(fp.groupBy(*w).agg(of.alias("_of")).select(F.xxhash64(*w).alias("fp"), *w, F.col("_of")["doc_id"].alias("least"), F.col("_of")["text_key"].alias("text_key")), "wide-distinct")
     surely, maybe = bit_limits(similarity)
-    pairs = saved(_candidate_pairs(distinct, bucket_rows, similarity).where(F.col("differ") <= maybe), "pairs")
-    sure = pairs.where(F.col("differ") <= surely).select("a", "b")
-    edges = sure.unionByName(_verified(pairs.where(F.col("differ") > surely).select("a", "b"), distinct, docs, words, similarity))
-    classes = _least_of(distinct.select("fp", "least"), saved(edges, "edges"))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = saved(_differing(pairs, distinct, maybe), "pairs")
+        sure = pairs.where(F.col("differ") <= surely).select("a", "b")
+        return saved(sure.unionByName(_verified(pairs.where(F.col("differ") > surely).select("a", "b"), distinct, docs, words, similarity)), "edges")
+
+    first, stars = _led(distinct, bucket_rows, similarity)
+    limit = check_limits(similarity)[1]
+    near = near_codes(first, CODE_BITS, CODE_NEAR, 1, bucket_rows, limit)
+    tried = saved(_ordered(near.unionByName(stars.select(F.col("fp").alias("a"), F.col("to").alias("b")))), "tried")
+    edges = links(tried)
+    more = links(_missed(first, stars, tried, components(edges), bucket_rows, limit))
+    classes = _least_of(distinct.select("fp", "least"), edges.unionByName(more))
     return fp.select("doc_id", "text_key", F.xxhash64(*w).alias("fp")).join(classes, "fp").select(
         "doc_id", "text_key", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )

@@ -126,3 +126,38 @@ def test_least_forests_keep_every_threshold():
         links = lambda x: [(i, j) for i, j, d in zip(*(y.tolist() for y in x), strict=True) if d <= most]  # noqa: B023, E731
         assert reach(range(60), links((a, b, apart))) == reach(range(60), links(kept))
     assert len(kept[0]) < 60
+
+
+@pytest.mark.parametrize("cap", [4096, 2])
+@pytest.mark.parametrize("share", [0.001, 0.006])
+def test_a_rejected_candidate_takes_no_link_with_it(spark, monkeypatch, cap, share):
+    # 40 texts that are all candidates of each other, of which only a few given pairs are links;
+    # with few edits most share their codes, with more their codes are only near.
+    rng = np.random.default_rng(21)
+    base = [f"w{rng.integers(5000)}" for _ in range(400)]
+    texts = {i: " ".join([*edited(rng, base, share), f"end{i}"]) for i in range(40)}
+    links = {tuple(sorted(rng.choice(40, 2, replace=False).tolist())) for _ in range(22)}
+    wanted = spark.createDataFrame(sorted(links), "i long, j long")
+
+    def verified(pairs, distinct, docs, words, similarity):
+        of = lambda x: distinct.select(F.col("fp").alias(x), F.col("least").alias(f"d{x}"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.least("da", "db").alias("i"), F.greatest("da", "db").alias("j"))
+        return both.join(wanted, ["i", "j"]).select("a", "b")
+
+    monkeypatch.setattr(simhash, "_verified", verified)
+    monkeypatch.setattr(simhash, "bit_limits", lambda similarity: (-1, 64 * simhash.WIDE))
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(rows, bucket_rows=cap).collect()}
+    assert len(set(texts.values())) == 40 and got == reach(texts, links)
+
+
+def test_classes_are_passed_over_and_no_other_pairs():
+    rng = np.random.default_rng(4)
+    codes = np.sort(rng.integers(0, 1 << 10, 300).astype(np.uint64) << np.uint64(54))
+    starts, kind = np.array([0, 120, 121]), rng.integers(-1, 3, 300)
+    kind[130:290] = 2
+    pairs = lambda **more: sorted((i, j) for a, b in simhash._near_pairs(codes, starts, 2, **more) for i, j in zip(a.tolist(), b.tolist(), strict=True))
+    bucket = np.searchsorted(starts, np.arange(300), "right")
+    want = [(i, j) for i in range(300) for j in range(i + 1, 300) if bucket[i] == bucket[j] and int(codes[i] ^ codes[j]).bit_count() <= 2]
+    assert pairs() == want
+    assert pairs(kind=kind) == [(i, j) for i, j in want if kind[i] != kind[j] or kind[i] < 0]

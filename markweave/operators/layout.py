@@ -179,13 +179,27 @@ def merge_rectangles(rects: DataFrame, gap: float = 20.0, passes: int = 10) -> D
 
 
 def logo_path(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Rows (id and three numbers) with the path of the file (stem, path) named by the
-    first number that has one; a Madrid number also takes a letter behind it."""
-    wanted = rows.select("id", F.posexplode(F.array("application_number", "certificate_number", "madrid_number")).alias("rank", "stem")).where("stem IS NOT NULL AND stem <> ''")
-    base = files.select(F.regexp_replace("stem", r"^(\d+)[A-Z]$", "$1").alias("stem"), F.col("stem").rlike(r"^\d+[A-Z]$").alias("lettered"), "path")
-    hits = wanted.join(base, "stem").where("NOT lettered OR rank = 2")
-    best = hits.groupBy("id").agg(F.min_by("path", F.struct("rank", "lettered", "path")).alias("logo_path"))
-    return rows.join(best, "id", "left")
+    """(id, logo_path) of rows (id and three numbers): the path of the file (stem, path)
+    named by the first number that has one; a Madrid number also takes a letter behind it.
+    Numbers and files meet once by number; only what belongs to rows with several numbers
+    meets again by id (such rows of one id share a path). Rows are never joined back, and
+    those without a number stay spread."""
+    numbers = F.array(*[F.struct(F.lit(i).alias("rank"), F.col(c).alias("stem")) for i, c in enumerate(("application_number", "certificate_number", "madrid_number"))])
+    named = F.filter(numbers, lambda x: x["stem"] != "")
+    item = lambda rank, stem, n: F.struct(rank.alias("rank"), stem.alias("stem"), n.alias("n"))
+    none = F.array(item(F.lit(3), F.concat(F.lit("\0"), F.col("id").cast("string")), F.lit(0)))
+    # n inside the item: a filter on it stays above what makes the rows, so both uses share that.
+    items = F.when(F.size(named) > 0, F.transform(named, lambda x: item(x["rank"], x["stem"], F.size(named)))).otherwise(none)
+    wanted = rows.select("id", F.posexplode(items).alias("at", "x")).select("id", "at", "x.rank", "x.stem", "x.n")
+    lettered = F.col("stem").rlike(r"^\d+[A-Z]$")
+    base = files.select(F.regexp_replace("stem", r"^(\d+)[A-Z]$", "$1").alias("stem"), F.when(~lettered, F.col("path")).alias("plain"), F.when(lettered, F.col("path")).alias("letter"))
+    base = base.groupBy("stem").agg(F.min("plain").alias("plain"), F.min("letter").alias("letter"))
+    path = F.coalesce("plain", F.when(F.col("rank") == 2, F.col("letter")))
+    hits = wanted.join(base, "stem", "left").select("id", "n", "at", "rank", path.alias("path"))
+    first = F.min(F.when(F.col("path").isNotNull(), F.struct("rank", "path")))["path"]
+    best = hits.where("n > 1").groupBy("id").agg(first.alias("logo_path"), F.count_if(F.col("at") == 0).cast("int").alias("rows"))
+    several = best.select("id", F.explode(F.array_repeat("logo_path", F.col("rows"))).alias("logo_path"))
+    return hits.where("n < 2").select("id", F.col("path").alias("logo_path")).unionByName(several)
 
 
 def inid_rows(marks: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:

@@ -86,3 +86,16 @@ def test_index_entries_are_made_without_a_shuffle(spark, tmp_path):
     assert {(r.value, r.bucket): r.rows[0] for r in lists.collect()} == {("v0", 1): 32760, ("v1", 1): 32761, ("v0", 2): 0, ("v1", 2): 1}
     numbers = numbering.placed(spark.range(100, numPartitions=3)).collect()
     assert sorted(r._i for r in numbers) == list(range(100))
+
+
+def test_logo_paths_without_a_join_back(spark):
+    schema = "id string, application_number string, certificate_number string, madrid_number string"
+    rows = [("a", "1", None, None), ("b", "", "2", None), ("c", "9", "2", "3"), ("c", "9", "2", "3"), ("d", None, None, "3"), ("e", None, None, None), ("f", "", "", ""), ("f", "", "", ""), ("g", "3", "9", "9"), ("h", "9", "8", None), ("i", None, None, "4"), (None, "1", None, None)]
+    files = [("1", "p/1"), ("2", "p/2b"), ("2", "p/2a"), ("3A", "p/3A"), ("4A", "p/4A"), ("4", "p/4")]
+    marks = spark.createDataFrame(rows, schema)
+    out = layout.logo_path(marks, spark.createDataFrame(files, "stem string, path string"))
+    want = [("a", "p/1"), ("b", "p/2a"), ("c", "p/2a"), ("c", "p/2a"), ("d", "p/3A"), ("e", None), ("f", None), ("f", None), ("g", None), ("h", None), ("i", "p/4"), (None, "p/1")]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    # One join, by number, in each of the two parts; none by id.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2 and "(id#" not in "".join(x.split("Join LeftOuter,", 1)[1] for x in plan.splitlines() if "Join LeftOuter," in x)

@@ -47,10 +47,10 @@ def numbered(rows: DataFrame, order: list[str], name: str = "_i") -> DataFrame:
     return placed.withColumn(name, (F.col("_base") + F.col("_in") - 1).cast("long")).drop("_part", "_in", "_base", "_row")
 
 
-def placed(rows: DataFrame, name: str = "_i") -> DataFrame:
+def placed(rows: DataFrame, name: str = "_i", codec: str | None = None) -> DataFrame:
     """Adds a number (long, from 0, gapless) to each row, in the order of the table that is written
     first: for numbers that need no order, without a sort or a shuffle."""
     at = F.col("_row")
     # Spark numbers the rows of a partition from its number times 2^33.
-    table = saved(rows.withColumn("_row", F.monotonically_increasing_id()), "rows").withColumn("_part", F.shiftright(at, 33).cast("int"))
+    table = saved(rows.withColumn("_row", F.monotonically_increasing_id()), "rows", codec).withColumn("_part", F.shiftright(at, 33).cast("int"))
     return table.join(F.broadcast(_bases(table, F.lit(1))), "_part").withColumn(name, F.col("_base") + at.bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_base", "_row")

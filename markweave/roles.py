@@ -10,17 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markweave.functions.text import lineage_key, mark_category, nice_classes
-from markweave.operators.facet_index import FacetIndex
+from markweave.operators.facet_index import FacetIndex, held
 from markweave.operators.linkage import with_representative
 from markweave.plans import search
 from markweave.plans.name_postings import NameIndex
 from markweave.sources.keyed_table import KeyedTable
-from markweave.storage import scratch
+from markweave.storage import BROADCAST_BYTES, scratch, sized
 
 TODAY = "1997-06-15"
 
 _KEY = "CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)"
-MARKS = f"""
+_MARK = f"""
   SELECT concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING),
                    CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING), CAST(CAST(round(l_discount * 100) AS BIGINT) AS STRING)) AS id,
     concat('g', CAST(year(o_orderdate) AS STRING)) AS gazette_id,
@@ -44,7 +44,8 @@ MARKS = f"""
     CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE substr(md5(p_name), 1, 16) END AS logo_phash,
     c_name AS applicant_name, upper(substr(n_name, 1, 2)) AS applicant_country_code,
     CASE WHEN l_tax > 0.05 THEN n_name END AS applicant_city,
-    CASE WHEN c_mktsegment = 'BUILDING' THEN 'Personal' ELSE 'Company' END AS applicant_type, s_name AS ip_agency
+    CASE WHEN c_mktsegment = 'BUILDING' THEN 'Personal' ELSE 'Company' END AS applicant_type, s_name AS ip_agency"""
+MARKS = f"""{_MARK}
   FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey
     JOIN {{nation}} ON c_nationkey = n_nationkey JOIN {{part}} ON l_partkey = p_partkey JOIN {{supplier}} ON l_suppkey = s_suppkey"""
 MADRID = """
@@ -94,11 +95,39 @@ def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     if stored:
         return spark.read.parquet(stored)
     dims = _tables(spark, sf_dir, "lineitem", "orders", "customer", "nation", "part", "supplier")
-    df = spark.sql(MARKS, **dims)
+    return _derived(spark.sql(MARKS, **dims))
+
+
+def _derived(df: DataFrame) -> DataFrame:
     numbers = [F.col(c) for c in ("application_number", "certificate_number", "madrid_number")]
     return df.withColumns({"lineage_key": lineage_key(*numbers), "mark_category": mark_category(*numbers), "nice_classes": nice_classes(F.col("nice_group_number")), "vienna_codes": F.array("v1", "v2")})
 
 
+def _with_key_in(rows: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
+    """The rows whose key is among those of a table, which are whole numbers and unique. Keys
+    that lie close are sent as bitmaps, 4 KB for 32,768 of them, so rows aren't dealt by them."""
+    there = keys.select(F.bitmap_bucket_number(name).alias("_b"), F.bitmap_bit_position(name).alias("_at"))
+    if there.select("_b").distinct().count() * 4200 > BROADCAST_BYTES:
+        return rows.join(keys.select(name), F.col(key) == F.col(name)).drop(name)
+    maps = there.groupBy("_b").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    found = rows.withColumn("_b", F.bitmap_bucket_number(key)).join(F.broadcast(maps), "_b")
+    return found.where(held(F.col("_bits"), F.bitmap_bit_position(key))).drop("_b", "_bits")
+
+
+def marks_unnamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """marks() without names and logos, which only a join with part gives: the rows of lineitem
+    are dealt once, by their order, and the tables beside it are sent to them if small."""
+    if spark.conf.get(f"markweave.marks.{sf_dir.rstrip('/')}", None):
+        return marks(spark, sf_dir)
+    t = _tables(spark, sf_dir, "lineitem", "orders", "customer", "nation", "part", "supplier")
+    who = t["customer"].select("c_custkey", "c_name", "c_mktsegment", "c_nationkey").join(F.broadcast(t["nation"].select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = t["orders"].select("o_orderkey", "o_custkey", "o_orderdate").join(sized(who, 150), F.col("o_custkey") == F.col("c_custkey"))
+    rows = t["lineitem"].join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = _with_key_in(rows, "l_partkey", t["part"], "p_partkey")
+    rows = rows.join(sized(t["supplier"].select("s_suppkey", "s_name"), 100), F.col("l_suppkey") == F.col("s_suppkey"))
+    return _derived(spark.sql(f"{_MARK} FROM {{rows}}", rows=rows.withColumn("p_name", F.lit(None).cast("string"))).drop("mark_sample", "mark_name", "logo_phash"))
+
+
 def store(spark: SparkSession, sf_dir: str, path: str) -> None:
     """Write marks with is_representative: what an ingest leaves behind, so that queries over
     the same sf_dir needn't join and number the rows again."""
@@ -124,7 +153,7 @@ def facet_index(spark: SparkSession, sf_dir: str, path: str | None = None) -> Fa
     found = spark.conf.get(key, None)
     if found:
         return FacetIndex(spark, found)
-    index = FacetIndex.build(marks(spark, sf_dir), path or scratch(spark, "facets"), madrid(spark, sf_dir))
+    index = FacetIndex.build(marks_unnamed(spark, sf_dir), path or scratch(spark, "facets"), madrid(spark, sf_dir))
     spark.conf.set(key, index.gens.root)
     return index
 

@@ -31,11 +31,11 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/markweave-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, what: str) -> DataFrame:
+def saved(df: DataFrame, what: str, codec: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back, so that later steps see the same rows
-    whatever is lost or run again."""
+    whatever is lost or run again. codec: of Parquet, where the session's takes too much room."""
     path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -112,8 +112,8 @@ class Generations:
     def begin(self) -> str:
         return uuid.uuid4().hex
 
-    def write(self, gen: str, table: str, df: DataFrame, *by: str) -> None:
-        df.write.partitionBy(*by).parquet(f"{self.root}/{table}/gen={gen}")
+    def write(self, gen: str, table: str, df: DataFrame, *by: str, codec: str | None = None) -> None:
+        (df.write.option("compression", codec) if codec else df.write).partitionBy(*by).parquet(f"{self.root}/{table}/gen={gen}")
 
     def publish(self, gen: str, replaces: list[str] | None = None, **facts) -> None:
         """Entries are numbered, and a number is taken once: of two writers that saw the same

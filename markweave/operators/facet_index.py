@@ -79,6 +79,14 @@ def _others(rows: DataFrame) -> DataFrame:
     return _maps(with_representative(near, "_first", F.col("_key")).where(~F.col("_first")))
 
 
+def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (field, value, bits, met) as (field, value, n): how many bits both have."""
+    for b in batches:
+        bits, met = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("bits", "met"))
+        n = np.bitwise_count(bits & met).sum(axis=1).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column("field"), b.column("value"), pa.array(n)], ["field", "value", "n"])
+
+
 def _pieces(dense: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (_i, _rep, a column a field: text or lists of it) as entries (field, value, bucket,
     n, bits or rows) of some 32,768 rows at a time, cut where a bucket ends. A bucket that a task
@@ -246,26 +254,40 @@ class FacetIndex:
     def facets(self, spec: FilterSpec = FilterSpec(), limits: dict[str, int] = LIMITS, facets: tuple[str, ...] = tuple(FACETS)) -> DataFrame:
         """(facet, value, n) over representatives under all filters but the facet's own."""
         fields = {FACETS[f]: f for f in facets}
-        lists, dense = [f for f in fields if f in LISTS], [f for f in fields if f not in LISTS]
         clauses = self._clauses(spec)
-        if not clauses:
-            # What holds without filters was counted when the index was built.
-            counts = self._bits(*dense).select("field", "value", "n").unionByName(self._lists(*lists).select("field", "value", "n"))
-        else:
+        # Fields without a clause of their own share what is met in a bucket.
+        own = [f for f in fields if f in {c for c, _ in clauses}]
+        met = None
+        if clauses:
             clauses.append(("representative", self._bits("representative").groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits"))))
-            met = saved(self._met(clauses, list(fields)), "met").select(F.col("own").alias("field"), "bucket", F.col("bits").alias("met"))
+            met = saved(self._met(clauses, [*own, ""]), "met").select(F.col("own").alias("_own"), "bucket", F.col("bits").alias("met"))
             met = sized(met, 4200)
-            # The entries of a value in a bucket hold different rows, so their counts add up.
-            bits = self._bits(*dense).withColumn("_entry", F.monotonically_increasing_id())
-            pairs = bits.join(met, ["field", "bucket"]).select("field", "value", "_entry", F.explode(F.array("bits", "met")).alias("b"))
-            both = pairs.groupBy("field", "value", "_entry").agg(F.bitmap_count(F.bitmap_and_agg("b")).alias("n"))
-            rare = self._lists(*lists).join(met, ["field", "bucket"]).select("field", "value", F.size(F.filter("rows", lambda r: held(F.col("met"), r))).cast("long").alias("n"))
-            counts = both.select("field", "value", "n").unionByName(rare)
+
+        def counted(asked: list[str]) -> DataFrame:
+            """(facet, value, n) of some fields."""
+            bits, lists = self._bits(*[f for f in asked if f not in LISTS]), self._lists(*[f for f in asked if f in LISTS])
+            if met is None:
+                # What holds without filters was counted when the index was built.
+                counts = bits.select("field", "value", "n").unionByName(lists.select("field", "value", "n"))
+            else:
+                # The entries of a value in a bucket hold different rows, so their counts add up.
+                whose = F.when(F.col("field").isin(own), F.col("field")).otherwise("")
+                both = bits.withColumn("_own", whose).join(met, ["_own", "bucket"]).select("field", "value", "bits", "met").mapInArrow(_hits, "field string, value string, n long")
+                rare = lists.withColumn("_own", whose).join(met, ["_own", "bucket"]).select("field", "value", F.size(F.filter("rows", lambda r: held(F.col("met"), r))).cast("long").alias("n"))
+                counts = both.unionByName(rare)
+            return counts.where("n > 0").groupBy(names[F.col("field")].alias("facet"), "value").agg(F.sum("n").alias("n"))
+
         names = F.create_map(*[F.lit(x) for kv in fields.items() for x in kv])
-        total = counts.groupBy(names[F.col("field")].alias("facet"), "value").agg(F.sum("n").alias("n")).where("n > 0")
-        place = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))
-        most = F.coalesce(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("facet")], F.lit(1 << 30))
-        return total.withColumn("_p", place).where(F.col("_p") <= most).select("facet", "value", "n")
+        few, rest = [f for f in fields if fields[f] in limits], [f for f in fields if fields[f] not in limits]
+        out = counted(rest) if rest else None
+        if few:
+            # A limit that Spark knows when it plans lets each task send on its best rows only.
+            most = {fields[f]: limits[fields[f]] for f in few}
+            place = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))
+            best = counted(few).withColumn("_p", place).where(F.col("_p") <= max(most.values()))
+            best = best.where(F.col("_p") <= F.create_map(*[F.lit(x) for kv in most.items() for x in kv])[F.col("facet")]).drop("_p")
+            out = best if out is None else out.unionByName(best)
+        return out
 
     def facet(self, name: str, spec: FilterSpec = FilterSpec(), limit: int = 20) -> DataFrame:
         """(value, n) of one facet, best first."""

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from markweave.operators.numbering import sums_before
 from markweave.sources.readers import last_of_each
 from markweave.storage import delete, get, names, put, saved
 
@@ -58,6 +59,10 @@ class KeyedTable:
     def _key(self) -> Column:
         return F.struct(*self.key)
 
+    def _value(self, r: tuple) -> Column:
+        """A key as a constant."""
+        return F.struct(*[F.lit(x).cast(self.schema[k].dataType).alias(k) for k, x in zip(self.key, r, strict=True)])
+
     def _write(self, rows: DataFrame) -> str:
         """New files, by ranges of the key; what they are called."""
         gen = uuid.uuid4().hex
@@ -65,8 +70,20 @@ class KeyedTable:
         parts = max(1, -(-table.count() // self.rows_per_file))
         # Each task tells the driver of its work: a task writes many files, not one.
         tasks = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        ranges = table.repartitionByRange(min(parts, tasks), *self.key).sortWithinPartitions(*self.key)
-        (ranges.write.option("maxRecordsPerFile", self.rows_per_file) if parts > tasks else ranges.write).parquet(f"{self.root}/data/{gen}")
+        path = f"{self.root}/data/{gen}"
+        if parts <= tasks:
+            table.repartitionByRange(parts, *self.key).sortWithinPartitions(*self.key).write.parquet(path)
+            return gen
+        # Spark's ranges are nearly even, so each would end with a file of what is left over.
+        # Cut at exact places, a key for each task, they are whole files.
+        each = self.rows_per_file * -(-parts // tasks)
+        places = sums_before(table.select(*self.key, F.lit(1).alias("_n")), self.key, "_n", "_i")
+        cuts = places.where((F.col("_i") % each == 0) & (F.col("_i") > 0)).orderBy("_i").select(*self.key).collect()
+        ends = F.array(*[self._value(r) for r in cuts])
+        steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
+        task = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(ends, n + step - 1) <= F.col("_k"), n + step).otherwise(n))
+        dealt = table.withColumn("_k", self._key()).withColumn("_task", task).repartitionById(len(cuts) + 1, "_task").drop("_k", "_task")
+        dealt.sortWithinPartitions(*self.key).write.option("maxRecordsPerFile", self.rows_per_file).parquet(path)
         return gen
 
     def _commit(self, gen: str, before: str | None, gone: list[str]) -> None:
@@ -94,8 +111,7 @@ class KeyedTable:
         ends = keys.agg(F.min(self._key()).alias("low"), F.max(self._key()).alias("high")).first()
         if ends.low is None:
             return []
-        value = lambda r: F.struct(*[F.lit(x).cast(self.schema[k].dataType).alias(k) for k, x in zip(self.key, r, strict=True)])
-        near = self.manifest().where((F.col("high") >= value(ends.low)) & (F.col("low") <= value(ends.high))).select("file").collect()
+        near = self.manifest().where((F.col("high") >= self._value(ends.low)) & (F.col("low") <= self._value(ends.high))).select("file").collect()
         rows = self._of([r.file for r in near])
         rows = rows.where((F.col(self.key[0]) >= F.lit(ends.low[0])) & (F.col(self.key[0]) <= F.lit(ends.high[0])))
         name = F.concat_ws("/", F.slice(F.split("_metadata.file_path", "/"), -2, 2))
@@ -129,7 +145,7 @@ class KeyedTable:
         chosen = [f[3] for f in sorted(files) if f[0] <= end]
         found = self._of(chosen)
         if after is not None:
-            found = found.where(self._key() > F.struct(*[F.lit(x).cast(self.schema[k].dataType).alias(k) for k, x in zip(self.key, after, strict=True)]))
+            found = found.where(self._key() > self._value(after))
         return found.orderBy(*self.key).limit(n), chosen
 
     def clean(self) -> None:

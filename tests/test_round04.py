@@ -10,6 +10,7 @@ from markweave import roles
 from markweave.operators import facet_index, linkage, numbering
 from markweave.operators.facet_index import FacetIndex
 from markweave.operators.filters import FilterSpec
+from markweave.sources.keyed_table import KeyedTable
 
 COLUMNS = "id string, application_number string, lineage_key string, certificate_number string, vn_grant_date date, applicant_country_code string, mark_category string, record_type string, applicant_type string, year int, month int, nice_classes array<string>, applicant_name string, ip_agency string, gazette_id string, vienna_codes array<string>"
 
@@ -98,3 +99,13 @@ def test_marks_without_names_deal_lineitem_once(spark, monkeypatch):
     lines = spark.createDataFrame([(k,) for k in (None, -40_000, -39_999, -2, -1, 0, 1, 2, 32_767, 32_768, 32_769, 32_770)], "l long")
     monkeypatch.undo()
     assert sorted(r.l for r in roles._with_key_in(lines, "l", keys, "k").collect()) == [-40_000, -1, 0, 1, 32_768, 32_769]
+
+
+def test_files_of_a_keyed_table_are_whole(spark, tmp_path):
+    """Tasks took ranges of Spark's samples, so that each ended with a small file (tests/test_storage.py failed by it, depending on what ran before)."""
+    rows = spark.range(30_000).select(F.concat(F.lit("k"), F.xxhash64("id") % 7).alias("a"), F.when(F.col("id") < 29_000, F.col("id") * 3).otherwise(-F.col("id")).alias("b"), F.lit("v").alias("v"))
+    for _ in range(3):  # other samples each time
+        table = KeyedTable.create(rows, f"{tmp_path}/{_}", ["a", "b"], 500)
+        files = sorted((tuple(r.low), tuple(r.high), r.rows) for r in table.manifest().collect())
+        assert [f[2] for f in files] == [500] * 60 and all(x[1] < y[0] for x, y in zip(files, files[1:], strict=False))
+    assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, rows.collect()))
